@@ -49,3 +49,26 @@ def strings(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def append_columns(df: DataFrame, read: list[str], added: str, per_batch) -> DataFrame:
+    """df with columns that per_batch makes from Arrow batches.
+
+    per_batch(task state is built lazily inside) maps the ``read`` columns of a
+    batch to a list of arrays, one for each column of the DDL string ``added``.
+    Columns of df with the same names are replaced.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    rest = df.select(*read, *[c for c in df.columns if c not in read]).drop(*new.names)
+    if missing := [c for c in read if c not in rest.columns]:
+        raise ValueError(f"columns {missing} are both read and added")
+    schema = StructType(rest.schema.fields + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = per_batch(*[batch.column(k) for k in range(len(read))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+
+    return rest.mapInArrow(run, schema)
