@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import language_id
+from tidewell.llm import language_id, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
     }
 
