@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tidewell.llm import language_id, packing, simhash
+from tidewell.llm import language_id, line_dedup, packing, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_url_filter": url_filter.ORACLE_SQL,
+    }
