@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import language_id, line_dedup, packing, simhash, url_filter
+from tidewell.llm import language_id, line_dedup, packing, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
