@@ -9,12 +9,13 @@ is good is at least a half.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import SPACE, materialise, table
-from tidewell.llm.weak import VoteModel, fit_votes
+from tidewell.llm.weak import NO, YES, Rates, VoteModel, fit_votes
 
 WINDOW = 8
 
@@ -30,17 +31,17 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols <= 0.02 * n_words", "n_symbols > 0.1 * n_words"),
-    Rule("letters", "n_letters >= 0.9 * word_chars", "n_letters < 0.75 * word_chars"),
+    Rule("letters", "n_letters >= 0.9 * word_chars", "n_letters < 0.88 * word_chars"),
     Rule("word_length", "word_chars between 3.5 * n_words and 8 * n_words", "word_chars not between 3 * n_words and 10 * n_words"),
-    Rule("duplicate_lines", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.3 * n_lines"),
-    Rule("repetition", "n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
+    Rule("duplicate_lines", "n_dup_lines <= 0.05 * n_lines", "n_dup_lines > 0.5 * n_lines"),
+    Rule("repetition", "n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.3 * n_words"),
     Rule("vocabulary", "n_distinct * sqrt(n_words) >= 5 * n_words", "n_distinct * sqrt(n_words) < 3 * n_words"),
     Rule("capitals", "n_upper <= 0.1 * n_letters", "n_upper > 0.4 * n_letters"),
     Rule("length", "n_words >= 50", "n_words < 20"),
     Rule("sentence_ends", "n_closed >= 0.6 * n_lines", "n_closed < 0.1 * n_lines"),
 )
-#: First guesses: a rule seldom calls a good text bad, and each kind of bad text escapes most rules.
-START = ((0.98, 0.4),) * len(RULES)
+#: First guesses: rules seldom call a good text bad, each kind of bad text meets about a third of them, and the rest call it good.
+START = (Rates(yes_if_yes=0.95, yes_if_no=0.7, no_if_yes=0.005, no_if_no=0.3),) * len(RULES)
 
 
 def _let(value: Column, then) -> Column:
@@ -105,11 +106,9 @@ def fit(stats: DataFrame, rules=RULES, start=START) -> VoteModel:
 
 def quality(model: VoteModel, rules=RULES) -> Column:
     """Posterior probability that a text is good, over its statistics."""
-    from math import log
-
     total = F.lit(log(model.prior / (1 - model.prior)))
-    for vote, (good, bad) in zip(votes(rules), model.reliability, strict=True):
-        total = total + F.when(vote == 1, F.lit(log(good / (1 - bad)))).when(vote == -1, F.lit(log((1 - good) / bad))).otherwise(F.lit(0.0))
+    for vote, rates in zip(votes(rules), model.rates, strict=True):
+        total = total + F.when(vote == YES, F.lit(rates.weight(YES))).when(vote == NO, F.lit(rates.weight(NO))).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 

@@ -13,51 +13,66 @@ from dataclasses import dataclass
 NO, ABSTAIN, YES = -1, 0, 1
 
 
+@dataclass(frozen=True)
+class Rates:
+    """How often a labeler votes yes and no on rows of the yes and of the no class."""
+
+    yes_if_yes: float
+    yes_if_no: float
+    no_if_yes: float
+    no_if_no: float
+
+    def weight(self, vote: int) -> float:
+        """Log likelihood ratio of a vote; an abstention has none."""
+        if vote == YES:
+            return math.log(self.yes_if_yes / self.yes_if_no)
+        return math.log(self.no_if_yes / self.no_if_no) if vote == NO else 0.0
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """prior: P(yes class). weights[j] = log likelihood ratios of labeler j's (no, yes) votes."""
+    """Prior of the yes class, and each labeler's rates."""
 
     prior: float
-    reliability: tuple[tuple[float, float], ...]  # per labeler: P(yes vote | yes), P(no vote | no), among votes
+    rates: tuple[Rates, ...]
 
     def log_odds(self, votes: tuple[int, ...]) -> float:
-        total = math.log(self.prior / (1 - self.prior))
-        for vote, (right_yes, right_no) in zip(votes, self.reliability, strict=True):
-            if vote == YES:
-                total += math.log(right_yes / (1 - right_no))
-            elif vote == NO:
-                total += math.log((1 - right_yes) / right_no)
-        return total
+        return math.log(self.prior / (1 - self.prior)) + sum(r.weight(v) for v, r in zip(votes, self.rates, strict=True))
 
     def posterior(self, votes: tuple[int, ...]) -> float:
         return 1 / (1 + math.exp(-max(-700, min(700, self.log_odds(votes)))))
 
 
-def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[tuple[float, float], ...], prior: float = 0.5, rounds: int = 100, smooth: float = 1.0) -> VoteModel:
-    """Reliabilities of labelers that vote or abstain, by expectation-maximisation.
+def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prior: float = 0.5, rounds: int = 100, trust: float = 1.0) -> VoteModel:
+    """Labelers' rates by expectation-maximisation.
 
-    counts: rows by vote pattern. start: first guesses of the reliabilities,
-    which also say which class is which; they stay in as ``smooth``
-    pseudo-votes. Abstentions carry no weight. Without rows the guesses return.
+    counts: rows by vote pattern. start: first guesses, which also say which
+    class is which. On the rows a labeler gets wrong (yes_if_no, no_if_yes) the
+    guesses stay in as a share ``trust`` of all rows, so a labeler that alone
+    sees some kind of no row isn't taken for a poor one. Abstentions carry no
+    weight. Without rows the guesses return.
     """
     total = sum(counts.values())
     model = VoteModel(prior, start)
+    clip = lambda x: min(1 - 1e-6, max(1e-6, x))
     for _ in range(rounds if total else 0):
-        votes = [[smooth * a, smooth * (1 - a), smooth * (1 - b), smooth * b] for a, b in start]  # yes|yes, no|yes, yes|no, no|no
-        mass = 0.0
+        yes, seen = 0.0, [[0.0] * 4 for _ in start]
         for pattern, n in counts.items():
             p = model.posterior(pattern)
-            mass += n * p
-            for vote, row in zip(pattern, votes, strict=True):
+            yes += n * p
+            for vote, row in zip(pattern, seen, strict=True):
                 if vote:
-                    row[0 if vote == YES else 1] += n * p
-                    row[2 if vote == YES else 3] += n * (1 - p)
-        clip = lambda x: min(1 - 1e-6, max(1e-6, x))
-        fitted = VoteModel(clip((mass + smooth * prior) / (total + smooth)), tuple((clip(a / (a + b)), clip(d / (c + d))) for a, b, c, d in votes))
-        done = abs(fitted.prior - model.prior) < 1e-9 and all(abs(x - y) < 1e-9 for u, v in zip(fitted.reliability, model.reliability, strict=True) for x, y in zip(u, v, strict=True))
+                    k = 0 if vote == YES else 2
+                    row[k] += n * p
+                    row[k + 1] += n * (1 - p)
+        no, held = total - yes, trust * total
+        fitted = VoteModel(
+            clip((yes + prior) / (total + 1)),
+            tuple(Rates(clip((a + s.yes_if_yes) / (yes + 1)), clip((b + held * s.yes_if_no) / (no + held)), clip((c + held * s.no_if_yes) / (yes + held)), clip((d + s.no_if_no) / (no + 1))) for (a, b, c, d), s in zip(seen, start, strict=True)),
+        )
+        if abs(fitted.prior - model.prior) < 1e-9:
+            return fitted
         model = fitted
-        if done:
-            break
     return model
 
 
