@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import language_id, line_dedup, packing, quality, simhash, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, packing, quality, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
