@@ -43,9 +43,10 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
 
 
-def line_dedup(pages: DataFrame, host: Column, lines: Column, *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with kept_lines, n_lines and n_dropped (columns of those names are replaced).
+def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages with kept_lines, n_lines and n_dropped in place of the array column named ``lines``.
 
+    Columns of pages with those names are replaced.
     A line is dropped from all pages of a host if it is on at least
     ``min_pages`` of them and on more than ``ratio`` of them. Pages of a host
     with the same lines count once, so copies of a page don't make its text
@@ -55,9 +56,12 @@ def line_dedup(pages: DataFrame, host: Column, lines: Column, *, ratio: float =
 
     Lines are counted by hash after a map-side combine. The joins are on
     (host, line) and on (host, page content), and Spark may split any hot key.
+    pages is written to the shared folder once, lines and all; leave out columns
+    that the lines replace.
     """
     own = ["_tw_host", "_tw_lines", "_tw_page", "_tw_page2"]
-    base = pages.drop("kept_lines", "n_lines", "n_dropped").withColumns({"_tw_host": F.coalesce(host, F.lit("")), "_tw_lines": F.coalesce(lines, F.array().cast("array<string>"))})
+    base = pages.withColumn("_tw_host", F.coalesce(host, F.lit(""))).withColumnRenamed(lines, "_tw_lines").drop("kept_lines", "n_lines", "n_dropped")
+    base = materialise(base).withColumn("_tw_lines", F.coalesce("_tw_lines", F.array().cast("array<string>")))
     base = base.withColumns({"_tw_page": F.xxhash64("_tw_lines"), "_tw_page2": F.hash("_tw_lines")})
     page, line = ["_tw_host", "_tw_page", "_tw_page2"], ["line", "line2"]
 
@@ -84,9 +88,10 @@ def documents_without_boilerplate(docs: DataFrame) -> DataFrame:
     Rows all stay, in the columns of docs; texts without a dropped line, null
     ones too, are unchanged.
     """
-    found = line_dedup(docs, F.col("source"), text_lines(F.col("text")))
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("kept_lines", "\n"))
-    found = found.withColumn("text", text)
+    blank = F.col("text").isNull().alias("_tw_null")
+    cut = docs.select(*[c for c in docs.columns if c != "text"], blank, text_lines(F.col("text")).alias("_tw_text"))
+    found = line_dedup(cut, F.col("source"), "_tw_text")
+    found = found.withColumn("text", F.when(~F.col("_tw_null"), F.array_join("kept_lines", "\n")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return found.select(docs.columns)
@@ -94,8 +99,8 @@ def documents_without_boilerplate(docs: DataFrame) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's visible text without its host's boilerplate."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html", host_of(F.col("url")).alias("host"))
-    found = line_dedup(pages, F.col("host"), html_lines(F.col("html")))
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
+    found = line_dedup(pages, F.col("host"), "lines")
     return found.select("page_id", "host", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("kept_text"))
 
 
