@@ -43,17 +43,16 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     Rows are picked by a hash of ``key`` against count-based thresholds, so the
     sample is spread over the table and its size doesn't grow with it; of each
     picked row at most ``sample_chars`` characters are taken. Rows with a null
-    text or label are no training rows. Raises ValueError if none are left.
+    text or label are no training rows; without any, the model knows no language
+    and rejects every text as ``und``.
     """
     labelled = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     counts = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}
     if not counts:
-        raise ValueError("no labelled rows to learn from")
+        return CompressionModel((), **settings)
     ranks = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, sample_docs / n) * (1 << 30)))])
     picked = labelled.where(F.col("t").isNotNull() & (ranks < share[F.col("l")])).select("l", F.substring("t", 1, sample_chars).alias("t"), ranks.alias("r"), F.col("k").cast("string").alias("k")).collect()
-    if not picked:
-        raise ValueError("no labelled rows with text to learn from")
     by: dict[str, list] = {}
     for row in sorted(picked, key=lambda r: (r["r"], r["k"] or "", r["t"])):
         by.setdefault(row["l"], []).append(letters_only(row["t"]))
@@ -75,7 +74,7 @@ class _Classifier:
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); und, 0, 0 if there is no letter."""
         plain = letters_only(text or "")
-        if not any(map(str.isalpha, plain)):
+        if not self.compressors or not any(map(str.isalpha, plain)):
             return "und", 0.0, 0.0
         data, step = plain.encode(), self.model.block_bytes
         blocks = [data[k : k + step] for k in range(0, len(data), step)]

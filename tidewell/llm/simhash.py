@@ -13,7 +13,9 @@ verified bit by bit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
@@ -49,28 +51,34 @@ def reference(block: int, n: int) -> int:
     return xxhash.xxh64_intdigest(b"reference %d %d" % (block, n), SEED)
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """SimHash of the word shingles of UTF-8 bytes, repeats included; 0 without a word.
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of UTF-8 bytes, A-Z lower-cased, repeats included.
 
-    A text of fewer words than ``width`` is one shingle. A bit is set where
-    more than half of the shingles' XXH64 values have it.
+    A text of fewer words than ``width`` is one shingle, one without a word has none.
     """
     words = text.lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)] * bool(words), np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[i:j], SEED) for i, j in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(line[i:j], SEED) for i, j in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
     votes = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         votes += np.unpackbits(hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """64-bit SimHash of a text's shingles, repeats included; 0 without a word."""
+    return majority(shingle_hashes(text, width))
+
+
 def with_fingerprint(docs: DataFrame, *, text: str = "text", width: int = 3) -> DataFrame:
     """docs with simhash, the fingerprint as a signed long; null and blank texts have 0."""
 
@@ -92,10 +100,6 @@ def distance_table(prints: DataFrame) -> DataFrame:
     return prints.withColumns(made)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
 def _linked(prints: np.ndarray, codes: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Positions of a spanning set of the links among a key's few fingerprints."""
     n = len(prints)
@@ -104,7 +108,7 @@ def _linked(prints: np.ndarray, codes: np.ndarray, distance: int) -> list[tuple[
     i, j = np.triu_indices(n, 1)
     near = np.abs(table[i] - table[j]).max(axis=1) <= distance
     i, j = i[near], j[near]
-    near = _popcount(prints[i] ^ prints[j]) <= distance
+    near = np.bitwise_count(prints[i] ^ prints[j]) <= distance
     return list(zip(i[near].tolist(), j[near].tolist(), strict=True))
 
 
@@ -213,6 +217,165 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return prints.join(of, "simhash").select(F.col("key").alias(key), "simhash", "component_id")
 
 
+@dataclass(frozen=True)
+class Similar:
+    """Parameters of the search for similar texts: Jaccard similarity of the sets of word shingles.
+
+    Fingerprints of two lanes of 64 bits are compared. Texts of that similarity
+    agree in a bit with a probability that follows from the angle between their
+    shingle vectors; ``slack`` standard deviations are allowed on top of the
+    expected distance, and as many tables are made as it takes to bring such a
+    pair together in one with probability ``recall``.
+    """
+
+    width: int = 5
+    similarity: float = 0.8
+    slack: float = 1.5
+    recall: float = 0.99
+    references: int = 8
+
+    @property
+    def agreement(self) -> float:
+        return 1 - math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    @property
+    def distance(self) -> int:
+        return int(128 * (1 - self.agreement) + self.slack * math.sqrt(128 * self.agreement * (1 - self.agreement)))
+
+    def tables(self, texts: int) -> list[np.ndarray]:
+        """Bit positions of each table; keys grow by a bit as texts double, so a key's chance company doesn't."""
+        bits = min(40, max(8, round(math.log2(max(texts, 1))) - 2))
+        number = math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**bits))
+        return [np.random.default_rng([SEED, n]).permutation(128)[:bits] for n in range(number)]
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _wide(text: bytes, width: int) -> tuple[int, int]:
+    """Two SimHash lanes of the set of shingles."""
+    hashes = np.unique(shingle_hashes(text, width))
+    return majority(hashes), majority(_mixed(hashes, 1))
+
+
+def _near_rows(key: np.ndarray, lanes: np.ndarray, spec: Similar) -> list[tuple[int, int]]:
+    """Spanning links among the rows (sorted by key) that share a key.
+
+    Pairs go through the table of distances to reference fingerprints first
+    and are verified over all bits after it.
+    """
+    n, limit = len(key), spec.distance
+    pivots = np.array([[reference(len(BLOCKS) + lane, k) for k in range(spec.references)] for lane in range(2)], np.uint64)
+    table = sum(np.bitwise_count(lanes[:, lane, None] ^ pivots[lane]).astype(np.int16) for lane in range(2))
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    size_of = np.repeat(sizes, sizes)
+    found: list[tuple[int, int]] = []
+
+    def verify(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= limit
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= limit
+        found.extend(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+
+    small = np.flatnonzero(size_of <= PAIRWISE)
+    step = 1
+    while len(small := small[small + step < n]):
+        small = small[key[small] == key[small + step]]
+        verify(small, small + step)
+        step += 1
+    for s, e in zip(starts[sizes > PAIRWISE].tolist(), (starts + sizes)[sizes > PAIRWISE].tolist(), strict=True):
+        rows = np.arange(s, e)
+        for k in range(s, e - 1):
+            verify(np.full(e - k - 1, k), rows[k - s + 1 :])
+    return _spanning(n, found)
+
+
+def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) for each row of docs: connected groups of similar texts, named by their smallest key.
+
+    Equal fingerprints are one node. Nodes meet in tables keyed by sampled
+    bits; within a key, pairs are discarded by their distances to reference
+    fingerprints and verified over all 128 bits. Keys with more than IN_TASK
+    nodes are split into blocks and every pair of blocks is compared, so no
+    task holds more than two. Empty texts are one group, rows with a null key
+    name no group.
+    """
+    spec = spec or Similar()
+
+    def wide(column: pa.Array) -> list[pa.Array]:
+        lanes = [_wide(t, spec.width) for t in strings(column)]
+        return [pa.array([_signed(x[k]) for x in lanes], pa.int64()) for k in range(2)]
+
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long", wide)
+    prints = materialise(prints.select("key", "a", "b", F.xxhash64("a", "b").alias("node")))
+    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), F.min("a").alias("a"), F.min("b").alias("b")))
+    tables = spec.tables(nodes.count())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lanes = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1)
+            bits = np.unpackbits(lanes.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            for n, places in enumerate(tables):
+                code = (bits[:, places].astype(np.int64) << np.arange(len(places))).sum(axis=1) + (n << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["key", "node", "a", "b"])
+
+    keyed = nodes.select("node", "a", "b").mapInArrow(keys, "key long, node long, a long, b long")
+    keyed = materialise(keyed)
+    large = materialise(keyed.groupBy("key").count().where(F.col("count") > IN_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            key = rows["key"].to_numpy()
+            whole = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            rest = rows.slice(whole)
+            if whole > 1:
+                node = rows["node"].to_numpy()
+                lanes = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
+                links = _near_rows(key[:whole], lanes[:whole], spec)
+                ends = np.array(links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], ["a", "b"])
+
+    met = keyed.join(large, "key", "left_anti")
+    if large.limit(1).count():
+        parts = F.ceil(2 * F.col("count") / IN_TASK).cast("int")
+        split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.col("node"), parts).cast("int").alias("own"))
+        split = split.select("key", "node", "a", "b", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        met = met.union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "a", "b"))
+    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    found = components(edges)
+    named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = named.join(lows, "component").select("node", "component_id")
+    return prints.join(of, "node").select(F.col("key").alias(key), "component_id")
+
+
+def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of similar texts: the one of the smallest key.
+
+    Rows that share that key are told apart by all their columns, and the
+    smallest stays. Rows with a null key can't be named and all stay.
+    """
+    of = materialise(similar_documents(docs, spec, key=key, text=text))
+    kept = of.where(F.col(key) == F.col("component_id")).groupBy(key).count()
+    again = materialise(kept.where("count > 1").select(key))
+    stay = docs.join(kept.where("count = 1").select(key), key, "left_semi")
+    unnamed = docs.where(F.col(key).isNull())
+    if not again.limit(1).count():
+        return stay.unionByName(unnamed).select(docs.columns)
+    repeated = docs.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return stay.unionByName(repeated).unionByName(unnamed).select(docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
