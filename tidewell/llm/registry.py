@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, language_id, line_dedup, packing, quality, simhash, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, packing, pii, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_personal_data": pii.op3_personal_data,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_decontamination": decontaminate.op7_decontamination,
