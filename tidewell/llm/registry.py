@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, language_id, line_dedup, packing, pii, quality, simhash, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, pii, quality, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_personal_data": pii.op3_personal_data,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_language_model": ngram_lm.op6_language_model,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
