@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, pii, quality, simhash, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, pii, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_personal_data": pii.op3_personal_data,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
