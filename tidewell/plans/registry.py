@@ -1,15 +1,16 @@
-"""The rhythm queries by name; filled in as operators arrive."""
+"""The rhythm queries by name, and their SQL."""
 
 from __future__ import annotations
 
+from tidewell.plans import oracle
+from tidewell.plans import queries as q
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+entry = q.entry
 
 
 def queries() -> dict:
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(oracle.ORACLE)
