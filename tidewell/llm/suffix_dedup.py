@@ -31,8 +31,11 @@ from tidewell.llm.common import materialise, strings, table
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 RIGHT_WORDS, LEFT_WORDS = 7, 5  # 8-byte words of a suffix's right and left context, lengths included
-BLOCK_BYTES = 16_000_000
+#: Bytes of text in a block, and for each shard; a task holds some twenty times as much.
+BLOCK_BYTES, SHARD_BYTES = 4_000_000, 8_000_000
 SAMPLE = 50_000
+#: Text is searched for anchors in stretches of half as many bytes as these bits count.
+PLACE_BITS = 20
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -58,19 +61,14 @@ class Anchors:
         ends = np.cumsum(lengths)
         self.starts = ends - lengths
         parts = []
-        n, step = len(text), 1 << 20
-        padded = np.concatenate([text, np.zeros(64, np.uint8)])
-        # the last string start of the document that each place belongs to
+        n, step = len(text), 1 << PLACE_BITS - 1
         for low in range(0, max(0, n - LENGTH + 1), step):
             high = min(low + step, n - LENGTH + 1)
-            piece = np.ascontiguousarray(padded[low : high + LENGTH])
-            words = np.lib.stride_tricks.as_strided(piece, (high - low + WINDOW - 1, 2, 8), (1, 8, 1))
-            words = np.ascontiguousarray(words).view("<u8")[:, :, 0]
-            hashes = _mix(_mix(words[:, 0]) + words[:, 1])
-            parts.append((low, high, *self._least(hashes, high - low)))
+            hashes = self._grams(text[low : high + LENGTH - 1])
+            at = self._least(hashes)
+            parts.append((at + low, hashes[at]))
         if parts:
-            at = np.concatenate([p[2] + p[0] for p in parts])
-            hashes = np.concatenate([p[3] for p in parts])
+            at, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
             at, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         first = np.arange(len(at))
@@ -86,17 +84,28 @@ class Anchors:
         self.doc = np.searchsorted(ends, self.at, side="right")
 
     @staticmethod
-    def _least(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each string the place and hash of its leftmost least gram."""
-        value, at, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
+    def _grams(text: np.ndarray) -> np.ndarray:
+        """Hash of the gram at each place."""
+        two = text[:-1].astype(np.uint64) | text[1:].astype(np.uint64) << np.uint64(8)
+        four = two[:-2] | two[2:] << np.uint64(16)
+        eight = four[:-4] | four[4:] << np.uint64(32)
+        hashes = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
+        hashes += eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
+        return hashes
+
+    @staticmethod
+    def _least(hashes: np.ndarray) -> np.ndarray:
+        """For each string the place of its gram of least leading hash bits, the leftmost of equals."""
+        place = np.uint64((1 << PLACE_BITS) - 1)
+        value, size = hashes & ~place | np.arange(len(hashes), dtype=np.uint64), 1
         while size < WINDOW:
             step = min(size, WINDOW - size)
-            m = len(value) - step
-            later = value[step:] < value[:m]
-            at = np.where(later, at[step:], at[:m])
-            value = np.where(later, value[step:], value[:m])
+            value = np.minimum(value[:-step], value[step:])
             size += step
-        return at[:n].astype(np.int64), value[:n]
+        return (value & place).astype(np.int64)
 
 
 def contexts(a: Anchors, rows: np.ndarray) -> np.ndarray:
@@ -145,25 +154,40 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
         starts, sizes = begins, counts
 
 
-_B = np.uint64(0x100000001B3)
+_B = 0x100000001B3
 
 
-def _string_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes before the anchor, hash) of every string of the context rows."""
+def _string_runs(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, bytes before the anchor, smallest document) over the strings of context rows.
+
+    Strings with as many bytes before their anchor are compared at a time; the
+    hash of a row's string rolls on from one to the next.
+    """
     right, left = rows[:, 8 * RIGHT_WORDS - 1].astype(np.int64), rows[:, -1].astype(np.int64)
-    around = np.concatenate([rows[:, 8 * RIGHT_WORDS : 8 * RIGHT_WORDS + WINDOW - 1][:, ::-1], rows[:, :LENGTH]], axis=1)
-    prefix = np.zeros((len(rows), around.shape[1] + 1), np.uint64)
-    for k in range(around.shape[1]):
-        prefix[:, k + 1] = prefix[:, k] * _B + around[:, k] + np.uint64(1)
-    power = np.uint64(pow(int(_B), LENGTH, 1 << 64))
-    row, before, hashes = [], [], []
+    after = np.ascontiguousarray(rows[:, :LENGTH].T)
+    before = np.ascontiguousarray(rows[:, 8 * RIGHT_WORDS : 8 * RIGHT_WORDS + WINDOW - 1].T)
+    back, first = np.uint64(pow(_B, -1, 1 << 64)), np.uint64(pow(_B, LENGTH - 1, 1 << 64))
+    rolled = np.zeros(len(rows), np.uint64)
+    for k in range(LENGTH):
+        rolled = rolled * np.uint64(_B) + after[k] + np.uint64(1)
+    last = np.full(len(rows), -1)
+    known = np.zeros(len(rows), bool)
+    out = []
     for k in range(WINDOW):
+        if k:
+            rolled = (rolled - after[LENGTH - k] - np.uint64(1)) * back + (before[k - 1] + np.uint64(1)) * first
         has = np.flatnonzero((k <= left) & (LENGTH - k <= right))
-        start = WINDOW - 1 - k
-        row.append(has)
-        before.append(np.full(len(has), k, np.int16))
-        hashes.append(_mix(prefix[has, start + LENGTH] - prefix[has, start] * power))
-    return np.concatenate(row), np.concatenate(before), np.concatenate(hashes)
+        if not len(has):
+            continue
+        hashes = _mix(rolled[has])
+        order = np.argsort(hashes, kind="stable")
+        new = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
+        doc = np.empty(len(has), np.int64)
+        doc[order] = np.repeat(np.minimum.reduceat(least[has][order], new), np.diff(np.r_[new, len(has)]))
+        change = ~known[has] | (doc != last[has])
+        last[has], known[has] = doc, True
+        out.append((has[change], np.full(int(change.sum()), k), doc[change]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def first_documents(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,24 +213,10 @@ def first_documents(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.
     run_row, run_from, run_doc = [np.setdiff1d(np.arange(len(heads)), mixed)], [], []
     run_from.append((LENGTH - low)[run_row[0]])
     run_doc.append(least[run_row[0]])
-    group = (np.cumsum(~shared) - 1)[mixed]
-    at = 0
-    while at < len(mixed):  # whole grams, some 100,000 contexts at a time
-        end = int(np.searchsorted(group, group[min(at + 100_000, len(mixed) - 1)], side="right"))
-        part = mixed[at:end]
-        row, before, hashes = _string_hashes(rows[heads[part]])
-        o = np.lexsort((before, hashes))
-        new = np.flatnonzero(np.r_[True, (hashes[o][1:] != hashes[o][:-1]) | (before[o][1:] != before[o][:-1])])
-        mins = np.minimum.reduceat(least[part][row[o]], new)
-        doc = np.empty(len(o), np.int64)
-        doc[o] = np.repeat(mins, np.diff(np.r_[new, len(o)]))
-        o = np.lexsort((before, row))
-        row, before, doc = row[o], before[o], doc[o]
-        keep = np.r_[True, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]
-        run_row.append(part[row[keep]])
-        run_from.append(before[keep].astype(np.int64))
-        run_doc.append(doc[keep])
-        at = end
+    row, before, doc = _string_runs(rows[heads[mixed]], least[mixed])
+    run_row.append(mixed[row])
+    run_from.append(before)
+    run_doc.append(doc)
     run_row, run_from, run_doc = (np.concatenate(x) for x in (run_row, run_from, run_doc))
     o = np.lexsort((run_from, run_row))
     run_row, run_from, run_doc = run_row[o], run_from[o], run_doc[o]
@@ -225,19 +235,24 @@ def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "body"])
 
 
-def _by_shard(messages: DataFrame, answer: Callable[[list[dict]], list[dict]]) -> DataFrame:
+def _by_shard(messages: DataFrame, answer: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, blocks, bodies = None, [], []
         for batch in batches:
-            for s, b, body in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            for n in range(batch.num_rows):
+                s, b, body = (batch.column(k)[n].as_py() for k in range(3))
                 if s != shard and blocks:
-                    yield _messages([(shard, k, _pack(**made)) for k, made in zip(blocks, answer(bodies), strict=True)])
+                    yield from made_for(shard, blocks, bodies)
                     blocks, bodies = [], []
                 shard = s
                 blocks.append(b)
                 bodies.append(_unpack(body))
         if blocks:
-            yield _messages([(shard, k, _pack(**made)) for k, made in zip(blocks, answer(bodies), strict=True)])
+            yield from made_for(shard, blocks, bodies)
+
+    def made_for(shard: int, blocks: list[int], bodies: list[dict]) -> Iterator[pa.RecordBatch]:
+        for block, made in zip(blocks, answer(bodies), strict=True):
+            yield _messages([(shard, block, _pack(**made))])
 
     return messages.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _MESSAGE)
 
@@ -350,7 +365,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     blocks = materialise(_blocks(docs, key, text))
     sizes = blocks.select("block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     number, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-total // BLOCK_BYTES))
+    shards = max(1, -(-total // SHARD_BYTES))
     each = max(1, -(-SAMPLE // max(1, number)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,15 +391,14 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 a, b = starts[s], starts[s + 1]
                 yield _messages([(s, block.block, _pack(at=np.array([a, b]), planes=_planes(hashes[a:b]), two=np.packbits(two[a:b])))])
 
-    def answer_grams(asked: list[dict]) -> list[dict]:
+    def answer_grams(asked: list[dict]) -> Iterator[dict]:
         hashes = [_from_planes(m["planes"]) for m in asked]
         _, of, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        out, at = [], 0
+        at = 0
         for m, h in zip(asked, hashes, strict=True):
             two = np.unpackbits(m["two"], count=len(h)).astype(bool)
-            out.append({"at": m["at"], "repeated": np.packbits(two | (counts[of[at : at + len(h)]] > 1))})
+            yield {"at": m["at"], "repeated": np.packbits(two | (counts[of[at : at + len(h)]] > 1))}
             at += len(h)
-        return out
 
     def met(answers: DataFrame) -> DataFrame:
         """Each block with what came back for it."""
@@ -413,14 +427,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 mine = order[starts[s] : starts[s + 1]]
                 yield _messages([(s, block.block, _pack(at=mine.astype(np.uint32), rows=made[mine], docs=least[mine]))])
 
-    def answer_contexts(asked: list[dict]) -> list[dict]:
+    def answer_contexts(asked: list[dict]) -> Iterator[dict]:
         row, begin, doc = first_documents(np.concatenate([m["rows"] for m in asked]), np.concatenate([m["docs"] for m in asked]))
-        out, at = [], 0
+        at = 0
         for m in asked:
             a, b = np.searchsorted(row, [at, at + len(m["at"])])
-            out.append({"row": m["at"][row[a:b] - at], "from": begin[a:b].astype(np.uint8), "doc": doc[a:b]})
+            yield {"row": m["at"][row[a:b] - at], "from": begin[a:b].astype(np.uint8), "doc": doc[a:b]}
             at += len(m["at"])
-        return out
 
     known = blocks.join(grams, "block", "left")
     runs = materialise(met(_by_shard(known.mapInArrow(ask_contexts, _MESSAGE), answer_contexts)).withColumnRenamed("bodies", "runs"))
@@ -431,7 +444,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             a = block.anchors
             _, _, rows, of = block.suffixes(repeated_of(row, len(block.grams()[0])))
             got = [_unpack(m) for m in row["runs"] or []]
-            covered = np.zeros(len(block.text) + 1, np.int64)
+            covered = np.zeros(len(block.text) + 1, np.int32)
             if got:
                 context, begin, doc = (np.concatenate([m[k] for m in got]) for k in ("row", "from", "doc"))
                 o = np.lexsort((begin, context))
@@ -448,10 +461,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 last = np.minimum(a.at[anchor] - begin[index], a.last[anchor]) + LENGTH
                 np.add.at(covered, first, 1)
                 np.add.at(covered, last, -1)
-            covered = np.cumsum(covered[:-1]) > 0
+            covered = np.cumsum(covered[:-1], dtype=np.int32) > 0
             edge = np.r_[covered[:1], covered[1:] & ~covered[:-1]]
             edge[a.starts[(a.starts < len(edge))]] = covered[a.starts[a.starts < len(edge)]]
-            sums, edges = np.r_[0, np.cumsum(covered)], np.r_[0, np.cumsum(edge)]
+            sums, edges = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (covered, edge))
             ends = a.starts + block.lengths
             removed, spans = sums[ends] - sums[a.starts], edges[ends] - edges[a.starts]
             digests = []
