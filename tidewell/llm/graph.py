@@ -17,7 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges meet in a join that Spark may split, followed by a partial minimum;
     no neighbour list is ever gathered.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # each node keeps its smallest neighbour, and the others are tied to that one: far fewer edges where hubs are few
+    nearest = pairs.groupBy("a").agg(F.min("b").alias("near"))
+    tied = pairs.join(nearest, "a").where("b <> near").select(F.col("b").alias("a"), F.col("near").alias("b"))
+    both = nearest.select("a", F.col("near").alias("b")).union(tied).distinct()
+    both = materialise(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

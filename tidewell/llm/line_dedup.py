@@ -72,7 +72,8 @@ def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RAT
     boilerplate = materialise(counts.join(totals, "_tw_host").where(F.col("n") > ratio * F.col("total")).select("_tw_host", *line))
 
     dropped = at.join(boilerplate, ["_tw_host", *line]).groupBy(*page).agg(F.collect_set("pos").alias("_tw_dropped"))
-    joined = base.join(materialise(dropped), page, "left")
+    # a merge join whatever the size, so that the plan is the same at every scale
+    joined = base.join(materialise(dropped).hint("merge"), page, "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_tw_lines") - 1), "_tw_dropped")
     return joined.select(
         *[c for c in base.columns if c not in own],

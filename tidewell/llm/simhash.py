@@ -263,8 +263,13 @@ def _wide(text: bytes, width: int) -> tuple[int, int]:
     return majority(hashes), majority(_mixed(hashes, 1))
 
 
+def _node(lanes: np.ndarray) -> np.ndarray:
+    """One number for a fingerprint."""
+    return _mixed(lanes[:, 0], 2) ^ _mixed(lanes[:, 1], 3)
+
+
 def _near_rows(key: np.ndarray, lanes: np.ndarray, spec: Similar) -> list[tuple[int, int]]:
-    """Spanning links among the rows (sorted by key) that share a key.
+    """Links among the rows (sorted by key) that share a key.
 
     Pairs go through the table of distances to reference fingerprints first
     and are verified over all bits after it.
@@ -293,7 +298,29 @@ def _near_rows(key: np.ndarray, lanes: np.ndarray, spec: Similar) -> list[tuple[
         rows = np.arange(s, e)
         for k in range(s, e - 1):
             verify(np.full(e - k - 1, k), rows[k - s + 1 :])
-    return _spanning(n, found)
+    return found
+
+
+def _stars(node: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links' connected nodes, each with the smallest of its group.
+
+    Tables that bring the same group together then give the same pairs.
+    """
+    names, number = np.unique(node, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in links:
+        a, b = root(number[i]), root(number[j])
+        parent[max(a, b)] = min(a, b)
+    linked = np.unique(number[np.array(links, np.int64).ravel()])
+    hubs = np.array([root(k) for k in linked.tolist()], np.int64)
+    away = linked != hubs
+    return names[linked[away]], names[hubs[away]]
 
 
 def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,23 +336,23 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
     spec = spec or Similar()
 
     def wide(column: pa.Array) -> list[pa.Array]:
-        lanes = [_wide(t, spec.width) for t in strings(column)]
-        return [pa.array([_signed(x[k]) for x in lanes], pa.int64()) for k in range(2)]
+        lanes = np.array([_wide(t, spec.width) for t in strings(column)], np.uint64).reshape(-1, 2)
+        return [pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1]), _node(lanes))]
 
-    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long", wide)
-    prints = materialise(prints.select("key", "a", "b", F.xxhash64("a", "b").alias("node")))
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long, node long", wide)
+    prints = materialise(prints.select("key", "a", "b", "node"))
     nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), F.min("a").alias("a"), F.min("b").alias("b")))
     tables = spec.tables(nodes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lanes = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1)
+            lanes = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
             bits = np.unpackbits(lanes.astype("<i8").view(np.uint8), axis=1, bitorder="little")
             for n, places in enumerate(tables):
                 code = (bits[:, places].astype(np.int64) << np.arange(len(places))).sum(axis=1) + (n << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["key", "node", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["key", "a", "b"])
 
-    keyed = nodes.select("node", "a", "b").mapInArrow(keys, "key long, node long, a long, b long")
+    keyed = nodes.select("a", "b").mapInArrow(keys, "key long, a long, b long")
     keyed = materialise(keyed)
     large = materialise(keyed.groupBy("key").count().where(F.col("count") > IN_TASK))
 
@@ -339,18 +366,18 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
             whole = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
             rest = rows.slice(whole)
             if whole > 1:
-                node = rows["node"].to_numpy()
                 lanes = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
-                links = _near_rows(key[:whole], lanes[:whole], spec)
-                ends = np.array(links, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], ["a", "b"])
+                node = _node(lanes).view(np.int64)
+                ends = _stars(node, _near_rows(key[:whole], lanes[:whole], spec))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
-    met = keyed.join(large, "key", "left_anti")
+    met = keyed
     if large.limit(1).count():
+        met = keyed.join(large, "key", "left_anti")
         parts = F.ceil(2 * F.col("count") / IN_TASK).cast("int")
-        split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.col("node"), parts).cast("int").alias("own"))
-        split = split.select("key", "node", "a", "b", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        met = met.union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "a", "b"))
+        split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.xxhash64("a", "b"), parts).cast("int").alias("own"))
+        split = split.select("key", "a", "b", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        met = met.union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "a", "b"))
     edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
     found = components(edges)
     named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -368,7 +395,8 @@ def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str =
     of = materialise(similar_documents(docs, spec, key=key, text=text))
     kept = of.where(F.col(key) == F.col("component_id")).groupBy(key).count()
     again = materialise(kept.where("count > 1").select(key))
-    stay = docs.join(kept.where("count = 1").select(key), key, "left_semi")
+    # a merge join whatever the size, so that the plan is the same at every scale
+    stay = docs.join(kept.where("count = 1").select(key).hint("merge"), key, "left_semi")
     unnamed = docs.where(F.col(key).isNull())
     if not again.limit(1).count():
         return stay.unionByName(unnamed).select(docs.columns)

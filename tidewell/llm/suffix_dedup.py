@@ -32,7 +32,7 @@ LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 RIGHT_WORDS, LEFT_WORDS = 7, 5  # 8-byte words of a suffix's right and left context, lengths included
 #: Bytes of text in a block, and for each shard; a task holds some twenty times as much.
-BLOCK_BYTES, SHARD_BYTES = 4_000_000, 8_000_000
+BLOCK_BYTES, SHARD_BYTES = 2_500_000, 6_000_000
 SAMPLE = 50_000
 #: Text is searched for anchors in stretches of half as many bytes as these bits count.
 PLACE_BITS = 20
@@ -257,14 +257,6 @@ def _by_shard(messages: DataFrame, answer: Callable[[list[dict]], Iterator[dict]
     return messages.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _MESSAGE)
 
 
-def _dealt(block: int, owner: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(owner, kind="stable")
-    owner = owner[order]
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(owner)].tolist(), strict=True):
-        yield _messages([(int(owner[s]), block, _pack(at=order[s:e].astype(np.uint32), **{k: v[order[s:e]] for k, v in columns.items()}))])
-
-
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
