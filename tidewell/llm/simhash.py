@@ -14,7 +14,7 @@ verified bit by bit.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, combinations
 
@@ -66,12 +66,29 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([digest(line[i:j], SEED) for i, j in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
+#: For each byte its eight bits, lowest first, as the eight bytes of a word.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def majorities(lanes: np.ndarray) -> np.ndarray:
+    """For each row of hashes the bits that more than half of them have; 0 for none.
+
+    Bits are counted eight to a word, at most 255 hashes before counts are
+    widened.
+    """
+    size = lanes.shape[1]
+    votes = np.zeros((len(lanes), 64), np.int64)
+    for k in range(0, size, 255 * 64):
+        part = np.ascontiguousarray(lanes[:, k : k + 255 * 64].astype("<u8"))
+        spread = _SPREAD[part.view(np.uint8).reshape(*part.shape, 8)]
+        sums = np.add.reduceat(spread, np.arange(0, part.shape[1], 255), axis=1)
+        votes += np.ascontiguousarray(sums).view(np.uint8).reshape(len(lanes), -1, 64).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * votes > size, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def majority(hashes: np.ndarray) -> int:
     """The bits that more than half of the hashes have; 0 for none."""
-    votes = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        votes += np.unpackbits(hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majorities(hashes[None, :])[0])
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -221,11 +238,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 class Similar:
     """Parameters of the search for similar texts: Jaccard similarity of the sets of word shingles.
 
-    Fingerprints of two lanes of 64 bits are compared. Texts of that similarity
-    agree in a bit with a probability that follows from the angle between their
-    shingle vectors; ``slack`` standard deviations are allowed on top of the
-    expected distance, and as many tables are made as it takes to bring such a
-    pair together in one with probability ``recall``.
+    Candidates come from fingerprints of two lanes of 64 bits. Texts of that
+    similarity agree in a bit with a probability that follows from the angle
+    between their shingle vectors; ``slack`` standard deviations are allowed on
+    top of the expected distance, and as many tables are made as it takes to
+    bring such a pair together in one with probability ``recall``. Groups of
+    candidates are then verified over ``lanes`` lanes, whose distances tell
+    similarities apart to about 0.03, with ``verify_slack`` deviations.
     """
 
     width: int = 5
@@ -233,6 +252,8 @@ class Similar:
     slack: float = 1.5
     recall: float = 0.99
     references: int = 8
+    lanes: int = 16
+    verify_slack: float = 1.0
 
     @property
     def agreement(self) -> float:
@@ -240,7 +261,14 @@ class Similar:
 
     @property
     def distance(self) -> int:
-        return int(128 * (1 - self.agreement) + self.slack * math.sqrt(128 * self.agreement * (1 - self.agreement)))
+        return self._distance(128, self.slack)
+
+    @property
+    def verify_distance(self) -> int:
+        return self._distance(64 * self.lanes, self.verify_slack)
+
+    def _distance(self, bits: int, slack: float) -> int:
+        return int(bits * (1 - self.agreement) + slack * math.sqrt(bits * self.agreement * (1 - self.agreement)))
 
     def tables(self, texts: int) -> list[np.ndarray]:
         """Bit positions of each table; keys grow by a bit as texts double, so a key's chance company doesn't."""
@@ -257,10 +285,10 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _wide(text: bytes, width: int) -> tuple[int, int]:
-    """Two SimHash lanes of the set of shingles."""
-    hashes = np.unique(shingle_hashes(text, width))
-    return majority(hashes), majority(_mixed(hashes, 1))
+def _wide(text: bytes, spec: Similar) -> np.ndarray:
+    """SimHash lanes of the set of shingles."""
+    hashes = np.unique(shingle_hashes(text, spec.width))
+    return majorities(np.stack([hashes, *[_mixed(hashes, k) for k in range(4, spec.lanes + 3)]]))
 
 
 def _node(lanes: np.ndarray) -> np.ndarray:
@@ -294,13 +322,74 @@ def _near_rows(key: np.ndarray, lanes: np.ndarray, spec: Similar) -> list[tuple[
         small = small[key[small] == key[small + step]]
         verify(small, small + step)
         step += 1
+
+    def near(k: int, others: np.ndarray) -> np.ndarray:
+        ok = np.abs(table[others] - table[k]).max(axis=1, initial=0) <= limit
+        ok[ok] = np.bitwise_count(lanes[others[ok]] ^ lanes[k]).sum(axis=1) <= limit
+        return ok
+
     for s, e in zip(starts[sizes > PAIRWISE].tolist(), (starts + sizes)[sizes > PAIRWISE].tolist(), strict=True):
-        rows = np.arange(s, e)
-        for k in range(s, e - 1):
-            verify(np.full(e - k - 1, k), rows[k - s + 1 :])
+        found += _connected(np.arange(s, e), near)
     return found
 
 
+def _connected(rows: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all rows that are near one another, directly or over others.
+
+    A row is compared with those that nothing has reached yet, so a crowd of
+    copies takes one pass.
+    """
+    links, left = [], rows
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            k = front.pop()
+            hit = near(k, left)
+            got, left = left[hit].tolist(), left[~hit]
+            links += [(g, k) for g in got]
+            front += got
+    return links
+
+
+def _verified(group: np.ndarray, lanes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links among the rows of each group (sorted) within ``limit`` bits over all lanes."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    links = []
+    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(group)].tolist(), strict=True):
+        links += _connected(np.arange(s, e), lambda k, others: np.bitwise_count(lanes[others] ^ lanes[k]).sum(axis=1) <= limit)
+    return links
+
+
+def _by_key(found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """A function for mapInArrow over rows sorted by key: found(rows, keys) gets all rows of a key at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            key = rows["key"].to_numpy()
+            whole = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            rest = rows.slice(whole)
+            if whole > 1:
+                ends = found(rows.slice(0, whole), key[:whole])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
+    return run
+
+
+def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """keyed (key, columns), with keys of more than IN_TASK rows split into blocks of which every pair gets a key of its own."""
+    large = materialise(keyed.groupBy("key").count().where(F.col("count") > IN_TASK))
+    if not large.limit(1).count():
+        return keyed
+    parts = F.ceil(2 * F.col("count") / IN_TASK).cast("int")
+    split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.xxhash64(*columns), parts).cast("int").alias("own"))
+    split = split.select("key", *columns, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return keyed.join(large, "key", "left_anti").union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns))
+
+
 def _stars(node: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The links' connected nodes, each with the smallest of its group.
 
@@ -328,20 +417,22 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
 
     Equal fingerprints are one node. Nodes meet in tables keyed by sampled
     bits; within a key, pairs are discarded by their distances to reference
-    fingerprints and verified over all 128 bits. Keys with more than IN_TASK
-    nodes are split into blocks and every pair of blocks is compared, so no
-    task holds more than two. Empty texts are one group, rows with a null key
-    name no group.
+    fingerprints and compared over 128 bits. The groups that this connects are
+    verified over all lanes and fall apart where texts aren't similar enough.
+    Keys and groups with more than IN_TASK nodes are split into blocks and
+    every pair of blocks is compared, so no task holds more than two. Empty
+    texts are one group, rows with a null key name no group.
     """
     spec = spec or Similar()
 
     def wide(column: pa.Array) -> list[pa.Array]:
-        lanes = np.array([_wide(t, spec.width) for t in strings(column)], np.uint64).reshape(-1, 2)
-        return [pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1]), _node(lanes))]
+        lanes = np.array([_wide(t, spec) for t in strings(column)], np.uint64).reshape(-1, spec.lanes)
+        whole = pa.array([x.astype("<u8").tobytes() for x in lanes], pa.binary())
+        return [*(pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1]), _node(lanes))), whole]
 
-    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long, node long", wide)
-    prints = materialise(prints.select("key", "a", "b", "node"))
-    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), F.min("a").alias("a"), F.min("b").alias("b")))
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long, node long, lanes binary", wide)
+    prints = materialise(prints.select("key", "a", "b", "node", "lanes"))
+    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("lanes").alias("lanes")))
     tables = spec.tables(nodes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,34 +443,20 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
                 code = (bits[:, places].astype(np.int64) << np.arange(len(places))).sum(axis=1) + (n << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["key", "a", "b"])
 
-    keyed = nodes.select("a", "b").mapInArrow(keys, "key long, a long, b long")
-    keyed = materialise(keyed)
-    large = materialise(keyed.groupBy("key").count().where(F.col("count") > IN_TASK))
+    def meet(rows: pa.Table, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lanes = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
+        return _stars(_node(lanes).view(np.int64), _near_rows(key, lanes, spec))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in chain(batches, [None]):
-            rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if rows is None or not rows.num_rows:
-                continue
-            key = rows["key"].to_numpy()
-            whole = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
-            rest = rows.slice(whole)
-            if whole > 1:
-                lanes = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
-                node = _node(lanes).view(np.int64)
-                ends = _stars(node, _near_rows(key[:whole], lanes[:whole], spec))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+    def verify(rows: pa.Table, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lanes = np.frombuffer(b"".join(rows["lanes"].to_pylist()), "<u8").reshape(len(key), -1)
+        return _stars(rows["node"].to_numpy(), _verified(key, lanes, spec.verify_distance))
 
-    met = keyed
-    if large.limit(1).count():
-        met = keyed.join(large, "key", "left_anti")
-        parts = F.ceil(2 * F.col("count") / IN_TASK).cast("int")
-        split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.xxhash64("a", "b"), parts).cast("int").alias("own"))
-        split = split.select("key", "a", "b", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        met = met.union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "a", "b"))
-    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    found = components(edges)
+    keyed = materialise(nodes.select("a", "b").mapInArrow(keys, "key long, a long, b long"))
+    met = _dealt(keyed, ["a", "b"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(meet), "a long, b long")
+    groups = components(met).withColumnRenamed("component", "key")
+    grouped = materialise(groups.join(nodes.select("node", "lanes"), "node").select("key", "node", "lanes"))
+    links = _dealt(grouped, ["node", "lanes"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
+    found = components(links)
     named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(lows, "component").select("node", "component_id")
