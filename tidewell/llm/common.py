@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bounds of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +54,13 @@ def strings(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def by_whole_text(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches kept to BATCH_BYTES: rows of whole texts are large, and a worker holds a batch several times."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", most)
+    return df
+
+
 def append_columns(df: DataFrame, read: list[str], added: str, per_batch) -> DataFrame:
     """df with columns that per_batch makes from Arrow batches.
 
@@ -71,4 +81,4 @@ def append_columns(df: DataFrame, read: list[str], added: str, per_batch) -> Dat
             made = per_batch(*[batch.column(k) for k in range(len(read))])
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return by_whole_text(rest).mapInArrow(run, schema)

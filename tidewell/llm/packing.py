@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewell.llm.common import materialise, table
+from tidewell.llm.common import by_whole_text, materialise, table
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def tokenise(docs: DataFrame, spec: Packing, *, key: str = "doc_id", text: str =
             columns = np.array(made, dtype=np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, columns)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return by_whole_text(rows).mapInArrow(run, schema)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewell.llm.common import materialise, strings, table
+from tidewell.llm.common import by_whole_text, materialise, strings, table
 
 #: Length of the strings, of the grams, and the number of grams in a string.
 LENGTH, GRAM = 50, 16
@@ -278,7 +278,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield made()
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "block long, keys array<bigint>, lengths array<bigint>, body binary")
+    return by_whole_text(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "block long, keys array<bigint>, lengths array<bigint>, body binary")
 
 
 class _Block:
