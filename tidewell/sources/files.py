@@ -133,9 +133,11 @@ def load_all(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], Data
 
 
 def validate_recordings(rows: DataFrame) -> None:
-    """One aggregate over rows (source, timestamp, ts, activity): every time must parse and no activity be negative."""
-    bad = rows.groupBy("source").agg(F.count_if(F.col("timestamp").isNotNull() & F.col("ts").isNull()).alias("times"), F.min("activity").alias("least"))
-    for r in bad.where("times > 0 or least < 0").orderBy("source").limit(1).collect():
+    """One aggregate over rows (source, headed, timestamp, ts, activity): every file has a header, every time parses and no activity is negative."""
+    bad = rows.groupBy("source").agg(F.count_if(~F.col("headed")).alias("lost"), F.count_if(F.col("timestamp").isNotNull() & F.col("ts").isNull()).alias("times"), F.min("activity").alias("least"))
+    for r in bad.where("lost > 0 or times > 0 or least < 0").orderBy("source").limit(1).collect():
+        if r["lost"]:
+            raise SchemaError(f"{r['source']}: no header with the columns {sorted(RECORDING_COLUMNS)}")
         raise SchemaError(f"{r['source']}: {r['times']} times can't be read" if r["times"] else f"{r['source']}: negative activity, {r['least']} the least")
 
 
@@ -143,20 +145,30 @@ def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | No
     """(pid, label, ts, activity) of all recordings under the paths (globs, folders or files).
 
     pid is the file's name without .csv, label its folder's unless given.
+    Files may differ in their further columns and in the order of columns, so
+    each is read by its own header line; without one its values are null.
     Nothing is sorted: order belongs to the operators that need it. Repeated
     times stay.
     """
-    raw = spark.read.csv(paths, header=True, inferSchema=False, pathGlobFilter="*.csv", recursiveFileLookup=True)
-    require_columns(raw.columns, RECORDING_COLUMNS, "recordings")
+    if isinstance(paths, str):
+        paths = [paths]
     path = F.col("_metadata.file_path")
-    part = lambda n: F.regexp_extract(path, r"([^/]+)/([^/]+)\.csv$", n)
-    rows = raw.select(
-        path.alias("source"),
-        F.url_decode(part(2)).alias("pid"),
+    cell = lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', ""))
+    lines = spark.read.text(paths, pathGlobFilter="*.csv", recursiveFileLookup=True).select(path.alias("source"), F.transform(F.split("value", ","), cell).alias("cells")).where("cells <> array('')")
+    is_header = F.forall(F.array(*[F.lit(c) for c in sorted(RECORDING_COLUMNS)]), lambda c: F.array_contains("cells", c))
+    # one row a file: Spark broadcasts the headers of a study and shuffles those of very many files
+    headers = lines.where(is_header).groupBy("source").agg(F.first("cells").alias("header"))
+    rows = lines.where(~is_header).join(headers, "source", "left")
+    value = lambda name: F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int"))
+    part = lambda n: F.url_decode(F.regexp_extract("source", r"([^/]+)/([^/]+)\.csv$", n))
+    rows = rows.select(
+        "source",
+        F.col("header").isNotNull().alias("headed"),
+        part(2).alias("pid"),
         (F.lit(label) if label else part(1)).alias("label"),
-        "timestamp",
-        F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        F.col("activity").try_cast("double").alias("activity"),
+        value("timestamp").alias("timestamp"),
+        F.try_to_timestamp(value("timestamp"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
+        value("activity").try_cast("double").alias("activity"),
     )
     if validate:
         validate_recordings(rows)
