@@ -115,3 +115,41 @@ def test_empty_and_clashing(none, docs):
     clash = docs.select("doc_id", "text", F.lit(1).alias("simhash"), F.lit(2).alias("component_id"), F.lit(3).alias("key"), F.lit(4).alias("a"), F.lit(5).alias("node"))
     assert simhash.near_duplicates(clash).count() == docs.count()
     assert simhash.without_similar(clash).columns == clash.columns
+
+
+def test_similar_documents_are_those_of_brute_force_jaccard(spark):
+    rng = random.Random(11)
+
+    def shingles(text):
+        w = text.split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def jaccard(x, y):
+        return len(x & y) / len(x | y)
+
+    def fresh(n):
+        return ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+
+    texts = ["", "one", "one two", "one two three four five", "one two three four five six"]
+    for size, pairs in ((8, 10), (12, 15), (20, 20), (31, 20), (36, 20), (44, 20), (60, 30), (150, 60), (300, 60)):
+        for k in range(pairs):
+            # a tail of other words: (n - cut) shared of n + cut
+            similarity = (0.78, 0.79, 0.80, 0.81, 0.82)[k % 5]
+            w = fresh(size + 4)
+            cut = max(1, int(size * (1 - similarity) / (1 + similarity)))
+            texts += [" ".join(w), " ".join(w[:-cut] + fresh(cut))]
+            if k % 4 == 0:
+                texts.append(" ".join(w[: -max(1, size // 5)]))  # a subset of 0.8 or so
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(max(0, i - 3), i) if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    near |= {(i, j) for i in range(5) for j in range(i) if sets[i] == sets[j]}
+    assert any(jaccard(sets[i], sets[j]) == 0.8 for i, j in near)
+    assert sum(0.78 <= jaccard(sets[i], sets[i - 1]) < 0.8 for i in range(6, len(sets))) > 40
+    root = groups(len(sets), lambda i, j: (i, j) in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    got = [found[k] for k in range(len(texts))]
+    wrong = [k for k in range(len(texts)) if root[k] != got[k]]
+    assert not [k for k in wrong if root[got[k]] != root[k]]  # none that isn't similar is joined
+    assert not [k for k in wrong if len(sets[k]) <= 32]  # short texts lose none
+    assert len(wrong) <= 0.01 * len(texts)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import append_columns, materialise, strings, table
+from tidewell.llm.common import append_columns, by_whole_text, materialise, strings, table
 from tidewell.llm.graph import components
 
 SEED = 42
@@ -238,43 +238,53 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 class Similar:
     """Parameters of the search for similar texts: Jaccard similarity of the sets of word shingles.
 
-    Candidates come from fingerprints of two lanes of 64 bits. Texts of that
-    similarity agree in a bit with a probability that follows from the angle
-    between their shingle vectors; ``slack`` standard deviations are allowed on
-    top of the expected distance, and as many tables are made as it takes to
-    bring such a pair together in one with probability ``recall``. Groups of
-    candidates are then verified over ``lanes`` lanes, whose distances tell
-    similarities apart to about 0.03, with ``verify_slack`` deviations.
+    SimHash only brings candidates together; links are decided by the sets.
+    Texts of that similarity differ in a bit with probability ``differ``, in one
+    of few shingles with at most ``differ_short`` (four shared, one more in one
+    of them). ``slack`` standard deviations are allowed on top of the expected
+    distance, and as many tables are made as it takes to bring a pair of just
+    that similarity together in one with probability ``recall``. Sets of up to
+    ``short`` shingles meet by their smallest hashes instead, where no pair is lost.
     """
 
     width: int = 5
     similarity: float = 0.8
-    slack: float = 1.5
-    recall: float = 0.99
-    references: int = 8
+    slack: float = 3.5
+    recall: float = 0.995
     lanes: int = 16
-    verify_slack: float = 1.0
+    short: int = 32
 
     @property
-    def agreement(self) -> float:
-        return 1 - math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+    def differ(self) -> float:
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi + 0.004
 
     @property
-    def distance(self) -> int:
-        return self._distance(128, self.slack)
+    def differ_short(self) -> float:
+        return max(self.differ, 0.1875)
 
-    @property
-    def verify_distance(self) -> int:
-        return self._distance(64 * self.lanes, self.verify_slack)
+    def distance(self, bits: int, short: bool) -> int:
+        """Most bits in which candidates differ."""
+        p = self.differ_short if short else self.differ
+        return int(bits * p + self.slack * math.sqrt(bits * p * (1 - p)))
 
-    def _distance(self, bits: int, slack: float) -> int:
-        return int(bits * (1 - self.agreement) + slack * math.sqrt(bits * self.agreement * (1 - self.agreement)))
+    def prefix(self, size: int) -> int:
+        """Of sets of that size as many smallest hashes that similar ones have one in common."""
+        return size - math.ceil(self.similarity * size - 1e-9) + 1 if size else 0
 
     def tables(self, texts: int) -> list[np.ndarray]:
-        """Bit positions of each table; keys grow by a bit as texts double, so a key's chance company doesn't."""
-        bits = min(40, max(8, round(math.log2(max(texts, 1))) - 2))
-        number = math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**bits))
-        return [np.random.default_rng([SEED, n]).permutation(128)[:bits] for n in range(number)]
+        """Bit positions of each table, out of all lanes; keys grow by a bit as texts double, so a key's chance company doesn't.
+
+        The number follows from the spread of the distance of pairs of just that similarity, not from its mean.
+        """
+        bits, all_bits = min(40, max(8, round(math.log2(max(texts, 1))) - 4)), 64 * self.lanes
+        sigma = math.sqrt(self.differ * (1 - self.differ) / all_bits)
+        z = np.linspace(-4, 4, 161)
+        weight = np.exp(-z * z / 2)
+        apart = 1 - (1 - self.differ - sigma * z) ** bits
+        number = 1
+        while (weight * (1 - apart**number)).sum() < self.recall * weight.sum():
+            number += 1
+        return [np.random.default_rng([SEED, n]).permutation(all_bits)[:bits] for n in range(number)]
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -285,51 +295,30 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _wide(text: bytes, spec: Similar) -> np.ndarray:
-    """SimHash lanes of the set of shingles."""
-    hashes = np.unique(shingle_hashes(text, spec.width))
+def _lanes(hashes: np.ndarray, spec: Similar) -> np.ndarray:
+    """SimHash lanes of a set of shingles."""
     return majorities(np.stack([hashes, *[_mixed(hashes, k) for k in range(4, spec.lanes + 3)]]))
 
 
-def _node(lanes: np.ndarray) -> np.ndarray:
-    """One number for a fingerprint."""
-    return _mixed(lanes[:, 0], 2) ^ _mixed(lanes[:, 1], 3)
-
-
 def _near_rows(key: np.ndarray, lanes: np.ndarray, spec: Similar) -> list[tuple[int, int]]:
-    """Links among the rows (sorted by key) that share a key.
-
-    Pairs go through the table of distances to reference fingerprints first
-    and are verified over all bits after it.
-    """
-    n, limit = len(key), spec.distance
-    pivots = np.array([[reference(len(BLOCKS) + lane, k) for k in range(spec.references)] for lane in range(2)], np.uint64)
-    table = sum(np.bitwise_count(lanes[:, lane, None] ^ pivots[lane]).astype(np.int16) for lane in range(2))
+    """Links among the rows (sorted by key) that share a key; negative keys are those of short sets."""
+    n = len(key)
+    limit = np.where(key < 0, spec.distance(128, True), spec.distance(128, False))
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, n])
     size_of = np.repeat(sizes, sizes)
     found: list[tuple[int, int]] = []
 
-    def verify(i: np.ndarray, j: np.ndarray) -> None:
-        ok = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= limit
-        i, j = i[ok], j[ok]
-        ok = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1) <= limit
-        found.extend(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
-
     small = np.flatnonzero(size_of <= PAIRWISE)
     step = 1
     while len(small := small[small + step < n]):
         small = small[key[small] == key[small + step]]
-        verify(small, small + step)
+        ok = np.bitwise_count(lanes[small] ^ lanes[small + step]).sum(axis=1) <= limit[small]
+        found.extend(zip(small[ok].tolist(), (small[ok] + step).tolist(), strict=True))
         step += 1
 
-    def near(k: int, others: np.ndarray) -> np.ndarray:
-        ok = np.abs(table[others] - table[k]).max(axis=1, initial=0) <= limit
-        ok[ok] = np.bitwise_count(lanes[others[ok]] ^ lanes[k]).sum(axis=1) <= limit
-        return ok
-
     for s, e in zip(starts[sizes > PAIRWISE].tolist(), (starts + sizes)[sizes > PAIRWISE].tolist(), strict=True):
-        found += _connected(np.arange(s, e), near)
+        found += _connected(np.arange(s, e), lambda k, others: np.bitwise_count(lanes[others] ^ lanes[k]).sum(axis=1) <= limit[k])
     return found
 
 
@@ -351,12 +340,36 @@ def _connected(rows: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray])
     return links
 
 
-def _verified(group: np.ndarray, lanes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links among the rows of each group (sorted) within ``limit`` bits over all lanes."""
+def _verified(group: np.ndarray, lanes: np.ndarray, sets: list[np.ndarray], spec: Similar) -> list[tuple[int, int]]:
+    """Links among the rows of each group (sorted) whose sets have the similarity; pairs far apart over all lanes are left out first."""
+    limit, share = spec.distance(64 * spec.lanes, True), spec.similarity
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     links = []
     for s, e in zip(starts.tolist(), np.r_[starts[1:], len(group)].tolist(), strict=True):
-        links += _connected(np.arange(s, e), lambda k, others: np.bitwise_count(lanes[others] ^ lanes[k]).sum(axis=1) <= limit)
+        if e - s < 2:
+            continue
+        sizes = np.array([len(x) for x in sets[s:e]], np.int64)
+        first = np.cumsum(sizes) - sizes
+        names, ids = np.unique(np.concatenate(sets[s:e]), return_inverse=True)
+        marked = np.zeros(len(names), bool)
+
+        def near(k: int, others: np.ndarray, s=s, sizes=sizes, first=first, ids=ids, marked=marked) -> np.ndarray:
+            ok = np.bitwise_count(lanes[others] ^ lanes[k]).sum(axis=1) <= limit
+            size = sizes[k - s]
+            ok &= np.minimum(sizes[others - s], size) >= share * np.maximum(sizes[others - s], size) - 1e-9
+            rows = others[ok] - s
+            if not len(rows):
+                return ok
+            own = ids[first[k - s] : first[k - s] + size]
+            marked[own] = True
+            runs = np.cumsum(sizes[rows]) - sizes[rows]
+            at = np.arange(sizes[rows].sum()) + np.repeat(first[rows] - runs, sizes[rows])
+            common = np.add.reduceat(marked[ids[at]], runs, dtype=np.int64)
+            marked[own] = False
+            ok[ok] = common >= share * (sizes[rows] + size - common) - 1e-9
+            return ok
+
+        links += _connected(np.arange(s, e), near)
     return links
 
 
@@ -379,15 +392,18 @@ def _by_key(found: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray
     return run
 
 
-def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """keyed (key, columns), with keys of more than IN_TASK rows split into blocks of which every pair gets a key of its own."""
-    large = materialise(keyed.groupBy("key").count().where(F.col("count") > IN_TASK))
+def _dealt(keyed: DataFrame, columns: list[str], weight=None) -> DataFrame:
+    """keyed (key, columns), with keys of more than IN_TASK rows (or that weight) split into blocks of which every pair gets a key of its own."""
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    large = materialise(keyed.groupBy("key").agg(total.alias("count")).where(F.col("count") > IN_TASK))
     if not large.limit(1).count():
         return keyed
     parts = F.ceil(2 * F.col("count") / IN_TASK).cast("int")
-    split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.xxhash64(*columns), parts).cast("int").alias("own"))
+    split = keyed.join(large, "key").select("*", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"))
     split = split.select("key", *columns, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return keyed.join(large, "key", "left_anti").union(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns))
+    again = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    again = F.when(F.col("key") < 0, again.bitwiseOR(F.lit(-1 << 63))).otherwise(again.bitwiseAND(F.lit((1 << 63) - 1)))
+    return keyed.join(large, "key", "left_anti").union(split.select(again.alias("key"), *columns))
 
 
 def _stars(node: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -415,47 +431,63 @@ def _stars(node: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray,
 def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for each row of docs: connected groups of similar texts, named by their smallest key.
 
-    Equal fingerprints are one node. Nodes meet in tables keyed by sampled
-    bits; within a key, pairs are discarded by their distances to reference
-    fingerprints and compared over 128 bits. The groups that this connects are
-    verified over all lanes and fall apart where texts aren't similar enough.
-    Keys and groups with more than IN_TASK nodes are split into blocks and
-    every pair of blocks is compared, so no task holds more than two. Empty
-    texts are one group, rows with a null key name no group.
+    Equal sets of shingles are one node. Nodes meet in tables keyed by sampled
+    bits, short sets in keys of their smallest hashes; those within the limit
+    over 128 bits are candidates. Within a connected group of candidates the
+    sets themselves are compared, and only texts of the similarity are linked.
+    Keys and groups with more than IN_TASK nodes (sets of 256 shingles) are
+    split into blocks and every pair of blocks is compared, so no task holds
+    more than two. Empty texts are one group, rows with a null key name no group.
     """
     spec = spec or Similar()
 
     def wide(column: pa.Array) -> list[pa.Array]:
-        lanes = np.array([_wide(t, spec) for t in strings(column)], np.uint64).reshape(-1, spec.lanes)
-        whole = pa.array([x.astype("<u8").tobytes() for x in lanes], pa.binary())
-        return [*(pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1]), _node(lanes))), whole]
-
-    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "a long, b long, node long, lanes binary", wide)
-    prints = materialise(prints.select("key", "a", "b", "node", "lanes"))
-    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("lanes").alias("lanes")))
+        sets = [np.unique(shingle_hashes(t, spec.width)) for t in strings(column)]
+        lanes = np.array([_lanes(x, spec) for x in sets], np.uint64).reshape(-1, spec.lanes)
+        node = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
+        longest = spec.short / spec.similarity  # of the sets that are similar to a short one
+        least = [x[: spec.prefix(len(x)) if len(x) <= longest else 0] for x in sets]
+        return [pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x.astype("<u8").tobytes() for x in part], pa.binary()) for part in (lanes, least, sets))]
+
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "node long, size int, lanes binary, least binary, hashes binary", wide)
+    prints = materialise(prints.select("key", "node", "size", "lanes", "least", "hashes"))
+    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), *[F.min(c).alias(c) for c in ("size", "lanes", "least")]))
     tables = spec.tables(nodes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lanes = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
-            bits = np.unpackbits(lanes.astype("<i8").view(np.uint8), axis=1, bitorder="little")
-            for n, places in enumerate(tables):
-                code = (bits[:, places].astype(np.int64) << np.arange(len(places))).sum(axis=1) + (n << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(code), *batch.columns], ["key", "a", "b"])
+            node, size = batch.column("node").to_numpy(), batch.column("size").to_numpy()
+            lanes = np.frombuffer(b"".join(batch.column("lanes").to_pylist()), "<u8").reshape(len(node), -1)
+
+            def made(key: np.ndarray, rows: np.ndarray, node=node, lanes=lanes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node[rows], lanes[rows, 0].view(np.int64), lanes[rows, 1].view(np.int64))], ["key", "node", "a", "b"])
+
+            long = np.flatnonzero(size > spec.short)
+            if len(long):
+                bits = np.unpackbits(np.ascontiguousarray(lanes[long]).view(np.uint8), axis=1, bitorder="little")
+                for n, places in enumerate(tables):
+                    yield made((bits[:, places].astype(np.int64) << np.arange(len(places))).sum(axis=1) + (n << 40), long)
+            least = [np.frombuffer(x, "<u8") for x in batch.column("least").to_pylist()]
+            rows = np.repeat(np.arange(len(node)), [len(x) for x in least])
+            if len(rows):
+                yield made((np.concatenate(least) | np.uint64(1 << 63)).view(np.int64), rows)
 
     def meet(rows: pa.Table, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lanes = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("a", "b")], axis=1)
-        return _stars(_node(lanes).view(np.int64), _near_rows(key, lanes, spec))
+        return _stars(rows["node"].to_numpy(), _near_rows(key, lanes, spec))
 
     def verify(rows: pa.Table, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lanes = np.frombuffer(b"".join(rows["lanes"].to_pylist()), "<u8").reshape(len(key), -1)
-        return _stars(rows["node"].to_numpy(), _verified(key, lanes, spec.verify_distance))
+        sets = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
+        return _stars(rows["node"].to_numpy(), _verified(key, lanes, sets, spec))
 
-    keyed = materialise(nodes.select("a", "b").mapInArrow(keys, "key long, a long, b long"))
-    met = _dealt(keyed, ["a", "b"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(meet), "a long, b long")
+    keyed = nodes.select("node", "size", "lanes", "least").mapInArrow(keys, "key long, node long, a long, b long")
+    met = _dealt(keyed, ["node", "a", "b"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(meet), "a long, b long")
     groups = components(met).withColumnRenamed("component", "key")
-    grouped = materialise(groups.join(nodes.select("node", "lanes"), "node").select("key", "node", "lanes"))
-    links = _dealt(grouped, ["node", "lanes"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
+    held = prints.select("node", "lanes", "hashes").join(groups, "node").groupBy("key", "node").agg(F.min("lanes").alias("lanes"), F.min("hashes").alias("hashes"))
+    grouped = materialise(by_whole_text(held))
+    weight = F.greatest(F.lit(1.0), F.length("hashes") / 2048)
+    links = _dealt(grouped, ["node", "lanes", "hashes"], weight).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
     found = components(links)
     named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
