@@ -435,7 +435,7 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
     bits, short sets in keys of their smallest hashes; those within the limit
     over 128 bits are candidates. Within a connected group of candidates the
     sets themselves are compared, and only texts of the similarity are linked.
-    Keys and groups with more than IN_TASK nodes (sets of 256 shingles) are
+    Keys and groups with more than IN_TASK nodes (texts of 2048 characters) are
     split into blocks and every pair of blocks is compared, so no task holds
     more than two. Empty texts are one group, rows with a null key name no group.
     """
@@ -447,10 +447,10 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
         node = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
         longest = spec.short / spec.similarity  # of the sets that are similar to a short one
         least = [x[: spec.prefix(len(x)) if len(x) <= longest else 0] for x in sets]
-        return [pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x.astype("<u8").tobytes() for x in part], pa.binary()) for part in (lanes, least, sets))]
+        return [pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x.astype("<u8").tobytes() for x in part], pa.binary()) for part in (lanes, least))]
 
-    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "node long, size int, lanes binary, least binary, hashes binary", wide)
-    prints = materialise(prints.select("key", "node", "size", "lanes", "least", "hashes"))
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "node long, size int, lanes binary, least binary", wide)
+    prints = materialise(prints.select("key", "node", "size", "lanes", "least", "text"))
     nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), *[F.min(c).alias(c) for c in ("size", "lanes", "least")]))
     tables = spec.tables(nodes.count())
 
@@ -478,16 +478,17 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
 
     def verify(rows: pa.Table, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lanes = np.frombuffer(b"".join(rows["lanes"].to_pylist()), "<u8").reshape(len(key), -1)
-        sets = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
+        sets = [np.unique(shingle_hashes(t, spec.width)) for t in strings(rows["text"])]
         return _stars(rows["node"].to_numpy(), _verified(key, lanes, sets, spec))
 
     keyed = nodes.select("node", "size", "lanes", "least").mapInArrow(keys, "key long, node long, a long, b long")
     met = _dealt(keyed, ["node", "a", "b"]).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(meet), "a long, b long")
     groups = components(met).withColumnRenamed("component", "key")
-    held = prints.select("node", "lanes", "hashes").join(groups, "node").groupBy("key", "node").agg(F.min("lanes").alias("lanes"), F.min("hashes").alias("hashes"))
-    grouped = materialise(by_whole_text(held))
-    weight = F.greatest(F.lit(1.0), F.length("hashes") / 2048)
-    links = _dealt(grouped, ["node", "lanes", "hashes"], weight).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
+    # texts are carried, not their sets: those of a text take several times its room
+    texts = prints.groupBy("node").agg(F.min("lanes").alias("lanes"), F.min("text").alias("text"))
+    grouped = materialise(by_whole_text(texts.join(groups, "node").select("key", "node", "lanes", "text")))
+    weight = F.greatest(F.lit(1.0), F.length("text") / 2048)
+    links = _dealt(grouped, ["node", "lanes", "text"], weight).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
     found = components(links)
     named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
