@@ -103,3 +103,10 @@ def test_empty_and_clashing(none, docs):
     assert ngram_lm.score(none.withColumn("held_out", F.lit(False))).count() == 0
     clash = docs.limit(10).select("doc_id", "text", F.lit(1).alias("key"), F.lit(2).alias("block"), F.lit(False).alias("held_out"), F.lit(3).alias("score"))
     assert ngram_lm.score(clash).count() == 10
+
+
+def test_query_scores_trigrams(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(str, ngram_lm.op6_language_model(spark, str(tmp_path)).collect()))
+    df = docs.select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
+    assert found == sorted(map(str, ngram_lm.score(df, ngram_lm.Settings(order=3)).collect()))

@@ -38,7 +38,7 @@ END = xxhash.xxh64_intdigest(b"\n")
 class Settings:
     """weights[n-2]: share of the n-gram estimate in the interpolation with the lower order."""
 
-    order: int = 2
+    order: int = 3
     weights: tuple[float, ...] = (0.5, 0.3, 0.3)
     add: float = 0.1
     block_chars: int = 5_000_000
