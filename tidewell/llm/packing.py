@@ -1,11 +1,13 @@
 """Harmonic packing of token ids into fixed-capacity sequences.
 
-A document's ids are cut into whole sequences, then powers of two, then one
-short tail, so every piece length belongs to one reciprocal-capacity class:
-class k holds the lengths whose k copies fit a sequence and k+1 don't. Pieces
-of one length fill bins of exactly k pieces. Workers fill the bins of their
-share of the pieces without talking to each other; all they need is how many
-pieces of each length the shares before theirs hold.
+Lengths are partitioned into reciprocal-capacity classes: class k holds the
+lengths of which k fit a sequence and k+1 don't, those from capacity/(k+1)
+(exclusive) to capacity/k. A class's bins take exactly k pieces each, whatever
+their lengths. To leave little padding, a document's ids are first cut where a
+class ends: into whole sequences, powers of two, and one short tail, whose
+class is narrow. Workers fill the bins of their share of the pieces without
+talking to each other; all they need is how many pieces of each class the
+shares before theirs hold.
 """
 
 from __future__ import annotations
@@ -42,11 +44,12 @@ class Packing:
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer file.
+    """Ids of a byte-level BPE tokenizer file, as the tokenizers library gives them.
 
-    The file's vocabulary is run by tiktoken, whose ids are the same and which
-    is several times as fast; a text that its pattern engine gives up on goes
-    to the tokenizers library.
+    The file's vocabulary is run by tiktoken, which is several times as fast.
+    A text that holds one of the file's added tokens, or that tiktoken's
+    pattern engine gives up on, goes to the tokenizers library, which gives an
+    added token its own id.
     """
 
     def __init__(self, path: str | None):
@@ -56,25 +59,26 @@ class Encoder:
         self.path = path or public_tokenizers.path("byte_bpe_50k.json")
         with open(self.path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*visible}))}
-        ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in self.added}
         self._fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = None
 
     def __call__(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return self.by_library(text)
         try:
             return np.asarray(self._fast.encode_ordinary(text), dtype="<u4")
         except ValueError:
-            return self.reference(text)
+            return self.by_library(text)
 
-    def reference(self, text: str) -> np.ndarray:
+    def by_library(self, text: str) -> np.ndarray:
         if self._slow is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -120,22 +124,24 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces (doc_id, start, length, ...) with sequence_id and offset.
 
     Pieces are dealt by hash into about sqrt(n) shares. In each share they are
-    ranked by length; counts of the shares before give their rank among all
-    pieces of that length, hence bin and slot. Each length's last, incomplete
-    bin (fewer than capacity/length pieces, so a number of rows that only
-    depends on the capacity) goes to a next-fit by falling length.
+    ranked within their class k; counts of the shares before give their rank
+    among all pieces of the class, hence their bin of k. Each class's last,
+    incomplete bin (fewer than k pieces, so at most some capacity * log(capacity)
+    rows altogether, whatever the size of the table) goes to a next-fit by
+    falling length.
     """
     shares = max(1, math.isqrt(pieces.count()))
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)))
-    before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("length")).alias("total"))
-    within = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "share"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("rank")).withColumn("k", F.expr(f"{capacity} div length"))
+    dealt = pieces.withColumns({"share": F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)), "k": F.expr(f"{capacity} div length")})
+    before = Window.partitionBy("k").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("k", "share").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("k", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("k")).alias("total"))
+    within = Window.partitionBy("k", "share").orderBy("doc_id", "start", "ids_crc32")
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["k", "share"])
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("rank"))
     ranked = ranked.withColumn("whole", F.expr("rank < total - total % k"))
-    keep = [*pieces.columns, "sequence_id", "offset"]
-    full = ranked.where("whole").selectExpr("*", f"(rank div k) * {2 * capacity} + length as sequence_id", "(rank % k) * length as offset").select(keep)
+    in_bin = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    full = ranked.where("whole").withColumn("sequence_id", F.expr(f"(rank div k) * {2 * capacity} + k"))
+    full = full.withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
 
     rest = ranked.where("not whole").select(*pieces.columns, F.lit(0).alias("one"))
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
