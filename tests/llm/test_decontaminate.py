@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -43,7 +44,7 @@ def edited(rng, text, n):
 def planted(spark):
     rng = random.Random(11)
     items = [(k, prose(rng, "en", rng.randint(12, 30))) for k in range(25)]
-    items += [(100, None), (101, ""), (102, "short one"), (3, items[3][1])]
+    items += [(100, None), (101, ""), (102, "short one"), (103, "no"), (104, "?!"), (None, "a null id"), (3, items[3][1])]
     rows = []
     for k in range(60):
         text = prose(rng, "en", 60)
@@ -51,17 +52,21 @@ def planted(spark):
             item = items[k % 25][1]
             text = text + "\n" + edited(rng, item, k % 12).upper() + "  \n" + prose(rng, "en", 10)
         rows.append((k, text))
-    rows += [(60, None), (61, ""), (62, items[0][1]), (62, items[0][1]), (None, items[1][1]), (63, " ".join(t for _, t in items[:20]) * 3)]
+    rows += [(60, None), (61, ""), (62, items[0][1]), (62, items[0][1]), (None, items[1][1]), (63, " ".join(t for _, t in items[:20]) * 3), (64, "A Short one, nothing"), (65, "say no: ?!"), (66, "not a short onex"), (67, "A null  ID")]
     return rows, items
 
 
 def wanted(rows, items, spec):
     out = set()
-    known = {(i, d.normal(t)) for i, t in items if t is not None and len(d.normal(t)) >= spec.min_chars}
+    known = {(i, d.normal(t)) for i, t in items if d.normal(t)}
     for key, text in rows:
         doc = d.normal(text)
         for i, item in known:
-            if doc and (n := distance(item, doc)) <= int(spec.error_rate * len(item)):
+            if len(item) < spec.exact_below:
+                left, right = (r"(?<![^\W_])" if item[0].isalnum() else ""), (r"(?![^\W_])" if item[-1].isalnum() else "")
+                if re.search(left + re.escape(item) + right, doc):
+                    out.add((str(key), i, 0))
+            elif doc and (n := distance(item, doc)) <= int(spec.error_rate * len(item)):
                 out.add((str(key), i, n))
     return out
 
@@ -83,6 +88,13 @@ def test_decontaminate_keeps_the_rest(spark, planted):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k, _ in rows if str(k) not in bad)
 
 
+@pytest.mark.parametrize(("kind", "name"), [("string", "x7"), ("long", 7)])
+def test_item_ids_keep_their_type(spark, kind, name):
+    items = spark.createDataFrame([(name, "one thing to find"), (None, "another thing")], f"item_id {kind}, text string")
+    found = d.leaks(spark.createDataFrame([(1, "one thing to find"), (2, "another thing")], "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, name), (2, None)}
+
+
 def test_empty_tables(spark, none, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(docs, items).count() == 0 and d.decontaminate(docs, items).count() == docs.count()

@@ -10,10 +10,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bounds of an Arrow batch of texts.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
 
@@ -38,10 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it again: lineage ends, and a lost executor loses nothing.
+
+    Spark may then drop the shuffles that led there, and is told so for this one write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._tw_path = path
     return made
@@ -73,16 +87,14 @@ def by_whole_text(df: DataFrame) -> DataFrame:
     return df
 
 
-def append_columns(df: DataFrame, read: list[str], added: str, per_batch) -> DataFrame:
+def append_columns(df: DataFrame, read: list[str], added: str | StructType, per_batch) -> DataFrame:
     """df with columns that per_batch makes from Arrow batches.
 
     per_batch(task state is built lazily inside) maps the ``read`` columns of a
-    batch to a list of arrays, one for each column of the DDL string ``added``.
-    Columns of df with the same names are replaced.
+    batch to a list of arrays, one for each column of ``added`` (a DDL string or
+    a schema). Columns of df with the same names are replaced.
     """
-    from pyspark.sql.types import StructType
-
-    new = StructType.fromDDL(added)
+    new = StructType.fromDDL(added) if isinstance(added, str) else added
     rest = df.select(*read, *[c for c in df.columns if c not in read]).drop(*new.names)
     if missing := [c for c in read if c not in rest.columns]:
         raise ValueError(f"columns {missing} are both read and added")

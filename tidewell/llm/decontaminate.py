@@ -15,20 +15,24 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tidewell.llm.common import append_columns, table
 
 
 @dataclass(frozen=True)
 class Matching:
-    """error_rate: edits allowed per character of an item. Items shorter than min_chars say nothing about a leak.
+    """error_rate: edits allowed per character of an item.
 
+    Items shorter than ``exact_below`` characters are looked for without edits
+    and between word boundaries, so that "no" isn't found in "nothing".
     block_chars bounds the text of the items that are sent to the executors at
     once; more items make more passes over the documents.
     """
 
     error_rate: float = 0.06
-    min_chars: int = 32
+    exact_below: int = 32
     block_chars: int = 4_000_000
 
 
@@ -72,9 +76,10 @@ class Matcher:
     """Piece automaton of a block of (item id, normalised text)."""
 
     def __init__(self, items: list[tuple], spec: Matching):
-        self.items = [(i, t, int(spec.error_rate * len(t))) for i, t in items if len(t) >= spec.min_chars]
+        self.items = [(i, t, int(spec.error_rate * len(t)), len(t) < spec.exact_below) for i, t in items if t]
+        self.items = [(i, t, 0 if exact else edits, exact) for i, t, edits, exact in self.items]
         hits: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, edits) in enumerate(self.items):
+        for n, (_, text, edits, _) in enumerate(self.items):
             for start, piece in pieces(text, edits):
                 hits.setdefault(piece, []).append((n, start))
         self.automaton = ahocorasick.Automaton()
@@ -84,7 +89,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple]:
-        """(item id, distance, end) of each item found in text; its nearest occurrence, the earliest among equals."""
+        """(item's number, distance, end) of each item found in text; its nearest occurrence, the earliest among equals."""
         doc = normal(text)
         if not doc or not self.items:
             return []
@@ -94,13 +99,18 @@ class Matcher:
                 starts.setdefault(n, []).append(end + 1 - size - start)
         found = []
         for n, at in starts.items():
-            name, item, edits = self.items[n]
+            _, item, edits, exact = self.items[n]
             best = None
+            if exact:
+                ends = [a + len(item) for a in at if not (doc[a - 1 : a].isalnum() and item[0].isalnum()) and not (doc[a + len(item) : a + len(item) + 1].isalnum() and item[-1].isalnum())]
+                if ends:
+                    found.append((n, 0, min(ends)))
+                continue
             for first, last in self._stretches(sorted(set(at)), len(item), edits):
                 low = max(0, first)
                 distance, end = myers(item, doc[low:last])
                 if distance <= edits and (best is None or distance < best[1]):
-                    best = (name, distance, low + end)
+                    best = (n, distance, low + end)
             if best:
                 found.append(best)
         return found
@@ -131,13 +141,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Matching | None = None, *
     """(key, item, distance, end_char) for every item found in a document; each row of docs is searched whole.
 
     end_char counts in the lower-cased document with single spaces. Null and
-    blank texts contain nothing, and null or short items are looked for
-    nowhere. Repeated items count once. Documents are searched where they are
-    read; nothing is shuffled.
+    blank texts contain nothing, and null or blank items are looked for
+    nowhere. An item with a null id is found under that null id. Repeated
+    items (id and text) count once. Documents are searched where they are read;
+    nothing is shuffled.
     """
     spec = spec or Matching()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = benchmark.schema[item].dataType
+    kind = StructType([StructField("item", benchmark.schema[item].dataType), StructField("distance", LongType()), StructField("end_char", LongType())])
+    arrow = pa.list_(to_arrow_type(kind))
     found = None
     for items in _blocks(benchmark, spec, item, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -145,11 +157,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Matching | None = None, *
         def run(column: pa.Array, sent=sent, state=[]) -> list[pa.Array]:  # noqa: B006
             if not state:
                 state.append(Matcher(sent.value, spec))
-            got = [[{"item": str(i), "distance": d, "end_char": e} for i, d, e in state[0].find(t.as_py())] for t in column]
-            return [pa.array(got, pa.list_(pa.struct([("item", pa.string()), ("distance", pa.int64()), ("end_char", pa.int64())])))]
+            got = [[{"item": state[0].items[n][0], "distance": d, "end_char": e} for n, d, e in state[0].find(t.as_py())] for t in column]
+            return [pa.array(got, arrow)]
 
-        hits = append_columns(rows, ["_text"], "hits array<struct<item:string,distance:bigint,end_char:bigint>>", run)
-        hits = hits.select("_key", F.explode("hits").alias("h")).select(F.col("_key").alias(key), F.col("h.item").cast(kind).alias(item), "h.distance", "h.end_char")
+        hits = append_columns(rows, ["_text"], StructType([StructField("hits", ArrayType(kind))]), run)
+        hits = hits.select("_key", F.explode("hits").alias("h")).select(F.col("_key").alias(key), F.col("h.item").alias(item), "h.distance", "h.end_char")
         found = hits if found is None else found.unionByName(hits)
     return found
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialise
+from tidewell.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         taken = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         jumped = materialise(taken.join(up, "component").select("node", F.least("component", "up").alias("component"), "was"))
-        labels, changed = jumped.select("node", "component"), jumped.where("component <> was").limit(1).count()
+        changed = jumped.where("component <> was").limit(1).count()
+        discard(labels)
+        labels = jumped
         if not changed:
-            return labels
+            discard(pairs, both)
+            return labels.select("node", "component")
