@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidewell.llm import line_dedup, url_filter
 
 
-def brute(pages, ratio, least):
+def brute(pages, ratio, least, once):
     """Kept lines of rows (id, host, lines)."""
     content = {}
     for _, host, lines in pages:
-        content.setdefault(host or "", set()).add(tuple(lines or ()))
+        content.setdefault(host or "", []).append(tuple(lines or ()))
+    if once:
+        content = {host: set(of) for host, of in content.items()}
     kept = []
     for k, host, lines in pages:
         of = content[host or ""]
@@ -29,12 +31,12 @@ def pages():
     return rows
 
 
-@pytest.mark.parametrize(("ratio", "least"), [(0.1, 5), (0.6, 5), (0.1, 2)])
-def test_lines_against_brute_force(spark, ratio, least):
+@pytest.mark.parametrize(("ratio", "least", "once"), [(0.1, 1, False), (0.6, 2, False), (0.07, 2, False), (0.1, 5, True), (0.07, 2, True)])
+def test_lines_against_brute_force(spark, ratio, least, once):
     rows = pages()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, host string, lines array<string>, kept_lines string")
-    found = line_dedup.line_dedup(df, F.col("host"), "lines", ratio=ratio, min_pages=least)
-    assert sorted(((r["page_id"], list(r["kept_lines"])) for r in found.collect()), key=str) == brute(rows, ratio, least)
+    found = line_dedup.line_dedup(df, F.col("host"), "lines", ratio=ratio, min_pages=least, copies_once=once)
+    assert sorted(((r["page_id"], list(r["kept_lines"])) for r in found.collect()), key=str) == brute(rows, ratio, least, once)
 
 
 def test_documents_keep_their_columns_and_rows(spark, docs, none):
@@ -42,8 +44,21 @@ def test_documents_keep_their_columns_and_rows(spark, docs, none):
     assert found.columns == docs.columns and found.count() == docs.count()
     assert found.where("text is null").count() == docs.where("text is null").count()
     assert line_dedup.documents_without_boilerplate(none).count() == 0
-    shared = spark.createDataFrame([(k, f"Cookie notice\nbody {k}", "en", "s", 20) for k in range(8)], docs.schema)
-    assert {r["text"] for r in line_dedup.documents_without_boilerplate(shared).collect()} == {f"body {k}" for k in range(8)}
+    shared = spark.createDataFrame([(k, f"Cookie notice\nbody {k}", "en", "s", 20) for k in range(20)], docs.schema)
+    assert {r["text"] for r in line_dedup.documents_without_boilerplate(shared).collect()} == {f"body {k}" for k in range(20)}
+
+
+def test_documents_own_columns_stay(spark, docs):
+    mine = docs.select("*", F.lit(111).alias("n_lines"), F.lit(2.5).alias("n_dropped"), F.lit("k").alias("kept_lines"), F.lit(7).alias("line"))
+    found = line_dedup.documents_without_boilerplate(mine)
+    assert found.dtypes == mine.dtypes
+    assert found.where("n_lines = 111 and n_dropped = 2.5 and kept_lines = 'k' and line = 7").count() == docs.count()
+
+
+def test_copies_of_a_document_keep_their_text(spark, docs):
+    rows = [(k, "the very same\ntext in all", "en", "s", 20) for k in range(30)] + [(100 + k, f"another {k}", "en", "s", 20) for k in range(40)]
+    found = line_dedup.documents_without_boilerplate(spark.createDataFrame(rows, docs.schema)).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {k: t for k, t, *_ in rows}
 
 
 def test_visible_lines(spark):

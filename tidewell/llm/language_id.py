@@ -37,27 +37,30 @@ def letters_only(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text).strip().lower()
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 120, sample_chars: int = 2000, dictionary_bytes: int = 65536, **settings) -> CompressionModel:
-    """Dictionaries from about ``sample_docs`` labelled rows of each language.
-
-    Rows are picked by a hash of ``key`` against count-based thresholds, so the
-    sample is spread over the table and its size doesn't grow with it; of each
-    picked row at most ``sample_chars`` characters are taken. Rows with a null
-    text or label are no training rows; without any, the model knows no language
-    and rejects every text as ``und``.
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 40, max_languages: int = 1000, **settings) -> CompressionModel:
+    """Dictionaries from about ``sample_docs`` distinct labelled texts of each language, whole ones.
+
+    Texts are picked by their hash against thresholds from the (approximate)
+    number of a language's distinct texts, so the sample is spread over the
+    table, its number of texts doesn't grow with it, and a text that fills a
+    third of the rows counts once. Rows with a null text or label are no
+    training rows; without any, the model knows no language and rejects every
+    text as ``und``. More than ``max_languages`` labels are an error.
     """
-    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}
+    labelled = docs.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit("sample")).alias("h")).where("l is not null and t is not null")
+    counts = {r["l"]: r for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).limit(max_languages + 1).collect()}
     if not counts:
         return CompressionModel((), **settings)
-    ranks = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, sample_docs / n) * (1 << 30)))])
-    picked = labelled.where(F.col("t").isNotNull() & (ranks < share[F.col("l")])).select("l", F.substring("t", 1, sample_chars).alias("t"), ranks.alias("r"), F.col("k").cast("string").alias("k")).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    ranks = F.pmod("h", F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for name, r in counts.items() for x in (name, int(min(1.0, sample_docs / max(1, r["texts"])) * (1 << 30)))])
+    picked = labelled.where(ranks < share[F.col("l")]).distinct().collect()
     by: dict[str, list] = {}
-    for row in sorted(picked, key=lambda r: (r["r"], r["k"] or "", r["t"])):
+    for row in sorted(picked, key=lambda r: (r["h"], r["t"])):
         by.setdefault(row["l"], []).append(letters_only(row["t"]))
-    order = sorted(by, key=lambda name: (-counts[name], name))
-    return CompressionModel(tuple((name, " ".join(by[name]).encode()[:dictionary_bytes]) for name in order), **settings)
+    order = sorted(by, key=lambda name: (-counts[name]["n"], name))
+    return CompressionModel(tuple((name, " ".join(by[name]).encode()) for name in order), **settings)
 
 
 class _Classifier:
@@ -86,26 +89,33 @@ class _Classifier:
         return self.compressors[best][0], score, margin
 
 
-def language_id(docs: DataFrame, model: CompressionModel, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1), margin and rejected; rows are classified one by one.
-
-    A null text, or one without letters, is ``und`` with score 0 and rejected.
-    Columns of docs with those four names are replaced.
-    """
+def _predictions(model: CompressionModel):
     state: list[_Classifier] = []
 
     def per_batch(column: pa.Array) -> list[pa.Array]:
         if not state:
             state.append(_Classifier(model))
         found = [state[0].predict(t.as_py()) for t in column]
-        return [
-            pa.array([x[0] for x in found], pa.string()),
-            pa.array([x[1] for x in found], pa.float64()),
-            pa.array([x[2] for x in found], pa.float64()),
-            pa.array([x[0] == "und" or x[2] < model.min_margin for x in found], pa.bool_()),
-        ]
-
-    return append_columns(docs, [text], "lang_pred string, score double, margin double, rejected boolean", per_batch)
+        rejected = [x[0] == "und" or x[2] < model.min_margin for x in found]
+        return [pa.array(x, kind) for x, kind in zip([*zip(*found, strict=True), rejected] if found else [[]] * 4, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
+
+    return per_batch
+
+
+def language_id(docs: DataFrame, model: CompressionModel, *, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score (0 to 1), margin and rejected; rows are classified one by one.
+
+    A null text, or one without letters, is ``und`` with score 0 and rejected.
+    Of languages that do equally well the more frequent one is taken, and the
+    text is rejected. Columns of docs with those four names are replaced.
+    """
+    return append_columns(docs, [text], "lang_pred string, score double, margin double, rejected boolean", _predictions(model))
+
+
+def of_known_language(docs: DataFrame, model: CompressionModel, *, text: str = "text") -> DataFrame:
+    """The rows of docs that language_id doesn't reject, with docs' own columns as they are."""
+    predict = _predictions(model)
+    return append_columns(docs, [text], "_tw_rejected boolean", lambda column: predict(column)[3:]).where("not _tw_rejected").select(docs.columns)
 
 
 def held_out(key: str, modulus: int):

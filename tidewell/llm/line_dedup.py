@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialise, table
 
-#: Share of a host's pages above which a line is boilerplate, and the number of pages it takes at least.
-RATIO, MIN_PAGES = 0.1, 5
+#: Share of a host's pages above which a line is boilerplate. A line on a single page is none, whatever its share.
+RATIO, MIN_PAGES = 0.07, 2
 
 #: Steps from markup to lines: (pattern, replacement).
 MARKUP = (
@@ -43,16 +43,17 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
 
 
-def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """pages with kept_lines, n_lines and n_dropped in place of the array column named ``lines``.
 
     Columns of pages with those names are replaced.
-    A line is dropped from all pages of a host if it is on at least
-    ``min_pages`` of them and on more than ``ratio`` of them. Pages of a host
-    with the same lines count once, so copies of a page don't make its text
-    boilerplate. Blank lines are neither counted nor dropped. A null host is a
-    host of its own, the empty one; a null array of lines has no lines. Every
-    row of pages is returned, repeated rows too.
+    A line is dropped from all pages of a host if it is on more than ``ratio``
+    of them, and on at least ``min_pages``. Every row is a page; with
+    ``copies_once`` the pages of a host with the same lines count as one, so
+    that the text of a page with very many copies isn't boilerplate. Blank
+    lines are neither counted nor dropped. A null host is a host of its own,
+    the empty one; a null array of lines has no lines. Every row of pages is
+    returned, repeated rows too.
 
     Lines are counted by hash after a map-side combine. The joins are on
     (host, line) and on (host, page content), and Spark may split any hot key.
@@ -67,8 +68,13 @@ def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RAT
 
     at = base.select(*page, F.posexplode("_tw_lines").alias("pos", "text")).where(F.trim("text") != "")
     at = materialise(at.select(*page, "pos", F.xxhash64("text").alias("line"), F.hash("text").alias("line2")).distinct())
-    counts = at.select(*page, *line).distinct().groupBy("_tw_host", *line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = base.select(*page).distinct().groupBy("_tw_host").agg(F.count(F.lit(1)).alias("total"))
+    if copies_once:
+        each, of = base.select(*page).distinct(), at.select(*page, *line).distinct()
+    else:
+        hashes = F.transform(F.filter("_tw_lines", lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.hash(x).alias("line2")))
+        each, of = base, base.select("_tw_host", F.inline(F.array_distinct(hashes)))
+    counts = of.groupBy("_tw_host", *line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    totals = each.groupBy("_tw_host").agg(F.count(F.lit(1)).alias("total"))
     boilerplate = materialise(counts.join(totals, "_tw_host").where(F.col("n") > ratio * F.col("total")).select("_tw_host", *line))
 
     dropped = at.join(boilerplate, ["_tw_host", *line]).groupBy(*page).agg(F.collect_set("pos").alias("_tw_dropped"))
@@ -83,19 +89,20 @@ def line_dedup(pages: DataFrame, host: Column, lines: str, *, ratio: float = RAT
     )
 
 
-def documents_without_boilerplate(docs: DataFrame) -> DataFrame:
+def documents_without_boilerplate(docs: DataFrame, *, ratio: float = RATIO) -> DataFrame:
     """docs (text, source, n_chars, ...) without the lines that are boilerplate within their source.
 
     Rows all stay, in the columns of docs; texts without a dropped line, null
-    ones too, are unchanged.
+    ones too, are unchanged. Copies of a document count once: which of them
+    stays is for near-dedup to say, not for the share of their lines.
     """
-    blank = F.col("text").isNull().alias("_tw_null")
-    cut = docs.select(*[c for c in docs.columns if c != "text"], blank, text_lines(F.col("text")).alias("_tw_text"))
-    found = line_dedup(cut, F.col("source"), "_tw_text")
-    found = found.withColumn("text", F.when(~F.col("_tw_null"), F.array_join("kept_lines", "\n")))
+    mine = {c: f"_tw_own_{c}" for c in ("n_lines", "n_dropped", "kept_lines") if c in docs.columns}
+    cut = docs.withColumnsRenamed(mine).withColumns({"_tw_null": F.col("text").isNull(), "_tw_text": text_lines(F.col("text"))}).drop("text")
+    found = line_dedup(cut, F.col("source"), "_tw_text", ratio=ratio, copies_once=True)
+    made = {"text": F.when(~F.col("_tw_null"), F.array_join("kept_lines", "\n"))}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(docs.columns)
+        made["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length(F.array_join("kept_lines", "\n")).cast("long"))
+    return found.select(*[made.get(c, F.col(mine.get(c, c))).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +129,10 @@ WITH base AS (
   SELECT page_id, coalesce(regexp_extract(lower(url), {_quoted(HOST)}, 1), '') AS host,
          list_filter(string_split({_html_sql()}, chr(10)), lambda x: trim(x) <> '') AS lines
   FROM pages),
-content AS (SELECT DISTINCT host, lines FROM base),
-totals AS (SELECT host, count(*) AS total FROM content GROUP BY host),
+totals AS (SELECT host, count(*) AS total FROM base GROUP BY host),
 counts AS (
   SELECT host, line, count(*) AS n
-  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM content) GROUP BY host, line),
+  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM base) GROUP BY host, line),
 boilerplate AS (
   SELECT c.host, c.line FROM counts c JOIN totals t ON c.host = t.host
   WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.total),
