@@ -1,6 +1,7 @@
 import collections
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import quality
@@ -62,13 +63,44 @@ def test_expectation_maximisation_finds_planted_rates():
     for _ in range(20000):
         yes = rng.random() < 0.7
         counts[tuple(0 if rng.random() < 0.2 else YES if rng.random() < (a if yes else b) else NO for a, b in truth)] += 1
-    model = fit_votes(dict(counts), (Rates(0.6, 0.3, 0.2, 0.5),) * 4, trust=0.0)
+    model = fit_votes(dict(counts), (Rates(0.6, 0.3, 0.2, 0.5),) * 4)
     assert abs(model.prior - 0.7) < 0.05
     for r, (a, b) in zip(model.rates, truth, strict=True):
         assert abs(r.yes_if_yes - 0.8 * a) < 0.05 and abs(r.yes_if_no - 0.8 * b) < 0.08
     assert fit_votes({}, (Rates(0.6, 0.3, 0.2, 0.5),)).prior == 0.5
 
 
+def test_verdict_is_that_of_plain_expectation_maximisation(docs, corpus):
+    """The same model, fitted here row by row with plain probabilities."""
+    rows = quality.statistics(docs).select("doc_id", *[v.alias(r.name) for v, r in zip(quality.votes(), quality.RULES, strict=True)]).collect()
+    votes = [tuple(r)[1:] for r in rows]
+    guess = [(s.yes_if_yes, s.yes_if_no, s.no_if_yes, s.no_if_no) for s in quality.START]
+    prior, rates = 0.9, guess
+    for _ in range(1500):
+        good = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for x, (yy, yn, ny, nn) in zip(v, rates, strict=True):
+                a, b = (a * yy, b * yn) if x == 1 else (a * ny, b * nn) if x == -1 else (a, b)
+            good.append(a / (a + b))
+        n, yes = len(votes), sum(good)
+        prior = (yes + 20 * 0.9) / (n + 20)
+        rates = []
+        for k, g in enumerate(guess):
+            count = lambda vote, of, k=k: sum(w for w, v in zip(of, votes, strict=True) if v[k] == vote)
+            bad = [1 - w for w in good]
+            rates.append(tuple((c + 20 * s) / (t + 20) for c, s, t in ((count(1, good), g[0], yes), (count(1, bad), g[1], n - yes), (count(-1, good), g[2], yes), (count(-1, bad), g[3], n - yes))))
+    found = {}
+    for r in quality.quality_filter(docs).collect():
+        found.setdefault(str(r["doc_id"]), []).append((round(r["quality"], 4), r["kept"] or r["base_failed"]))
+    want = {}
+    for r, g in zip(rows, good, strict=True):
+        want.setdefault(str(r["doc_id"]), []).append(g)
+    for key, values in want.items():
+        assert sorted(q for q, _ in found[key]) == pytest.approx(sorted(values), abs=2e-3)
+    assert all(kept == (q >= 0.5) for of in found.values() for q, kept in of if not kept)
+
+
 def test_logistic_learns_a_rule():
     rows = [((float(a), float(b)), 1.0 if a else 0.0, 100.0) for a in (0, 1) for b in (0, 1)]
     w = fit_logistic(rows, rounds=300)

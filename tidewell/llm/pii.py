@@ -1,10 +1,10 @@
 """Personal data by weak supervision.
 
 Strict patterns give the base spans. Loose patterns propose more candidates;
-labelers (pattern, shape, gazetteer, context, boundary) vote on base spans and
-candidates, expectation-maximisation over the counts of vote patterns estimates
-their reliabilities, and a logistic span classifier trained on the posteriors
-decides which candidates join the base spans.
+labelers (regex, gazetteer, context, boundary) vote on base spans and
+candidates alike, expectation-maximisation over the counts of vote patterns
+estimates their reliabilities, and a logistic span classifier trained on the
+posteriors decides which candidates join the base spans.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[\[(]at[\])]|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63}+){1,6}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?\[?\.\]?\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{4}){2,3}[0-9]{0,3}(?![0-9])",
-    "phone": r"(?<![0-9])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-][0-9]{2,5}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:00[1-9][0-9]{0,2}[\x20.-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-][0-9]{2,8}){1,3}|(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-][0-9]{2,5}){2,4})(?![0-9])",
 }
 #: Texts without it have no match of the kind's loose pattern.
 HINT = {"email": r"@|(?i)[\[(]at[\])]", "ip": r"[0-9]\x20?\[?\.", "card": r"[0-9]{4}", "phone": r"[0-9][0-9)][\x20./-]"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Gazetteers and cue words of the labelers.
-TOP_LEVEL = "com|org|net|edu|gov|info|io|biz|eu|uk|us|de|fr|es|it|nl|ch|at|be|ca|au|jp|in|br|mx"
+TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|io|biz|name|app|dev|co|me|tv|eu|uk|ie|us|ca|mx|br|ar|cl|de|at|ch|fr|be|lu|nl|es|pt|it|gr|pl|cz|sk|hu|ro|bg|hr|si|rs|ua|ru|tr|se|no|dk|fi|is|ee|lv|lt|il|sa|ae|za|ng|ke|eg|in|pk|cn|hk|tw|jp|kr|sg|my|th|vn|id|ph|au|nz|example"
 ISSUER = "4|5[1-5]|2[2-7]|3[0456789]|6011|6[245]"
 CUES = {
     "email": "e-?mail|mail|mailto|contact|correo|courriel|kontakt|write to",
@@ -47,9 +47,9 @@ CUES = {
 }
 OTHER_CUES = "isbn|issn|doi|version|order|invoice|serial|model|part no|section|§|hash|id|sku|page|figure"
 
-#: Labelers in the order of their votes.
-LABELERS = ("pattern", "shape", "gazetteer", "context", "boundary")
-START = (Rates(0.8, 0.02, 0.01, 0.2), Rates(0.9, 0.3, 0.02, 0.5), Rates(0.7, 0.2, 0.1, 0.4), Rates(0.3, 0.03, 0.01, 0.2), Rates(0.5, 0.5, 0.02, 0.3))
+#: Labelers in the order of their votes, and first guesses of their rates.
+LABELERS = ("regex", "gazetteer", "context", "boundary")
+START = (Rates(0.9, 0.3, 0.03, 0.6), Rates(0.7, 0.3, 0.1, 0.4), Rates(0.4, 0.05, 0.02, 0.25), Rates(0.9, 0.6, 0.03, 0.4))
 
 _SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 _CHUNK = 256
@@ -122,12 +122,12 @@ def _passing(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda x: passes(kind, x["match"]))
 
 
-def _votes(kind: str, x: Column, base: bool) -> list[Column]:
+def _votes(kind: str, x: Column) -> list[Column]:
     """The labelers' votes on a span, as 1, 0 or -1."""
     match, before, after = x["match"], x["before"], x["after"]
     digits = _digits(match)
     vote = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
-    shape = {
+    regex = {
         "email": lambda: vote(match.rlike(r"[A-Za-z]{2,}$"), match.rlike(r"[0-9]$")),
         "ip": lambda: vote(F.regexp_replace(match, r"[^0-9.]+", "").rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), F.lit(True)),
         "card": lambda: vote(F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False)), F.lit(True)),
@@ -140,25 +140,55 @@ def _votes(kind: str, x: Column, base: bool) -> list[Column]:
         "phone": lambda: vote(match.rlike(r"^(?:\+|00|\()"), digits.rlike(r"^([0-9])\1+$")),
     }[kind]()
     context = vote(before.rlike(rf"(?i)\b(?:{CUES[kind]})\b[^.!?]*$"), before.rlike(rf"(?i)(?:\b(?:{OTHER_CUES})\b|[#=])[^.!?]{{0,12}}$"))
-    boundary = vote(F.lit(False), before.rlike(r"[\p{L}0-9]$") | after.rlike(r"^[\p{L}0-9]"))
-    return [F.lit(1 if base else 0), shape, gazetteer, context, boundary]
+    inside = before.rlike(r"[\p{L}0-9@_=/-]$") | after.rlike(r"^[\p{L}0-9@_=/-]")
+    return [regex, gazetteer, context, vote(~inside, inside)]
 
 
 def _coded(kind: str, spans: Column, base: bool) -> Column:
     """Spans as (start, kind, end, code, base); the code holds the votes and the number of digits in four steps."""
 
     def one(x: Column) -> Column:
-        votes = F.concat(*[F.when(v == 1, F.lit("y")).when(v == -1, F.lit("n")).otherwise(F.lit("-")) for v in _votes(kind, x, base)])
+        votes = F.concat(*[F.when(v == 1, F.lit("y")).when(v == -1, F.lit("n")).otherwise(F.lit("-")) for v in _votes(kind, x)])
         size = F.least(F.lit(3), F.floor(F.length(_digits(x["match"])) / 5).cast("int")).cast("string")
         return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), F.concat(votes, size).alias("code"), F.lit(base).alias("base"))
 
     return F.transform(spans, one)
 
 
+def _running_max(values: Column) -> Column:
+    """The greatest value up to each place of an array of integers, chunk by chunk."""
+
+    def chunked(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")), lambda k: F.slice(v, k * 64 + 1, F.lit(64)))
+
+    def carried(chunks: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            before = F.coalesce(F.array_max(F.transform(F.slice(chunks, F.lit(1), k), F.array_max)), F.lit(-(1 << 31)).cast("int"))
+            return _let(before, lambda b: F.transform(c, lambda x, i: F.greatest(b, F.array_max(F.slice(c, F.lit(1), i + 1)))))
+
+        return F.flatten(F.transform(chunks, one))
+
+    return _let(values, lambda v: _let(chunked(v), carried))
+
+
+def _apart(spans: Column) -> Column:
+    """The base spans of the sorted spans, and the candidates that neither touch one nor start inside a span before them."""
+    far = F.lit((1 << 31) - 1)
+    ends = _running_max(F.transform(spans, lambda x: x["end"]))
+    starts = F.reverse(_running_max(F.reverse(F.transform(spans, lambda x: -F.when(x["base"], x["start"]).otherwise(far)))))
+
+    def keep(e: Column, s: Column) -> Column:
+        free = lambda x, k: (F.coalesce(F.get(e, k - 1), F.lit(-1)) <= x["start"]) & (F.coalesce(-F.get(s, k + 1), far) >= x["end"])
+        return F.filter(spans, lambda x, k: x["base"] | free(x, k))
+
+    return _let(ends, lambda e: _let(starts, lambda s: keep(e, s)))
+
+
 def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and spans (start, kind, end, code, base) of each row: base spans and the loose candidates that touch none.
 
-    Spans are sorted by start and kind. A null text is empty.
+    Spans are sorted by start and kind. Of candidates that overlap, the one
+    that starts first counts. A null text is empty.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     none = F.array().cast("array<string>")
@@ -170,28 +200,18 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     loose = [_coded(k, F.col(f"l_{k}"), False) for k in KINDS]
     rows = rows.select("doc_id", F.array_sort(F.concat(*strict, *loose)).alias("all"))
 
-    def alone(x: Column, k: Column) -> Column:
-        touch = lambda y: F.coalesce((y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["base"] | (y["kind"] < x["kind"])), F.lit(False))
-        beside = [touch(F.get(F.col("all"), k + d)) for d in (*range(-6, 0), *range(1, 5))]
-        seen = beside[0]
-        for b in beside[1:]:
-            seen = seen | b
-        return x["base"] | ~seen
-
-    return rows.select("doc_id", F.filter("all", alone).alias("spans"))
+    return rows.select("doc_id", F.when(F.size("all") < 2, F.col("all")).otherwise(_apart(F.col("all"))).alias("spans"))
 
 
 def _features(kind: int, code: str) -> tuple[float, ...]:
-    votes = [1.0 if c == v else 0.0 for c in code[1:-1] for v in "yn"]
+    votes = [1.0 if c == v else 0.0 for c in code[:-1] for v in "yn"]
     return (*votes, *[1.0 if k == kind else 0.0 for k in range(len(KINDS))], *[1.0 if int(code[-1]) == n else 0.0 for n in range(4)])
 
 
 def accepted(found: DataFrame, threshold: float = 0.9) -> list[tuple[int, str]]:
     """The (kind, code) pairs that the span classifier accepts.
 
-    Learned from the counts of codes, of which there are at most 4 * 3^5 * 4.
-    The classifier doesn't see the pattern labeler's vote, which candidates
-    never get.
+    Learned from the counts of codes, of which there are at most 4 * 3^4 * 4.
     """
     counted = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.code").count().collect()
     rows = []
@@ -201,7 +221,7 @@ def accepted(found: DataFrame, threshold: float = 0.9) -> list[tuple[int, str]]:
         vote = lambda code: tuple({"y": 1, "n": -1, "-": 0}[c] for c in code[:-1])
         for code, n in codes.items():
             patterns[vote(code)] = patterns.get(vote(code), 0) + n
-        model = fit_votes(patterns, START, prior=0.5, trust=0.2)
+        model = fit_votes(patterns, START)
         rows += [(_features(kind, code), model.posterior(vote(code)), float(n)) for code, n in sorted(codes.items())]
     weights = fit_logistic(rows)
     return [(r["kind"], r["code"]) for r in counted if logistic(weights, _features(r["kind"], r["code"])) >= threshold]

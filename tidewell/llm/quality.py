@@ -40,8 +40,18 @@ RULES = (
     Rule("length", "n_words >= 50", "n_words < 20"),
     Rule("sentence_ends", "n_closed >= 0.6 * n_lines", "n_closed < 0.1 * n_lines"),
 )
-#: First guesses: rules seldom call a good text bad, each kind of bad text meets about a third of them, and the rest call it good.
-START = (Rates(yes_if_yes=0.95, yes_if_no=0.7, no_if_yes=0.005, no_if_no=0.3),) * len(RULES)
+#: First guesses, one for each rule: all seldom call a good text bad, and each sees some kinds of bad text only.
+START = (
+    Rates(yes_if_yes=0.97, yes_if_no=0.6, no_if_yes=0.005, no_if_no=0.4),
+    Rates(yes_if_yes=0.95, yes_if_no=0.5, no_if_yes=0.01, no_if_no=0.5),
+    Rates(yes_if_yes=0.95, yes_if_no=0.8, no_if_yes=0.01, no_if_no=0.2),
+    Rates(yes_if_yes=0.9, yes_if_no=0.7, no_if_yes=0.01, no_if_no=0.3),
+    Rates(yes_if_yes=0.9, yes_if_no=0.6, no_if_yes=0.01, no_if_no=0.4),
+    Rates(yes_if_yes=0.9, yes_if_no=0.6, no_if_yes=0.02, no_if_no=0.4),
+    Rates(yes_if_yes=0.97, yes_if_no=0.7, no_if_yes=0.005, no_if_no=0.3),
+    Rates(yes_if_yes=0.9, yes_if_no=0.7, no_if_yes=0.03, no_if_no=0.3),
+    Rates(yes_if_yes=0.9, yes_if_no=0.6, no_if_yes=0.02, no_if_no=0.4),
+)
 
 
 def _let(value: Column, then) -> Column:

@@ -7,7 +7,7 @@ Both work on counts of distinct patterns, of which there are at most
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 #: Votes of a labeler.
 NO, ABSTAIN, YES = -1, 0, 1
@@ -43,14 +43,14 @@ class VoteModel:
         return 1 / (1 + math.exp(-max(-700, min(700, self.log_odds(votes)))))
 
 
-def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prior: float = 0.5, rounds: int = 100, trust: float = 1.0) -> VoteModel:
+def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prior: float = 0.5, rounds: int = 1000, anchor: float = 20.0) -> VoteModel:
     """Labelers' rates by expectation-maximisation.
 
     counts: rows by vote pattern. start: first guesses, which also say which
-    class is which. On the rows a labeler gets wrong (yes_if_no, no_if_yes) the
-    guesses stay in as a share ``trust`` of all rows, so a labeler that alone
-    sees some kind of no row isn't taken for a poor one. Abstentions carry no
-    weight. Without rows the guesses return.
+    class is which; they stay in as so many rows of each class (``anchor``, a
+    fixed number, so that any large table outweighs them). Abstentions carry no
+    weight. Rounds end when no rate moves any more. Without rows the guesses
+    return.
     """
     total = sum(counts.values())
     model = VoteModel(prior, start)
@@ -65,14 +65,16 @@ def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prio
                     k = 0 if vote == YES else 2
                     row[k] += n * p
                     row[k + 1] += n * (1 - p)
-        no, held = total - yes, trust * total
+        no = total - yes
+        share = lambda got, guess, of: clip((got + anchor * guess) / (of + anchor))
         fitted = VoteModel(
-            clip((yes + prior) / (total + 1)),
-            tuple(Rates(clip((a + s.yes_if_yes) / (yes + 1)), clip((b + held * s.yes_if_no) / (no + held)), clip((c + held * s.no_if_yes) / (yes + held)), clip((d + s.no_if_no) / (no + 1))) for (a, b, c, d), s in zip(seen, start, strict=True)),
+            clip((yes + anchor * prior) / (total + anchor)),
+            tuple(Rates(share(a, s.yes_if_yes, yes), share(b, s.yes_if_no, no), share(c, s.no_if_yes, yes), share(d, s.no_if_no, no)) for (a, b, c, d), s in zip(seen, start, strict=True)),
         )
-        if abs(fitted.prior - model.prior) < 1e-9:
-            return fitted
-        model = fitted
+        moved = max(abs(a - b) for f, m in zip(fitted.rates, model.rates, strict=True) for a, b in zip(astuple(f), astuple(m), strict=True))
+        model, before = fitted, model
+        if max(moved, abs(model.prior - before.prior)) < 1e-7:
+            break
     return model
 
 
