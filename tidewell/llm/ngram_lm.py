@@ -1,22 +1,23 @@
 """An n-gram language model in Elias-Fano trie shards.
 
-The corpus is read once into blocks of documents, each with a word list of its
-own. Level by level, every block sends the distinct n-grams of its documents
-(as a context's id and a word's id, with their training counts) to the shards
-that own the contexts. A shard adds the counts up, lays the level out as a trie
-(sorted contexts, monotone pointers to their successors, successors and
-pointers in Elias-Fano form, quantised probabilities), maps it into memory and
-answers each block by a successor search inside the context's range. The ids
-that come back are the contexts of the next level.
+The corpus is read once into blocks of documents. Word numbers come from word
+shards, dealt by hash. Then every block sends each of its distinct n-grams
+once, with its training count, to the shard of its last context word. All
+n-grams with that word as nearest context are there, so the shard can lay out
+the levels of its trie: bigrams under the word, longer ones under longer
+contexts, each successor written as its place among the successors of the
+shorter context. Contexts, monotone pointers and successors are Elias-Fano
+sequences, probabilities are smoothed with the level below and quantised, and
+the whole is memory-mapped. The shard answers each block by a successor search
+inside the context's range.
 """
 
 from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import partial
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +26,41 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from tidewell.llm.common import by_whole_text, materialise, strings, table
+from tidewell.llm.common import by_whole_text, discard, materialise, strings, table
 from tidewell.llm.language_id import held_out
 
 #: Hash of the end of a document; no word contains white space.
 END = xxhash.xxh64_intdigest(b"\n")
+#: Numbers of rows that aren't a block's: what a shard stores, and counts that it needs from elsewhere.
+STORED, WIDE = -2, -1
+#: Answers are log10 probabilities in so many parts.
+PARTS = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
-    """weights[n-2]: share of the n-gram estimate in the interpolation with the lower order."""
+    """prior[n-2]: how many observations of an n-gram's context the estimate of the next shorter context stands for.
+
+    Blocks and shards grow with the square root of the table, from the given
+    sizes for 100 million characters up to eight times those; so there are as
+    many pairs of them as there are characters, and a task stays bounded.
+    """
 
     order: int = 3
-    weights: tuple[float, ...] = (0.5, 0.3, 0.3)
+    prior: tuple[float, ...] = (8.0, 4.0, 4.0)
     add: float = 0.1
-    block_chars: int = 5_000_000
-    shard_tokens: int = 700_000
     levels: int = 255  # quantisation steps of a log probability
-    least: float = -8.0
+    block_chars: int = 2_300_000
+    shard_tokens: int = 550_000
+
+    def grown(self, size: int, chars: int) -> int:
+        return int(size * min(8.0, max(1.0, (chars / 1e8) ** 0.5)))
 
 
 class EliasFano:
-    """A monotone sequence of n values below u: packed low bytes and a unary bit vector of the rest."""
+    """A monotone sequence of n values below u: low bits packed, and a unary bit vector of the rest."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
@@ -58,9 +70,12 @@ class EliasFano:
     def build(values: np.ndarray) -> dict[str, np.ndarray]:
         n = len(values)
         values = values.astype(np.uint64)
-        spread = int(values[-1]) // n if n else 0
-        width = 8 * (spread.bit_length() // 8)
-        low = np.stack([(values >> np.uint64(k) & np.uint64(255)).astype(np.uint8) for k in range(0, width, 8)], axis=1) if width else np.zeros((n, 0), np.uint8)
+        width = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        flat = np.zeros(n * width, np.uint8)
+        for k in range(width):
+            flat[k::width] = values >> np.uint64(k) & np.uint64(1)
+        low = np.zeros(n * width // 64 + 2, "<u8")
+        low.view(np.uint8)[: -(-n * width // 8)] = np.packbits(flat, bitorder="little")
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         size = (int(places[-1]) // 64 + 2) * 64 if n else 64
         bits = np.zeros(size, np.uint8)
@@ -85,10 +100,12 @@ class EliasFano:
         return word * 64 + at
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.int64)
-        for k in range(self.low.shape[1]):
-            out |= self.low[at, k].astype(np.int64) << 8 * k
-        return out
+        if not self.width:
+            return np.zeros(len(at), np.int64)
+        bit = at.astype(np.uint64) * np.uint64(self.width)
+        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        above = np.where(off > 0, self.low[word + 1] << (np.uint64(64) - off & np.uint64(63)), np.uint64(0))
+        return ((self.low[word] >> off | above) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self._select(at, True) - at) << self.width | self._lows(at)
@@ -111,51 +128,190 @@ class EliasFano:
         return lo
 
 
-class TrieLevel:
-    """One level of a shard: contexts, pointers, successors and quantised probabilities, memory-mapped."""
-
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, spec: Settings):
-        """Rows sorted by (context, successor), with counts; totals: each row's context count."""
-        starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, np.int64)
-        self.base = int(successors.max(initial=0)) + 1
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(contexts)]))
-        code = np.clip(np.rint(np.log10(counts / np.maximum(totals, 1)) / spec.least * (spec.levels - 1)), 0, spec.levels - 1) if len(counts) else np.zeros(0)
-        parts = {
-            **{f"c_{k}": v for k, v in EliasFano.build(contexts[starts]).items()},
-            **{f"p_{k}": v for k, v in EliasFano.build(np.r_[starts, len(contexts)]).items()},
-            # context-relative: each context's successors continue where the last one's could end
-            **{f"s_{k}": v for k, v in EliasFano.build(group * self.base + successors).items()},
-            "code": code.astype(np.uint8),
-            "count": counts.astype(np.uint32),
+@dataclass(frozen=True)
+class Scale:
+    """Quantised log10 probabilities: codes 0 to levels-1, 0 for probability 1, the last for 10**least."""
+
+    least: float
+    levels: int
+
+    @staticmethod
+    def of(mass: float, spec: Settings) -> Scale:
+        """Wide enough for the least probability there is, that of an unknown word."""
+        return Scale(float(np.floor(np.log10(min(spec.add, 1.0) / mass))) - 1.0, spec.levels)
+
+    def code(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint(np.log10(p) / self.least * (self.levels - 1)), 0, self.levels - 1).astype(np.uint8)
+
+    def value(self, code: np.ndarray) -> np.ndarray:
+        """log10 of the code's probability."""
+        return code * (self.least / (self.levels - 1))
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of the keys (first key first), the places where a new combination starts, and each row's combination."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), of
+
+
+class Level:
+    """One level: contexts, pointers to their successors, successors, codes, and each context's back-off code."""
+
+    def __init__(self, part: dict[str, np.ndarray]):
+        self.contexts, self.pointers, self.successors = (EliasFano({k[2:]: v for k, v in part.items() if k[:2] == p}) for p in ("c_", "p_", "s_"))
+        self.code, self.back, self.base = part["code"], part["back"], int(part["base"][0])
+        self.width = int(part["width"][0]) if "width" in part else 0  # numbers of the words by which the next level's contexts go on
+
+    @staticmethod
+    def build(contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, code: np.ndarray, back: np.ndarray) -> dict[str, np.ndarray]:
+        """contexts: distinct, ascending; starts: where the successors of each begin, which ascend in it."""
+        base = int(successors.max(initial=0)) + 1
+        group = np.repeat(np.arange(len(contexts)), np.diff(np.r_[starts, len(successors)]))
+        return {
+            **{f"c_{k}": v for k, v in EliasFano.build(contexts).items()},
+            **{f"p_{k}": v for k, v in EliasFano.build(np.r_[starts, len(successors)]).items()},
+            # each context's successors continue where the last one's could end
+            **{f"s_{k}": v for k, v in EliasFano.build(group * base + successors).items()},
+            "code": code,
+            "back": back,
+            "base": np.array([base], np.int64),
         }
-        self.file = tempfile.TemporaryFile()
-        at, places = 0, {}
-        for name, value in parts.items():
-            at += -at % 8
-            self.file.seek(at)
-            self.file.write(np.ascontiguousarray(value).tobytes())
-            places[name], at = (at, value.dtype, value.shape), at + value.nbytes
-        self.file.truncate(at + 8)
+
+    def context(self, values: np.ndarray) -> np.ndarray:
+        """Index of each (ascending) context, -1 if the level has none."""
+        names, of = np.unique(values, return_inverse=True)
+        none, size = np.zeros(len(names), np.int64), self.contexts.n
+        if not size or not len(names):
+            return np.full(len(values), -1)
+        at = self.contexts.successor(names, none, none + size)
+        safe = np.minimum(at, size - 1)
+        return np.where((at < size) & (self.contexts.get(safe) == names), safe, -1)[of]
+
+    def find(self, context: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Index of each successor in its context's range, -1 if it isn't there (or there is no context)."""
+        out = np.full(len(context), -1)
+        rows = np.flatnonzero((context >= 0) & (successors >= 0) & (successors < self.base))
+        if not len(rows):
+            return out
+        c = context[rows]
+        value = c * self.base + successors[rows]
+        last = self.pointers.get(c + 1)
+        found = self.successors.successor(value, self.pointers.get(c), last)
+        hit = found < last
+        hit[hit] = self.successors.get(found[hit]) == value[hit]
+        out[rows[hit]] = found[hit]
+        return out
+
+
+class Trie:
+    """The levels of a shard, memory-mapped from the bytes of ``build``."""
+
+    def __init__(self, data: bytes, scale: Scale, prior: tuple[float, ...]):
+        size = int.from_bytes(data[:8], "little")
+        places = pickle.loads(data[8 : 8 + size])
+        self.file = tempfile.TemporaryFile()  # a task's own, gone with it
+        self.file.write(memoryview(data)[8 + size :])
+        self.file.write(bytes(8))
         self.file.flush()
         mapped = np.memmap(self.file, np.uint8, "r")
-        part = {name: mapped[o : o + int(np.prod(shape)) * kind.itemsize].view(kind).reshape(shape) for name, (o, kind, shape) in places.items()}
-        self.contexts, self.pointers, self.successors = (EliasFano({k[2:]: v for k, v in part.items() if k[:2] == p}) for p in ("c_", "p_", "s_"))
-        self.code, self.count = part["code"], part["count"]
-
-    def find(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Index of each (context, successor) in the level, -1 if it has none."""
-        none, size = np.zeros(len(contexts), np.int64), self.contexts.n
-        if not size or not len(contexts):
-            return none - 1
-        at = self.contexts.successor(contexts, none, none + size)
-        safe = np.minimum(at, size - 1)
-        known = (at < size) & (self.contexts.get(safe) == contexts)
-        first, last = self.pointers.get(safe), self.pointers.get(safe + 1)
-        value = safe * self.base + np.minimum(successors, self.base - 1)
-        found = self.successors.successor(value, first, last)
-        near = np.minimum(found, self.successors.n - 1)
-        known &= (found < last) & (successors < self.base) & (self.successors.get(near) == value)
-        return np.where(known, found, -1)
+        self.levels = [Level({name: mapped[o : o + n * kind.itemsize].view(kind) for name, (o, n, kind) in level.items()}) for level in places]
+        self.scale, self.prior = scale, prior
+
+    @staticmethod
+    def build(grams: dict[str, np.ndarray], wide: dict[str, np.ndarray], scale: Scale, prior: tuple[float, ...]) -> bytes:
+        """grams: context (columns, nearest first), word, code, count, total; distinct rows with a count.
+
+        wide: near, word, code, total and count of the bigrams whose n-grams
+        are spread over several shards, sorted by near and word.
+        """
+        none = np.zeros((len(wide["near"]), grams["context"].shape[1] - 1), np.int64)
+        grams = {
+            "context": np.concatenate([grams["context"], np.c_[wide["near"], none]]),
+            "count": np.r_[grams["count"], np.zeros(len(none), np.int64)],
+            **{k: np.r_[grams[k], wide[k]] for k in ("word", "code", "total")},
+        }
+        pairs = wide["near"] << 32 | wide["word"]
+        near, word, count = grams["context"][:, 0], grams["word"], grams["count"]
+        levels, parts, at, data = [], [], 0, []
+        context, back = near, np.zeros(0, np.uint8)
+        lower = 10.0 ** scale.value(grams["code"])
+        rows, successor = np.arange(len(word)), word
+        total = grams["total"]
+        for n in range(grams["context"].shape[1]):
+            order, new, of = _grouped(context, successor)
+            counts = np.add.reduceat(count[rows][order], new) if len(order) else np.zeros(0, np.int64)
+            first = rows[order[new]]
+            heads = context[order[new]]
+            starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]) if len(heads) else np.zeros(0, np.int64)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(heads)]))
+            if n == 0:
+                if len(pairs):
+                    keys = near[first] << 32 | word[first]
+                    place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+                    counts = np.where(pairs[place] == keys, wide["count"][place], counts)
+                of_context = total[first]
+            else:
+                sums = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
+                of_context = sums[group]
+                back = scale.code(prior[n] / (sums + prior[n]))
+            code = scale.code((counts + prior[n] * lower[first]) / (of_context + prior[n]))
+            parts.append(Level.build(heads[starts], starts, successor[order[new]], code, back))
+            if n + 1 == grams["context"].shape[1]:
+                break
+            # the next level's contexts are an older word under this context, its successors places among this level's
+            older = grams["context"][rows, n + 1]
+            long = older > 0
+            lower = lower.copy()
+            lower[rows] = 10.0 ** scale.value(code[of])
+            width = int(grams["context"][:, n + 1].max(initial=0)) + 1
+            context = (group[of] * width + older)[long]
+            successor = (of - starts[group[of]])[long] if len(starts) else of[long]
+            rows = rows[long]
+            parts[-1]["width"] = np.array([width], np.int64)
+        for part in parts:
+            places = {}
+            for name, value in part.items():
+                at += -at % 8
+                places[name], at = (at, value.size, value.dtype), at + value.nbytes
+                data.append((places[name][0], np.ascontiguousarray(value)))
+            levels.append(places)
+        body = bytearray(at)
+        for o, value in data:
+            body[o : o + value.nbytes] = value.tobytes()
+        head = pickle.dumps(levels, 5)
+        return len(head).to_bytes(8, "little") + head + bytes(body)
+
+    def log10(self, grams: dict[str, np.ndarray]) -> np.ndarray:
+        """log10 probability of each n-gram: that of its longest known context, backed off where the word is new to it."""
+        near = grams["context"]
+        q = self.scale.value(grams["code"])
+        seen = grams["total"] > 0
+        context = self.levels[0].context(near[:, 0])
+        found = self.levels[0].find(context, grams["word"])
+        back = self.scale.value(self.scale.code(self.prior[0] / (grams["total"] + self.prior[0])))
+        q = np.where(found >= 0, self.scale.value(_at(self.levels[0].code, found)), np.where(seen, q + back, q))
+        for n in range(1, near.shape[1]):
+            above, level = self.levels[n - 1], self.levels[n]
+            rows = np.flatnonzero((context >= 0) & (near[:, n] > 0) & (near[:, n] < above.width))
+            longer, place = np.full(len(q), -1), np.full(len(q), -1)
+            longer[rows] = level.context(context[rows] * above.width + near[rows, n])
+            inside = np.flatnonzero((longer >= 0) & (found >= 0))
+            place[inside] = found[inside] - above.pointers.get(context[inside])
+            found = level.find(longer, place)
+            q = np.where(found >= 0, self.scale.value(_at(level.code, found)), np.where(longer >= 0, q + self.scale.value(_at(level.back, longer)), q))
+            context = longer
+        return q
+
+
+def _at(values: np.ndarray, index: np.ndarray) -> np.ndarray:
+    return values[np.maximum(index, 0)].astype(np.int64) if len(values) else np.zeros(len(index), np.int64)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -168,7 +324,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
         if x.dtype == np.uint64 or not x.ndim:
             parts[name] = x
             continue
-        kinds[name] = x.dtype == np.uint32
+        kinds[name] = x.dtype.kind == "u"
         steps = x.astype(np.uint64)
         if not kinds[name]:
             steps = np.diff(x.astype(np.int64), prepend=0)
@@ -195,18 +351,22 @@ class _Words(dict):
         return n
 
 
-def _blocks(docs: DataFrame, key: str, text: str, held: str, spec: Settings) -> DataFrame:
-    """Blocks of documents as word numbers of the block's own word list."""
-    rows = docs.select(F.col(key).alias("key"), F.col(held).alias("held"), F.col(text).alias("text"))
-    schema = StructType([
+def _block_schema(kind) -> StructType:
+    return StructType([
         StructField("block", LongType()),
-        StructField("keys", ArrayType(rows.schema["key"].dataType)),
+        StructField("keys", ArrayType(kind)),
         StructField("held", ArrayType(BooleanType())),
         StructField("body", BinaryType()),
         StructField("tokens", LongType()),
         StructField("trained", LongType()),
     ])
 
+
+def _blocks(docs: DataFrame, key: str, text: str, held: str, block_chars: int) -> DataFrame:
+    """Blocks of documents as word numbers of the block's own word list."""
+    rows = docs.select(F.col(key).alias("key"), F.col(held).alias("held"), F.col(text).alias("text"))
+    schema = _block_schema(rows.schema["key"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         words, keys, held, bodies, chars = _Words(), [], [], [], 0
@@ -228,7 +388,7 @@ def _blocks(docs: DataFrame, key: str, text: str, held: str, spec: Settings) ->
                 keys.append(k)
                 held.append(bool(h))
                 chars += len(t) + 64
-                if chars >= spec.block_chars:
+                if chars >= block_chars:
                     yield made()
                     number += 1
                     words, keys, held, bodies, chars = _Words(), [], [], [], 0
@@ -257,204 +417,349 @@ def _dealt(block: int, owner: np.ndarray, columns: dict[str, np.ndarray]) -> Ite
         yield _messages([(int(owner[s]), block, _pack(**{k: v[order[s:e]] for k, v in columns.items()}))])
 
 
-def _by_shard(messages: DataFrame, answer: Callable[[int, list[dict]], list[dict]]) -> DataFrame:
-    """Each shard's messages to answer(shard, bodies) at once; its answers go back under the same block."""
+def _by_shard(messages: DataFrame, answer: Callable[[int, list[bytes], list[dict], list[dict]], Iterable[tuple]]) -> DataFrame:
+    """Each shard's messages to answer(shard, what is stored, wide counts, bodies) at once.
+
+    answer gives (n, body): n counts its bodies, or is STORED; a triple names another shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, blocks, bodies = None, [], []
+        shard, got = None, ([], [], [], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            blocks, stored, wide, bodies = got
+            for n, body, *to in answer(shard, stored, wide, bodies):
+                yield _messages([(to[0] if to else shard, n if n < 0 else blocks[n], body if isinstance(body, bytes) else _pack(**body))])
+
         for batch in batches:
             for n in range(batch.num_rows):
                 s, b, body = (batch.column(k)[n].as_py() for k in range(3))
-                if s != shard and blocks:
-                    for block, made in zip(blocks, answer(shard, bodies), strict=True):
-                        yield _messages([(shard, block, _pack(**made))])
-                    blocks, bodies = [], []
+                if s != shard and shard is not None:
+                    yield from flush()
+                    got = ([], [], [], [])
                 shard = s
-                blocks.append(b)
-                bodies.append(_unpack(body))
-        if blocks:
-            for block, made in zip(blocks, answer(shard, bodies), strict=True):
-                yield _messages([(shard, block, _pack(**made))])
+                if b == STORED:
+                    got[1].append(body)
+                elif b == WIDE:
+                    got[2].append(_unpack(body))
+                else:
+                    got[0].append(b)
+                    got[3].append(_unpack(body))
+        if shard is not None:
+            yield from flush()
 
     return messages.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _MESSAGE)
 
 
-def _with_blocks(blocks: DataFrame, answers: list[DataFrame], schema, per_block: Callable) -> DataFrame:
-    """per_block(block, keys, held, body, answers by level) for each block, with what came back for it."""
-    rows = blocks.select("block", F.lit(-1).alias("level"), "keys", "held", "body", F.lit(-1).alias("shard"))
-    kinds, size = dict(rows.dtypes), len(answers)
-    for level, found in enumerate(answers):
-        rows = rows.union(found.select("block", F.lit(level), F.lit(None).cast(kinds["keys"]), F.lit(None).cast(kinds["held"]), "body", "shard"))
+def _with_blocks(blocks: DataFrame, answers: DataFrame, schema, per_block: Callable) -> DataFrame:
+    """per_block(block, keys, held, body, answers) for each block, with what came back for it."""
+    kinds = dict(blocks.dtypes)
+    rows = blocks.select("block", F.lit(-1).alias("shard"), "keys", "held", "body")
+    rows = rows.union(answers.where("block >= 0").select("block", "shard", F.lit(None).cast(kinds["keys"]), F.lit(None).cast(kinds["held"]), "body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, levels = None, None
+        head, found = None, []
         for batch in batches:
             for n in range(batch.num_rows):
-                block, level, body = (batch.column(k)[n].as_py() for k in (0, 1, 4))
-                if level < 0:
+                block, shard, body = (batch.column(k)[n].as_py() for k in (0, 1, 4))
+                if shard < 0:
                     if head:
-                        yield from per_block(*head, levels)
-                    head, levels = (block, batch.column(2).slice(n, 1).flatten(), np.array(batch.column(3)[n].as_py(), bool), _unpack(body)), [[] for _ in range(size)]
+                        yield from per_block(*head, found)
+                    head, found = (block, batch.column(2).slice(n, 1).flatten(), np.array(batch.column(3)[n].as_py(), bool), _unpack(body)), []
                 else:
-                    levels[level].append((batch.column(5)[n].as_py(), _unpack(body)))
+                    found.append(_unpack(body))
         if head:
-            yield from per_block(*head, levels)
+            yield from per_block(*head, found)
 
-    return rows.repartition("block").sortWithinPartitions("block", "level").mapInArrow(run, schema)
+    return rows.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, schema)
 
 
-def _gathered(messages: list[tuple[int, dict]], owner: np.ndarray, names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """The answers of the shards in the order in which the rows were asked for."""
-    order = np.argsort(owner, kind="stable")
-    out = {}
-    for k in names:
-        out[k] = np.zeros(len(owner), np.int64)
-        if messages:
-            out[k][order] = np.concatenate([m[k] for _, m in sorted(messages, key=lambda x: x[0])])
+def _gathered(answers: list[dict], owner: np.ndarray, name: str) -> np.ndarray:
+    """The answers of the shards, in their order, in the order in which the rows were asked for."""
+    out = np.zeros(len(owner), np.int64)
+    if answers:
+        out[np.argsort(owner, kind="stable")] = np.concatenate([m[name] for m in answers])
     return out
 
 
-def _word_owner(words: np.ndarray, shards: int) -> np.ndarray:
-    return (_mix(words) % np.uint64(shards)).astype(np.int64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
 
 
-def _ngram_owner(ask: dict[str, np.ndarray], shards: int, share: int) -> np.ndarray:
-    """By context; n-grams of a context that holds more than a shard's share go by their word too."""
-    key = np.where(ask["total"] > share, ask["context"] * 31 + _mix(ask["word"]).astype(np.int64), ask["context"])
-    return (_mix(key) % np.uint64(shards)).astype(np.int64)
+def _owner(x: np.ndarray, shards: int) -> np.ndarray:
+    return (_mix(x) % np.uint64(shards)).astype(np.int64)
 
 
-def _ngrams(body: dict, held: np.ndarray, levels: list[list[tuple[int, dict]]], shards: int, share: int) -> tuple:
-    """What a block knows after the answers of some levels.
+@dataclass(frozen=True)
+class Shape:
+    """What every task must know of a model."""
 
-    Returns the word ids and counts of its tokens, and for each level from 2
-    the answer's rows for every token (-1 where it has none), and the next
-    level's distinct n-grams.
-    """
-    lengths, tokens = body["lengths"].astype(np.int64), body["tokens"].astype(np.int64)
-    words = _gathered(levels[0], _word_owner(body["words"], shards), ("id", "count"))
-    word = words["id"][tokens]
-    total = words["count"][tokens]
-    starts = np.cumsum(lengths) - lengths
-    position = np.arange(len(tokens)) - np.repeat(starts, lengths)
-    trained = np.repeat(~held, lengths)
-    end = words["id"][0]
-    context = np.where(position > 0, np.r_[end, word[:-1]], end)
-    context_count = np.where(position > 0, np.r_[words["count"][0], total[:-1]], words["count"][0])
-    found = []
-    for n, messages in enumerate([*levels[1:], None], 2):
-        live = np.flatnonzero((context >= 0) & (word >= 0) & (position >= n - 2))
-        order = live[np.lexsort((word[live], context[live]))]
-        c, w = context[order], word[order]
-        new = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])] if len(order) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        first = order[new]
-        ask = {"context": context[first], "word": word[first], "total": context_count[first]}
-        if messages is None:
-            return total, found, ask | {"count": np.bincount(number, trained[order], minlength=len(first)).astype(np.int64)}
-        got = _gathered(messages, _ngram_owner(ask, shards, share), ("id", "count", "code"))
-        rows = {k: np.full(len(tokens), -1 if k != "count" else 0, np.int64) for k in got}
-        for k in got:
-            rows[k][order] = got[k][number]
-        rows["context_count"] = np.where(context >= 0, context_count, 0)
-        found.append(rows)
-        context = np.where(position > 0, np.r_[-1, rows["id"][:-1]], -1)
-        context_count = np.where(position > 0, np.r_[0, rows["count"][:-1]], 0)
-    raise AssertionError
+    trained: int
+    vocabulary: int
+    word_shards: int
+    shards: int
+    limit: int  # training tokens after a word beyond which its n-grams are spread
+    order: int
+    prior: tuple[float, ...]
+    add: float
+    levels: int
 
+    @property
+    def mass(self) -> float:
+        return self.trained + self.add * (self.vocabulary + 1)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(29)
+    @property
+    def scale(self) -> Scale:
+        return Scale.of(self.mass, Settings(add=self.add, levels=self.levels))
 
+    def parts(self, total: np.ndarray) -> np.ndarray:
+        """Number of shards among which the n-grams of a word with that total are spread."""
+        return np.maximum(1, -(-total // self.limit))
 
-def score(docs: DataFrame, spec: Settings | None = None, *, key: str = "doc_id", text: str = "text", held: str = "held_out") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
+    def part(self, near: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return _owner(near * 1_000_003 + number, self.shards)
 
-    The model learns from the rows whose ``held`` is false and scores all. Rows
-    are counted one by one, repeated ones too; a null text is empty, its end is
-    its only token. base_score is the log10 probability under the smoothed
-    unigram counts, score that under the interpolated n-gram trie. On an empty
-    table the result is empty.
+    def owner(self, grams: dict[str, np.ndarray]) -> np.ndarray:
+        """By the nearest context word; a frequent one's n-grams by the word before it too, or by the word itself where there is none."""
+        other = grams["context"][:, 1] if self.order > 2 else grams["word"]
+        parts = self.parts(grams["total"])
+        return self.part(grams["context"][:, 0], np.where(parts > 1, (_mix(other) % parts.astype(np.uint64)).astype(np.int64), 0))
 
-    Words and contexts are dealt to shards by hash. Each block sends a distinct
-    n-gram once, however often it occurs, and contexts that hold more than a
-    shard's share of the corpus are dealt out by their successors too.
-    """
-    spec = spec or Settings()
-    blocks = materialise(_blocks(docs, key, text, held, spec))
-    tokens, trained = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
-    shards = max(1, -(-tokens // spec.shard_tokens))
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                body, on = _unpack(batch.column(3)[n].as_py()), ~np.array(batch.column(2)[n].as_py(), bool)
-                counts = np.bincount(body["tokens"], np.repeat(on, body["lengths"]), minlength=len(body["words"])).astype(np.int64)
-                yield from _dealt(batch.column(0)[n].as_py(), _word_owner(body["words"], shards), {"word": body["words"], "count": counts})
+@dataclass(frozen=True)
+class Model:
+    """A fitted model: its shape, and tables of word and trie shards."""
+
+    shape: Shape
+    words: DataFrame
+    tries: DataFrame
 
-    def answer_words(shard: int, asked: list[dict]) -> list[dict]:
-        words, at = np.unique(np.concatenate([m["word"] for m in asked]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([m["count"] for m in asked]), minlength=len(words)).astype(np.int64)
-        ids = np.where(counts > 0, (np.cumsum(counts > 0) - 1) * shards + shard, -1)
-        cuts = np.cumsum([len(m["word"]) for m in asked])[:-1]
-        distinct = int((counts > 0).sum())
-        return [{"id": ids[k], "count": counts[k], "distinct": np.array(distinct if n == 0 else 0)} for n, (m, k) in enumerate(zip(asked, np.split(at, cuts), strict=True))]
+    def save(self, path: str) -> None:
+        """Write the model under path, which must not exist."""
+        spark = self.words.sparkSession
+        self.words.write.parquet(f"{path}/words")
+        self.tries.write.parquet(f"{path}/tries")
+        shape = asdict(self.shape) | {"prior": list(self.shape.prior)}
+        spark.createDataFrame([tuple(shape.values())], "trained long, vocabulary long, word_shards int, shards int, limit long, order int, prior array<double>, add double, levels int").coalesce(1).write.parquet(f"{path}/shape")
 
-    levels = [materialise(_by_shard(blocks.mapInArrow(ask_words, _MESSAGE), answer_words))]
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        row = spark.read.parquet(f"{path}/shape").first().asDict()
+        return Model(Shape(**row | {"prior": tuple(row["prior"])}), spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/tries"))
+
+
+class _Tokens:
+    """The tokens of a coded block: word, code and count, the words before (nearest first; 0 for none or an unknown one), and the nearest one's count."""
+
+    def __init__(self, body: dict, held: np.ndarray, shape: Shape):
+        self.lengths, tokens = body["lengths"].astype(np.int64), body["tokens"].astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        position = np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)
+        self.word, self.count = body["id"][tokens], body["count"][tokens]
+        self.code = shape.scale.code((body["count"] + shape.add) / shape.mass)[tokens]
+        end, ends = int(body["id"][0]), int(body["count"][0])
+        self.older = []
+        for n in range(1, shape.order):
+            x = np.zeros(len(tokens), np.int64)
+            x[n:] = self.word[:-n] if len(tokens) > n else 0
+            x = np.where(position >= n, x, np.where(position == n - 1, end, 0))
+            self.older.append(x if n == 1 else np.where(self.older[-1] > 0, x, 0))
+        self.total = np.where(position > 0, np.r_[0, self.count[:-1]], ends)
+        self.trained = np.repeat(~held, self.lengths)
+
+
+class _Block(_Tokens):
+    """With the distinct n-grams of the tokens after a known word."""
+
+    def __init__(self, body: dict, held: np.ndarray, shape: Shape):
+        super().__init__(body, held, shape)
+        self.live = live = np.flatnonzero(self.older[0] > 0)
+        order, new, self.of = _grouped(*[x[live] for x in self.older], self.word[live])
+        first = live[order[new]]
+        self.grams = {
+            "context": np.stack([x[first] for x in self.older], axis=1),
+            "word": self.word[first],
+            "code": self.code[first],
+            "total": self.total[first],
+            "count": np.bincount(self.of, self.trained[live], minlength=len(first)).astype(np.int64),
+        }
+        self.owner = shape.owner(self.grams)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(self) -> dict[str, np.ndarray]:
+        context = {f"c{n}": self.grams["context"][:, n] for n in range(self.grams["context"].shape[1])}
+        return context | {"word": self.grams["word"].astype(np.uint32), "code": self.grams["code"], "total": self.grams["total"], "count": self.grams["count"].astype(np.uint32)}
+
+
+def _rows_of(blocks: DataFrame, schema: str, per_block: Callable[[int, np.ndarray, dict], Iterable[pa.RecordBatch]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(_unpack(b.as_py())["distinct"]) for b in batch.column(0)], pa.int64())], ["n"])
-
-    vocabulary = levels[0].select("body").mapInArrow(distinct, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    share = max(1, trained // (4 * shards))
-
-    def answer_ngrams(level: int, shard: int, asked: list[dict]) -> list[dict]:
-        context, word, count, total = (np.concatenate([m[k] for m in asked]) for k in ("context", "word", "count", "total"))
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-        sums = np.add.reduceat(count[order], new)
-        seen = sums > 0
-        trie = TrieLevel(c[new][seen], w[new][seen], sums[seen], total[order][new][seen], spec)
-        out = []
-        for m in asked:
-            at = trie.find(m["context"], m["word"])
-            known, safe = at >= 0, np.maximum(at, 0)
-            code = np.where(known, trie.code[safe].astype(np.int64), -1) if len(trie.code) else at
-            # ids and counts are only asked for by a further level
-            deep = known & (level < spec.order) if len(trie.code) else np.zeros(len(at), bool)
-            out.append({"id": np.where(deep, at * shards + shard, -1), "count": np.where(deep, trie.count[safe].astype(np.int64), 0) if len(trie.code) else at + 1, "code": code})
-        return out
+            for n in range(batch.num_rows):
+                yield from per_block(batch.column(0)[n].as_py(), np.array(batch.column(1)[n].as_py(), bool), _unpack(batch.column(2)[n].as_py()))
+
+    return blocks.select("block", "held", "body").mapInArrow(run, schema)
+
 
-    def ask_ngrams(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        *_, ask = _ngrams(body, on, got, shards, share)
-        yield from _dealt(block, _ngram_owner(ask, shards, share), ask)
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(_unpack(b.as_py())["word"]) for b in batch.column(0)], pa.int64())], ["n"])
 
-    for level in range(2, spec.order + 1):
-        levels.append(materialise(_by_shard(_with_blocks(blocks, levels, _MESSAGE, ask_ngrams), partial(answer_ngrams, level))))
 
+def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, model: Model | None) -> tuple[DataFrame, Shape, DataFrame]:
+    """Blocks with word numbers (from 1; 0 for a word without a training count) and counts, the shape, and the word shards."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    blocks = materialise(_blocks(docs, key, text, held, spec.grown(spec.block_chars, chars)))
+    tokens, trained = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    size = spec.grown(spec.shard_tokens, chars)
+    shards = model.shape.word_shards if model else max(1, -(-tokens // size))
+
+    def ask(block: int, on: np.ndarray, body: dict) -> Iterator[pa.RecordBatch]:
+        counts = np.bincount(body["tokens"], np.repeat(~on, body["lengths"]), minlength=len(body["words"])).astype(np.int64)
+        yield from _dealt(block, _owner(body["words"], shards), {"word": body["words"], "count": counts})
+
+    def answer(shard: int, stored: list[bytes], wide: list[dict], asked: list[dict]) -> Iterator[tuple]:
+        if stored:
+            have = _unpack(stored[0])
+        else:
+            words, at = np.unique(np.concatenate([m["word"] for m in asked]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([m["count"] for m in asked]), minlength=len(words)).astype(np.int64)
+            have = {"word": words[counts > 0], "count": counts[counts > 0]}
+            yield STORED, have
+        for n, m in enumerate(asked):
+            if not len(have["word"]):
+                yield n, {"id": np.zeros(len(m["word"]), np.int64), "count": np.zeros(len(m["word"]), np.int64)}
+                continue
+            at = np.minimum(np.searchsorted(have["word"], m["word"]), len(have["word"]) - 1)
+            known = have["word"][at] == m["word"]
+            yield n, {"id": np.where(known, at * shards + shard + 1, 0), "count": np.where(known, have["count"][at], 0)}
+
+    asked = _rows_of(blocks, _MESSAGE, ask)
+    answers = materialise(_by_shard(asked.union(model.words) if model else asked, answer))
+    words = answers.where(F.col("block") == STORED)
+
+    if model:
+        shape = model.shape
+    else:
+        vocabulary = words.select("body").mapInArrow(_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shape = Shape(trained, vocabulary, shards, shards, size, spec.order, spec.prior[: spec.order - 1], spec.add, spec.levels)
     kind = blocks.schema["keys"].dataType.elementType
+    schema = StructType(_block_schema(kind).fields[:4])
+
+    def code(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[dict]) -> Iterator[pa.RecordBatch]:
+        owner = _owner(body["words"], shards)
+        made = _pack(lengths=body["lengths"], tokens=body["tokens"].astype(np.uint32), id=_gathered(got, owner, "id").astype(np.uint32), count=_gathered(got, owner, "count").astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([on.tolist()], pa.list_(pa.bool_())), pa.array([made], pa.binary())], schema.names)
+
+    coded = materialise(_with_blocks(blocks, answers, schema, code))
+    discard(blocks)
+    return coded, shape, words
+
+
+def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -> DataFrame:
+    """The trie shards (STORED rows), unless the model has them, and if asked for their answers to each block."""
+
+    fields = ("near", "word", "code", "total", "count")
+
+    def wide(block: int, on: np.ndarray, body: dict) -> Iterator[pa.RecordBatch]:
+        if int(shape.parts(body["count"].max(initial=0))) == 1:
+            return
+        t = _Tokens(body, on, shape)
+        rows = np.flatnonzero((shape.parts(t.total) > 1) & (t.older[0] > 0) & t.trained)
+        near, word = t.older[0][rows], t.word[rows]
+        order, new, _ = _grouped(near, word)
+        first = rows[order[new]]
+        columns = {"near": t.older[0][first], "word": t.word[first], "code": t.code[first], "total": t.total[first], "count": np.diff(np.r_[new, len(rows)])}
+        yield from _dealt(block, _owner(columns["near"] * 31 + columns["word"], shape.shards), columns)
+
+    def summed(shard: int, stored: list[bytes], _: list[dict], asked: list[dict]) -> Iterator[tuple]:
+        m = {k: np.concatenate([a[k] for a in asked]) for k in fields}
+        order, new, _ = _grouped(m["near"], m["word"])
+        counts = np.add.reduceat(m["count"][order], new)
+        m = {k: v[order[new]] for k, v in m.items()} | {"count": counts}
+        # every shard that holds some of a word's n-grams gets the counts
+        many = shape.parts(m["total"])
+        rows = np.repeat(np.arange(len(counts)), many)
+        to = shape.part(m["near"][rows], np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many))
+        for s in np.unique(to).tolist():
+            mine = np.unique(rows[to == s])
+            yield WIDE, _pack(**{k: v[mine] for k, v in m.items()}), s
+
+    def grams(block: int, on: np.ndarray, body: dict) -> Iterator[pa.RecordBatch]:
+        made = _Block(body, on, shape)
+        yield from _dealt(block, made.owner, made.columns())
+
+    def answer(shard: int, stored: list[bytes], spread: list[dict], asked: list[dict]) -> Iterator[tuple]:
+        if not asked:
+            return
+        sizes = [len(a["word"]) for a in asked]
+        m = {k: np.concatenate([a.pop(k) for a in asked]) for k in list(asked[0])}
+        context = np.stack([m[f"c{n}"] for n in range(shape.order - 1)], axis=1)
+        order, new, of = _grouped(*context.T, m["word"])
+        first = order[new]
+        g = {"context": context[first], "count": np.add.reduceat(m["count"][order], new), **{k: m[k][first] for k in ("word", "code", "total")}}
+        del m, context
+        if stored:
+            data = zstandard.decompress(stored[0])
+        else:
+            w = {k: np.concatenate([x[k] for x in spread]) if spread else np.zeros(0, np.int64) for k in fields}
+            o = np.lexsort((w["word"], w["near"]))
+            known = g["count"] > 0
+            data = Trie.build({k: v[known] for k, v in g.items()}, {k: v[o] for k, v in w.items()}, shape.scale, shape.prior)
+            yield STORED, zstandard.compress(data, 3)
+        if answers:
+            q = np.rint(Trie(data, shape.scale, shape.prior).log10(g) * -PARTS).astype(np.uint32)[of]
+            for n, part in enumerate(np.split(q, np.cumsum(sizes)[:-1])):
+                yield n, {"q": part}
+
+    messages = _rows_of(coded, _MESSAGE, grams)
+    if model:
+        messages = messages.union(model.tries)
+    else:
+        messages = messages.union(materialise(_by_shard(_rows_of(coded, _MESSAGE, wide), summed)))
+    return materialise(_by_shard(messages, answer))
+
+
+def fit(docs: DataFrame, spec: Settings | None = None, *, key: str = "doc_id", text: str = "text") -> Model:
+    """A model of all rows of docs; it can be saved, loaded, and given to score."""
+    coded, shape, words = _coded(docs.withColumn("_tw_held", F.lit(False)), key, text, "_tw_held", spec or Settings(), None)
+    tries = _tries(coded, shape, None, False)
+    discard(coded)
+    return Model(shape, words, tries)
+
+
+def score(docs: DataFrame, spec: Settings | None = None, *, model: Model | None = None, key: str = "doc_id", text: str = "text", held: str = "held_out") -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
+
+    Without a model, one is learned from the rows whose ``held`` is false, in
+    the same pass. Rows are counted one by one, repeated ones too; a null text
+    is empty, its end is its only token. base_score is the log10 probability
+    under the smoothed unigram counts, score that under the trie: of a word
+    after its longest known context, backed off once for each longer context
+    that is known without the word. The first word's context is a document's
+    end. On an empty table the result is empty.
+
+    A block sends a distinct n-gram once, however often it occurs. N-grams
+    after a word that has more training tokens than a shard are spread over
+    several shards by the word before; those get the counts of its bigrams
+    from all of them.
+    """
+    coded, shape, _ = _coded(docs, key, text, held, spec or Settings(), model)
+    found = _tries(coded, shape, model, True)
+    kind = coded.schema["keys"].dataType.elementType
     schema = StructType([StructField(key, kind), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    mass = trained + spec.add * (vocabulary + 1)
-
-    def scores(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        total, found, _ = _ngrams(body, on, got, shards, share)
-        p = (total + spec.add) / mass
-        base = np.log10(p)
-        step = spec.least / (spec.levels - 1)
-        for weight, rows in zip(spec.weights, found, strict=False):
-            own = np.where(rows["code"] >= 0, 10.0 ** (rows["code"] * step), 0.0)
-            p = np.where(rows["context_count"] > 0, weight * own + (1 - weight) * p, p)
-        starts = np.cumsum(body["lengths"].astype(np.int64)) - body["lengths"]
-        add = lambda x: np.add.reduceat(x, starts)
+
+    def scores(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[dict]) -> Iterator[pa.RecordBatch]:
+        b = _Block(body, on, shape)
+        q = shape.scale.value(b.code)
+        q[b.live] = (_gathered(got, b.owner, "q") / -PARTS)[b.of]
+        base = np.log10((b.count + shape.add) / shape.mass)
+        add = lambda x: np.add.reduceat(x, b.starts)
         yield pa.RecordBatch.from_arrays(
-            [keys, pa.array(on), pa.array(body["lengths"].astype(np.int64)), pa.array(add((total > 0).astype(np.int64))), pa.array(np.full(len(on), trained)), pa.array(add(base)), pa.array(add(np.log10(p)))],
+            [keys, pa.array(on), pa.array(b.lengths), pa.array(add((b.count > 0).astype(np.int64))), pa.array(np.full(len(on), shape.trained)), pa.array(add(base)), pa.array(add(q))],
             schema.names,
         )
 
-    return _with_blocks(blocks, levels, schema, scores)
+    return _with_blocks(coded, found, schema, scores)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
