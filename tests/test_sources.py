@@ -67,7 +67,7 @@ def test_each_recording_is_read_by_its_own_header(spark, root):
         files.scan_recordings(spark, f"{root}/raw")
 
 
-@pytest.mark.parametrize("row", ["2020-01-01 00:00:00,-5", "yesterday,5"])
+@pytest.mark.parametrize("row", ["2020-01-01 00:00:00,-5", "yesterday,5", "2020-01-01 00:00:00,many"])
 def test_bad_recordings(spark, root, row):
     (root / "raw/control/bad.csv").write_text(f"timestamp,activity\n{row}\n")
     with pytest.raises(SchemaError, match="bad"):
@@ -89,11 +89,28 @@ def test_folds(spark, tmp_path):
         folds.repeated_folds(ids, 5, 3, [1])
 
 
+CONFIG = """
+data:
+  root: "data/raw"
+preprocessing:
+  min_days_per_participant: 7
+  excluded_features: ["q25"]
+split: {seed: 42, n_folds: 5}
+output: {results_dir: results, eda_dir: results/eda, further: 1}
+cv:
+  n_reps: 3
+"""
+
+
 def test_configuration(tmp_path):
-    good = {"data": {"root": "x"}, "preprocessing": {"exclude_features": ["q25"]}, "split": {}, "output": {}}
+    (tmp_path / "a.yaml").write_text(CONFIG)
+    found = files.load_config(f"{tmp_path}/a.yaml")
+    assert found.preprocessing == files.PreprocessingConfig(7, ("q25",)) and found.split.seed == 42
+    assert found.data.actigraphy_root == "data/raw/actigraphy" and found.cv == files.CvConfig(5, 3, "config/folds_repeated")
+    good = {"data": {"root": "x"}, "preprocessing": {"min_days_per_participant": 3, "excluded_features": []}, "split": {"seed": 1, "n_folds": 2}, "output": {"results_dir": "r", "eda_dir": "e"}}
     (tmp_path / "a.json").write_text(json.dumps(good))
-    assert files.load_config(f"{tmp_path}/a.json").preprocessing.exclude_features == ("q25",)
-    for bad in ({k: v for k, v in good.items() if k != "split"}, good | {"data": {"root": "x", "odd": 1}}):
+    assert files.load_config(f"{tmp_path}/a.json").cv == files.CvConfig()
+    for bad in ({k: v for k, v in good.items() if k != "split"}, good | {"split": {"seed": 1}}, {}):
         (tmp_path / "b.json").write_text(json.dumps(bad))
         with pytest.raises(files.ConfigError):
             files.load_config(f"{tmp_path}/b.json")
@@ -101,6 +118,42 @@ def test_configuration(tmp_path):
         files.load_config(f"{tmp_path}/none.json")
 
 
+def test_quoted_cells_and_recordings_written_back(spark, root, tmp_path):
+    (root / "raw/control/quoted.csv").write_text('note,timestamp,activity\n"a, b",2020-01-01 00:00:00,8\n"two\nlines",2020-01-01 00:01:00,9\n')
+    rows = files.scan_recordings(spark, f"{root}/raw/control")
+    assert {(r["pid"], r["activity"]) for r in rows.collect()} >= {("quoted", 8.0), ("quoted", 9.0)}
+    all_rows = files.scan_recordings(spark, f"{root}/raw")
+    files.write_recordings(all_rows, f"{tmp_path}/copy")
+    again = files.scan_recordings(spark, f"{tmp_path}/copy")
+    assert sorted(map(str, again.collect())) == sorted(map(str, all_rows.collect()))
+
+
+def test_predictions_with_metrics(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 0, 0.9), (2, 1, 0, 0.6), (3, 1, 1, 0.2)], "user long, y_true int, y_pred int, proba_0 double")
+    files.write_predictions(rows, metrics.evaluate_predictions(rows.select("y_true", "y_pred")), f"{tmp_path}/out")
+    assert spark.read.csv(f"{tmp_path}/out/predictions", header=True, inferSchema=True).count() == 3
+    assert spark.read.json(f"{tmp_path}/out/metrics").first()["macro_f1"] == pytest.approx(2 / 3)
+
+
+def test_fold_file_is_kept_unless_forced(tmp_path):
+    at = f"{tmp_path}/folds.json"
+    ids = [f"p{k:02}" for k in range(10)]
+    made = folds.write_fold_file(at, ids, 5, 2)
+    assert json.loads(open(at).read()) == made and made["metadata"]["n_participants"] == 10
+    with pytest.raises(FileExistsError):
+        folds.write_fold_file(at, ids[:6], 3, 1)
+    assert folds.write_fold_file(at, ids[:6], 3, 1, force=True)["metadata"]["n_splits"] == 3
+
+
+def test_group_folds_are_balanced():
+    sizes = {"a": 9, "b": 5, "c": 4, "d": 3, "e": 3}
+    found = folds.group_kfold(sizes, 3)
+    load = [sum(n for g, n in sizes.items() if found[g] == k) for k in range(3)]
+    assert found["a"] == 0 and sorted(load) == [7, 8, 9]
+    with pytest.raises(ValueError):
+        folds.group_kfold({"a": 1}, 2)
+
+
 @pytest.mark.parametrize("kind", ["parquet", "csv", "json"])
 def test_tables_are_overwritten(spark, tmp_path, kind):
     for n in (3, 2):

@@ -34,7 +34,7 @@ class SchemaError(ValueError):
     """A table lacks columns or holds values outside its domain."""
 
 
-def require_columns(columns: list[str], required: set[str], name: str) -> None:
+def require_columns(columns: list[str], required, name: str) -> None:
     """Raise SchemaError if a required column is missing; reads no data."""
     if missing := sorted(set(required) - set(columns)):
         raise SchemaError(f"{name}: missing columns {missing}; present are {sorted(columns)}")

@@ -8,13 +8,16 @@ all recordings, and the file's path gives the id and the label.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import re
+from dataclasses import MISSING, dataclass, field, fields
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.params import SchemaError, require_columns
+from tidewell.sources.shared import move, new_path
 
 # Cohorts, file names and required columns of the file layout.
 COHORTS = ("control", "depression", "schizophrenia", "adhd", "clinical")
@@ -22,14 +25,14 @@ FEATURE_COHORTS = ("control", "depression", "schizophrenia")
 METADATA_FILES = {c: f"{c}info.csv" for c in COHORTS}
 FEATURES_FILE = "features.csv"
 METADATA_COLUMNS = {
-    "control": {"number", "days", "gender", "age"},
-    "depression": {"number", "days", "gender", "age", "afftype", "madrs1", "madrs2"},
-    "schizophrenia": {"number", "days", "gender", "age", "schtype", "bprs"},
-    "adhd": {"number", "days", "gender", "age", "adhd", "asrs"},
-    "clinical": {"number", "days", "gender", "age", "adhd"},
+    "control": ("number", "days", "gender", "age", "acc_time"),
+    "depression": ("number", "days", "gender", "age", "madrs1", "madrs2", "afftype"),
+    "schizophrenia": ("number", "days", "gender", "age", "bprs", "schtype"),
+    "adhd": ("number", "days", "gender", "age", "adhd", "asrs"),
+    "clinical": ("number", "days", "gender", "age", "adhd"),
 }
-FEATURE_COLUMNS = {"user", "mean", "sd", "pctZeros", "median", "q25", "q75", "class"}
-RECORDING_COLUMNS = {"timestamp", "activity"}
+FEATURE_COLUMNS = ("user", "mean", "sd", "pctZeros", "median", "q25", "q75", "class")
+RECORDING_COLUMNS = ("timestamp", "activity")
 FOLDS_SCHEMA = (
     "metadata struct<n_splits:int,n_reps:int,seeds:array<bigint>,n_participants:int,participant_ids:array<string>,generated_at:string,platform:string>,"
     "repetitions array<struct<seed:bigint,folds:array<struct<test:array<string>>>>>"
@@ -37,37 +40,39 @@ FOLDS_SCHEMA = (
 
 
 class ConfigError(ValueError):
-    """A configuration lacks a section or holds an unknown key."""
+    """A configuration lacks a section or a key."""
 
 
+# Sections and keys of a configuration file.
 @dataclass(frozen=True)
 class DataConfig:
     root: str
-    activity_root: str | None = None
+    actigraphy_root: str = "data/raw/actigraphy"
 
 
 @dataclass(frozen=True)
 class PreprocessingConfig:
-    min_days: int = 7
-    exclude_features: tuple[str, ...] = ("q25",)
+    min_days_per_participant: int
+    excluded_features: tuple[str, ...]
 
 
 @dataclass(frozen=True)
 class SplitConfig:
-    n_folds: int = 5
-    seed: int = 42
+    seed: int
+    n_folds: int
 
 
 @dataclass(frozen=True)
 class OutputConfig:
-    results_dir: str = "results"
+    results_dir: str
+    eda_dir: str
 
 
 @dataclass(frozen=True)
 class CvConfig:
     n_splits: int = 5
     n_reps: int = 20
-    fixture: str = "folds.json"
+    fixture_dir: str = "config/folds_repeated"
 
 
 @dataclass(frozen=True)
@@ -79,8 +84,15 @@ class Config:
     cv: CvConfig = field(default_factory=CvConfig)
 
 
+SECTIONS = {"data": DataConfig, "preprocessing": PreprocessingConfig, "split": SplitConfig, "output": OutputConfig, "cv": CvConfig}
+
+
 def load_config(path: str) -> Config:
-    """Configuration of a JSON or YAML file on the driver; data, preprocessing, split and output must be there."""
+    """Configuration of a YAML (or, by its name, JSON) file on the driver.
+
+    All sections but cv must be there, with the keys that have no default; keys
+    beyond those known are ignored.
+    """
     with open(path, encoding="utf-8") as file:
         text = file.read()
     if path.endswith(".json"):
@@ -89,16 +101,19 @@ def load_config(path: str) -> Config:
         import yaml
 
         found = yaml.safe_load(text)
-    kinds = {"data": DataConfig, "preprocessing": PreprocessingConfig, "split": SplitConfig, "output": OutputConfig, "cv": CvConfig}
-    if missing := [k for k in kinds if k != "cv" and not isinstance((found or {}).get(k), dict)]:
+    found = found or {}
+    if missing := [k for k in SECTIONS if k != "cv" and not isinstance(found.get(k), dict)]:
         raise ConfigError(f"{path}: missing sections {missing}")
-    try:
-        return Config(**{k: kind(**{n: tuple(v) if isinstance(v, list) else v for n, v in found[k].items()}) for k, kind in kinds.items() if k in found})
-    except TypeError as error:
-        raise ConfigError(f"{path}: {error}") from error
+    made = {}
+    for name, kind in SECTIONS.items():
+        values = {f.name: found.get(name, {})[f.name] for f in fields(kind) if f.name in (found.get(name) or {})}
+        if missing := [f.name for f in fields(kind) if f.default is MISSING and f.name not in values]:
+            raise ConfigError(f"{path}: section {name} lacks {missing}")
+        made[name] = kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+    return Config(**made)
 
 
-def _csv(spark: SparkSession, path: str, required: set[str], name: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, required: tuple[str, ...], name: str) -> DataFrame:
     df = spark.read.csv(path, header=True, inferSchema=True)
     require_columns(df.columns, required, name)
     return df
@@ -133,12 +148,15 @@ def load_all(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], Data
 
 
 def validate_recordings(rows: DataFrame) -> None:
-    """One aggregate over rows (source, headed, timestamp, ts, activity): every file has a header, every time parses and no activity is negative."""
-    bad = rows.groupBy("source").agg(F.count_if(~F.col("headed")).alias("lost"), F.count_if(F.col("timestamp").isNotNull() & F.col("ts").isNull()).alias("times"), F.min("activity").alias("least"))
-    for r in bad.where("lost > 0 or times > 0 or least < 0").orderBy("source").limit(1).collect():
+    """One aggregate over rows (source, headed, timestamp, ts, value, activity): every file has a header, every time and activity parses, and no activity is negative."""
+    unread = F.col("value").isNotNull() & (F.col("value") != "") & F.col("activity").isNull()
+    bad = rows.groupBy("source").agg(F.count_if(~F.col("headed")).alias("lost"), F.count_if(F.col("timestamp").isNotNull() & F.col("ts").isNull()).alias("times"), F.count_if(unread).alias("values"), F.min("activity").alias("least"))
+    for r in bad.where("lost > 0 or times > 0 or values > 0 or least < 0").orderBy("source").limit(1).collect():
         if r["lost"]:
             raise SchemaError(f"{r['source']}: no header with the columns {sorted(RECORDING_COLUMNS)}")
-        raise SchemaError(f"{r['source']}: {r['times']} times can't be read" if r["times"] else f"{r['source']}: negative activity, {r['least']} the least")
+        if r["times"] or r["values"]:
+            raise SchemaError(f"{r['source']}: {r['times']} times and {r['values']} activities can't be read")
+        raise SchemaError(f"{r['source']}: negative activity, {r['least']} the least")
 
 
 def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | None = None, validate: bool = True) -> DataFrame:
@@ -146,19 +164,22 @@ def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | No
 
     pid is the file's name without .csv, label its folder's unless given.
     Files may differ in their further columns and in the order of columns, so
-    each is read by its own header line; without one its values are null.
+    cells are read by position and each file's own header line says which is
+    which; without one its values are null. A null or empty activity is null.
     Nothing is sorted: order belongs to the operators that need it. Repeated
     times stay.
     """
     if isinstance(paths, str):
         paths = [paths]
-    path = F.col("_metadata.file_path")
-    cell = lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', ""))
-    lines = spark.read.text(paths, pathGlobFilter="*.csv", recursiveFileLookup=True).select(path.alias("source"), F.transform(F.split("value", ","), cell).alias("cells")).where("cells <> array('')")
-    is_header = F.forall(F.array(*[F.lit(c) for c in sorted(RECORDING_COLUMNS)]), lambda c: F.array_contains("cells", c))
+    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    named = reader.text(paths).where(" and ".join(f"contains(value, '{c}')" for c in RECORDING_COLUMNS))
+    width = named.agg(F.max(F.size(F.split("value", ",")))).first()[0] or len(RECORDING_COLUMNS)
+    cells = reader.schema(", ".join(f"_{k} string" for k in range(width))).csv(paths, header=False, multiLine=True, quote='"', escape='"')
+    rows = cells.select(F.col("_metadata.file_path").alias("source"), F.transform(F.array(*cells.columns), lambda x: F.trim(x)).alias("cells"))
+    is_header = F.forall(F.array(*[F.lit(c) for c in RECORDING_COLUMNS]), lambda c: F.coalesce(F.array_contains(F.filter("cells", lambda x: x.isNotNull()), c), F.lit(False)))
     # one row a file: Spark broadcasts the headers of a study and shuffles those of very many files
-    headers = lines.where(is_header).groupBy("source").agg(F.first("cells").alias("header"))
-    rows = lines.where(~is_header).join(headers, "source", "left")
+    headers = rows.where(is_header).groupBy("source").agg(F.first(F.transform("cells", lambda x: F.coalesce(x, F.lit("")))).alias("header"))
+    rows = rows.where(~is_header).join(headers, "source", "left")
     value = lambda name: F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int"))
     part = lambda n: F.url_decode(F.regexp_extract("source", r"([^/]+)/([^/]+)\.csv$", n))
     rows = rows.select(
@@ -168,6 +189,7 @@ def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | No
         (F.lit(label) if label else part(1)).alias("label"),
         value("timestamp").alias("timestamp"),
         F.try_to_timestamp(value("timestamp"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
+        value("activity").alias("value"),
         value("activity").try_cast("double").alias("activity"),
     )
     if validate:
@@ -175,6 +197,18 @@ def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | No
     return rows.select("pid", "label", "ts", "activity")
 
 
+def write_recordings(activity: DataFrame, root: str) -> None:
+    """Write (pid, label, ts, activity) as <root>/<label>/<pid>.csv, one file a recording; a study's recordings are named by the driver."""
+    spark = activity.sparkSession
+    at = new_path(spark)
+    rows = activity.select("label", "pid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "activity")
+    rows.repartition("label", "pid").sortWithinPartitions("label", "pid", "timestamp").write.partitionBy("label", "pid").csv(at, header=True)
+    files = spark.read.option("basePath", at).option("inferSchema", False).csv(at, header=True).select(F.col("_metadata.file_path").alias("f")).distinct()
+    for (file,) in files.collect():
+        label, pid = re.search(r"/label=([^/]*)/pid=([^/]*)/[^/]*$", file).groups()
+        move(spark, unquote(file), f"{root}/{unquote(unquote(label))}/{unquote(unquote(pid))}.csv")
+
+
 def scan_all_recordings(spark: SparkSession, root: str, cohorts: tuple[str, ...] = FEATURE_COHORTS) -> DataFrame:
     """Recordings of several cohorts, each a folder of root."""
     return scan_recordings(spark, [f"{root}/{c}" for c in cohorts])
@@ -204,3 +238,9 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrite path with df as parquet, csv (with a header) or json."""
     writer = df.write.mode("overwrite")
     {"parquet": writer.parquet, "csv": lambda p: writer.option("header", True).csv(p), "json": writer.json}[kind](path)
+
+
+def write_predictions(predictions: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Write predictions as CSV to path/predictions and their metrics (see evaluate_predictions) as JSON to path/metrics."""
+    write_table(predictions, f"{path}/predictions", "csv")
+    write_table(metrics, f"{path}/metrics", "json")
