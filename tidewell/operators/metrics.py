@@ -7,12 +7,13 @@ rows.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.functions.student import t_quantile
 
@@ -52,16 +53,31 @@ def confusion_normalized(predictions: DataFrame, keys: tuple[str, ...] = ()) ->
     return joined.select(*keys, "y_true", "y_pred", F.coalesce(F.try_divide(F.col("n").cast("double"), total), F.lit(0.0)).alias("share"))
 
 
-def roc_auc(scores: DataFrame, keys: tuple[str, ...] = (), label: str = "y_true", score: str = "score") -> DataFrame:
+def confusion_fold(predictions: DataFrame, rep: int = 0, fold: int = 0) -> DataFrame:
+    """(y_true, y_pred, share): row-normalised confusion of one fold of predictions (rep, fold, y_true, y_pred)."""
+    return confusion_normalized(predictions.where((F.col("rep") == rep) & (F.col("fold") == fold)).select("y_true", "y_pred"))
+
+
+def roc_auc(scores: DataFrame, keys: tuple[str, ...] = (), label: str = "y_true", score: str = "score", parts: int = 256) -> DataFrame:
     """(keys, auc) of 0/1 labels, exact, ties counted half; null if a class is absent.
 
-    Rows are first counted by score. What is ranked is distinct scores, and the
-    running sum over them is cut by score ranges only where keys say so.
+    Rows are first counted by score. The running sum over distinct scores is
+    cut into ``parts`` ranges of scores at approximate quantiles, and the sums
+    of the ranges before are added, so no task sees all scores.
     """
     rows = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     by = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    by = by.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("pos")) / 2))
+    cuts = rows.agg(F.percentile_approx(score, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)).alias("_cuts"))
+    by = by.join(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))).drop("_cuts")
+    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys, "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    part = by.groupBy(*keys, "_p").agg(F.sum(F.col("n") - F.col("pos")).alias("_neg"))
+    before = F.sum("_neg").over(Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    by = by.withColumn("_below", F.coalesce(below, F.lit(0))).join(part, same)
+    by = by.withColumn("won", F.col("pos") * (F.col("_before") + F.col("_below") + (F.col("n") - F.col("pos")) / 2))
     total = by.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     return total.select(*keys, F.try_divide(F.col("won"), F.col("pos").cast("double") * (F.col("n") - F.col("pos"))).alias("auc"))
 
@@ -73,19 +89,20 @@ def roc_auc_macro(scores: DataFrame, labels: list) -> DataFrame:
     return each.agg(F.when(F.count("auc") == len(labels), F.avg("auc")).alias("auc"))
 
 
-def bootstrap_ci(predictions: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(lower, upper): percentiles of macro-F1 over resamples of the rows.
+def bootstrap_ci(predictions: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lower, upper): percentiles of macro-F1 over resamples of the rows.
 
     A resample draws as many rows as there are with replacement; the confusion
     counts of one are a multinomial draw from the cells, so only the cells (at
     most labels squared) meet in a task.
     """
-    cells = predictions.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    packed = cells.agg(F.sort_array(F.collect_list(F.struct(F.col("y_true").cast("string").alias("t"), F.col("y_pred").cast("string").alias("p"), "n"))).alias("cells"))
+    cells = predictions.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("y_true").cast("string").alias("t"), F.col("y_pred").cast("string").alias("p"), "n"))).alias("cells"))
 
     def draw(batches):
         for batch in batches:
-            for cells in batch["cells"]:
+            for _, row in batch.iterrows():
+                cells = row["cells"]
                 n = np.array([c["n"] for c in cells], dtype=np.int64)
                 if not len(n):
                     continue
@@ -97,11 +114,11 @@ def bootstrap_ci(predictions: DataFrame, resamples: int = 1000, seed: int = 42,
                     tp = counts[:, (t == k) & (p == k)].sum(axis=1)
                     either = counts[:, t == k].sum(axis=1) + counts[:, p == k].sum(axis=1)
                     f1[:, k] = np.where(either > 0, 2 * tp / np.maximum(either, 1), np.nan)
-                yield pd.DataFrame({"f1": np.nanmean(f1, axis=1)})
+                yield pd.DataFrame({**{k: [row[k]] * resamples for k in keys}, "f1": np.nanmean(f1, axis=1)})
 
-    drawn = packed.mapInPandas(draw, "f1 double")
+    drawn = packed.mapInPandas(draw, StructType([*[packed.schema[k] for k in keys], StructField("f1", DoubleType())]))
     tail = (1 - level) / 2
-    return drawn.agg(F.percentile("f1", tail).alias("lower"), F.percentile("f1", 1 - tail).alias("upper"))
+    return drawn.groupBy(*keys).agg(F.percentile("f1", tail).alias("lower"), F.percentile("f1", 1 - tail).alias("upper"))
 
 
 def evaluate_predictions(predictions: DataFrame, seed: int = 42) -> DataFrame:
@@ -117,10 +134,17 @@ def rep_scores(fold_scores: DataFrame) -> DataFrame:
     return fold_scores.groupBy("task", "feature_set", "rep").agg(F.avg("macro_f1").alias("score"))
 
 
+@cache
+def _t(df: int) -> float:
+    return t_quantile(0.975, df)
+
+
 def _t_critical(n):
-    """t at .975 for n-1 degrees of freedom, from the few distinct values of n up to a thousand."""
-    table = F.array(*[F.lit(None).cast("double")] * 2, *[F.lit(t_quantile(0.975, k)) for k in range(1, 60)])
-    return F.when(n <= 60, F.get(table, n.cast("int"))).otherwise(F.lit(1.959963984540054) * (1 + F.lit(1.2102) / (n - 1)))
+    """t at .975 for n-1 degrees of freedom: exact up to 60 repetitions, beyond by the first terms of its series in 1/df."""
+    table = F.array(*[F.lit(None).cast("double")] * 2, *[F.lit(_t(k)) for k in range(1, 60)])
+    z, df = 1.959963984540054, n - 1
+    series = F.lit(z) + F.lit((z**3 + z) / 4) / df + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (df * df) + F.lit((3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384) / (df * df * df)
+    return F.when(n <= 60, F.get(table, n.cast("int"))).otherwise(series)
 
 
 def summarize_reps(scores: DataFrame, reps: int | None = None) -> DataFrame:

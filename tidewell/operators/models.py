@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.folds import fold_membership
@@ -21,24 +26,33 @@ def combined_matrix(distributional: DataFrame, temporal: DataFrame, columns: lis
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(joined).select(key, "class", "features")
 
 
-def _scaled(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with the vector _x, standardised by the training rows' mean and population deviation."""
+def _scaler(train: DataFrame, columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the vector _x, standardised by the training rows' mean and population deviation."""
     stats = train.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    made = rows.withColumns({f"_z_{c}": (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns})
-    return VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_x").transform(made).drop(*[f"_z_{c}" for c in columns])
 
+    def scale(rows: DataFrame) -> DataFrame:
+        values = [((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)) for c in columns]
+        return rows.withColumn("_x", array_to_vector(F.array(*values)))
 
-def logistic_regression(train: DataFrame, test: DataFrame, columns: list[str], label: str, c: float = 1.0) -> DataFrame:
-    """test with y_pred and probabilities: L2 logistic regression with balanced class weights on standardised columns.
+    return scale
+
+
+def fit_logistic(train: DataFrame, columns: list[str], label: str, c: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds y_pred and probabilities to rows: L2 logistic regression with balanced class weights on standardised columns.
 
     label holds codes from 0. For any number of rows; Spark ML fits it.
     """
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     n = sum(counts.values())
     weights = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, n / (len(counts) * v))])
-    fitted = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8, family="multinomial" if len(counts) > 2 else "binomial").fit(_scaled(train, train, columns).withColumn("_w", weights[F.col(label)]))
-    made = fitted.transform(_scaled(train, test, columns))
-    return made.select(*test.columns, F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("probabilities"))
+    scale = _scaler(train, columns)
+    fitted = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8, family="multinomial" if len(counts) > 2 else "binomial").fit(scale(train).withColumn("_w", weights[F.col(label)]))
+    return lambda rows: fitted.transform(scale(rows)).select(*rows.columns, F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("probabilities"))
+
+
+def logistic_regression(train: DataFrame, test: DataFrame, columns: list[str], label: str, c: float = 1.0) -> DataFrame:
+    """test with y_pred and probabilities of fit_logistic on train."""
+    return fit_logistic(train, columns, label, c)(test)
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, columns: list[str], label: str, rounds: int = 200, depth: int = 4) -> DataFrame:
@@ -50,22 +64,31 @@ def boosted_trees(train: DataFrame, test: DataFrame, columns: list[str], label:
     return fitted.transform(test).select(*test.columns, F.col("prediction").cast("int").alias("y_pred"))
 
 
-def permutation_importance(predict, test: DataFrame, columns: list[str], label: str, seed: int = 42) -> list[tuple[str, float]]:
-    """(column, loss of macro-F1) when each column is shuffled among the test rows; an approximation of attributions.
+def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: DataFrame, columns: list[str], label: str, seed: int = 42, bucket_rows: int = 10_000) -> DataFrame:
+    """(feature, loss): fall of macro-F1 when a column is shuffled among the test rows; an approximation of attributions.
 
-    predict maps a DataFrame to one with y_pred. A column is shuffled by pairing
-    rows in the order of two hashes.
+    predict adds y_pred to rows. Rows are dealt by hash into buckets of about
+    bucket_rows; in each they are put in the order of another hash, and a
+    column's values move on by a number of places of its own. All columns are
+    scored in one job.
     """
-    from pyspark.sql import Window
-
-    score = lambda df: macro_f1(predict(df).select(F.col(label).alias("y_true"), "y_pred")).first()["macro_f1"]
-    base, out = score(test), []
-    for n, c in enumerate(columns):
-        rows = test.withColumn("_r", F.row_number().over(Window.orderBy(F.xxhash64(*columns, F.lit(seed)))))
-        other = test.select(F.col(c).alias("_c"), F.row_number().over(Window.orderBy(F.xxhash64(*columns, F.lit(seed + n + 1)))).alias("_r"))
-        shuffled = rows.join(other, "_r").drop(c, "_r").withColumnRenamed("_c", c).select(test.columns)
-        out.append((c, base - score(shuffled)))
-    return sorted(out, key=lambda x: -x[1])
+    n = test.count()
+    buckets = max(1, -(-n // bucket_rows))
+    rows = test.select(F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_x", "_y", F.lit(seed)), F.lit(buckets)))
+    placed = rows.select("_y", "_x", "_b", (F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_x", "_y", F.lit(seed + 1)), "_x", "_y")) - 1).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy("_b")).alias("_n"))
+    # -1 stands for the rows as they are
+    asked = placed.select("_y", "_x", "_b", "_r", "_n", F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("_k"))
+    moved = F.when(F.col("_k") < 0, 0).otherwise(1 + F.pmod(F.xxhash64("_b", "_k", F.lit(seed)), F.greatest(F.col("_n") - 1, F.lit(1))))
+    asked = asked.withColumn("_from", F.pmod(F.col("_r") + moved, F.col("_n")))
+    other = placed.select(F.col("_b").alias("_ob"), F.col("_r").alias("_or"), F.col("_x").alias("_ox"))
+    mixed = asked.join(other, (F.col("_b") == F.col("_ob")) & (F.col("_from") == F.col("_or")))
+    mixed = mixed.select("_y", "_k", F.transform("_x", lambda v, i: F.when(i == F.col("_k"), F.get(F.col("_ox"), i)).otherwise(v)).alias("_x"))
+    wide = mixed.select(F.col("_y").alias(label), "_k", *[F.col("_x")[k].alias(c) for k, c in enumerate(columns)])
+    scores = macro_f1(predict(wide).select("_k", F.col(label).alias("y_true"), "y_pred"), ("_k",))
+    base = scores.where("_k < 0").select(F.col("macro_f1").alias("_base"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return scores.where("_k >= 0").join(F.broadcast(base)).select(F.get(names, F.col("_k")).alias("feature"), (F.col("_base") - F.col("macro_f1")).alias("loss"))
 
 
 class SmallLogistic:
@@ -130,16 +153,87 @@ class Stratified:
         return np.random.RandomState(self.seed).choice(self.classes, len(x), p=self.share)
 
 
-ESTIMATORS = {"logistic": SmallLogistic, "dummy": Stratified}
+class SmallBoosted:
+    """Second-order boosted trees on the softmax, level by level over binned columns, for the few rows of one fold.
+
+    Row and column shares, depth and shrinkage are those of boosted_trees.
+    """
+
+    def __init__(self, rounds: int = 200, depth: int = 4, rate: float = 0.05, share: float = 0.8, bins: int = 32, ridge: float = 1.0, seed: int = 42):
+        self.rounds, self.depth, self.rate, self.share, self.bins, self.ridge, self.seed = rounds, depth, rate, share, bins, ridge, seed
+
+    def _binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(cuts, x[:, k], side="right") for k, cuts in enumerate(self.cuts)], axis=1)
+
+    def _tree(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list, np.ndarray]:
+        """(column, bin) of each node of each level, and the leaves' values."""
+        node, levels = np.zeros(len(x), np.int64), []
+        for depth in range(self.depth):
+            size, best = 1 << depth, None
+            for k in columns:
+                slot = node[rows] * self.bins + x[rows, k]
+                left = [np.bincount(slot, v[rows], size * self.bins).reshape(size, self.bins).cumsum(axis=1) for v in (g, h)]
+                gain = left[0] ** 2 / (left[1] + self.ridge) + (left[0][:, -1:] - left[0]) ** 2 / (left[1][:, -1:] - left[1] + self.ridge)
+                at = gain.argmax(axis=1)
+                top = gain[np.arange(size), at]
+                if best is None:
+                    best = (top, np.full(size, k), at)
+                else:
+                    better = top > best[0]
+                    best = (np.where(better, top, best[0]), np.where(better, k, best[1]), np.where(better, at, best[2]))
+            levels.append(best[1:])
+            node = 2 * node + (x[np.arange(len(x)), best[1][node]] > best[2][node])
+        sums = [np.bincount(node[rows], v[rows], 1 << self.depth) for v in (g, h)]
+        return levels, -self.rate * sums[0] / (sums[1] + self.ridge)
+
+    def _leaf(self, x: np.ndarray, levels: list) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for column, cut in levels:
+            node = 2 * node + (x[np.arange(len(x)), column[node]] > cut[node])
+        return node
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> SmallBoosted:
+        self.cuts = [np.unique(np.quantile(x[:, k], np.arange(1, self.bins) / self.bins)) for k in range(x.shape[1])]
+        self.classes, codes = np.unique(y, return_inverse=True)
+        binned, target = self._binned(x), np.eye(len(self.classes))[codes]
+        rng, score, self.trees = np.random.RandomState(self.seed), np.zeros(target.shape), []
+        for _ in range(self.rounds):
+            p = _softmax(score)
+            rows = np.flatnonzero(rng.random_sample(len(x)) < self.share)
+            columns = rng.permutation(x.shape[1])[: max(1, round(self.share * x.shape[1]))]
+            of_round = [self._tree(binned, p[:, k] - target[:, k], np.maximum(p[:, k] * (1 - p[:, k]), 1e-9), rows, columns) for k in range(len(self.classes))]
+            self.trees.append(of_round)
+            for k, (levels, leaves) in enumerate(of_round):
+                score[:, k] += leaves[self._leaf(binned, levels)]
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        binned, score = self._binned(x), np.zeros((len(x), len(self.classes)))
+        for of_round in self.trees:
+            for k, (levels, leaves) in enumerate(of_round):
+                score[:, k] += leaves[self._leaf(binned, levels)]
+        return self.classes[score.argmax(axis=1)]
+
+
+def _softmax(s: np.ndarray) -> np.ndarray:
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+ESTIMATORS = {"logistic": SmallLogistic, "dummy": Stratified, "boosted": SmallBoosted}
+#: A study's participants (and days) fit one task; larger tables are for large_fold_predictions.
+STUDY_ROWS = 200_000
 
 
 def fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str = "logistic") -> DataFrame:
     """(rep, fold, pid, y_true, y_pred): the test rows of every fold, each predicted by a model of the fold's other rows.
 
     data: pid, label, columns. All fits run as tasks of one job, each in a
-    Python worker that holds one fold's rows; this is for study-sized data, and
-    logistic_regression is for large.
+    Python worker that holds one fold's rows. That is for a study's data: more
+    than STUDY_ROWS rows are refused (see large_fold_predictions).
     """
+    if (n := data.count()) > STUDY_ROWS:
+        raise ValueError(f"{n} rows are more than a study's; use large_fold_predictions")
     make = ESTIMATORS[estimator]
     rows = fold_membership(folds, data).join(data.select(F.col("pid").cast("string").alias("pid"), F.col(label).alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "pid")
 
@@ -154,6 +248,43 @@ def fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], labe
     return rows.groupBy("rep", "fold").applyInPandas(fit, f"rep int, fold int, pid string, y_true {kind}, y_pred {kind}")
 
 
+def stratified_predictions(data: DataFrame, folds: DataFrame, label: str = "y", seed: int = 0) -> DataFrame:
+    """(rep, fold, pid, y_true, y_pred) of random labels in the proportions of each fold's training labels, for any number of rows.
+
+    A row's draw is a hash of seed, repetition and pid; labels in their order
+    share the range of the hash.
+    """
+    people = data.select(F.col("pid").cast("string").alias("pid"), F.col(label).alias("y_true"))
+    tested = folds.select("rep", "fold", "pid").join(people, "pid")
+    every = people.groupBy("y_true").agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct("y_true", "n"))).alias("every"))
+    mine = tested.groupBy("rep", "fold", "y_true").agg(F.count(F.lit(1)).alias("n")).groupBy("rep", "fold").agg(F.map_from_entries(F.collect_list(F.struct("y_true", "n"))).alias("mine"))
+    left = lambda x: x["n"] - F.coalesce(F.element_at("mine", x["y_true"]), F.lit(0))
+    up_to = lambda k: F.aggregate(F.slice("every", F.lit(1), k + 1), F.lit(0).cast("long"), lambda a, x: a + left(x))
+    shares = mine.join(F.broadcast(every)).select("rep", "fold", F.transform("every", lambda x, k: F.struct(x["y_true"].alias("label"), up_to(k).alias("to"))).alias("shares"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), "pid")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    rows = tested.join(shares, ["rep", "fold"]).withColumn("_at", draw * F.element_at("shares", -1)["to"])
+    return rows.select("rep", "fold", "pid", "y_true", F.filter("shares", lambda x: F.col("_at") < x["to"])[0]["label"].alias("y_pred"))
+
+
+def large_fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", at_once: int = 4) -> DataFrame:
+    """(rep, fold, pid, y_true, y_pred) of fit_logistic for every fold, for any number of rows.
+
+    Each fold is a fit of its own over all executors, ``at_once`` of them side
+    by side; there are n_splits * n_reps folds, whatever the size of data.
+    """
+    rows = data.withColumn("pid", F.col("pid").cast("string"))
+    names = sorted((r["rep"], r["fold"]) for r in folds.select("rep", "fold").distinct().collect())
+
+    def one(name: tuple[int, int]) -> DataFrame:
+        ids = folds.where((F.col("rep") == name[0]) & (F.col("fold") == name[1])).select("pid").distinct()
+        test = rows.join(ids, "pid", "left_semi")
+        made = fit_logistic(rows.join(ids, "pid", "left_anti"), columns, label)(test)
+        return made.select(F.lit(name[0]).alias("rep"), F.lit(name[1]).alias("fold"), "pid", F.col(label).alias("y_true"), F.col("y_pred"))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.union, pool.map(inheritable_thread_target(data.sparkSession)(one), names))
+
+
 def evaluate_repeated(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str = "logistic") -> DataFrame:
     """(rep, fold, macro_f1) of every fold."""
     return macro_f1(fold_predictions(data, folds, columns, label, estimator), ("rep", "fold"))

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.metrics import paired_summary, rep_scores, summarize_reps
+from tidewell.operators.folds import hashed_folds
+from tidewell.operators.metrics import bootstrap_ci, macro_f1, paired_summary, rep_scores, summarize_reps
 from tidewell.operators.models import evaluate_repeated, fold_predictions
+from tidewell.operators.prep import to_participant_level
+from tidewell.sources.shared import new_path
 
 #: (task, feature set): three classes or control against patient, by kind of features.
 CONDITIONS = tuple((task, kind) for task in ("2class", "3class") for kind in ("dummy", "distributional", "temporal", "combined"))
@@ -24,21 +27,46 @@ PAIRS = [
 def run_experiment(data: DataFrame, folds: DataFrame, distributional: list[str], temporal: list[str], label: str = "class") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw scores, summary, paired): all conditions on the same folds.
 
-    data: pid, label, feature columns without nulls.
+    data: pid, label, feature columns without nulls. Raw scores are written to
+    the shared folder once, and the tables are made from them.
     """
+    spark = data.sparkSession
     sets = {"dummy": distributional, "distributional": distributional, "temporal": temporal, "combined": [*distributional, *temporal]}
     tasks = {"2class": F.when(F.col(label) == "control", "control").otherwise("patient"), "3class": F.col(label)}
     parts = []
     for task, kind in CONDITIONS:
         scored = evaluate_repeated(data.withColumn("_y", tasks[task]), folds, sets[kind], "_y", "dummy" if kind == "dummy" else "logistic")
         parts.append(scored.select(F.lit(task).alias("task"), F.lit(kind).alias("feature_set"), "rep", "fold", F.round("macro_f1", 5).alias("macro_f1")))
-    raw = reduce(DataFrame.union, parts).persist()
+    at = new_path(spark)
+    reduce(DataFrame.union, parts).write.parquet(at)
+    raw = spark.read.parquet(at)
     reps = rep_scores(raw)
     return raw, summarize_reps(reps), paired_summary(reps, PAIRS)
 
 
-def experiment_grid(tables: dict[str, DataFrame], folds: DataFrame, columns: list[str], label: str = "class", estimators: tuple[str, ...] = ("dummy", "logistic")) -> DataFrame:
-    """(track, estimator, pid, y_true, y_pred): out-of-fold predictions of every table and estimator, pooled over the folds of the first repetition."""
-    first = folds.where("rep = 0")
-    parts = [fold_predictions(df, first, columns, label, e).select(F.lit(t).alias("track"), F.lit(e).alias("estimator"), "pid", "y_true", "y_pred") for t, df in tables.items() for e in estimators]
+def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, user: str = "user", label: str = "class", estimators: tuple[str, ...] = ("dummy", "logistic", "boosted")) -> DataFrame:
+    """(track, aggregation, estimator, pid, y_true, y_pred): out-of-fold predictions of the per-day feature table.
+
+    Tracks are three classes and control against patient, aggregations days
+    and participants (means, most frequent class). Folds are by participant,
+    so the days of one are tested together. A day's pid is user:day.
+    """
+    people = to_participant_level(features, tuple(columns))
+    tables = {"per_day": features.withColumn("pid", F.concat_ws(":", F.col(user).cast("string"), F.col("day").cast("string"))), "per_participant": people.withColumn("pid", F.col(user).cast("string"))}
+    of = hashed_folds(people.select(F.col(user).cast("string").alias("pid")), n_folds, 1).select("rep", "fold", F.col("pid").alias("_user"))
+    tracks = {"3class": F.col(label), "2class": F.when(F.col(label) == "control", "control").otherwise("patient")}
+    parts = []
+    for track, y in tracks.items():
+        for aggregation, df in tables.items():
+            rows = df.select("pid", F.col(user).cast("string").alias("_user"), y.alias("_y"), *columns).fillna(0.0, columns)
+            folds = of.join(rows.select("pid", "_user"), "_user").select("rep", "fold", "pid")
+            for e in estimators:
+                made = fold_predictions(rows, folds, columns, "_y", e)
+                parts.append(made.select(F.lit(track).alias("track"), F.lit(aggregation).alias("aggregation"), F.lit(e).alias("estimator"), "pid", "y_true", "y_pred"))
     return reduce(DataFrame.union, parts)
+
+
+def grid_summary(predictions: DataFrame) -> DataFrame:
+    """(track, aggregation, estimator, macro_f1, lower, upper) of experiment_grid's predictions."""
+    keys = ("track", "aggregation", "estimator")
+    return macro_f1(predictions, keys).join(bootstrap_ci(predictions, keys=keys), list(keys))

@@ -90,6 +90,7 @@ FIVE = ("mean", "sd", "pctZeros", "median", "q75")
 LEVEL = f"""level AS (SELECT * FROM (SELECT "user", {", ".join(f'avg("{c}") AS "{c}"' for c in FIVE)} FROM feats GROUP BY "user") JOIN (SELECT "user", class FROM (SELECT "user", class, row_number() OVER (PARTITION BY "user" ORDER BY count(*) DESC, class) AS k FROM feats GROUP BY "user", class) WHERE k = 1) USING ("user"))"""
 TEMPORAL = f"""temporal AS (SELECT CAST(coalesce(a.pid, b.pid) AS BIGINT) AS "user", coalesce(intradaily_variability, 0.0) AS variability, coalesce(interdaily_stability, 0.0) AS stability FROM ({variability(720)}) a FULL JOIN ({stability(7, 720)}) b ON a.pid = b.pid)"""
 PRED = "pred AS (SELECT l.doc_id, l.quality AS y_true, CAST(CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS INTEGER) AS y_pred, CAST(d.n_chars AS DOUBLE) AS score, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+PRED_FOLD = "predf AS (SELECT * FROM pred WHERE CAST(('0x' || substr(md5('0:' || doc_id), 1, 8)) AS BIGINT) % 5 = 0)"
 PEOPLE = "people AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS pid FROM events)"
 
 
@@ -128,7 +129,28 @@ def six(columns=SIX) -> str:
     return ", ".join(r(f'"{c}"', f'"{c}"') for c in columns)
 
 
+RECORDED = "recorded AS (SELECT event_type AS pid, (['control', 'depression', 'schizophrenia'])[ascii(event_type) % 3 + 1] AS label, date_trunc('second', ts) AS ts, value AS activity FROM events)"
+EMB = """emb AS (SELECT CAST(vec_id AS VARCHAR) AS pid, label AS y FROM embeddings), people AS (SELECT DISTINCT pid FROM emb)"""
+DRAWN = """tested AS (SELECT f.rep, f.fold, f.pid, e.y FROM folds f JOIN emb e ON f.pid = e.pid),
+every AS (SELECT y, count(*) AS n FROM emb GROUP BY y),
+mine AS (SELECT rep, fold, y, count(*) AS n FROM tested GROUP BY 1, 2, 3),
+shares AS (SELECT g.rep, g.fold, e.y, sum(e.n - coalesce(m.n, 0)) OVER (PARTITION BY g.rep, g.fold ORDER BY e.y) AS upto, sum(e.n - coalesce(m.n, 0)) OVER (PARTITION BY g.rep, g.fold) AS total
+  FROM (SELECT DISTINCT rep, fold FROM folds) g CROSS JOIN every e LEFT JOIN mine m ON m.rep = g.rep AND m.fold = g.fold AND m.y = e.y),
+drawn AS (SELECT *, CAST(CAST(('0x' || substr(md5('0:' || rep || ':' || pid), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM tested)"""
+
 ORACLE = {
+    "s4_scan_cohort": q(META, body="SELECT number, days, gender, age, number % 7 AS acc_time, cohort FROM meta WHERE cohort = 'control'"),
+    "s5_scan_metadata": q(META, body="SELECT number, days, gender, age, CASE WHEN cohort = 'control' THEN number % 7 END AS acc_time, CASE WHEN cohort IN ('adhd', 'clinical') THEN number % 7 END AS adhd, cohort FROM meta"),
+    "s6_scan_features": q(FEATURES, body=f'SELECT "user", class, {six()} FROM feats'),
+    "s8_scan_recordings": q(RECORDED, body="SELECT pid, label, ts, activity FROM recorded"),
+    "s10_scan_cohort_dir": q(RECORDED, body="SELECT pid, 'mine' AS label, ts, activity FROM recorded WHERE label = 'control'"),
+    "s11_scan_all_recordings": q(RECORDED, body="SELECT pid, label, ts, activity FROM recorded WHERE label IN ('control', 'depression')"),
+    "s12_s13_folds_read_back": q(PEOPLE, hashed(2), body="SELECT rep, fold, pid FROM folds"),
+    "s14_results_read_back": q(REPS, SUMMARY, body="SELECT * FROM summary"),
+    "s15_predictions_read_back": q(PRED, body="SELECT doc_id, y_true, y_pred, score, toxic FROM pred"),
+    "p8_temporal_columns": q(USER, binned(720), FEATURES, LEVEL, TEMPORAL, body=f'SELECT l."user", {r("t.variability", "variability")}, {r("t.stability", "stability")} FROM level l JOIN temporal t ON l."user" = t."user"'),
+    "p9_distributional_columns": q(USER, binned(720), FEATURES, LEVEL, TEMPORAL, body='SELECT l."user", ' + ", ".join(r(f'coalesce(l."{c}", 0.0)', f'"{c}"') for c in FIVE) + ' FROM level l JOIN temporal t ON l."user" = t."user"'),
+    "m2_dummy": q(EMB, hashed(20), DRAWN, body="SELECT d.rep, d.fold, d.pid, d.y AS y_true, min(s.y) AS y_pred FROM drawn d JOIN shares s ON d.rep = s.rep AND d.fold = s.fold WHERE d.u * s.total < s.upto GROUP BY d.rep, d.fold, d.pid, d.y"),
     "p1_min_days_filter": q(META, body="SELECT * FROM meta WHERE days >= 20"),
     "p2_exclude_features": q(FEATURES, body=f'SELECT "user", day, class, {six(FIVE)} FROM feats'),
     "p4_clip_fill": f"SELECT event_type AS pid, ts, {r('greatest(coalesce(value, 0) - 20, 0.0)', 'activity')} FROM events",
@@ -143,7 +165,7 @@ ORACLE = {
     "j4_fold_membership": q(PEOPLE, hashed(2), body="SELECT g.rep, g.fold, p.pid, f.pid IS NOT NULL AS is_test FROM people p CROSS JOIN (SELECT DISTINCT rep, fold FROM folds) g LEFT JOIN folds f ON f.rep = g.rep AND f.fold = g.fold AND f.pid = p.pid"),
     "j7_epochs_of_nights": q(DENSE, binned(), LABELS, ONSETS, EPOCHS, body="SELECT pid, day, count(*) AS n, min(ts) AS first, max(ts) AS last, CAST(sum(label) AS BIGINT) AS awake FROM epochs GROUP BY pid, day"),
     "j8_fixture_rows": q(PEOPLE, hashed(2), FEATURES, body="""SELECT f.rep, f.fold, r.idx FROM folds f JOIN (SELECT CAST("user" AS VARCHAR) AS pid, CAST(max(datediff('day', DATE '2024-01-01', day)) AS INTEGER) AS idx FROM feats GROUP BY 1) r USING (pid)"""),
-    "j9_compare_folds": q(PEOPLE, body="SELECT pid, 'extra' AS side FROM people WHERE CAST(pid AS BIGINT) % 7 <> 0 AND CAST(pid AS BIGINT) % 11 = 0 UNION ALL SELECT pid, 'missing' FROM people WHERE CAST(pid AS BIGINT) % 11 <> 0 AND CAST(pid AS BIGINT) % 7 = 0"),
+    "j9_compare_folds": q(PEOPLE, body="SELECT pid, 'extra' AS side FROM people WHERE CAST(pid AS BIGINT) % 5 >= 3"),
     "t1_bin_activity": q(RAW, binned(), body=f"SELECT pid, day, pos, {r('x', 'x')} FROM bins"),
     "t2_full_day_dates": q(RAW, binned(), body="SELECT DISTINCT pid, day FROM fulls"),
     "t3_count_full_days": q(RAW, binned(), body="SELECT b.pid, coalesce(d.n_days, 0) AS n_days FROM (SELECT DISTINCT pid FROM bins) b LEFT JOIN days d ON b.pid = d.pid"),
@@ -190,10 +212,15 @@ FROM (SELECT *, list_sum(w) / 11 AS m FROM (SELECT pid, ts, x, [{", ".join(f"coa
     "m7_confusion_normalized": q(PRED, body=f"""SELECT t.toxic, t.l AS y_true, p.l AS y_pred, {r('coalesce(n / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY t.toxic, t.l), 0), 0)', 'share')}
 FROM (SELECT toxic, y_true AS l FROM pred UNION SELECT toxic, y_pred FROM pred) t JOIN (SELECT toxic, y_true AS l FROM pred UNION SELECT toxic, y_pred FROM pred) p ON t.toxic = p.toxic
 LEFT JOIN (SELECT toxic, y_true, y_pred, count(*) AS n FROM pred GROUP BY 1, 2, 3) c ON c.toxic = t.toxic AND c.y_true = t.l AND c.y_pred = p.l"""),
+    "m8_confusion_fold": q(PRED, PRED_FOLD, body=f"""SELECT t.l AS y_true, p.l AS y_pred, {r('coalesce(n / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY t.l), 0), 0)', 'share')}
+FROM (SELECT y_true AS l FROM predf UNION SELECT y_pred FROM predf) t JOIN (SELECT y_true AS l FROM predf UNION SELECT y_pred FROM predf) p ON true
+LEFT JOIN (SELECT y_true, y_pred, count(*) AS n FROM predf GROUP BY 1, 2) c ON c.y_true = t.l AND c.y_pred = p.l"""),
     "m9_roc_auc": q(PRED, body=auc("toxic")),
     "m9_roc_auc_macro": q(PRED, "both_ AS (SELECT 'a' AS label, y_true, score FROM pred UNION ALL SELECT 'b', 1 - y_true, -score FROM pred)", body=f"SELECT {r('avg(auc)', 'auc')} FROM ({auc('label', 'both_')})"),
+    "m12_rep_scores": f"SELECT task, feature_set, rep, {r('avg(f)', 'score')} FROM (SELECT CASE WHEN event_id % 2 = 0 THEN '2class' ELSE '3class' END AS task, CASE WHEN user_id % 2 = 0 THEN 'distributional' ELSE 'combined' END AS feature_set, CAST(event_id % 20 AS INTEGER) AS rep, user_id % 5 AS fold, avg(value) AS f FROM events GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
     "m13_summarize_reps": q(REPS, SUMMARY, body="SELECT * FROM summary"),
     "m14_paired_summary": q(REPS, body=f"SELECT label, n AS n_reps, round(m, 4) AS mean_diff, round(s, 4) AS sd_diff, round(m - {_T} * s / sqrt(n), 4) AS ci_lo_diff, round(m + {_T} * s / sqrt(n), 4) AS ci_hi_diff, round(p, 3) AS frac_positive FROM (SELECT a.task || '/combined-distributional' AS label, count(*) AS n, avg(b.score - a.score) AS m, stddev_samp(b.score - a.score) AS s, avg(CAST(b.score - a.score > 0 AS INTEGER)) AS p FROM reps a JOIN reps b ON a.task = b.task AND a.rep = b.rep AND a.feature_set = 'distributional' AND b.feature_set = 'combined' GROUP BY 1)"),
+    "m15_results_tables_paired": q(REPS, body=f"SELECT label, n AS n_reps, round(m, 4) AS mean_diff, round(s, 4) AS sd_diff, round(m - {_T} * s / sqrt(n), 4) AS ci_lo_diff, round(m + {_T} * s / sqrt(n), 4) AS ci_hi_diff, round(p, 3) AS frac_positive FROM (SELECT a.task || '/combined-distributional' AS label, count(*) AS n, avg(b.score - a.score) AS m, stddev_samp(b.score - a.score) AS s, avg(CAST(b.score - a.score > 0 AS INTEGER)) AS p FROM reps a JOIN reps b ON a.task = b.task AND a.rep = b.rep AND a.feature_set = 'distributional' AND b.feature_set = 'combined' GROUP BY 1)"),
     "m15_results_tables": q(REPS, SUMMARY, body="SELECT * FROM summary"),
     "m19_comparison_table": q(REPS, SUMMARY, body="SELECT task, feature_set, mean_f1 AS height, round(mean_f1 - ci_lo_mean, 4) AS error_low, round(ci_hi_mean - mean_f1, 4) AS error_high FROM summary"),
     "m20_combined_matrix": q(USER, binned(720), FEATURES, LEVEL, TEMPORAL, body=f'SELECT l."user", l.class, list_transform([{", ".join(f"coalesce(l.{chr(34)}{c}{chr(34)}, 0.0)" for c in FIVE)}, t.variability, t.stability], lambda y: round(y, 6) + 0.0) AS features FROM level l JOIN temporal t ON l."user" = t."user"'),

@@ -8,6 +8,8 @@ embeddings.
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from tidewell.functions import expressions as E
 from tidewell.operators import binning, folds, metrics, models, prep, rhythm, sleep, summaries
 from tidewell.plans import experiment
 from tidewell.plans.features import extract_features
-from tidewell.sources import adapters
+from tidewell.sources import adapters, files
+from tidewell.sources.shared import new_path
 
 GAIN = 4.0
 PLACES = 6
@@ -71,11 +74,11 @@ def predictions(spark, sf) -> DataFrame:
     return rows.select("doc_id", F.col("quality").alias("y_true"), (F.col("n_chars") >= 1000).cast("int").alias("y_pred"), F.col("n_chars").cast("double").alias("score"), "toxic")
 
 
-def vectors(spark, sf, size=8) -> DataFrame:
-    return _read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("pid"), F.col("label").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(size)])
+VECTOR = [f"e{k}" for k in range(64)]
 
 
-VECTOR = [f"e{k}" for k in range(8)]
+def vectors(spark, sf) -> DataFrame:
+    return _read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("pid"), F.col("label").alias("y"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(VECTOR)])
 
 
 def people(spark, sf) -> DataFrame:
@@ -107,11 +110,22 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(extract_features(dense(spark, sf)))
 
 
+_EXPERIMENTS: dict[tuple, tuple] = {}
+
+
 def experiment_scores(spark, sf, part=1) -> DataFrame:
-    data = study(spark, sf)
-    ids = [r["pid"] for r in data.select("pid").collect()]  # a study's participants, as for any fold document
-    made = folds.folds_frame(spark, folds.repeated_folds(ids, 5, 3))
-    return experiment.run_experiment(data, made, list(prep.DISTRIBUTIONAL), ["variability", "stability"])[part]
+    """Raw scores, summary or pairs of all eight conditions over 20 repetitions of 5 folds; run once a session and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _EXPERIMENTS:
+        data = study(spark, sf)
+        _EXPERIMENTS[at] = experiment.run_experiment(data, folds.hashed_folds(data), list(prep.DISTRIBUTIONAL), ["variability", "stability"])
+    return _EXPERIMENTS[at][part]
+
+
+def fold_scores(spark, sf) -> DataFrame:
+    """(task, feature_set, rep, fold, macro_f1) out of a deterministic rule, for the statistics."""
+    rows = _read(spark, sf, "events").select(F.when(F.col("event_id") % 2 == 0, "2class").otherwise("3class").alias("task"), F.when(F.col("user_id") % 2 == 0, "distributional").otherwise("combined").alias("feature_set"), (F.col("event_id") % 20).cast("int").alias("rep"), (F.col("user_id") % 5).cast("int").alias("fold"), "value")
+    return rows.groupBy("task", "feature_set", "rep", "fold").agg(F.avg("value").alias("macro_f1"))
 
 
 def rep_table(spark, sf) -> DataFrame:
@@ -143,22 +157,77 @@ def _logistic(spark, sf):
 
 
 def _boosted(spark, sf):
-    rows = vectors(spark, sf).withColumn("id", F.col("pid").cast("long")).withColumn("y", (F.col("y") % 2).cast("int"))
-    made = models.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), VECTOR, "y", rounds=10, depth=3)
+    # 20 rounds for one of ten classes; README has the cost of the full job
+    rows = vectors(spark, sf).withColumn("id", F.col("pid").cast("long")).withColumn("y", (F.col("y") == 0).cast("int"))
+    made = models.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), VECTOR, "y", rounds=20)
     return metrics.macro_f1(made.select(F.col("y").alias("y_true"), "y_pred"))
 
 
-def _vector_folds(spark, sf, estimator):
+def _evaluated(spark, sf):
     rows = vectors(spark, sf)
-    return models.evaluate_repeated(rows, folds.hashed_folds(rows, 5, 2), VECTOR, "y", estimator)
+    return metrics.macro_f1(models.large_fold_predictions(rows, folds.hashed_folds(rows, 5, 2), VECTOR), ("rep", "fold"))
 
 
 def _importance(spark, sf):
-    rows = vectors(spark, sf, 4).withColumn("id", F.col("pid").cast("long"))
-    names = [f"e{k}" for k in range(4)]
-    train = rows.where("id % 5 <> 0")
-    found = models.permutation_importance(lambda df: models.logistic_regression(train, df, names, "y"), rows.where("id % 5 = 0"), names, "y")
-    return spark.createDataFrame(found, "feature string, loss double")
+    rows = vectors(spark, sf).withColumn("id", F.col("pid").cast("long"))
+    predict = models.fit_logistic(rows.where("id % 5 <> 0"), VECTOR, "y")
+    return models.permutation_importance(predict, rows.where("id % 5 = 0"), VECTOR, "y")
+
+
+def _confusion_fold(spark, sf):
+    rows = predictions(spark, sf).withColumn("pid", F.col("doc_id").cast("string"))
+    return metrics.confusion_fold(rows.join(folds.hashed_folds(rows, 5, 1), "pid"))
+
+
+def cohort_files(spark, sf) -> str:
+    """A folder with the metadata of all cohorts and the features, as their files."""
+    root = new_path(spark)
+    for cohort, name in files.METADATA_FILES.items():
+        own = metadata(spark, sf).where(F.col("cohort") == cohort).drop("cohort")
+        more = [c for c in files.METADATA_COLUMNS[cohort] if c not in own.columns]
+        files.write_table(own.withColumns({c: F.col("number") % 7 for c in more}).select(*files.METADATA_COLUMNS[cohort]).coalesce(1), f"{root}/{name}", "csv")
+    files.write_table(features(spark, sf).select(*files.FEATURE_COLUMNS), f"{root}/{files.FEATURES_FILE}", "csv")
+    return root
+
+
+def recording_files(spark, sf) -> str:
+    """A folder of recordings, one for each event type, dealt among the cohorts with features."""
+    root = new_path(spark)
+    cohort = F.get(F.array(*[F.lit(c) for c in files.FEATURE_COHORTS]), F.ascii("pid") % 3)
+    files.write_recordings(raw(spark, sf).withColumn("label", cohort), root)
+    return root
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
+
+
+def _folds_read_back(spark, sf):
+    made = sorted(map(tuple, folds.hashed_folds(people(spark, sf), 5, 2).collect()))  # a fold document is as small as a study
+    tests: dict[tuple, list] = {}
+    for rep, fold, pid in made:
+        tests.setdefault((rep, fold), []).append(pid)
+    ids = sorted({pid for *_, pid in made})
+    doc = {
+        "metadata": {"n_splits": 5, "n_reps": 2, "seeds": [0, 1], "n_participants": len(ids), "participant_ids": ids, "generated_at": "", "platform": ""},
+        "repetitions": [{"seed": rep, "folds": [{"test": tests.get((rep, fold), [])} for fold in range(5)]} for rep in range(2)],
+    }
+    at = f"{new_path(spark)}/folds.json"
+    files.write_folds(doc, urlparse(at).path)
+    return files.read_folds(spark, at)
+
+
+def _results_read_back(spark, sf):
+    at = new_path(spark)
+    made = metrics.summarize_reps(rep_table(spark, sf))
+    files.write_table(made, at, "csv")
+    return spark.read.schema(made.schema).csv(at, header=True)
+
+
+def _predictions_read_back(spark, sf):
+    at, rows = new_path(spark), predictions(spark, sf)
+    files.write_predictions(rows, metrics.evaluate_predictions(rows.select("y_true", "y_pred")), at)
+    return spark.read.schema(rows.schema).csv(f"{at}/predictions", header=True)
 
 
 def _matrix(spark, sf):
@@ -183,19 +252,30 @@ def _fixture(spark, sf):
 
 
 def _compare_folds(spark, sf):
-    made = folds.hashed_folds(people(spark, sf).where("cast(pid as long) % 7 <> 0"), 5, 2)
-    return folds.compare_folds(made, people(spark, sf).where("cast(pid as long) % 11 <> 0"))
+    """Folds of all users of events against the participants that have features."""
+    return folds.compare_folds(folds.hashed_folds(people(spark, sf), 5, 2), features(spark, sf).select(F.col("user").cast("string").alias("pid")))
 
 
 PAIR = [("2class", "distributional", "combined"), ("3class", "distributional", "combined")]
 
 QUERIES = {
+    "s4_scan_cohort": lambda s, d: _whole(files.scan_cohort(s, f"{cohort_files(s, d)}/controlinfo.csv", "control")),
+    "s5_scan_metadata": lambda s, d: _whole(files.all_metadata(files.scan_metadata(s, cohort_files(s, d))).select("number", "days", "gender", "age", "acc_time", "adhd", "cohort")),
+    "s6_scan_features": lambda s, d: rounded(_whole(files.load_all(s, cohort_files(s, d))[1])),
+    "s8_scan_recordings": lambda s, d: files.scan_recordings(s, recording_files(s, d)),
+    "s10_scan_cohort_dir": lambda s, d: files.scan_recordings(s, f"{recording_files(s, d)}/control", "mine"),
+    "s11_scan_all_recordings": lambda s, d: files.scan_all_recordings(s, recording_files(s, d), ("control", "depression")),
+    "s12_s13_folds_read_back": _folds_read_back,
+    "s14_results_read_back": _results_read_back,
+    "s15_predictions_read_back": _predictions_read_back,
     "p1_min_days_filter": lambda s, d: prep.min_days_filter(metadata(s, d), 20),
     "p2_exclude_features": lambda s, d: rounded(prep.exclude_features(features(s, d), ("q25", "absent"))),
     "p4_clip_fill": lambda s, d: rounded(raw(s, d).select("pid", "ts", E.non_negative(F.col("activity") - 20).alias("activity"))),
     "p5_relabel_binary": lambda s, d: metadata(s, d).select("number", E.binary_label(F.col("cohort")).alias("label")),
     "p6_binary_codes": lambda s, d: metadata(s, d).select("number", E.binary_code(F.col("cohort")).alias("code")),
     "p7_label_encode": lambda s, d: prep.label_codes(metadata(s, d).select("number", "cohort"), "cohort"),
+    "p8_temporal_columns": lambda s, d: rounded(study(s, d).select("user", *prep.temporal_columns(study(s, d).columns))),
+    "p9_distributional_columns": lambda s, d: rounded(study(s, d).select("user", *prep.distributional_columns(study(s, d).columns))),
     "p10_r2_filter": lambda s, d: rounded(prep.reliable(acrophases(s, d)), 8),
     "p11_p12_amplitudes": lambda s, d: rounded(rhythm.least_active_period(full(s, d)).join(rhythm.most_active_period(full(s, d)), "pid").select("pid", E.amplitude(F.col("l_value"), F.col("m_value")).alias("amplitude"), E.relative_amplitude(F.col("l_value"), F.col("m_value")).alias("relative_amplitude"), E.hours_of(F.col("l_onset_min")).alias("onset_hours"))),
     "j1_valid_users": lambda s, d: rounded(prep.valid_users(features(s, d), prep.min_days_filter(metadata(s, d), 20))),
@@ -244,21 +324,26 @@ QUERIES = {
     "f2_fold_invariants": lambda s, d: folds.fold_invariants(folds.hashed_folds(people(s, d), 5, 4), 4),
     "f5_group_kfold": lambda s, d: s.createDataFrame(list(folds.group_kfold({str(r["cohort"]): r["count"] for r in metadata(s, d).groupBy("cohort").count().collect()}, 3).items()), "cohort string, fold int"),
     "m1_logistic_regression": _logistic,
-    "m2_dummy": lambda s, d: _vector_folds(s, d, "dummy"),
+    "m2_dummy": lambda s, d: models.stratified_predictions(vectors(s, d), folds.hashed_folds(vectors(s, d))),
     "m3_boosted_trees": _boosted,
-    "m4_evaluate_repeated": lambda s, d: _vector_folds(s, d, "logistic"),
+    "m4_evaluate_repeated": _evaluated,
     "m5_macro_f1": lambda s, d: rounded(metrics.macro_f1(predictions(s, d), ("toxic",))),
     "m6_per_class_metrics": lambda s, d: rounded(metrics.per_class_metrics(predictions(s, d))),
     "m7_confusion_normalized": lambda s, d: rounded(metrics.confusion_normalized(predictions(s, d), ("toxic",))),
+    "m8_confusion_fold": lambda s, d: rounded(_confusion_fold(s, d)),
     "m9_roc_auc": lambda s, d: rounded(_auc_parts(s, d)),
     "m9_roc_auc_macro": lambda s, d: rounded(_auc_macro(s, d)),
     "m10_bootstrap_ci": lambda s, d: metrics.bootstrap_ci(predictions(s, d)),
     "m11_evaluate_predictions": lambda s, d: metrics.evaluate_predictions(predictions(s, d).select("y_true", "y_pred")),
+    "m12_rep_scores": lambda s, d: rounded(metrics.rep_scores(fold_scores(s, d))),
     "m13_summarize_reps": lambda s, d: metrics.summarize_reps(rep_table(s, d)),
     "m14_paired_summary": lambda s, d: metrics.paired_summary(rep_table(s, d), PAIR),
     "m15_results_tables": lambda s, d: metrics.results_tables(rep_table(s, d).select(F.concat_ws("/", "task", "feature_set").alias("condition"), "rep", "score"), PAIR)[0],
+    "m15_results_tables_paired": lambda s, d: metrics.results_tables(rep_table(s, d).select(F.concat_ws("/", "task", "feature_set").alias("condition"), "rep", "score"), PAIR)[1],
+    "m16_raw_scores": lambda s, d: experiment_scores(s, d, 0),
     "m16_run_experiment": lambda s, d: experiment_scores(s, d, 1),
-    "m17_experiment_grid": lambda s, d: experiment.experiment_grid({"2class": vectors(s, d).withColumn("class", F.col("y") % 2)}, folds.hashed_folds(vectors(s, d), 5, 1), VECTOR),
+    "m16_paired": lambda s, d: experiment_scores(s, d, 2),
+    "m17_experiment_grid": lambda s, d: experiment.grid_summary(experiment.experiment_grid(features(s, d), list(prep.DISTRIBUTIONAL))),
     "m18_permutation_importance": _importance,
     "m19_comparison_table": lambda s, d: metrics.comparison_table(metrics.summarize_reps(rep_table(s, d))),
     "m20_combined_matrix": _matrix,
