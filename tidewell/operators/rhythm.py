@@ -81,3 +81,49 @@ def cosinor(full: DataFrame, bin_minutes: int = 60) -> DataFrame:
     varied = (F.col("lo") < F.col("hi")) & (F.col("v") > 0)
     value = {"mesor": F.col("m"), "cosinor_amplitude": F.sqrt(power), "acrophase_hours": turn, "cosinor_r_squared": explained / F.nullif(F.col("v"), F.lit(0.0))}
     return sums.select("pid", *[F.when(varied, c).alias(n) for n, c in value.items()])
+
+
+def _window_sums(twice, width: int, period: int, sign: int):
+    """(sum times sign, position) of each run of ``width`` values of an array that holds the period twice."""
+    total = lambda i: F.aggregate(F.slice(twice, i + 1, F.lit(width)), F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda i: F.struct((total(i) * sign).alias("s"), i.alias("pos")))
+
+
+def profile_measures(full: DataFrame, bin_minutes: int = 60, l_hours: int = 5, m_hours: int = 10, is_days: int = 7) -> DataFrame:
+    """(pid, n_days, interdaily_stability, l_value, l_onset_min, m_value, m_onset_min, mesor, cosinor_amplitude, acrophase_hours, cosinor_r_squared).
+
+    What the measures above give one by one, from a single pass over the bins:
+    they all follow from each position's mean, spread and sum, of which a pid
+    has at most 1440.
+    """
+    p = bins_per_day(bin_minutes)
+    by_pos = full.groupBy("pid", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.round(F.sum("x"), 6).alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    angle, weight = F.col("pos") * (2 * math.pi / p), 2.0 / p if p > 2 else 1.0 / p
+    one = by_pos.groupBy("pid").agg(
+        F.max("n").alias("n_days"),
+        F.var_pop("m").alias("between"),
+        F.avg("v").alias("within"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.avg("m").alias("mean"),
+        (F.sum(F.col("m") * F.cos(angle)) * weight).alias("b"),
+        (F.sum(F.col("m") * F.sin(angle)) * weight).alias("g"),
+        F.min("m").alias("least"),
+        F.max("m").alias("most"),
+        F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("profile"),
+    )
+    twice = F.transform(F.concat("profile", "profile"), lambda x: x["s"])
+    columns = {"n_days": F.col("n_days")}
+    varied = (F.col("n_days") >= is_days) & (F.col("lo") < F.col("hi"))
+    columns["interdaily_stability"] = F.when(varied, F.col("between") / F.nullif(F.col("between") + F.col("within"), F.lit(0.0)))
+    for name, hours, sign in (("l", l_hours, 1), ("m", m_hours, -1)):
+        width = window_bins(hours, bin_minutes)
+        best = F.array_min(_window_sums(twice, width, p, sign))  # the earliest of equals, as the position comes second
+        columns[f"{name}_value"] = best["s"] * sign / F.col("n_days") / width
+        columns[f"{name}_onset_min"] = (best["pos"] * bin_minutes).cast("int")
+    power = F.col("b") * F.col("b") + F.col("g") * F.col("g")
+    turn = F.pmod(F.atan2("g", "b"), F.lit(2 * math.pi)) * (24 / (2 * math.pi))
+    curved = (F.col("least") < F.col("most")) & (F.col("between") > 0)
+    for name, value in {"mesor": F.col("mean"), "cosinor_amplitude": F.sqrt(power), "acrophase_hours": turn, "cosinor_r_squared": (power / 2 if p > 2 else power) / F.nullif(F.col("between"), F.lit(0.0))}.items():
+        columns[name] = F.when(curved, value)
+    return one.select("pid", *[c.alias(n) for n, c in columns.items()])

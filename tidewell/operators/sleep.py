@@ -129,15 +129,16 @@ def night_metrics(epochs: DataFrame, min_epochs: int = 30) -> DataFrame:
     )
 
 
-def sleep_metrics(activity: DataFrame, bin_minutes: int = 60, min_days: int = 3, scorer: str = "cole_kripke", l5_hours: int = 5, pad_before: int = 30, pad_after: int = 60) -> DataFrame:
+def sleep_metrics(activity: DataFrame, bin_minutes: int = 60, min_days: int = 3, scorer: str = "cole_kripke", l5_hours: int = 5, pad_before: int = 30, pad_after: int = 60, full: DataFrame | None = None) -> DataFrame:
     """(pid, tst_hours, tst_24h_hours, waso_min, sleep_efficiency, sol_min): means over the nights of the whole days.
 
     tst_24h counts all sleep epochs of the recording, those of partial days
     too, per whole day. Rows with null activity are left out first. A pid with
     fewer than min_days whole days, or without a valid night, has nulls.
+    full: the bins of whole days, where they are there already.
     """
     rows = activity.where(F.col("activity").isNotNull() & ~F.isnan(F.col("activity").cast("double")))
-    full = keep_full_days(bin_activity(rows, bin_minutes), bin_minutes)
+    full = keep_full_days(bin_activity(rows, bin_minutes), bin_minutes) if full is None else full
     days = full.groupBy("pid").agg((F.count(F.lit(1)) / bins_per_day(bin_minutes)).alias("n_days"))
     labels = score_sleep(rows, scorer).select("pid", "ts", "label")
     nights = night_metrics(epochs_of_nights(labels, rest_windows(rest_onsets(full, l5_hours, bin_minutes), l5_hours, pad_before, pad_after)))

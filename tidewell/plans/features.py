@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.expressions import amplitude, hours_of, relative_amplitude
-from tidewell.operators.binning import bin_activity, count_full_days, gate, keep_full_days, roster_of
-from tidewell.operators.rhythm import cosinor, interdaily_stability, intradaily_variability, least_active_period, most_active_period
+from tidewell.operators.binning import bin_activity, keep_full_days
+from tidewell.operators.rhythm import intradaily_variability, profile_measures
 from tidewell.operators.sleep import sleep_metrics
 
 FEATURES = (
@@ -21,24 +19,16 @@ FEATURES = (
 def extract_features(activity: DataFrame, bin_minutes: int = 60, l_hours: int = 5, m_hours: int = 10, is_days: int = 7, sleep_days: int = 3) -> DataFrame:
     """(pid, label, 17 features), one row for every pid; what can't be computed is null.
 
-    The binned whole days are one subtree that all rhythm measures use; where
-    their plans agree Spark computes its exchange once.
+    Activity is binned once; stability, active periods and cosinor come from
+    one aggregate of the whole days' bins, variability from another, and the
+    nights from the same bins.
     """
-    bins = bin_activity(activity, bin_minutes)
-    full = keep_full_days(bins, bin_minutes)
-    roster = roster_of(activity)
-    labels = activity.groupBy("pid").agg(F.min("label").alias("label")) if "label" in activity.columns else roster.withColumn("label", F.lit(None).cast("string"))
-    parts = [
-        interdaily_stability(full, is_days),
-        intradaily_variability(full, bin_minutes),
-        least_active_period(full, l_hours, bin_minutes),
-        most_active_period(full, m_hours, bin_minutes),
-        cosinor(full, bin_minutes),
-    ]
-    rhythm = reduce(lambda a, b: a.join(b, "pid", "left"), parts)
-    rhythm = gate(roster, rhythm, count_full_days(bins, bin_minutes), 1, [c for c in rhythm.columns if c != "pid"])
-    sleep = sleep_metrics(activity, bin_minutes, sleep_days, l5_hours=l_hours)
-    frame = labels.join(rhythm, "pid", "left").join(sleep, "pid", "left")
+    full = keep_full_days(bin_activity(activity, bin_minutes), bin_minutes)
+    label = F.min("label") if "label" in activity.columns else F.first(F.lit(None).cast("string"))
+    roster = activity.groupBy("pid").agg(label.alias("label"))
+    profile = profile_measures(full, bin_minutes, l_hours, m_hours, is_days)
+    frame = roster.join(profile, "pid", "left").join(intradaily_variability(full, bin_minutes), "pid", "left")
+    frame = frame.join(sleep_metrics(activity, bin_minutes, sleep_days, l5_hours=l_hours, full=full), "pid", "left")
     made = {
         "l5_value": F.col("l_value"),
         "l5_onset_hours": hours_of(F.col("l_onset_min")),
