@@ -43,6 +43,21 @@ def test_many_blocks_and_shards_give_the_same(spark, corpus, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_grams_give_the_same(spark, corpus, monkeypatch, hot):
+    shared = "a passage that very many of the documents share, word for word, "
+    rows = small(corpus)[:40] + [(600 + k, f"{k} before it comes {k * k} {shared}and after it {k * 7} goes on") for k in range(30)] + [(700, "ab" * 200), (701, "ba" * 150)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 9000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_other_keys_are_refused(docs):
+    with pytest.raises(ValueError, match="integer"):
+        suffix_dedup.remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_multikey_quicksort_sorts():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (5000, 4)).astype(np.uint64) << np.uint64(62)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewell.sources.shared import new_path
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -25,28 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share.
-
-    Where it is unset, a local session gets a temporary folder; elsewhere that
-    is an error, as executors don't see each other's disks.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends, and a lost executor loses nothing.
 
     Spark may then drop the shuffles that led there, and is told so for this one write.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
+    path = new_path(spark)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:

@@ -7,7 +7,8 @@ around it that its strings reach. Grams that no second document has are dropped
 first. The rest is dealt to buckets by splitters sampled from leading tokens,
 sorted in each bucket by multikey quicksort, and compared between neighbours:
 equal contexts share a document, and contexts that only share their gram are
-compared string by string. A splitter is a whole gram, so suffixes that could
+compared string by string. Grams at very many anchors would fill a bucket;
+their strings are compared by hash in all buckets instead. A splitter is a whole gram, so suffixes that could
 share a string are never on two sides of a boundary.
 """
 
@@ -23,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from tidewell.llm.common import by_whole_text, materialise, strings, table
 
@@ -31,8 +32,11 @@ from tidewell.llm.common import by_whole_text, materialise, strings, table
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 RIGHT_WORDS, LEFT_WORDS = 7, 5  # 8-byte words of a suffix's right and left context, lengths included
-#: Bytes of text in a block, and for each shard; a task holds some twenty times as much.
-BLOCK_BYTES, SHARD_BYTES = 2_500_000, 6_000_000
+#: Bytes of text in a block, and for each shard, of a table of 100 MB; a task holds some twenty times as much.
+#: Both grow with the square root of the table up to MOST times that, so there are as many pairs of them as there are bytes.
+BLOCK_BYTES, SHARD_BYTES, MOST = 1_000_000, 2_400_000, 8.0
+#: Grams at more anchors than that are compared string by string over all shards.
+HOT = 20_000
 SAMPLE = 50_000
 #: Text is searched for anchors in stretches of half as many bytes as these bits count.
 PLACE_BITS = 20
@@ -157,11 +161,11 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 _B = 0x100000001B3
 
 
-def _string_runs(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (row, bytes before the anchor, smallest document) over the strings of context rows.
+def _strings(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes before the anchor, rows, hashes) of the strings of context rows.
 
-    Strings with as many bytes before their anchor are compared at a time; the
-    hash of a row's string rolls on from one to the next.
+    Strings with as many bytes before their anchor come at a time; the hash of
+    a row's string rolls on from one to the next.
     """
     right, left = rows[:, 8 * RIGHT_WORDS - 1].astype(np.int64), rows[:, -1].astype(np.int64)
     after = np.ascontiguousarray(rows[:, :LENGTH].T)
@@ -170,16 +174,20 @@ def _string_runs(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.nd
     rolled = np.zeros(len(rows), np.uint64)
     for k in range(LENGTH):
         rolled = rolled * np.uint64(_B) + after[k] + np.uint64(1)
-    last = np.full(len(rows), -1)
-    known = np.zeros(len(rows), bool)
-    out = []
     for k in range(WINDOW):
         if k:
             rolled = (rolled - after[LENGTH - k] - np.uint64(1)) * back + (before[k - 1] + np.uint64(1)) * first
         has = np.flatnonzero((k <= left) & (LENGTH - k <= right))
-        if not len(has):
-            continue
-        hashes = _mix(rolled[has])
+        if len(has):
+            yield k, has, _mix(rolled[has])
+
+
+def _string_runs(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (row, bytes before the anchor, smallest document) over the strings of context rows."""
+    last = np.full(len(rows), -1)
+    known = np.zeros(len(rows), bool)
+    out = []
+    for k, has, hashes in _strings(rows):
         order = np.argsort(hashes, kind="stable")
         new = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
         doc = np.empty(len(has), np.int64)
@@ -190,6 +198,22 @@ def _string_runs(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+class _HotStrings:
+    """The distinct strings of a block's contexts with a hot gram, in the order of their hashes."""
+
+    def __init__(self, made: np.ndarray):
+        parts = [(np.full(len(has), k), has, hashes) for k, has, hashes in _strings(made)]
+        none = np.zeros(0, np.int64)
+        self.before, self.row, hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.uint64))
+        # strings of other places in their rows are other strings: their anchors differ
+        self.hash, self.of = np.unique(hashes + self.before.astype(np.uint64), return_inverse=True)
+
+    def least(self, docs: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.hash), np.iinfo(np.int64).max)
+        np.minimum.at(out, self.of, docs[self.row])
+        return out
+
+
 def first_documents(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (row, bytes before the anchor, smallest document) over the strings of context rows.
 
@@ -257,7 +281,7 @@ def _by_shard(messages: DataFrame, answer: Callable[[list[dict]], Iterator[dict]
     return messages.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _MESSAGE)
 
 
-def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         keys, texts, size = [], [], 0
@@ -271,7 +295,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys.append(k)
                 texts.append(t)
                 size += len(t) + 64
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield made()
                     number += 1
                     keys, texts, size = [], [], 0
@@ -290,8 +314,8 @@ class _Block:
         self.text = np.frombuffer(zstandard.decompress(row["body"]), np.uint8)
         self.anchors = Anchors(self.text, self.lengths)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct gram hashes, whether two documents of the block have them, and the gram of each anchor (-1 without an id)."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct gram hashes, whether two documents of the block have them, at how many anchors they are, and the gram of each anchor (-1 without an id)."""
         a = self.anchors
         live = np.flatnonzero(self.named[a.doc])
         hashes, of = np.unique(a.hash[live], return_inverse=True)
@@ -301,12 +325,12 @@ class _Block:
         np.maximum.at(high, of, key)
         gram = np.full(len(a.at), -1)
         gram[live] = of
-        return hashes, low < high, gram
+        return hashes, low < high, np.bincount(of, minlength=len(hashes)), gram
 
-    def suffixes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts of the anchors with a repeated gram, their smallest document, those anchors, and the context of each."""
+    def suffixes(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts of the anchors with a wanted gram, their smallest document, those anchors, and the context of each."""
         *_, gram = self.grams()
-        rows = np.flatnonzero((gram >= 0) & repeated[gram])
+        rows = np.flatnonzero((gram >= 0) & wanted[gram])
         made = contexts(self.anchors, rows)
         flat = np.ascontiguousarray(made).view(f"V{made.shape[1]}").ravel()
         _, first, of = np.unique(_row_hash(made), return_index=True, return_inverse=True)
@@ -317,6 +341,29 @@ class _Block:
         return made[first], least, rows, of
 
 
+    def cover(self, covered: np.ndarray, rows: np.ndarray, of: np.ndarray, context: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> None:
+        """Add the strings to go to covered, as steps up and down.
+
+        rows, of: anchors and the context of each; context, begin, doc: runs of
+        strings and their smallest document.
+        """
+        a = self.anchors
+        o = np.lexsort((begin, context))
+        context, begin, doc = context[o].astype(np.int64), begin[o].astype(np.int64), doc[o]
+        end = np.where(np.r_[context[1:] == context[:-1], False], np.r_[begin[1:], 0] - 1, WINDOW - 1)
+        counts = np.bincount(context, minlength=int(of.max(initial=-1)) + 1)
+        many = counts[of]
+        index = np.repeat((np.cumsum(counts) - counts)[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        anchor = np.repeat(rows, many)
+        gone = doc[index] < self.keys[a.doc[anchor]]
+        anchor, index = anchor[gone], index[gone]
+        # from begin to end bytes before the anchor, as far as the anchor has such strings
+        first = np.maximum(a.at[anchor] - end[index], a.first[anchor])
+        last = np.minimum(a.at[anchor] - begin[index], a.last[anchor]) + LENGTH
+        np.add.at(covered, first, 1)
+        np.add.at(covered, last, -1)
+
+
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(rows).view("<u8")
     out = np.zeros(len(rows), np.uint64)
@@ -341,7 +388,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs, a long key taken for granted.
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs; the key is an integer.
 
     Each byte goes that is covered by a 50-byte string of its document which
     also starts in a document of a smaller key. A null text is empty; a text
@@ -350,14 +397,19 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     table the result is empty. Grams, contexts and strings are told apart by
     64-bit hashes where sets of them are matched.
 
-    A block sends a distinct gram, and a distinct context, once, so a passage
-    that very many documents share comes to a bucket once a block.
+    A block sends a distinct gram, and a distinct context, once. Contexts with
+    a gram at more than HOT anchors don't meet in one bucket: their strings,
+    each distinct one of a block once, are spread over all buckets by hash.
     """
     spark = docs.sparkSession
-    blocks = materialise(_blocks(docs, key, text))
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be an integer column, not {docs.schema[key].dataType.simpleString()}")
+    chars = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    growth = min(MOST, max(1.0, (chars / 1e8) ** 0.5))
+    blocks = materialise(_blocks(docs, key, text, int(BLOCK_BYTES * growth)))
     sizes = blocks.select("block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     number, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-total // int(SHARD_BYTES * growth)))
     each = max(1, -(-SAMPLE // max(1, number)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,39 +428,43 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _Block(row)
-            hashes, two, _ = block.grams()
+            hashes, two, count, _ = block.grams()
             owner = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             starts = np.searchsorted(owner, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(starts)).tolist():
                 a, b = starts[s], starts[s + 1]
-                yield _messages([(s, block.block, _pack(at=np.array([a, b]), planes=_planes(hashes[a:b]), two=np.packbits(two[a:b])))])
+                yield _messages([(s, block.block, _pack(at=np.array([a, b]), planes=_planes(hashes[a:b]), two=np.packbits(two[a:b]), n=np.minimum(count[a:b], 65535).astype(np.uint16)))])
 
     def answer_grams(asked: list[dict]) -> Iterator[dict]:
         hashes = [_from_planes(m["planes"]) for m in asked]
         _, of, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        hot = np.bincount(of, np.concatenate([m["n"] for m in asked])) > HOT
         at = 0
         for m, h in zip(asked, hashes, strict=True):
-            two = np.unpackbits(m["two"], count=len(h)).astype(bool)
-            yield {"at": m["at"], "repeated": np.packbits(two | (counts[of[at : at + len(h)]] > 1))}
+            two, mine = np.unpackbits(m["two"], count=len(h)).astype(bool), of[at : at + len(h)]
+            yield {"at": m["at"], "repeated": np.packbits(two | (counts[mine] > 1)), "hot": np.packbits(hot[mine])}
             at += len(h)
 
     def met(answers: DataFrame) -> DataFrame:
         """Each block with what came back for it."""
         return answers.groupBy("block").agg(F.collect_list("body").alias("bodies"))
 
-    def repeated_of(row: dict, size: int) -> np.ndarray:
-        out = np.zeros(size, bool)
+    def kinds_of(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the block's grams are repeated and not hot, and which are repeated and hot."""
+        repeated, hot = np.zeros(size, bool), np.zeros(size, bool)
         for m in map(_unpack, row["grams"] or []):
             a, b = m["at"].tolist()
-            out[a:b] = np.unpackbits(m["repeated"], count=b - a).astype(bool)
-        return out
+            repeated[a:b] = np.unpackbits(m["repeated"], count=b - a).astype(bool)
+            hot[a:b] = np.unpackbits(m["hot"], count=b - a).astype(bool)
+        return repeated & ~hot, repeated & hot
 
     grams = materialise(met(_by_shard(blocks.mapInArrow(ask_grams, _MESSAGE), answer_grams)).withColumnRenamed("bodies", "grams"))
 
     def ask_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _Block(row)
-            made, least, *_ = block.suffixes(repeated_of(row, len(block.grams()[0])))
+            cold, hot = kinds_of(row, len(block.grams()[0]))
+            made, least, *_ = block.suffixes(cold)
             order = multikey_quicksort(np.ascontiguousarray(made).view(">u8").astype(np.uint64)[:, :2])  # sorted, they compress better
             lead = np.ascontiguousarray(made[:, :GRAM]).view(f"S{GRAM}").ravel()
             owner = np.searchsorted(splitters, lead, side="right")
@@ -418,11 +474,30 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             for s in np.flatnonzero(np.diff(starts)).tolist():
                 mine = order[starts[s] : starts[s + 1]]
                 yield _messages([(s, block.block, _pack(at=mine.astype(np.uint32), rows=made[mine], docs=least[mine]))])
+            if hot.any():
+                made, least, *_ = block.suffixes(hot)
+                strings = _HotStrings(made)
+                least, owner = strings.least(least), (strings.hash % np.uint64(shards)).astype(np.int64)
+                for s in np.unique(owner).tolist():
+                    mine = np.flatnonzero(owner == s)
+                    yield _messages([(s, block.block, _pack(at=mine.astype(np.uint32), hash=strings.hash[mine], docs=least[mine]))])
 
     def answer_contexts(asked: list[dict]) -> Iterator[dict]:
-        row, begin, doc = first_documents(np.concatenate([m["rows"] for m in asked]), np.concatenate([m["docs"] for m in asked]))
+        spread = [m for m in asked if "hash" in m]
+        if spread:
+            _, of = np.unique(np.concatenate([m["hash"] for m in spread]), return_inverse=True)
+            docs_of = np.full(int(of.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(docs_of, of, np.concatenate([m["docs"] for m in spread]))
+            for m, mine in zip(spread, np.split(of, np.cumsum([len(m["at"]) for m in spread])[:-1]), strict=True):
+                m["least"] = docs_of[mine]
+        rows = [m for m in asked if "hash" not in m]
+        if rows:
+            row, begin, doc = first_documents(np.concatenate([m["rows"] for m in rows]), np.concatenate([m["docs"] for m in rows]))
         at = 0
         for m in asked:
+            if "hash" in m:
+                yield {"string": m["at"], "doc": m["least"]}
+                continue
             a, b = np.searchsorted(row, [at, at + len(m["at"])])
             yield {"row": m["at"][row[a:b] - at], "from": begin[a:b].astype(np.uint8), "doc": doc[a:b]}
             at += len(m["at"])
@@ -434,25 +509,20 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         for row in _rows(batches):
             block = _Block(row)
             a = block.anchors
-            _, _, rows, of = block.suffixes(repeated_of(row, len(block.grams()[0])))
+            cold, hot = kinds_of(row, len(block.grams()[0]))
+            _, _, rows, of = block.suffixes(cold)
             got = [_unpack(m) for m in row["runs"] or []]
             covered = np.zeros(len(block.text) + 1, np.int32)
-            if got:
-                context, begin, doc = (np.concatenate([m[k] for m in got]) for k in ("row", "from", "doc"))
-                o = np.lexsort((begin, context))
-                context, begin, doc = context[o].astype(np.int64), begin[o].astype(np.int64), doc[o]
-                end = np.where(np.r_[context[1:] == context[:-1], False], np.r_[begin[1:], 0] - 1, WINDOW - 1)
-                counts = np.bincount(context, minlength=int(of.max(initial=-1)) + 1)
-                many = counts[of]
-                index = np.repeat((np.cumsum(counts) - counts)[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                anchor = np.repeat(rows, many)
-                gone = doc[index] < block.keys[a.doc[anchor]]
-                anchor, index = anchor[gone], index[gone]
-                # from begin to end bytes before the anchor, as far as the anchor has such strings
-                first = np.maximum(a.at[anchor] - end[index], a.first[anchor])
-                last = np.minimum(a.at[anchor] - begin[index], a.last[anchor]) + LENGTH
-                np.add.at(covered, first, 1)
-                np.add.at(covered, last, -1)
+            runs = [m for m in got if "row" in m]
+            if runs:
+                block.cover(covered, rows, of, *(np.concatenate([m[k] for m in runs]) for k in ("row", "from", "doc")))
+            spread = [m for m in got if "string" in m]
+            if spread:
+                made, _, rows, of = block.suffixes(hot)
+                strings = _HotStrings(made)
+                doc = np.full(len(strings.hash), np.iinfo(np.int64).max)
+                doc[np.concatenate([m["string"] for m in spread])] = np.concatenate([m["doc"] for m in spread])
+                block.cover(covered, rows, of, strings.row, strings.before, doc[strings.of])
             covered = np.cumsum(covered[:-1], dtype=np.int32) > 0
             edge = np.r_[covered[:1], covered[1:] & ~covered[:-1]]
             edge[a.starts[(a.starts < len(edge))]] = covered[a.starts[a.starts < len(edge)]]
