@@ -211,6 +211,22 @@ def test_t_critical(spark, df, t):
     assert spark.range(1).select(metrics._t_critical(F.lit(df + 1)).alias("t")).first()["t"] == pytest.approx(t, abs=2e-6)
 
 
+@pytest.mark.parametrize("parts", [2, 9, 256])
+def test_exact_percentiles(spark, parts):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([None, rng.randrange(30) / 7, rng.random()])) for g in ("a", "b", None) for _ in range(101)] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.93, "q10": 1.0}
+    found = {r["g"]: r for r in summaries.exact_percentiles(df, "x", shares, ("g",), parts).collect()}
+    assert set(found) == {"a", "b", None, "c"}
+    for g, r in found.items():
+        values = [x for h, x in rows if h == g and x is not None]
+        assert r["n"] == len(values) and r["least"] == min(values) and r["most"] == max(values)
+        for name, q in shares.items():
+            assert r[name] == pytest.approx(np.quantile(values, q))
+    assert summaries.exact_percentiles(df.where("g = 'd'"), "x", shares).first()["n"] is None
+
+
 def test_pca_is_numpys(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(80, 3)) @ np.array([[2.0, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])

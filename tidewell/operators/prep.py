@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.summaries import exact_percentiles
+
 DISTRIBUTIONAL = ("mean", "sd", "pctZeros", "median", "q75")
 FEATURE_COHORTS = ("control", "depression", "schizophrenia")
 
@@ -88,5 +90,7 @@ def distributional_columns(columns: list[str]) -> list[str]:
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of the columns replaced by the column's interpolated median (one row of medians, joined by broadcast)."""
-    medians = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "value")
+    found = exact_percentiles(long, "value", {"median": 0.5}, ("column",))
+    medians = found.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_m_{c}") for c in columns])
     return df.join(F.broadcast(medians)).select(*[F.coalesce(c, f"_m_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

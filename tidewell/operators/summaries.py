@@ -10,6 +10,35 @@ from pyspark.sql import functions as F
 EDA_COLUMNS = ("mean", "sd", "pctZeros", "median", "q25", "q75")
 
 
+def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
+    """(keys, n, least, most, and a column for each share): interpolated percentiles of the values, nulls left out.
+
+    Rows are first counted by value; distinct values are dealt into ``parts``
+    ranges at approximate quantiles and counted up within each, so no task
+    holds all values of a group.
+    """
+    by = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = rows.agg(F.coalesce(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)), F.array().cast("array<double>")).alias("_cuts"))
+    by = by.join(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    up_to = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    of_keys = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    part = by.groupBy(*keys, "_p").agg(F.sum("_n").alias("_s"))
+    before = F.sum("_s").over(of_keys.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_s").over(of_keys).alias("_all"))
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = by.withColumn("_to", up_to).join(part, same).withColumn("_to", F.col("_to") + F.col("_before"))
+    covers = lambda at: (F.col("_to") - F.col("_n") <= at) & (at < F.col("_to"))
+
+    def percentile(share: float):
+        at = (F.col("_all") - 1) * F.lit(share)
+        rest = at - F.floor(at)
+        return F.sum(F.when(covers(F.floor(at)), F.col("_v") * (1 - rest)).otherwise(0.0) + F.when(covers(F.floor(at) + 1) & (rest > 0), F.col("_v") * rest).otherwise(0.0))
+
+    return placed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), *[percentile(q).alias(name) for name, q in shares.items()])
+
+
 def class_balance(metadata: DataFrame, features: DataFrame) -> DataFrame:
     """(cohort, participants, feature_rows): distinct participants and feature rows of each cohort."""
     people = metadata.groupBy("cohort").agg(F.countDistinct("number").alias("participants"))
@@ -19,15 +48,16 @@ def class_balance(metadata: DataFrame, features: DataFrame) -> DataFrame:
 
 def days_distribution(metadata: DataFrame) -> DataFrame:
     """(cohort, n, least, q25, median, q75, most) of days per participant."""
-    quart = F.percentile("days", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
-    found = metadata.groupBy("cohort").agg(F.count("days").alias("n"), F.min("days").alias("least"), quart.alias("_q"), F.max("days").alias("most"))
-    return found.select("cohort", "n", "least", *[F.col("_q")[k].alias(n) for k, n in enumerate(("q25", "median", "q75"))], "most")
+    found = exact_percentiles(metadata, "days", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ("cohort",))
+    cohorts = metadata.select("cohort").distinct().join(found, "cohort", "left")
+    kind = dict(metadata.dtypes)["days"]
+    return cohorts.select("cohort", F.coalesce("n", F.lit(0)).alias("n"), F.col("least").cast(kind).alias("least"), "q25", "median", "q75", F.col("most").cast(kind).alias("most"))
 
 
 def feature_distributions(features: DataFrame, columns: tuple[str, ...] = EDA_COLUMNS) -> DataFrame:
     """(class, feature, n, least, median, most) of each feature's values by class; nulls are left out."""
-    long = features.unpivot(["class"], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value").where("value is not null")
-    return long.groupBy("class", "feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("most"))
+    long = features.unpivot(["class"], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
+    return exact_percentiles(long, "value", {"median": 0.5}, ("class", "feature")).select("class", "feature", "n", "least", "median", "most")
 
 
 def feature_correlation(features: DataFrame, columns: tuple[str, ...] = EDA_COLUMNS) -> DataFrame:
