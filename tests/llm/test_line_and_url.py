@@ -67,6 +67,11 @@ def test_visible_lines(spark):
     assert [[s.strip() for s in r["x"]] for r in df.collect()] == [["One & two", "Three", "four"], [], []]
 
 
+def test_unclosed_markup_takes_no_time(spark):
+    df = spark.createDataFrame([("<script" * 60_000,), ("a" + "<" * 400_000,), ("<!--" * 90_000,), ("<p>x</p><script>never closed",)], "html string")
+    assert [r["x"] for r in df.select(line_dedup.html_lines(F.col("html")).alias("x")).collect()][3] == ["x"]
+
+
 def day(text):
     return datetime.date.fromisoformat(text)
 
@@ -79,6 +84,8 @@ ENTRIES = [
     ("tie.org", day("2024-01-01"), "allow"),
     ("tie.org", day("2024-01-01"), "block"),
     (None, day("2024-01-01"), "block"),
+    ("0.1", day("2024-01-01"), "block"),
+    ("TOP.", day("2024-01-01"), "block"),
     ("null.org", None, "block"),
 ]
 
@@ -96,6 +103,10 @@ ENTRIES = [
         ("https://notbad.org", "2024-01-15", None),
         ("http://tie.org", "2024-01-01", "block"),
         ("http://null.org", "2024-01-01", None),
+        ("http://bad.org./x", "2024-01-10", "block"),
+        ("http://10.0.0.1/x", "2024-01-10", None),
+        ("http://x.any.top/y", "2024-01-10", "block"),
+        ("http://x.any.top/y", "2023-01-10", None),
         ("no address", "2024-02-01", None),
         (None, "2024-02-01", None),
         ("http://bad.org", None, None),

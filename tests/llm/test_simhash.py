@@ -110,6 +110,12 @@ def test_one_of_each_group_stays(docs):
     assert ids.count(1) == 1 and 0 in ids and 60 not in ids and ids.count(None) == 2 and set(range(60)) <= set(ids)
 
 
+def test_repeated_rows_with_a_map_column(docs):
+    rows = docs.select("*", F.create_map(F.lit("k"), F.col("n_chars")).alias("m"))
+    kept = simhash.without_similar(rows)
+    assert kept.columns == rows.columns and kept.where("doc_id = 1").count() == 1
+
+
 def test_empty_and_clashing(none, docs):
     assert simhash.near_duplicates(none).count() == 0 and simhash.without_similar(none).count() == 0
     clash = docs.select("doc_id", "text", F.lit(1).alias("simhash"), F.lit(2).alias("component_id"), F.lit(3).alias("key"), F.lit(4).alias("a"), F.lit(5).alias("node"))

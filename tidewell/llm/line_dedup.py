@@ -10,23 +10,25 @@ from tidewell.llm.common import materialise, table
 #: Share of a host's pages above which a line is boilerplate. A line on a single page is none, whatever its share.
 RATIO, MIN_PAGES = 0.07, 2
 
-#: Steps from markup to lines: (pattern, replacement).
+#: Steps from markup to lines: (pattern, replacement). What is never closed reaches to the end, so no part is scanned again and again.
 MARKUP = (
-    (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "),
+    (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)", " "),
     (r"[ \t\r\n\f]+", " "),
-    (r"(?i)</?(?:html|head|title|body|nav|header|footer|main|article|section|aside|div|p|h[1-6]|ul|ol|li|table|tr|td|th|br|hr|pre|blockquote|form)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"(?i)</?(?:html|head|title|body|nav|header|footer|main|article|section|aside|div|p|h[1-6]|ul|ol|li|table|tr|td|th|br|hr|pre|blockquote|form)\b[^<>]*>", "\n"),
+    (r"<[^<>]*>", ""),
+    (r"&(?:nbsp|#160);", " "),
+    (r"&(?:apos|#39);", "'"),
     (r"&lt;", "<"),
     (r"&gt;", ">"),
     (r"&quot;", '"'),
     (r"&amp;", "&"),
     (r" *\n *", "\n"),
 )
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*[^/?#:.])"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL; empty if there is none."""
+    """Lower-case host of a URL, without a trailing dot; empty if there is none."""
     return F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit(""))
 
 

@@ -499,8 +499,8 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
 def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of similar texts: the one of the smallest key.
 
-    Rows that share that key are told apart by all their columns, and the
-    smallest stays. Rows with a null key can't be named and all stay.
+    Rows that share that key are told apart by all their columns as JSON, and
+    the smallest stays. Rows with a null key can't be named and all stay.
     """
     of = materialise(similar_documents(docs, spec, key=key, text=text))
     kept = of.where(F.col(key) == F.col("component_id")).groupBy(key).count()
@@ -510,7 +510,8 @@ def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str =
     unnamed = docs.where(F.col(key).isNull())
     if not again.limit(1).count():
         return stay.unionByName(unnamed).select(docs.columns)
-    repeated = docs.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    row = F.struct(*docs.columns)
+    repeated = docs.join(again, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return stay.unionByName(repeated).unionByName(unnamed).select(docs.columns)
 
 

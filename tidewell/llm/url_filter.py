@@ -23,15 +23,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     any of the three columns say nothing and are ignored. The window of a
     domain has at most one row a day.
     """
-    clean = entries.select(F.lower("domain").alias("domain"), F.col("listed_on").cast("date").alias("valid_from"), F.lower("action").alias("action")).dropna()
+    clean = entries.select(F.regexp_replace(F.lower("domain"), r"\.+$", "").alias("domain"), F.col("listed_on").cast("date").alias("valid_from"), F.lower("action").alias("action")).dropna()
     daily = clean.groupBy("domain", "valid_from").agg(F.max("action").alias("action"))
     after = F.lead("valid_from").over(Window.partitionBy("domain").orderBy("valid_from"))
     return daily.withColumn("valid_to", after).where("action <> 'remove'").select("domain", "action", "valid_from", "valid_to")
 
 
 def domains_of(host: Column) -> Column:
-    """host and its parent domains, longest first."""
-    return F.transform(F.sequence(F.lit(0), F.size(F.split(host, r"\.")) - 1), lambda k: F.concat_ws(".", F.slice(F.split(host, r"\."), k + 1, 1 << 20)))
+    """host and its parent domains, longest first; an IPv4 address has no parents."""
+    parents = F.transform(F.sequence(F.lit(0), F.size(F.split(host, r"\.")) - 1), lambda k: F.concat_ws(".", F.slice(F.split(host, r"\."), k + 1, 1 << 20)))
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(parents)
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched: str = "fetch_date") -> DataFrame:
@@ -41,6 +42,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fet
     is in force; blocked is true where its action is 'block'. A URL without a
     host, or a null fetch day, meets no entry. Every row is returned.
 
+    Hosts and listed domains are compared without a trailing dot.
+
     Captures are first reduced to their distinct (host, day), so a host with
     very many captures is looked up once a day of the calendar. The join on the
     domain and the one back on (host, day) may be split by Spark at hot keys.
@@ -48,8 +51,12 @@ def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fet
     rest = captures.drop("host", "domain", "action", "listed_on", "blocked")
     rest = rest.withColumn("host", host_of(F.col(url))).withColumn("_tw_day", F.col(fetched).cast("date"))
     asked = rest.select("host", "_tw_day").where("host <> '' and _tw_day is not null").distinct()
-    asked = materialise(asked.select("host", "_tw_day", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain")))
     listed = materialise(intervals(entries))
+    asked = asked.select("host", "_tw_day", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain"))
+    # nearly every host ends in one of a few top-level domains: those no list has are dropped where they arise
+    top = (F.col("depth") > 0) & ~F.contains("domain", F.lit("."))
+    tops = listed.where(~F.contains("domain", F.lit("."))).select("domain").distinct()
+    asked = materialise(asked.where(~top).union(asked.where(top).join(tops, "domain", "left_semi").select(asked.columns)))
     active = asked.join(listed, "domain").where("valid_from <= _tw_day and (valid_to is null or _tw_day < valid_to)")
     answers = active.groupBy("host", "_tw_day").agg(F.min(F.struct("depth", "domain", "action", "valid_from")).alias("hit"))
     answers = materialise(answers.select("host", "_tw_day", "hit.domain", "hit.action", F.col("hit.valid_from").alias("listed_on")))
