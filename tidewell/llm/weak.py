@@ -78,22 +78,30 @@ def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prio
     return model
 
 
-def fit_logistic(rows: list[tuple[tuple[float, ...], float, float]], ridge: float = 1.0, rounds: int = 50) -> list[float]:
-    """Weights (bias first) of a logistic model of rows (features, soft label, weight), by gradient steps of Newton's diagonal."""
+def fit_logistic(rows: list[tuple[tuple[float, ...], float, float]], ridge: float = 1.0, rounds: int = 60) -> list[float]:
+    """Weights (bias first) of a logistic model of rows (features, soft label, weight), one weight after another by Newton's step.
+
+    The ridge counts as so many rows, so any large table outweighs it.
+    """
     if not rows:
         return []
-    size = len(rows[0][0]) + 1
-    weights = [0.0] * size
-    scale = sum(n for _, _, n in rows)
+    inputs = [(1.0, *features) for features, _, _ in rows]
+    weights, sums = [0.0] * len(inputs[0]), [0.0] * len(rows)
     for _ in range(rounds):
-        gradient, curve = [-ridge / scale * w for w in weights], [ridge / scale] * size
-        for features, label, n in rows:
-            x = (1.0, *features)
-            p = 1 / (1 + math.exp(-max(-50, min(50, sum(map(lambda a, b: a * b, weights, x))))))
-            for k, v in enumerate(x):
-                gradient[k] += n / scale * (label - p) * v
-                curve[k] += n / scale * max(p * (1 - p), 1e-3) * v * v
-        weights = [w + 0.5 * g / c for w, g, c in zip(weights, gradient, curve, strict=True)]
+        most = 0.0
+        for k, w in enumerate(weights):
+            gradient, curve = -ridge * w, ridge
+            for x, z, (_, label, n) in zip(inputs, sums, rows, strict=True):
+                if x[k]:
+                    p = 1 / (1 + math.exp(-max(-50, min(50, z))))
+                    gradient += n * (label - p) * x[k]
+                    curve += n * p * (1 - p) * x[k] * x[k]
+            step = max(-2.0, min(2.0, gradient / curve))
+            weights[k] += step
+            sums = [z + step * x[k] for x, z in zip(inputs, sums, strict=True)]
+            most = max(most, abs(step))
+        if most < 1e-6:
+            break
     return weights
 
 
