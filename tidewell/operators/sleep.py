@@ -55,19 +55,25 @@ def webster_rules(labels: DataFrame) -> DataFrame:
     """labels with short sleep runs between long wake runs rescored as wake.
 
     Runs are those of the labels as they come; a run at an edge has no
-    neighbour there and stays.
+    neighbour there and stays. Each row learns where its own run and the two
+    around it start, from the rows before it and, in the other order, from
+    those after it: one exchange by pid, and no join.
     """
-    change = F.coalesce((F.col("label") != F.lag("label").over(_order())).cast("int"), F.lit(0))
-    rows = labels.withColumn("_change", change).withColumn("_run", F.sum("_change").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("pid", "_run").agg(F.count(F.lit(1)).alias("_n"), F.first("label").alias("_of"))
-    by_run = Window.partitionBy("pid").orderBy("_run")
-    around = F.least(F.coalesce(F.lag("_n").over(by_run), F.lit(0)), F.coalesce(F.lead("_n").over(by_run), F.lit(0)))
+    before = _order().rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("pid").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = lambda c: F.when(F.col("_starts"), c)
+    rows = labels.withColumns({"_k": F.row_number().over(_order()), "_starts": F.coalesce(F.col("label") != F.lag("label").over(_order()), F.lit(True))})
+    rows = rows.withColumn("_own", F.last(starts(F.col("_k")), True).over(before))
+    rows = rows.withColumn("_lag", F.lag("_own").over(_order()))
+    rows = rows.withColumn("_prev", F.last(starts(F.coalesce("_lag", F.col("_k"))), True).over(before))  # a first run's is its own start
+    end = F.coalesce(F.max("_k").over(after), F.col("_k")) + 1
+    rows = rows.withColumn("_next", F.coalesce(F.last(starts(F.col("_k")), True).over(after), end))
+    rows = rows.withColumn("_second", F.coalesce(F.last(starts(F.col("_next")), True).over(after), F.col("_next")))
+    size, around = F.col("_next") - F.col("_own"), F.least(F.col("_own") - F.col("_prev"), F.col("_second") - F.col("_next"))
     rescued = F.lit(False)
     for most, least in WEBSTER:
-        rescued = rescued | ((F.col("_n") <= most) & (around >= least))
-    runs = runs.withColumn("_rescued", (F.col("_of") == SLEEP) & rescued).select("pid", "_run", "_rescued")
-    joined = rows.join(runs, ["pid", "_run"])
-    return joined.withColumn("label", F.when(F.col("_rescued"), WAKE).otherwise(F.col("label"))).select(labels.columns)
+        rescued = rescued | ((size <= most) & (around >= least))
+    return rows.withColumn("label", F.when((F.col("label") == SLEEP) & rescued, WAKE).otherwise(F.col("label"))).select(labels.columns)
 
 
 def score_sleep(activity: DataFrame, scorer: str = "cole_kripke") -> DataFrame:
