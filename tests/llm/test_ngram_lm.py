@@ -90,7 +90,8 @@ def test_elias_fano_gets_and_finds():
         assert (ef.get(np.arange(len(values))) == values).all()
         asked = np.concatenate([values, values + 1, np.maximum(values - 1, 0), [0, 1 << 45]])
         zero = np.zeros(len(asked), np.int64)
-        assert (ef.successor(asked, zero, zero + len(values)) == np.searchsorted(values, asked)).all()
+        found, hit = ef.successor(asked, zero, zero + len(values))
+        assert (found == np.searchsorted(values, asked)).all() and (hit == np.isin(asked, values)).all()
 
 
 def test_level_finds_only_what_it_holds():

@@ -53,12 +53,17 @@ class Settings:
     add: float = 0.1
     levels: int = 255  # quantisation steps of a log probability
     block_chars: int = 2_300_000
-    shard_tokens: int = 550_000
+    shard_tokens: int = 280_000
 
     def grown(self, size: int, chars: int) -> int:
         return int(size * min(8.0, max(1.0, (chars / 1e8) ** 0.5)))
 
 
+_FIVES, _THREES, _FIFTEENS, _ONES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+#: Place of the k-th set bit of each byte.
+_PLACES = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence of n values below u: low bits packed, and a unary bit vector of the rest."""
 
@@ -89,15 +94,16 @@ class EliasFano:
         before = self.ones.astype(np.int64) if of_ones else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(before, k, side="right") - 1
         word = np.minimum(word, len(self.high) - 1)
-        left, bits = k - before[word], self.high[word] if of_ones else ~self.high[word]
-        at = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
-            over = left >= count
-            left = np.where(over, left - count, left)
-            at += np.where(over, half, 0)
-            bits = np.where(over, bits >> np.uint64(half), bits)
-        return word * 64 + at
+        left, bits = (k - before[word]).astype(np.uint64), self.high[word] if of_ones else ~self.high[word]
+        # counts of set bits up to the end of each byte, then the byte, then the place in it
+        up_to = bits - (bits >> np.uint64(1) & _FIVES)
+        up_to = (up_to & _THREES) + (up_to >> np.uint64(2) & _THREES)
+        up_to = (up_to + (up_to >> np.uint64(4)) & _FIFTEENS) * _ONES
+        byte = np.uint64(8) - np.bitwise_count((up_to | _TOPS) - (left + np.uint64(1)) * _ONES & _TOPS).astype(np.uint64)
+        byte = np.minimum(byte, np.uint64(7)) << np.uint64(3)
+        left -= up_to << np.uint64(8) >> byte & np.uint64(255)
+        at = _PLACES[(bits >> byte & np.uint64(255)).astype(np.int64), np.minimum(left, np.uint64(7)).astype(np.int64)]
+        return word * 64 + byte.astype(np.int64) + at
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -110,8 +116,8 @@ class EliasFano:
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self._select(at, True) - at) << self.width | self._lows(at)
 
-    def successor(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Index of the first value >= each of values within [first, last); last if there is none."""
+    def successor(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= each of values within [first, last), last if there is none, and whether it is that value."""
         top = values >> self.width
         most = int(self.ones[-1])
         zeros = len(self.high) * 64 - most
@@ -119,13 +125,19 @@ class EliasFano:
         start = np.where(top > 0, self._select(np.clip(top - 1, 0, zeros - 1), False) - np.maximum(top - 1, 0), 0)
         start = np.where(top > zeros, self.n, start)
         lo, hi = np.clip(start, first, last), np.clip(end, first, last)
-        want = values & ((1 << self.width) - 1)
-        while (open_ := lo < hi).any():
-            mid = np.minimum((lo + hi) // 2, max(self.n - 1, 0))
-            less = open_ & (self._lows(mid) < want)
-            hi = np.where(open_ & ~less, mid, hi)
-            lo = np.where(less, mid + 1, lo)
-        return lo
+        want, stop = values & ((1 << self.width) - 1), hi
+        rows = np.flatnonzero(lo < hi)
+        while len(rows):  # those whose range isn't down to one place
+            a, z = lo[rows], hi[rows]
+            mid = (a + z) // 2
+            less = self._lows(mid) < want[rows]
+            lo[rows] = a = np.where(less, mid + 1, a)
+            hi = hi.copy() if hi is stop else hi
+            hi[rows] = z = np.where(less, z, mid)
+            rows = rows[a < z]
+        hit = lo < stop
+        hit[hit] = self._lows(lo[hit]) == want[hit]
+        return lo, hit
 
 
 @dataclass(frozen=True)
@@ -148,12 +160,26 @@ class Scale:
         return code * (self.least / (self.levels - 1))
 
 
+def _packed(keys: tuple[np.ndarray, ...]) -> np.ndarray | None:
+    """The keys (not negative) in the bits of one number, first key highest; None if they don't fit."""
+    widths = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(widths) > 63:
+        return None
+    out = np.zeros(len(keys[0]), np.int64)
+    for k, w in zip(keys, widths, strict=True):
+        out = out << w | k
+    return out
+
+
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in the order of the keys (first key first), the places where a new combination starts, and each row's combination."""
-    order = np.lexsort(keys[::-1])
+    one = _packed(keys)
+    if one is None:  # ranks are in the order of the keys and need fewer bits
+        one = _packed(tuple(np.unique(k, return_inverse=True)[1] for k in keys))
+    order = np.lexsort(keys[::-1]) if one is None else np.argsort(one)
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for k in keys:
+    for k in keys if one is None else (one,):
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
     of = np.empty(len(order), np.int64)
@@ -185,27 +211,25 @@ class Level:
         }
 
     def context(self, values: np.ndarray) -> np.ndarray:
-        """Index of each (ascending) context, -1 if the level has none."""
-        names, of = np.unique(values, return_inverse=True)
-        none, size = np.zeros(len(names), np.int64), self.contexts.n
+        """Index of each of ascending contexts, -1 if the level has none."""
+        new = np.r_[True, values[1:] != values[:-1]][: len(values)]
+        names, size = values[new], self.contexts.n
         if not size or not len(names):
             return np.full(len(values), -1)
-        at = self.contexts.successor(names, none, none + size)
-        safe = np.minimum(at, size - 1)
-        return np.where((at < size) & (self.contexts.get(safe) == names), safe, -1)[of]
+        none = np.zeros(len(names), np.int64)
+        at, hit = self.contexts.successor(names, none, none + size)
+        return np.where(hit, at, -1)[np.cumsum(new) - 1]
 
     def find(self, context: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Index of each successor in its context's range, -1 if it isn't there (or there is no context)."""
+        """Index of each successor in its (ascending) context's range, -1 if it isn't there (or there is no context)."""
         out = np.full(len(context), -1)
         rows = np.flatnonzero((context >= 0) & (successors >= 0) & (successors < self.base))
         if not len(rows):
             return out
         c = context[rows]
-        value = c * self.base + successors[rows]
-        last = self.pointers.get(c + 1)
-        found = self.successors.successor(value, self.pointers.get(c), last)
-        hit = found < last
-        hit[hit] = self.successors.get(found[hit]) == value[hit]
+        new = np.r_[True, c[1:] != c[:-1]]
+        of, names = np.cumsum(new) - 1, c[new]
+        found, hit = self.successors.successor(c * self.base + successors[rows], self.pointers.get(names)[of], self.pointers.get(names + 1)[of])
         out[rows[hit]] = found[hit]
         return out
 
@@ -289,12 +313,13 @@ class Trie:
         return len(head).to_bytes(8, "little") + head + bytes(body)
 
     def log10(self, grams: dict[str, np.ndarray]) -> np.ndarray:
-        """log10 probability of each n-gram: that of its longest known context, backed off where the word is new to it."""
+        """log10 probability of each n-gram (sorted by context, nearest first): that of its longest known context, backed off where the word is new to it."""
         near = grams["context"]
         q = self.scale.value(grams["code"])
         seen = grams["total"] > 0
         context = self.levels[0].context(near[:, 0])
-        found = self.levels[0].find(context, grams["word"])
+        order, new, of = _grouped(context + 1, grams["word"])
+        found = self.levels[0].find(context[order[new]], grams["word"][order[new]])[of]
         back = self.scale.value(self.scale.code(self.prior[0] / (grams["total"] + self.prior[0])))
         q = np.where(found >= 0, self.scale.value(_at(self.levels[0].code, found)), np.where(seen, q + back, q))
         for n in range(1, near.shape[1]):
@@ -303,7 +328,9 @@ class Trie:
             longer, place = np.full(len(q), -1), np.full(len(q), -1)
             longer[rows] = level.context(context[rows] * above.width + near[rows, n])
             inside = np.flatnonzero((longer >= 0) & (found >= 0))
-            place[inside] = found[inside] - above.pointers.get(context[inside])
+            c = context[inside]
+            first = np.r_[True, c[1:] != c[:-1]][: len(c)]
+            place[inside] = found[inside] - above.pointers.get(c[first])[np.cumsum(first) - 1]
             found = level.find(longer, place)
             q = np.where(found >= 0, self.scale.value(_at(level.code, found)), np.where(longer >= 0, q + self.scale.value(_at(level.back, longer)), q))
             context = longer
@@ -550,22 +577,27 @@ class Model:
 
 
 class _Tokens:
-    """The tokens of a coded block: word, code and count, the words before (nearest first; 0 for none or an unknown one), and the nearest one's count."""
+    """The tokens of a coded block, and the words before each (nearest first), by the block's own numbers: 0 for an unknown word or none.
+
+    ids, counts and codes say what those numbers stand for.
+    """
 
     def __init__(self, body: dict, held: np.ndarray, shape: Shape):
         self.lengths, tokens = body["lengths"].astype(np.int64), body["tokens"].astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         position = np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)
-        self.word, self.count = body["id"][tokens], body["count"][tokens]
-        self.code = shape.scale.code((body["count"] + shape.add) / shape.mass)[tokens]
-        end, ends = int(body["id"][0]), int(body["count"][0])
+        order = np.argsort(body["id"])  # in the order of the ids, which compresses
+        self.ids, self.counts = np.r_[0, body["id"][order]], np.r_[0, body["count"][order]]
+        self.codes = shape.scale.code((self.counts + shape.add) / shape.mass)
+        own = np.zeros(len(order), np.int64)
+        own[order] = np.where(self.ids[1:] > 0, np.arange(1, len(order) + 1), 0)
+        self.word = own[tokens]
         self.older = []
         for n in range(1, shape.order):
             x = np.zeros(len(tokens), np.int64)
             x[n:] = self.word[:-n] if len(tokens) > n else 0
-            x = np.where(position >= n, x, np.where(position == n - 1, end, 0))
+            x = np.where(position >= n, x, np.where(position == n - 1, own[0], 0))
             self.older.append(x if n == 1 else np.where(self.older[-1] > 0, x, 0))
-        self.total = np.where(position > 0, np.r_[0, self.count[:-1]], ends)
         self.trained = np.repeat(~held, self.lengths)
 
 
@@ -578,10 +610,10 @@ class _Block(_Tokens):
         order, new, self.of = _grouped(*[x[live] for x in self.older], self.word[live])
         first = live[order[new]]
         self.grams = {
-            "context": np.stack([x[first] for x in self.older], axis=1),
-            "word": self.word[first],
-            "code": self.code[first],
-            "total": self.total[first],
+            "context": np.stack([self.ids[x[first]] for x in self.older], axis=1),
+            "word": self.ids[self.word[first]],
+            "code": self.codes[self.word[first]],
+            "total": self.counts[self.older[0][first]],
             "count": np.bincount(self.of, self.trained[live], minlength=len(first)).astype(np.int64),
         }
         self.owner = shape.owner(self.grams)
@@ -605,8 +637,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(_unpack(b.as_py())["word"]) for b in batch.column(0)], pa.int64())], ["n"])
 
 
-def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, model: Model | None) -> tuple[DataFrame, Shape, DataFrame]:
-    """Blocks with word numbers (from 1; 0 for a word without a training count) and counts, the shape, and the word shards."""
+def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, model: Model | None, keep: bool) -> tuple[DataFrame, Shape, DataFrame | None]:
+    """Blocks with word numbers (from 1; 0 for a word without a training count) and counts, the shape, and if wanted the word shards."""
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     blocks = materialise(_blocks(docs, key, text, held, spec.grown(spec.block_chars, chars)))
     tokens, trained = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
@@ -636,7 +668,6 @@ def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, mode
     asked = _rows_of(blocks, _MESSAGE, ask)
     answers = materialise(_by_shard(asked.union(model.words) if model else asked, answer))
     words = answers.where(F.col("block") == STORED)
-
     if model:
         shape = model.shape
     else:
@@ -651,12 +682,13 @@ def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, mode
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([on.tolist()], pa.list_(pa.bool_())), pa.array([made], pa.binary())], schema.names)
 
     coded = materialise(_with_blocks(blocks, answers, schema, code))
-    discard(blocks)
+    words = materialise(words) if keep else None
+    discard(blocks, answers)
     return coded, shape, words
 
 
 def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -> DataFrame:
-    """The trie shards (STORED rows), unless the model has them, and if asked for their answers to each block."""
+    """The answers of the trie shards to each block; or, if not asked for, the shards themselves (STORED rows)."""
 
     fields = ("near", "word", "code", "total", "count")
 
@@ -664,11 +696,11 @@ def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -
         if int(shape.parts(body["count"].max(initial=0))) == 1:
             return
         t = _Tokens(body, on, shape)
-        rows = np.flatnonzero((shape.parts(t.total) > 1) & (t.older[0] > 0) & t.trained)
+        rows = np.flatnonzero((shape.parts(t.counts) > 1)[t.older[0]] & t.trained)
         near, word = t.older[0][rows], t.word[rows]
         order, new, _ = _grouped(near, word)
-        first = rows[order[new]]
-        columns = {"near": t.older[0][first], "word": t.word[first], "code": t.code[first], "total": t.total[first], "count": np.diff(np.r_[new, len(rows)])}
+        near, word = near[order[new]], word[order[new]]
+        columns = {"near": t.ids[near], "word": t.ids[word], "code": t.codes[word], "total": t.counts[near], "count": np.diff(np.r_[new, len(rows)])}
         yield from _dealt(block, _owner(columns["near"] * 31 + columns["word"], shape.shards), columns)
 
     def summed(shard: int, stored: list[bytes], _: list[dict], asked: list[dict]) -> Iterator[tuple]:
@@ -702,10 +734,14 @@ def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -
             data = zstandard.decompress(stored[0])
         else:
             w = {k: np.concatenate([x[k] for x in spread]) if spread else np.zeros(0, np.int64) for k in fields}
+            if answers:  # counts of bigrams that no block asks for are only wanted in a model to keep
+                asked_for = np.isin(w["near"] << 32 | w["word"], g["context"][:, 0] << 32 | g["word"])
+                w = {k: v[asked_for] for k, v in w.items()}
             o = np.lexsort((w["word"], w["near"]))
             known = g["count"] > 0
             data = Trie.build({k: v[known] for k, v in g.items()}, {k: v[o] for k, v in w.items()}, shape.scale, shape.prior)
-            yield STORED, zstandard.compress(data, 3)
+            if not answers:
+                yield STORED, zstandard.compress(data, 3)
         if answers:
             q = np.rint(Trie(data, shape.scale, shape.prior).log10(g) * -PARTS).astype(np.uint32)[of]
             for n, part in enumerate(np.split(q, np.cumsum(sizes)[:-1])):
@@ -721,7 +757,7 @@ def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -
 
 def fit(docs: DataFrame, spec: Settings | None = None, *, key: str = "doc_id", text: str = "text") -> Model:
     """A model of all rows of docs; it can be saved, loaded, and given to score."""
-    coded, shape, words = _coded(docs.withColumn("_tw_held", F.lit(False)), key, text, "_tw_held", spec or Settings(), None)
+    coded, shape, words = _coded(docs.withColumn("_tw_held", F.lit(False)), key, text, "_tw_held", spec or Settings(), None, True)
     tries = _tries(coded, shape, None, False)
     discard(coded)
     return Model(shape, words, tries)
@@ -743,19 +779,20 @@ def score(docs: DataFrame, spec: Settings | None = None, *, model: Model | None
     several shards by the word before; those get the counts of its bigrams
     from all of them.
     """
-    coded, shape, _ = _coded(docs, key, text, held, spec or Settings(), model)
+    coded, shape, _ = _coded(docs, key, text, held, spec or Settings(), model, False)
     found = _tries(coded, shape, model, True)
     kind = coded.schema["keys"].dataType.elementType
     schema = StructType([StructField(key, kind), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def scores(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[dict]) -> Iterator[pa.RecordBatch]:
         b = _Block(body, on, shape)
-        q = shape.scale.value(b.code)
+        q = shape.scale.value(b.codes)[b.word]
         q[b.live] = (_gathered(got, b.owner, "q") / -PARTS)[b.of]
-        base = np.log10((b.count + shape.add) / shape.mass)
+        count = b.counts[b.word]
+        base = np.log10((count + shape.add) / shape.mass)
         add = lambda x: np.add.reduceat(x, b.starts)
         yield pa.RecordBatch.from_arrays(
-            [keys, pa.array(on), pa.array(b.lengths), pa.array(add((b.count > 0).astype(np.int64))), pa.array(np.full(len(on), shape.trained)), pa.array(add(base)), pa.array(add(q))],
+            [keys, pa.array(on), pa.array(b.lengths), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(on), shape.trained)), pa.array(add(base)), pa.array(add(q))],
             schema.names,
         )
 
@@ -765,4 +802,44 @@ def score(docs: DataFrame, spec: Settings | None = None, *, model: Model | None
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a model of those whose crc32 isn't divisible by 10."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
-    return score(docs)
+    return score(docs).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def _sql(spec: Settings = Settings()) -> str:
+    """The same scores out of plain counts: crc32 by its table, n-grams by joins."""
+    turn = "SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM "
+    table = "(SELECT i, i AS v FROM range(256) t(i))"
+    for _ in range(8):
+        table = f"({turn}{table})"
+    level = lambda p: f"(least({spec.levels - 1}, greatest(0, round(log10({p}) / (SELECT least FROM totals) * {spec.levels - 1}.0::DOUBLE))) * ((SELECT least FROM totals) / {spec.levels - 1}.0::DOUBLE))"
+
+    def smoothed(n: int, count: str, seen: str) -> str:
+        prior = f"{spec.prior[n - 2]!r}::DOUBLE"
+        return f"CASE WHEN coalesce({seen}, 0) = 0 THEN q{n - 1} WHEN coalesce({count}, 0) > 0 THEN {level(f'({count} + {prior} * pow(10.0::DOUBLE, q{n - 1})) / ({seen} + {prior})')} ELSE q{n - 1} + {level(f'{prior} / ({seen} + {prior})')} END AS q{n}"
+
+    return f"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM {table}),
+docs AS (SELECT row_number() OVER () AS r, doc_id,
+  coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10 = 0, false) AS held_out,
+  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [chr(10)] AS ws
+  FROM documents, crc),
+tokens AS (SELECT r, held_out, unnest(ws) AS w, unnest([chr(10)] || ws[:-2]) AS v, unnest(CASE WHEN len(ws) = 1 THEN [NULL] ELSE [NULL, chr(10)] || ws[:-3] END) AS u
+  FROM (SELECT r, held_out, ws FROM docs)),
+c1 AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM tokens WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+s3 AS (SELECT u, v, sum(c)::BIGINT AS s FROM c3 GROUP BY u, v),
+mass AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, coalesce(sum(c), 0)::BIGINT + {spec.add}::DOUBLE * (count(*) + 1) AS m FROM c1),
+totals AS (SELECT n, m, floor(log10({min(spec.add, 1.0)}::DOUBLE / m)) - 1.0::DOUBLE AS least FROM mass),
+one AS (SELECT t.*, coalesce(a.c, 0) AS n1, b.c AS nv, c2.c AS n2, s3.s AS nuv, c3.c AS n3, (coalesce(a.c, 0) + {spec.add}::DOUBLE) / (SELECT m FROM totals) AS p
+  FROM tokens t LEFT JOIN c1 a ON t.w = a.w LEFT JOIN c1 b ON t.v = b.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w
+  LEFT JOIN s3 ON t.u = s3.u AND t.v = s3.v LEFT JOIN c3 ON t.u = c3.u AND t.v = c3.v AND t.w = c3.w),
+level1 AS (SELECT *, {level('p')} AS q1 FROM one),
+level2 AS (SELECT *, {smoothed(2, 'n2', 'nv')} FROM level1),
+level3 AS (SELECT *, {smoothed(3, 'n3', 'nuv')} FROM level2),
+scored AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, sum(log10(p)) AS base, sum(CASE WHEN nv > 0 THEN round(q3 * -{PARTS}.0::DOUBLE) / -{PARTS}.0::DOUBLE ELSE q1 END) AS score FROM level3 GROUP BY r)
+SELECT d.doc_id, d.held_out, s.n_tokens, s.n_known, (SELECT n FROM totals) AS train_tokens, round(s.base, 6) AS base_score, round(s.score, 6) AS score FROM docs d JOIN scored s ON d.r = s.r
+"""
+
+
+ORACLE_SQL = _sql()
