@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,13 +12,13 @@ from tests.llm.conftest import prose
 
 
 def distance(item, text):
-    """Least edit distance of item to any stretch of text."""
-    row = [0] * (len(text) + 1)
+    """Least edit distance of item to any stretch of text, row by row of the whole table."""
+    codes, at = np.array([ord(x) for x in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, c in enumerate(item, 1):
-        last, row[0] = row[0], i
-        for j, x in enumerate(text, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != x))
-    return min(row)
+        new = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))]
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 @settings(max_examples=200, deadline=None)

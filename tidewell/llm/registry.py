@@ -22,6 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_language_model": ngram_lm.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }

@@ -543,3 +543,18 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less its bytes that a document before it has."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (SELECT r, doc_id, length(h) // 2 AS n, c, substr(h, 1024 * c + 1, 1024 + 98) AS part FROM (SELECT *, unnest(range(CAST((length(h) + 1023) // 1024 AS BIGINT))) AS c FROM docs)),
+strings AS (SELECT r, doc_id, 512 * c + j AS i, CASE WHEN 512 * c + j + 50 <= n THEN substr(part, 2 * j + 1, 100) END AS s, substr(part, 2 * j + 1, 2) AS b
+  FROM (SELECT *, unnest(range(least(512, n - 512 * c))) AS j FROM chunks)),
+first AS (SELECT s, min(doc_id) AS d FROM strings WHERE s IS NOT NULL AND doc_id IS NOT NULL GROUP BY s),
+gone AS (SELECT t.r, t.i, t.b, coalesce(f.d < t.doc_id, false) AS starts FROM strings t LEFT JOIN first f ON t.s = f.s),
+covered AS (SELECT r, i, b, coalesce(bool_or(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS c FROM gone),
+edges AS (SELECT r, i, b, c, c AND NOT coalesce(lag(c) OVER (PARTITION BY r ORDER BY i), false) AS e FROM covered),
+kept AS (SELECT r, count(*) FILTER (c) AS n_removed, count(*) FILTER (e) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT c), '') AS k FROM edges GROUP BY r)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.k, ''))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.r = k.r
+"""
