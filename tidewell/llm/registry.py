@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, pii, quality, simhash, suffix_dedup, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, periodic, pii, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
