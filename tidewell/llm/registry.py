@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, periodic, pii, quality, simhash, suffix_dedup, url_filter
+from tidewell.llm import decontaminate, language_id, line_dedup, ngram_lm, packing, periodic, pii, quality, simhash, suffix_dedup, url_filter, vector_codes, vector_links
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_vector_links": vector_links.op13_vector_links,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict:
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op6_language_model": ngram_lm.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+        "op13_vector_links": vector_links.ORACLE_SQL,
     }
