@@ -5,9 +5,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.sql import functions as F
 
-from tidewell.operators import folds, metrics, models, prep, summaries
+from tests.plain_models import PlainBoosted, PlainLogistic, plain_shap, softmax
+from tidewell.operators import boosting, estimators, fits, folds, metrics, models, prep, summaries
 from tidewell.plans import experiment
 
 COLUMNS = [f"x{k}" for k in range(6)]
@@ -34,54 +40,134 @@ def plain_macro_f1(true, pred):
     return sum(out) / len(out)
 
 
-def loss_of(model, x, y, b):
-    z = np.c_[np.ones(len(x)), (x - x.mean(axis=0)) / x.std(axis=0)]
-    codes = np.searchsorted(model.classes, y)
-    weight = (len(y) / (len(model.classes) * np.bincount(codes)))[codes]
-    s = z @ b.T
-    p = np.exp(s - s.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return -(weight * np.log(p[np.arange(len(y)), codes])).sum() + 0.5 / model.c * (b[:, 1:] ** 2).sum()
-
-
-@pytest.mark.parametrize("classes", [2, 3])
-def test_small_logistic_is_at_the_optimum(classes):
-    x, y = matrix(60, classes, 0.8)
-    model = models.SmallLogistic().fit(x, y)
-    least = loss_of(model, x, y, model.b)
-    rng = np.random.default_rng(1)
-    for size in (1e-3, 1e-2, 0.1):
-        for _ in range(20):
-            assert loss_of(model, x, y, model.b + size * rng.normal(size=model.b.shape)) >= least - 1e-7
-
-
-@pytest.mark.parametrize("classes", [2, 3])
-def test_spark_and_small_fits_agree(spark, classes):
-    x, y = matrix(90, classes, 0.8, 3)
-    y[:9] = 0  # classes of unequal size
-    small = models.SmallLogistic().fit(x[:60], y[:60])
+def without(doc):
+    """(rep, fold, train, test) of a fold document over p000, p001, ..."""
+    n = doc["metadata"]["n_participants"]
+    for rep, one in enumerate(doc["repetitions"]):
+        for fold, part in enumerate(one["folds"]):
+            test = np.array([int(p[1:]) for p in part["test"]])
+            yield rep, fold, np.setdiff1d(np.arange(n), test), test
+
+
+@pytest.mark.parametrize("classes", [2, 3, 5])
+def test_all_folds_have_the_coefficients_of_single_fits(spark, classes):
+    x, y = matrix(150, classes, 0.8, 3)
+    x[:, 1] = 7.0 + 1000 * x[:, 1]
+    x[:, 2] = 5.0  # constant
+    y[:40] = 0  # classes of unequal size
+    doc = folds.repeated_folds([f"p{k:03}" for k in range(150)], 5, 4)
+    table = fits.Table(frame(spark, x, y).repartition(3), COLUMNS, "y", folds.folds_frame(spark, doc))
+    asked = table.fits([(0, None), (0, [0, 2, 5])])
+    made = fits.fit_logistic(table, asked)
+    for rep, fold, train, _ in without(doc):
+        for condition, own in enumerate((list(range(6)), [0, 2, 5])):
+            f = int(np.flatnonzero((asked.condition == condition) & (asked.fold == table.names.index((rep, fold))))[0])
+            plain = PlainLogistic().fit(x[train][:, own], y[train])
+            w, b = plain.weights
+            scale = plain.scale  # per standard deviation, as the fits are
+            np.testing.assert_allclose(made.weights[f][:, own] * scale, w * scale, atol=1e-6)
+            np.testing.assert_allclose(made.intercepts[f] - made.intercepts[f].mean(), b - b.mean(), atol=1e-5)
+            assert not made.weights[f][:, [c for c in range(6) if c not in own]].any()
+
+
+def test_spark_and_own_fits_agree(spark):
+    x, y = matrix(90, 3, 0.8, 3)
+    y[:9] = 0
+    plain = PlainLogistic().fit(x[:60], y[:60])
     test = frame(spark, x, y).where("pid >= 'p060'")
     found = sorted(models.logistic_regression(frame(spark, x, y).where("pid < 'p060'"), test, COLUMNS, "y").collect(), key=lambda r: r["pid"])
-    z = np.c_[np.ones(30), (x[60:] - small.mean) / small.scale]
-    proba = small._proba(z)
-    if classes == 2:  # one row of weights there, two rows under one penalty here: a weaker one
-        assert np.mean([r["y_pred"] for r in found] == small.predict(x[60:])) > 0.9
-    else:
-        np.testing.assert_allclose([r["probabilities"] for r in found], proba, atol=2e-3)
-        assert [r["y_pred"] for r in found] == small.predict(x[60:]).tolist()
+    w, b = plain.weights
+    np.testing.assert_allclose([r["probabilities"] for r in found], softmax(x[60:] @ w.T + b), atol=2e-3)
+    assert [r["y_pred"] for r in found] == plain.predict(x[60:]).tolist()
+
+
+def test_folds_without_a_class_and_rows_in_no_fold(spark):
+    x, y = matrix(40, 3, 2.0, 8)
+    y[y == 2] = 1
+    y[0] = 2  # only there
+    rows = [(0, 0, "p000"), (0, 0, "p001"), (0, 1, "p002"), (0, 1, "p003"), (1, 0, "p000"), (1, 1, "p000"), (1, 1, "p009")]
+    of = spark.createDataFrame(rows, "rep int, fold int, pid string")
+    table = fits.Table(frame(spark, x, y), COLUMNS, "y", of)
+    made = fits.fit_logistic(table)
+    for f, name in enumerate(table.names):
+        test = [int(p[1:]) for r, k, p in rows if (r, k) == name]
+        train = np.setdiff1d(np.arange(40), test)
+        plain = PlainLogistic().fit(x[train], y[train])
+        w, _ = plain.weights
+        np.testing.assert_allclose(made.weights[f][plain.classes], w, atol=1e-5)
+        assert made.present[f].tolist() == [c in plain.classes for c in range(3)]
+    found = {(r["rep"], r["fold"], r["pid"]): r["y_pred"] for r in models.fold_predictions(frame(spark, x, y), of, COLUMNS).collect()}
+    assert set(found) == set(rows) and found[0, 0, "p000"] != 2
+    nothing = frame(spark, x, y).where("false")
+    assert models.fold_predictions(nothing, of, COLUMNS).collect() == []
+    with pytest.raises(Exception, match="null"):
+        models.fold_predictions(frame(spark, x, y).withColumn("x1", F.lit(None).cast("double")), of, COLUMNS)
 
 
-def test_boosted_trees_learn_what_lines_cannot(spark):
+@pytest.mark.parametrize("classes", [2, 3])
+def test_boosted_trees_are_those_of_plain_ones(spark, classes):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(160, 6)).round(1)
+    y = np.digitize(x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=160), [0.2] if classes == 2 else [-0.3, 0.3])
+    doc = folds.repeated_folds([f"p{k:03}" for k in range(160)], 2, 1)
+    table = fits.Table(frame(spark, x, y).repartition(3), COLUMNS, "y", folds.folds_frame(spark, doc))
+    cuts = boosting.column_cuts(table, 8)
+    made = boosting.fit_boosted(table, cuts, rounds=5, depth=3, rate=0.3, kept_rounds=2)
+    for rep, fold, train, test in without(doc):
+        f = table.names.index((rep, fold))
+        plain = PlainBoosted(cuts, 5, 3, 0.3).fit([f"p{k:03}" for k in train], x[train], y[train])
+        np.testing.assert_allclose(made.scores(x[test], f), plain.scores(x[test]), atol=1e-9)
+    assert all(len(c) <= 7 and set(c) <= set(x[:, k]) for k, c in enumerate(cuts))
+
+
+def test_boosted_trees_learn_what_lines_cannot(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
-    boosted = models.SmallBoosted(rounds=40).fit(x[:200], y[:200])
-    assert (boosted.predict(x[200:]) == y[200:]).mean() > 0.85 > 0.7 > (models.SmallLogistic().fit(x[:200], y[:200]).predict(x[200:]) == y[200:]).mean()
-    rows = frame(spark, x, y)
-    made = models.boosted_trees(rows.where("pid < 'p200'"), rows.where("pid >= 'p200'"), COLUMNS, "y", rounds=10, depth=3)
-    assert made.where("y = y_pred").count() > 60
-    three = np.digitize(x[:, 0], [-0.5, 0.5])
-    assert (models.SmallBoosted(rounds=40).fit(x[:200], three[:200]).predict(x[200:]) == three[200:]).mean() > 0.9
+    rows = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(frame(spark, x, y, "label"))
+    train, test = rows.where("pid < 'p200'"), rows.where("pid >= 'p200'")
+    model = estimators.BoostedTrees(rounds=12, rate=0.3, depth=3).fit(train)
+    scored = model.transform(test.withColumn("prediction", F.lit("replaced")))
+    assert scored.columns == [*test.columns, "prediction", "probability"]
+    assert scored.where("label = prediction").count() > 85
+    assert estimators.BalancedLogistic().fit(train).transform(test).where("label = prediction").count() < 70
+    model.write().overwrite().save(f"{tmp_path}/trees")
+    again = estimators.BoostedTreesModel.load(f"{tmp_path}/trees")
+    assert sorted(map(str, again.transform(test).collect())) == sorted(map(str, model.transform(test).collect()))
+    estimator = estimators.BoostedTrees(rounds=7, depth=2)
+    estimator.write().overwrite().save(f"{tmp_path}/estimator")
+    loaded = estimators.BoostedTrees.load(f"{tmp_path}/estimator")
+    assert loaded.getOrDefault("rounds") == 7 and loaded.getOrDefault("depth") == 2 and loaded.getOrDefault("rate") == 0.05
+    # along the paths, values sum to the score minus the base
+    found = model.attributions(test, COLUMNS).groupBy("pid", "class").agg(F.sum("value").alias("total"), F.first("base").alias("base")).collect()
+    own = model.boosted
+    for r in found:
+        assert r["total"] + r["base"] == pytest.approx(own.scores(x[[int(r["pid"][1:])]], 0)[0, r["class"]], abs=1e-9)
+    top = {r["feature"] for r in boosting.mean_attributions(model.attributions(test, COLUMNS)).where("class = 1").orderBy(F.desc("mean_abs")).limit(2).collect()}
+    assert top == {"x0", "x1"}
+
+
+def test_attributions_are_those_of_all_subsets():
+    rng = np.random.default_rng(5)
+    for depth in (1, 2, 3, 4):
+        for k in range(6):
+            inner = (1 << depth) - 1
+            columns, cuts = rng.integers(0, 4, inner), rng.normal(size=inner)
+            values, cover = rng.normal(size=inner + 1), rng.integers(1, 20, inner + 1).astype(float)
+            if k % 2 and depth > 1:  # a node that isn't cut
+                cuts[1], below = np.inf, (inner + 1) // 4
+                values[below : 2 * below], cover[below : 2 * below] = 0.0, 0.0
+            x = rng.normal(size=(5, 4))
+            found = boosting.tree_shap(columns, cuts, values, cover, x, 4)
+            np.testing.assert_allclose(found, [plain_shap(columns, cuts, values, cover, row) for row in x], atol=1e-12)
+
+
+def test_attributions_check_the_size_of_the_trees(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TREES_MB", 0)
+    x, y = matrix(20, 2)
+    rows = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(frame(spark, x, y, "label"))
+    with pytest.raises(ValueError, match="MB"):
+        estimators.BoostedTrees(rounds=1, depth=1).fit(rows).attributions(rows, COLUMNS)
 
 
 def test_evaluate_repeated(spark):
@@ -91,23 +177,60 @@ def test_evaluate_repeated(spark):
     of = folds.folds_frame(spark, doc)
     scores = {(r["rep"], r["fold"]): r["macro_f1"] for r in models.evaluate_repeated(data, of, COLUMNS).collect()}
     assert set(scores) == {(r, f) for r in range(3) for f in range(5)} and sum(scores.values()) > 0.8 * 15
-    for rep, one in enumerate(doc["repetitions"]):
-        for fold, part in enumerate(one["folds"]):
-            test = np.array([int(p[1:]) for p in part["test"]])
-            train = np.setdiff1d(np.arange(90), test)
-            assert scores[rep, fold] == pytest.approx(plain_macro_f1(y[test].tolist(), models.SmallLogistic().fit(x[train], y[train]).predict(x[test]).tolist()))
+    for rep, fold, train, test in without(doc):
+        assert scores[rep, fold] == pytest.approx(plain_macro_f1(y[test].tolist(), PlainLogistic().fit(x[train], y[train]).predict(x[test]).tolist()))
     chance = models.evaluate_repeated(data, of, COLUMNS, estimator="dummy").agg(F.avg("macro_f1")).first()[0]
     assert chance < 0.6
     assert sorted(map(str, models.evaluate_repeated(data, of, COLUMNS).collect())) == sorted(map(str, models.evaluate_repeated(data.repartition(7), of, COLUMNS).collect()))
+    with pytest.raises(ValueError, match="estimator"):
+        models.evaluate_repeated(data, of, COLUMNS, estimator="other")
 
 
-def test_large_folds_agree_with_small_ones(spark):
-    x, y = matrix(90, 3, 1.5, 5)
-    data = frame(spark, x, y)
-    of = folds.hashed_folds(data, 3, 1)
-    small = {(r["fold"], r["pid"]): r["y_pred"] for r in models.fold_predictions(data, of, COLUMNS).collect()}
-    large = {(r["fold"], r["pid"]): r["y_pred"] for r in models.large_fold_predictions(data, of, COLUMNS).collect()}
-    assert set(small) == set(large) and sum(small[k] == large[k] for k in small) >= 88
+class Nearest(Estimator, HasFeaturesCol, HasLabelCol):
+    """An estimator of a caller's: the class whose first feature has the nearest mean."""
+
+    def _fit(self, dataset):
+        means = dataset.groupBy("label").agg(F.avg(vector_to_array("features")[0]).alias("m")).collect()
+        return NearestModel(sorted((r["label"], r["m"]) for r in means))
+
+
+class NearestModel(Model):
+    def __init__(self, means=()):
+        super().__init__()
+        self.means = means
+
+    def _transform(self, dataset):
+        far = F.array(*[F.struct(F.abs(vector_to_array("features")[0] - m), F.lit(label).alias("label")) for label, m in self.means])
+        return dataset.withColumn("prediction", F.array_min(far)["label"])
+
+
+def test_estimators_of_a_caller(spark, tmp_path):
+    x, y = matrix(60, 3, 6.0)
+    data = frame(spark, x, y).withColumn("y", F.concat(F.lit("class "), F.col("y").cast("string")))
+    of = folds.folds_frame(spark, folds.repeated_folds([f"p{k:03}" for k in range(60)], 3, 2))
+    for estimator in (Nearest(), LogisticRegression(maxIter=20), estimators.BalancedLogistic(c=0.5), estimators.BoostedTrees(rounds=5, depth=2, rate=0.5)):
+        made = models.fold_predictions(data, of, COLUMNS, estimator=estimator)
+        assert made.count() == 120 and made.where("y_true = y_pred").count() > 100, estimator
+        assert made.dtypes == [("rep", "int"), ("fold", "int"), ("pid", "string"), ("y_true", "string"), ("y_pred", "string")]
+    features = data.select(F.col("pid").alias("user"), F.lit("d").alias("day"), F.when(F.col("y") == "class 0", "control").otherwise(F.col("y")).alias("class"), "x0", "x1")
+    grid = experiment.experiment_grid(features, ["x0", "x1"], 3, estimators=(Nearest(),))
+    assert grid.groupBy("track", "aggregation", "estimator").count().where("estimator = 'Nearest' and count = 60").count() == 4
+
+
+def test_fitted_models_are_saved_and_score_other_tables(spark, tmp_path):
+    x, y = matrix(80, 3, 2.0)
+    rows = VectorAssembler(inputCols=COLUMNS, outputCol="v").transform(frame(spark, x, y))
+    model = estimators.BalancedLogistic(featuresCol="v", labelCol="y", predictionCol="guess").fit(rows.where("pid < 'p050'"))
+    model.write().overwrite().save(f"{tmp_path}/model")
+    again = estimators.BalancedLogisticModel.load(f"{tmp_path}/model")
+    test = rows.where("pid >= 'p050'").drop("y").withColumn("further", F.lit(1))
+    found = {r["pid"]: r for r in again.transform(test).collect()}
+    plain = PlainLogistic().fit(x[:50], y[:50])
+    w, b = plain.weights
+    for k in range(50, 80):
+        np.testing.assert_allclose(found[f"p{k:03}"]["probability"], softmax(x[[k]] @ w.T + b)[0], atol=1e-6)
+        assert found[f"p{k:03}"]["guess"] == plain.predict(x[[k]])[0] and found[f"p{k:03}"]["further"] == 1
+    assert Pipeline(stages=[VectorAssembler(inputCols=COLUMNS, outputCol="features"), estimators.BalancedLogistic(labelCol="y")]).fit(frame(spark, x, y)).transform(frame(spark, x, y)).where("y = prediction").count() > 60
 
 
 def test_stratified_draws(spark):
@@ -136,13 +259,6 @@ def test_importance_finds_the_column_that_matters(spark):
         assert set(found) == set(COLUMNS) and found["x0"] > 0.2 and all(abs(found[c]) < 0.15 for c in COLUMNS[1:])
 
 
-def test_study_sized_fits_refuse_large_tables(spark, monkeypatch):
-    monkeypatch.setattr(models, "STUDY_ROWS", 10)
-    x, y = matrix()
-    with pytest.raises(ValueError, match="large_fold_predictions"):
-        models.fold_predictions(frame(spark, x, y), folds.hashed_folds(frame(spark, x, y), 2, 1), COLUMNS)
-
-
 def test_combined_matrix_refuses_nulls(spark):
     left = spark.createDataFrame([(1, "control", 1.0), (2, "depression", None)], "user long, class string, a double")
     right = spark.createDataFrame([(1, "x", 2.0), (2, "x", 3.0)], "user long, class string, b double")
@@ -160,10 +276,31 @@ def test_experiment_has_all_conditions_on_the_same_folds(spark):
     of = {(r["task"], r["feature_set"]): r for r in summary.collect()}
     assert len(of) == 8 and of["3class", "combined"]["mean_f1"] > of["3class", "distributional"]["mean_f1"] > of["3class", "dummy"]["mean_f1"]
     assert all(r["n_reps"] == 4 and r["ci_lo_mean"] < r["mean_f1"] < r["ci_hi_mean"] for r in of.values())
-    assert {r["label"] for r in paired.collect()} >= {"2class/combined-dummy", "3class/temporal-distributional"}
+    assert {r["label"] for r in paired.collect()} >= {"2class: combined vs dummy", "3class: temporal vs dist"}
+    _, _, own = experiment.run_experiment(data, folds.hashed_folds(data, 3, 2), ["d"], ["t"], pairs=[("across tasks", "2class/combined", "3class/temporal")])
+    assert [r["label"] for r in own.collect()] == ["across tasks"]
+
+
+@pytest.mark.parametrize(("a", "b"), [(3, 5), (5, 3), (0, 3), (3, 0), (0, 0)])
+def test_pairs_need_the_same_repetitions(spark, a, b):
+    rows = [("t", "a", r, 0.5 + r / 100) for r in range(a)] + [("u", "b", r, 0.6) for r in range(b)]
+    scores = spark.createDataFrame(rows, "task string, feature_set string, rep int, score double")
+    with pytest.raises(ValueError, match="different repetitions.*mine"):
+        metrics.paired_summary(scores, [("mine", "t/a", "u/b")])
+
+
+def test_pairs_of_any_conditions(spark):
+    rows = [("t", "a", r, 0.5 + r / 100) for r in range(4)] + [("u", "b", r, 0.52) for r in range(4)]
+    scores = spark.createDataFrame(rows, "task string, feature_set string, rep int, score double")
+    found = metrics.paired_summary(scores, [("mine", "t/a", "u/b"), ("same", "t/a", "t/a")]).orderBy("label").collect()
+    assert [r["label"] for r in found] == ["mine", "same"]
+    assert (found[0]["mean_diff"], found[0]["frac_positive"], found[0]["n_reps"]) == (0.005, 0.5, 4) and found[1]["sd_diff"] == 0.0
+    with pytest.raises(ValueError, match="repetitions"):
+        metrics.paired_summary(scores.union(scores), [("mine", "t/a", "u/b")])
 
 
-def test_grid_has_tracks_aggregations_and_classifiers(spark):
+def test_grid_has_tracks_aggregations_and_classifiers(spark, monkeypatch):
+    monkeypatch.setitem(models.ESTIMATORS, "boosted", lambda: estimators.BoostedTrees(rounds=6, depth=2))
     rng = np.random.default_rng(6)
     rows = [(u, f"d{d}", ("control", "depression", "schizophrenia")[u % 3], float(rng.normal() + 3 * (u % 3)), float(rng.normal())) for u in range(30) for d in range(4)]
     features = spark.createDataFrame(rows, "user long, day string, class string, mean double, sd double")

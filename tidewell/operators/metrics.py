@@ -155,18 +155,21 @@ def summarize_reps(scores: DataFrame, reps: int | None = None) -> DataFrame:
 
 
 def paired_summary(scores: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """(label, n_reps, mean_diff, sd_diff, ci_lo_diff, ci_hi_diff, frac_positive) of b minus a for (task, a, b).
+    """(label, n_reps, mean_diff, sd_diff, ci_lo_diff, ci_hi_diff, frac_positive) of b minus a for pairs (label, a, b).
 
-    Raises ValueError where the two sides don't have the same repetitions; a
-    zero difference isn't positive.
+    a and b are any two conditions, 'task/feature_set'. Raises ValueError where
+    the two sides don't have the same repetitions, a repetition more than once,
+    or none at all; a zero difference isn't positive.
     """
     spark = scores.sparkSession
-    spec = spark.createDataFrame([(t, a, b, f"{t}/{b}-{a}") for t, a, b in pairs], "task string, a string, b string, label string")
-    side = lambda k: scores.select("task", F.col("feature_set").alias(k), "rep", F.col("score").alias(f"score_{k}"))
-    both = spec.join(side("a"), ["task", "a"]).join(side("b").withColumn("_has", F.lit(True)), ["task", "b", "rep"], "left")
-    if both.where("_has is null").limit(1).count():
-        raise ValueError("the two sides of a pair have different repetitions")
-    diff = F.col("score_b") - F.col("score_a")
+    spec = spark.createDataFrame([(label, a, b) for label, a, b in pairs], "label string, a string, b string")
+    each = scores.select(F.concat_ws("/", "task", "feature_set").alias("condition"), "rep", "score")
+    side = lambda k: F.broadcast(spec).join(each, F.col(k) == F.col("condition")).groupBy("label", "rep").agg(F.first("score").alias(k), F.count(F.lit(1)).alias(f"n_{k}"))
+    both = spec.select("label").join(side("a").join(side("b"), ["label", "rep"], "full"), "label", "left")
+    odd = both.where(~(F.col("n_a").eqNullSafe(F.lit(1)) & F.col("n_b").eqNullSafe(F.lit(1)))).select("label").distinct().limit(5).collect()
+    if odd:
+        raise ValueError(f"the two sides have different repetitions: {sorted(r['label'] for r in odd)}")
+    diff = F.col("b") - F.col("a")
     found = both.groupBy("label").agg(F.count(F.lit(1)).alias("n_reps"), F.avg(diff).alias("m"), F.stddev_samp(diff).alias("s"), F.avg((diff > 0).cast("double")).alias("p"))
     half = _t_critical(F.col("n_reps")) * F.col("s") / F.sqrt("n_reps")
     return found.select("label", "n_reps", F.round("m", 4).alias("mean_diff"), F.round("s", 4).alias("sd_diff"), F.round(F.col("m") - half, 4).alias("ci_lo_diff"), F.round(F.col("m") + half, 4).alias("ci_hi_diff"), F.round("p", 3).alias("frac_positive"))

@@ -1,4 +1,4 @@
-"""Classifiers, and repeated cross-validation as one Spark job."""
+"""Single fits, and repeated cross-validation of any estimator."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml import Estimator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.folds import fold_membership
+from tidewell.functions.params import one_of
+from tidewell.operators.estimators import BalancedLogistic, BoostedTrees, FoldEstimator
+from tidewell.operators.fits import MAX_CLASSES, Table, tested_predictions
 from tidewell.operators.metrics import macro_f1
 
 
@@ -55,15 +55,6 @@ def logistic_regression(train: DataFrame, test: DataFrame, columns: list[str], l
     return fit_logistic(train, columns, label, c)(test)
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, columns: list[str], label: str, rounds: int = 200, depth: int = 4) -> DataFrame:
-    """test with y_pred of gradient-boosted trees; several classes one against the rest. An approximation of other boosters."""
-    trees = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-    many = train.select(label).distinct().count() > 2
-    model = OneVsRest(classifier=trees, featuresCol="_x", labelCol=label) if many else trees
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), model]).fit(train)
-    return fitted.transform(test).select(*test.columns, F.col("prediction").cast("int").alias("y_pred"))
-
-
 def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: DataFrame, columns: list[str], label: str, seed: int = 42, bucket_rows: int = 10_000) -> DataFrame:
     """(feature, loss): fall of macro-F1 when a column is shuffled among the test rows; an approximation of attributions.
 
@@ -91,163 +82,6 @@ def permutation_importance(predict: Callable[[DataFrame], DataFrame], test: Data
     return scores.where("_k >= 0").join(F.broadcast(base)).select(F.get(names, F.col("_k")).alias("feature"), (F.col("_base") - F.col("macro_f1")).alias("loss"))
 
 
-class SmallLogistic:
-    """L2 logistic regression with balanced classes by Newton steps, for the few rows of one fold."""
-
-    def __init__(self, c: float = 1.0):
-        self.c = c
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> SmallLogistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
-        self.scale[self.scale == 0] = 1.0
-        self.classes, codes, counts = np.unique(y, return_inverse=True, return_counts=True)
-        k, d = len(self.classes), x.shape[1] + 1
-        z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
-        weight = (len(y) / (k * counts))[codes]
-        self.b = np.zeros((k, d))
-        ridge = np.diag(np.r_[1e-8, np.full(d - 1, 1.0 / self.c)])
-        target = np.eye(k)[codes]
-        loss = np.inf
-        for _ in range(100):
-            p = self._proba(z)
-            gradient = ((p - target) * weight[:, None]).T @ z + self.b @ ridge
-            hessian = np.zeros((k * d, k * d))
-            for a in range(k):
-                for e in range(k):
-                    w = weight * p[:, a] * ((a == e) - p[:, e])
-                    hessian[a * d : (a + 1) * d, e * d : (e + 1) * d] = (z * w[:, None]).T @ z + (ridge if a == e else 0)
-            step = np.linalg.lstsq(hessian + 1e-9 * np.eye(k * d), gradient.ravel(), rcond=None)[0].reshape(k, d)
-            size, before = 1.0, self.b
-            while size > 1e-6:
-                self.b = before - size * step
-                now = -(weight * np.log(np.maximum(self._proba(z)[np.arange(len(y)), codes], 1e-300))).sum() + 0.5 * np.einsum("kd,de,ke->", self.b, ridge, self.b)
-                if now <= loss:
-                    break
-                size /= 2
-            if abs(loss - now) < 1e-10 * max(1.0, abs(now)):
-                break
-            loss = now
-        return self
-
-    def _proba(self, z: np.ndarray) -> np.ndarray:
-        s = z @ self.b.T
-        e = np.exp(s - s.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.classes[self._proba(np.c_[np.ones(len(x)), (x - self.mean) / self.scale]).argmax(axis=1)]
-
-
-class Stratified:
-    """Random labels in the proportions of the training labels."""
-
-    def __init__(self, seed: int = 0):
-        self.seed = seed
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Stratified:
-        self.classes, counts = np.unique(y, return_counts=True)
-        self.share = counts / counts.sum()
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.random.RandomState(self.seed).choice(self.classes, len(x), p=self.share)
-
-
-class SmallBoosted:
-    """Second-order boosted trees on the softmax, level by level over binned columns, for the few rows of one fold.
-
-    Row and column shares, depth and shrinkage are those of boosted_trees.
-    """
-
-    def __init__(self, rounds: int = 200, depth: int = 4, rate: float = 0.05, share: float = 0.8, bins: int = 32, ridge: float = 1.0, seed: int = 42):
-        self.rounds, self.depth, self.rate, self.share, self.bins, self.ridge, self.seed = rounds, depth, rate, share, bins, ridge, seed
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(cuts, x[:, k], side="right") for k, cuts in enumerate(self.cuts)], axis=1)
-
-    def _tree(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list, np.ndarray]:
-        """(column, bin) of each node of each level, and the leaves' values."""
-        node, levels = np.zeros(len(x), np.int64), []
-        for depth in range(self.depth):
-            size, best = 1 << depth, None
-            for k in columns:
-                slot = node[rows] * self.bins + x[rows, k]
-                left = [np.bincount(slot, v[rows], size * self.bins).reshape(size, self.bins).cumsum(axis=1) for v in (g, h)]
-                gain = left[0] ** 2 / (left[1] + self.ridge) + (left[0][:, -1:] - left[0]) ** 2 / (left[1][:, -1:] - left[1] + self.ridge)
-                at = gain.argmax(axis=1)
-                top = gain[np.arange(size), at]
-                if best is None:
-                    best = (top, np.full(size, k), at)
-                else:
-                    better = top > best[0]
-                    best = (np.where(better, top, best[0]), np.where(better, k, best[1]), np.where(better, at, best[2]))
-            levels.append(best[1:])
-            node = 2 * node + (x[np.arange(len(x)), best[1][node]] > best[2][node])
-        sums = [np.bincount(node[rows], v[rows], 1 << self.depth) for v in (g, h)]
-        return levels, -self.rate * sums[0] / (sums[1] + self.ridge)
-
-    def _leaf(self, x: np.ndarray, levels: list) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        for column, cut in levels:
-            node = 2 * node + (x[np.arange(len(x)), column[node]] > cut[node])
-        return node
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> SmallBoosted:
-        self.cuts = [np.unique(np.quantile(x[:, k], np.arange(1, self.bins) / self.bins)) for k in range(x.shape[1])]
-        self.classes, codes = np.unique(y, return_inverse=True)
-        binned, target = self._binned(x), np.eye(len(self.classes))[codes]
-        rng, score, self.trees = np.random.RandomState(self.seed), np.zeros(target.shape), []
-        for _ in range(self.rounds):
-            p = _softmax(score)
-            rows = np.flatnonzero(rng.random_sample(len(x)) < self.share)
-            columns = rng.permutation(x.shape[1])[: max(1, round(self.share * x.shape[1]))]
-            of_round = [self._tree(binned, p[:, k] - target[:, k], np.maximum(p[:, k] * (1 - p[:, k]), 1e-9), rows, columns) for k in range(len(self.classes))]
-            self.trees.append(of_round)
-            for k, (levels, leaves) in enumerate(of_round):
-                score[:, k] += leaves[self._leaf(binned, levels)]
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        binned, score = self._binned(x), np.zeros((len(x), len(self.classes)))
-        for of_round in self.trees:
-            for k, (levels, leaves) in enumerate(of_round):
-                score[:, k] += leaves[self._leaf(binned, levels)]
-        return self.classes[score.argmax(axis=1)]
-
-
-def _softmax(s: np.ndarray) -> np.ndarray:
-    e = np.exp(s - s.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-ESTIMATORS = {"logistic": SmallLogistic, "dummy": Stratified, "boosted": SmallBoosted}
-#: A study's participants (and days) fit one task; larger tables are for large_fold_predictions.
-STUDY_ROWS = 200_000
-
-
-def fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str = "logistic") -> DataFrame:
-    """(rep, fold, pid, y_true, y_pred): the test rows of every fold, each predicted by a model of the fold's other rows.
-
-    data: pid, label, columns. All fits run as tasks of one job, each in a
-    Python worker that holds one fold's rows. That is for a study's data: more
-    than STUDY_ROWS rows are refused (see large_fold_predictions).
-    """
-    if (n := data.count()) > STUDY_ROWS:
-        raise ValueError(f"{n} rows are more than a study's; use large_fold_predictions")
-    make = ESTIMATORS[estimator]
-    rows = fold_membership(folds, data).join(data.select(F.col("pid").cast("string").alias("pid"), F.col(label).alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "pid")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pid", kind="stable")
-        x, y, test = np.array(group["x"].tolist(), dtype=float), group["y"].to_numpy(), group["is_test"].to_numpy()
-        predicted = make().fit(x[~test], y[~test]).predict(x[test])
-        part = group.loc[test, ["rep", "fold", "pid", "y"]].rename(columns={"y": "y_true"})
-        return part.assign(y_pred=predicted)
-
-    kind = dict(data.dtypes)[label]
-    return rows.groupBy("rep", "fold").applyInPandas(fit, f"rep int, fold int, pid string, y_true {kind}, y_pred {kind}")
-
-
 def stratified_predictions(data: DataFrame, folds: DataFrame, label: str = "y", seed: int = 0) -> DataFrame:
     """(rep, fold, pid, y_true, y_pred) of random labels in the proportions of each fold's training labels, for any number of rows.
 
@@ -255,6 +89,8 @@ def stratified_predictions(data: DataFrame, folds: DataFrame, label: str = "y",
     share the range of the hash.
     """
     people = data.select(F.col("pid").cast("string").alias("pid"), F.col(label).alias("y_true"))
+    if people.select("y_true").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:  # their shares are one row
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     tested = folds.select("rep", "fold", "pid").join(people, "pid")
     every = people.groupBy("y_true").agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct("y_true", "n"))).alias("every"))
     mine = tested.groupBy("rep", "fold", "y_true").agg(F.count(F.lit(1)).alias("n")).groupBy("rep", "fold").agg(F.map_from_entries(F.collect_list(F.struct("y_true", "n"))).alias("mine"))
@@ -266,25 +102,53 @@ def stratified_predictions(data: DataFrame, folds: DataFrame, label: str = "y",
     return rows.select("rep", "fold", "pid", "y_true", F.filter("shares", lambda x: F.col("_at") < x["to"])[0]["label"].alias("y_pred"))
 
 
-def large_fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", at_once: int = 4) -> DataFrame:
-    """(rep, fold, pid, y_true, y_pred) of fit_logistic for every fold, for any number of rows.
+#: Estimators of the study; any other name is an error, and any Spark ML estimator does as well.
+ESTIMATORS = {"logistic": BalancedLogistic, "boosted": BoostedTrees}
 
-    Each fold is a fit of its own over all executors, ``at_once`` of them side
-    by side; there are n_splits * n_reps folds, whatever the size of data.
+
+def fold_predictions(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str | Estimator = "logistic", at_once: int = 4) -> DataFrame:
+    """(rep, fold, pid, y_true, y_pred): the test rows of every fold, each predicted by a model of the rows that aren't tested in it.
+
+    data: pid, label, columns, any number of rows. estimator is "dummy",
+    "logistic", "boosted" or a Spark ML estimator of the caller's, which gets
+    the vector column "features" and class numbers "label", and whose model
+    adds the class number "prediction". Where it is a FoldEstimator, as the
+    library's own are, all folds are fitted in the same passes over the table;
+    another is fitted fold by fold, ``at_once`` side by side.
     """
-    rows = data.withColumn("pid", F.col("pid").cast("string"))
+    if estimator == "dummy":
+        return stratified_predictions(data, folds, label)
+    if isinstance(estimator, str):
+        one_of("estimator", estimator, ("dummy", *ESTIMATORS))
+    made = ESTIMATORS[estimator]() if isinstance(estimator, str) else estimator
+    if isinstance(made, FoldEstimator):
+        table = Table(data, columns, label, folds)
+        fits = table.fits()
+        return tested_predictions(table, fits, made.fold_codes(table, fits)).drop("condition")
+    return _one_by_one(data, folds, columns, label, made, at_once)
+
+
+def _one_by_one(data: DataFrame, folds: DataFrame, columns: list[str], label: str, estimator: Estimator, at_once: int) -> DataFrame:
+    kind = dict(data.dtypes)[label]
+    classes = sorted(r[0] for r in data.select(label).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    if not classes:
+        return data.sparkSession.createDataFrame([], f"rep int, fold int, pid string, y_true {kind}, y_pred {kind}")
+    number = F.create_map(*[x for k, v in enumerate(classes) for x in (F.lit(v), F.lit(float(k)))])[F.col(label)]
+    known = F.array(*[F.lit(v).cast(kind) for v in classes])
+    rows = data.select(F.col("pid").cast("string").alias("pid"), F.col(label).alias("y_true"), number.alias("label"), array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("features"))
     names = sorted((r["rep"], r["fold"]) for r in folds.select("rep", "fold").distinct().collect())
 
     def one(name: tuple[int, int]) -> DataFrame:
         ids = folds.where((F.col("rep") == name[0]) & (F.col("fold") == name[1])).select("pid").distinct()
-        test = rows.join(ids, "pid", "left_semi")
-        made = fit_logistic(rows.join(ids, "pid", "left_anti"), columns, label)(test)
-        return made.select(F.lit(name[0]).alias("rep"), F.lit(name[1]).alias("fold"), "pid", F.col(label).alias("y_true"), F.col("y_pred"))
+        predicted = estimator.fit(rows.join(ids, "pid", "left_anti")).transform(rows.join(ids, "pid", "left_semi"))
+        return predicted.select(F.lit(name[0]).alias("rep"), F.lit(name[1]).alias("fold"), "pid", "y_true", F.get(known, F.col("prediction").cast("int")).alias("y_pred"))
 
     with ThreadPoolExecutor(at_once) as pool:
         return reduce(DataFrame.union, pool.map(inheritable_thread_target(data.sparkSession)(one), names))
 
 
-def evaluate_repeated(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str = "logistic") -> DataFrame:
-    """(rep, fold, macro_f1) of every fold."""
+def evaluate_repeated(data: DataFrame, folds: DataFrame, columns: list[str], label: str = "y", estimator: str | Estimator = "logistic") -> DataFrame:
+    """(rep, fold, macro_f1) of every fold; see fold_predictions."""
     return macro_f1(fold_predictions(data, folds, columns, label, estimator), ("rep", "fold"))

@@ -2,68 +2,101 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.estimators import BalancedLogistic, FoldEstimator
+from tidewell.operators.fits import Table, tested_predictions
 from tidewell.operators.folds import hashed_folds
 from tidewell.operators.metrics import bootstrap_ci, macro_f1, paired_summary, rep_scores, summarize_reps
-from tidewell.operators.models import evaluate_repeated, fold_predictions
+from tidewell.operators.models import ESTIMATORS, fold_predictions, stratified_predictions
 from tidewell.operators.prep import to_participant_level
 from tidewell.sources.shared import new_path
 
-#: (task, feature set): three classes or control against patient, by kind of features.
-CONDITIONS = tuple((task, kind) for task in ("2class", "3class") for kind in ("dummy", "distributional", "temporal", "combined"))
+TASKS = ("2class", "3class")
+KINDS = ("distributional", "temporal", "combined")
+
+# The compared conditions and what the comparisons are called.
 PAIRS = [
-    ("2class", "distributional", "combined"),
-    ("2class", "dummy", "combined"),
-    ("3class", "distributional", "combined"),
-    ("3class", "distributional", "temporal"),
-    ("3class", "dummy", "combined"),
+    ("3class: combined vs dist", "3class/distributional", "3class/combined"),
+    ("2class: combined vs dist", "2class/distributional", "2class/combined"),
+    ("3class: temporal vs dist", "3class/distributional", "3class/temporal"),
+    ("3class: combined vs dummy", "3class/dummy", "3class/combined"),
+    ("2class: combined vs dummy", "2class/dummy", "2class/combined"),
 ]
 
 
-def run_experiment(data: DataFrame, folds: DataFrame, distributional: list[str], temporal: list[str], label: str = "class") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _labels(label: str) -> dict:
+    """Expressions of the tasks' labels: control against patient, and all classes."""
+    return {"2class": F.when(F.col(label) == "control", "control").otherwise("patient"), "3class": F.col(label)}
+
+
+def run_experiment(data: DataFrame, folds: DataFrame, distributional: list[str], temporal: list[str], label: str = "class", pairs: list[tuple[str, str, str]] | None = None, estimator: FoldEstimator | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw scores, summary, paired): all conditions on the same folds.
 
-    data: pid, label, feature columns without nulls. Raw scores are written to
-    the shared folder once, and the tables are made from them.
+    data: pid, label, feature columns without nulls. The conditions are two
+    tasks by three sets of columns, all of which ``estimator`` (balanced
+    logistic regression) fits in the same passes, and for each task labels
+    drawn at random. Raw scores are written to the shared folder once, and the
+    tables are made from them.
     """
-    spark = data.sparkSession
-    sets = {"dummy": distributional, "distributional": distributional, "temporal": temporal, "combined": [*distributional, *temporal]}
-    tasks = {"2class": F.when(F.col(label) == "control", "control").otherwise("patient"), "3class": F.col(label)}
-    parts = []
-    for task, kind in CONDITIONS:
-        scored = evaluate_repeated(data.withColumn("_y", tasks[task]), folds, sets[kind], "_y", "dummy" if kind == "dummy" else "logistic")
-        parts.append(scored.select(F.lit(task).alias("task"), F.lit(kind).alias("feature_set"), "rep", "fold", F.round("macro_f1", 5).alias("macro_f1")))
-    at = new_path(spark)
-    reduce(DataFrame.union, parts).write.parquet(at)
-    raw = spark.read.parquet(at)
+    columns, own = [*distributional, *temporal], _labels(label)
+    rows = data.select("pid", *columns, *[own[t].alias(f"_{t}") for t in TASKS])
+    sets = {"distributional": list(range(len(distributional))), "temporal": list(range(len(distributional), len(columns))), "combined": None}
+    table = Table(rows, columns, [f"_{t}" for t in TASKS], folds)
+    fits = table.fits([(t, sets[kind]) for t in range(len(TASKS)) for kind in KINDS])
+    found = tested_predictions(table, fits, (estimator or BalancedLogistic()).fold_codes(table, fits))
+    named = found.select(
+        F.get(F.array(*[F.lit(t) for t in TASKS]), F.floor(F.col("condition") / len(KINDS)).cast("int")).alias("task"),
+        F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("condition") % len(KINDS)).alias("feature_set"),
+        *["rep", "fold", "y_true", "y_pred"],
+    )
+    chance = [stratified_predictions(rows, folds, f"_{t}").select(F.lit(t).alias("task"), F.lit("dummy").alias("feature_set"), "rep", "fold", "y_true", "y_pred") for t in TASKS]
+    scored = macro_f1(reduce(DataFrame.union, [named, *chance]), ("task", "feature_set", "rep", "fold"))
+    at = new_path(data.sparkSession)
+    scored.withColumn("macro_f1", F.round("macro_f1", 5)).write.parquet(at)
+    table.discard()
+    raw = data.sparkSession.read.schema(scored.schema).parquet(at)
     reps = rep_scores(raw)
-    return raw, summarize_reps(reps), paired_summary(reps, PAIRS)
+    return raw, summarize_reps(reps), paired_summary(reps, PAIRS if pairs is None else pairs)
 
 
-def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, user: str = "user", label: str = "class", estimators: tuple[str, ...] = ("dummy", "logistic", "boosted")) -> DataFrame:
+def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, user: str = "user", label: str = "class", estimators: tuple[str | Estimator, ...] = ("dummy", "logistic", "boosted")) -> DataFrame:
     """(track, aggregation, estimator, pid, y_true, y_pred): out-of-fold predictions of the per-day feature table.
 
     Tracks are three classes and control against patient, aggregations days
     and participants (means, most frequent class). Folds are by participant,
-    so the days of one are tested together. A day's pid is user:day.
+    so the days of one are tested together. A day's pid is user:day. Both
+    tracks are fitted in the same passes; an estimator of the caller's goes by
+    its class's name.
     """
     people = to_participant_level(features, tuple(columns))
     tables = {"per_day": features.withColumn("pid", F.concat_ws(":", F.col(user).cast("string"), F.col("day").cast("string"))), "per_participant": people.withColumn("pid", F.col(user).cast("string"))}
     of = hashed_folds(people.select(F.col(user).cast("string").alias("pid")), n_folds, 1).select("rep", "fold", F.col("pid").alias("_user"))
-    tracks = {"3class": F.col(label), "2class": F.when(F.col(label) == "control", "control").otherwise("patient")}
-    parts = []
-    for track, y in tracks.items():
-        for aggregation, df in tables.items():
-            rows = df.select("pid", F.col(user).cast("string").alias("_user"), y.alias("_y"), *columns).fillna(0.0, columns)
-            folds = of.join(rows.select("pid", "_user"), "_user").select("rep", "fold", "pid")
-            for e in estimators:
-                made = fold_predictions(rows, folds, columns, "_y", e)
-                parts.append(made.select(F.lit(track).alias("track"), F.lit(aggregation).alias("aggregation"), F.lit(e).alias("estimator"), "pid", "y_true", "y_pred"))
-    return reduce(DataFrame.union, parts)
+    own = _labels(label)
+
+    def predicted(aggregation: str) -> list[DataFrame]:
+        rows = tables[aggregation].select("pid", F.col(user).cast("string").alias("_user"), *[own[t].alias(f"_{t}") for t in TASKS], *columns).fillna(0.0, columns)
+        folds = of.join(rows.select("pid", "_user"), "_user").select("rep", "fold", "pid")
+        table, parts = None, []
+        for e in estimators:
+            made = ESTIMATORS[e]() if e in ESTIMATORS else e
+            if isinstance(made, FoldEstimator):
+                table = table or Table(rows, columns, [f"_{t}" for t in TASKS], folds)
+                fits = table.fits([(t, None) for t in range(len(TASKS))])
+                found = tested_predictions(table, fits, made.fold_codes(table, fits)).withColumn("track", F.get(F.array(*[F.lit(t) for t in TASKS]), F.col("condition")))
+            else:
+                found = reduce(DataFrame.union, [fold_predictions(rows, folds, columns, f"_{t}", made).withColumn("track", F.lit(t)) for t in TASKS])
+            parts.append(found.select("track", F.lit(aggregation).alias("aggregation"), F.lit(e if isinstance(e, str) else type(e).__name__).alias("estimator"), "pid", "y_true", "y_pred"))
+        return parts
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return reduce(DataFrame.union, [df for parts in pool.map(inheritable_thread_target(features.sparkSession)(predicted), tables) for df in parts])
 
 
 def grid_summary(predictions: DataFrame) -> DataFrame:

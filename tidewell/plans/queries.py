@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import expressions as E
-from tidewell.operators import binning, folds, metrics, models, prep, rhythm, sleep, summaries
+from tidewell.operators import binning, boosting, estimators, folds, metrics, models, prep, rhythm, sleep, summaries
 from tidewell.plans import experiment
 from tidewell.plans.features import extract_features
 from tidewell.sources import adapters, files
@@ -110,16 +111,10 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(extract_features(dense(spark, sf)))
 
 
-_EXPERIMENTS: dict[tuple, tuple] = {}
-
-
 def experiment_scores(spark, sf, part=1) -> DataFrame:
-    """Raw scores, summary or pairs of all eight conditions over 20 repetitions of 5 folds; run once a session and folder."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _EXPERIMENTS:
-        data = study(spark, sf)
-        _EXPERIMENTS[at] = experiment.run_experiment(data, folds.hashed_folds(data), list(prep.DISTRIBUTIONAL), ["variability", "stability"])
-    return _EXPERIMENTS[at][part]
+    """Raw scores, summary or pairs of all eight conditions over 20 repetitions of 5 folds."""
+    data = study(spark, sf)
+    return experiment.run_experiment(data, folds.hashed_folds(data), list(prep.DISTRIBUTIONAL), ["variability", "stability"])[part]
 
 
 def fold_scores(spark, sf) -> DataFrame:
@@ -156,16 +151,30 @@ def _logistic(spark, sf):
     return metrics.macro_f1(made.select(F.col("y").alias("y_true"), "y_pred"))
 
 
+def _trees(spark, sf):
+    """Boosted trees of all ten labels, 200 rounds, and the rows they weren't grown on."""
+    rows = vectors(spark, sf).withColumn("id", F.col("pid").cast("long"))
+    made = estimators.BoostedTrees().fit(_assembled(rows.where("id % 5 <> 0")))
+    return made, rows.where("id % 5 = 0")
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return rows.select("pid", F.col("y").alias("label"), array_to_vector(F.array(*VECTOR)).alias("features"))
+
+
 def _boosted(spark, sf):
-    # 20 rounds for one of ten classes; README has the cost of the full job
-    rows = vectors(spark, sf).withColumn("id", F.col("pid").cast("long")).withColumn("y", (F.col("y") == 0).cast("int"))
-    made = models.boosted_trees(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), VECTOR, "y", rounds=20)
-    return metrics.macro_f1(made.select(F.col("y").alias("y_true"), "y_pred"))
+    model, test = _trees(spark, sf)
+    return metrics.macro_f1(model.transform(_assembled(test)).select(F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
+
+
+def _attributions(spark, sf):
+    model, test = _trees(spark, sf)
+    return boosting.mean_attributions(model.attributions(test, VECTOR))
 
 
 def _evaluated(spark, sf):
     rows = vectors(spark, sf)
-    return metrics.macro_f1(models.large_fold_predictions(rows, folds.hashed_folds(rows, 5, 2), VECTOR), ("rep", "fold"))
+    return models.evaluate_repeated(rows, folds.hashed_folds(rows), VECTOR)
 
 
 def _importance(spark, sf):
@@ -256,7 +265,7 @@ def _compare_folds(spark, sf):
     return folds.compare_folds(folds.hashed_folds(people(spark, sf), 5, 2), features(spark, sf).select(F.col("user").cast("string").alias("pid")))
 
 
-PAIR = [("2class", "distributional", "combined"), ("3class", "distributional", "combined")]
+PAIR = [(f"{task}/combined-distributional", f"{task}/distributional", f"{task}/combined") for task in ("2class", "3class")]
 
 QUERIES = {
     "s4_scan_cohort": lambda s, d: _whole(files.scan_cohort(s, f"{cohort_files(s, d)}/controlinfo.csv", "control")),
@@ -345,6 +354,7 @@ QUERIES = {
     "m16_paired": lambda s, d: experiment_scores(s, d, 2),
     "m17_experiment_grid": lambda s, d: experiment.grid_summary(experiment.experiment_grid(features(s, d), list(prep.DISTRIBUTIONAL))),
     "m18_permutation_importance": _importance,
+    "m18_tree_attributions": _attributions,
     "m19_comparison_table": lambda s, d: metrics.comparison_table(metrics.summarize_reps(rep_table(s, d))),
     "m20_combined_matrix": _matrix,
 }

@@ -36,3 +36,9 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     files.mkdirs(path(target).getParent())
     if not files.rename(path(source), path(target)):
         raise OSError(f"{source} can't be renamed to {target}")
+
+
+def remove(spark: SparkSession, target: str) -> None:
+    """Delete a file or folder in whatever store the path belongs to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
