@@ -49,8 +49,9 @@ def without(doc):
             yield rep, fold, np.setdiff1d(np.arange(n), test), test
 
 
-@pytest.mark.parametrize("classes", [2, 3, 5])
-def test_all_folds_have_the_coefficients_of_single_fits(spark, classes):
+@pytest.mark.parametrize(("classes", "few"), [(2, 8), (3, 8), (5, 8), (3, 0)])
+def test_all_folds_have_the_coefficients_of_single_fits(spark, monkeypatch, classes, few):
+    monkeypatch.setattr(fits, "FEW", few)
     x, y = matrix(150, classes, 0.8, 3)
     x[:, 1] = 7.0 + 1000 * x[:, 1]
     x[:, 2] = 5.0  # constant
@@ -104,8 +105,9 @@ def test_folds_without_a_class_and_rows_in_no_fold(spark):
         models.fold_predictions(frame(spark, x, y).withColumn("x1", F.lit(None).cast("double")), of, COLUMNS)
 
 
-@pytest.mark.parametrize("classes", [2, 3])
-def test_boosted_trees_are_those_of_plain_ones(spark, classes):
+@pytest.mark.parametrize(("classes", "few"), [(2, 8), (3, 0)])
+def test_boosted_trees_are_those_of_plain_ones(spark, monkeypatch, classes, few):
+    monkeypatch.setattr(fits, "FEW", few)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(160, 6)).round(1)
     y = np.digitize(x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=160), [0.2] if classes == 2 else [-0.3, 0.3])

@@ -28,6 +28,9 @@ from tidewell.sources.shared import new_path, remove
 #: Rows of a block, and numbers that a pass holds at once for a block and some of the fits.
 BLOCK, AT_ONCE = 2048, 4_000_000
 
+#: The sums of so few tasks are added on the driver; those of more are added by Spark first.
+FEW = 8
+
 #: More labels than that are no classes.
 MAX_CLASSES = 1000
 
@@ -101,6 +104,7 @@ class Table:
         at = new_path(data.sparkSession)
         rows.mapInArrow(_blocks, SCHEMA).write.parquet(at)
         self.path, self.blocks = at, data.sparkSession.read.schema(SCHEMA).parquet(at)
+        self.parts = self.blocks.rdd.getNumPartitions()
         self.rows, self.width = 0, 0
         if sizes := self.summed(lambda b: [(0, np.array([len(b.y), b.x.size]))]):
             self.rows, self.width = int(sizes[0][0]), int(sizes[0][1] // sizes[0][0])
@@ -170,14 +174,17 @@ class Table:
                 offsets = np.r_[0, np.cumsum([len(v) for v in flat])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))], ["slot", "v"])
 
-        parts = self._at(at).mapInArrow(run, "slot int, v array<double>")
-        sums = parts.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("slot", vector_to_array("v").alias("v"))
-        found = sums.toArrow()
+        sums = self._at(at).mapInArrow(run, "slot int, v array<double>")
+        if self.parts > FEW:
+            sums = sums.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("slot", vector_to_array("v").alias("v"))
+        found, made = sums.toArrow(), {}
         if not found.num_rows:
-            return {}
+            return made
         values = found.column("v").combine_chunks()
         flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
-        return dict(zip(found.column("slot").to_pylist(), np.split(flat, ends[:-1]), strict=True))
+        for slot, v in zip(found.column("slot").to_pylist(), np.split(flat, ends[:-1]), strict=True):
+            made[slot] = made[slot] + v if slot in made else v
+        return made
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
