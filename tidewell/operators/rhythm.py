@@ -33,15 +33,20 @@ def intradaily_variability(full: DataFrame, bin_minutes: int = 60, min_days: int
     """(pid, intradaily_variability): mean squared successive difference over the variance.
 
     Differences over a gap longer than a bin are left out, while N stays; null
-    without any difference, for a constant series and under min_days.
+    without any difference, for a constant series and under min_days. Days are
+    summed up first, with their first and last bins; the step from a day to the
+    next is that of two rows, joined by the day.
     """
     p = bins_per_day(bin_minutes)
-    order = Window.partitionBy("pid").orderBy("minute")
-    rows = full.withColumn("minute", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.col("pos") * bin_minutes)
-    rows = rows.withColumns({"dx": F.col("x") - F.lag("x").over(order), "dt": F.col("minute") - F.lag("minute").over(order)})
-    step = F.when(F.col("dt") <= bin_minutes, F.col("dx") * F.col("dx"))
-    total = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum(step).alias("steps"), F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    value = F.when((F.col("n") >= min_days * p) & (F.col("lo") < F.col("hi")), F.col("steps") / F.nullif((F.col("n") - 1) * F.col("v"), F.lit(0.0)))
+    order = Window.partitionBy("pid", "day").orderBy("pos")
+    rows = full.withColumn("_d", F.when(F.lag("pos").over(order) == F.col("pos") - 1, F.col("x") - F.lag("x").over(order)))
+    days = rows.groupBy("pid", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("steps"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min_by("x", "pos").alias("first"), F.max_by("x", "pos").alias("last"))
+    eve = days.select(F.col("pid").alias("_p"), F.date_add("day", 1).alias("_day"), F.col("last").alias("_eve"))
+    linked = days.join(eve, (F.col("pid") == F.col("_p")) & (F.col("day") == F.col("_day")), "left").withColumn("over", (F.col("first") - F.col("_eve")) * (F.col("first") - F.col("_eve")))
+    # whole days have as many bins each, so the variance is that of their means and the mean of theirs
+    total = linked.groupBy("pid").agg(F.sum("n").alias("n"), F.sum("steps").alias("within"), F.sum("over").alias("over"), (F.var_pop("m") + F.avg("v")).alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    steps = F.when(F.col("within").isNotNull() | F.col("over").isNotNull(), F.coalesce("within", F.lit(0.0)) + F.coalesce("over", F.lit(0.0)))
+    value = F.when((F.col("n") >= min_days * p) & (F.col("lo") < F.col("hi")), steps / F.nullif((F.col("n") - 1) * F.col("v"), F.lit(0.0)))
     return total.select("pid", value.alias("intradaily_variability"))
 
 

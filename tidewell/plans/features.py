@@ -9,6 +9,7 @@ from tidewell.functions.expressions import amplitude, hours_of, relative_amplitu
 from tidewell.operators.binning import bin_activity, keep_full_days
 from tidewell.operators.rhythm import intradaily_variability, profile_measures
 from tidewell.operators.sleep import sleep_metrics
+from tidewell.sources.shared import written
 
 FEATURES = (
     "interdaily_stability", "intradaily_variability", "l5_value", "l5_onset_hours", "m10_value", "m10_onset_hours", "amplitude", "relative_amplitude",
@@ -21,8 +22,10 @@ def extract_features(activity: DataFrame, bin_minutes: int = 60, l_hours: int =
 
     Activity is binned once; stability, active periods and cosinor come from
     one aggregate of the whole days' bins, variability from another, and the
-    nights from the same bins.
+    nights from the same bins. The recordings are written to the shared folder
+    once, as roster, bins and positions are counted before nights are scored.
     """
+    activity = written(activity.select("pid", "ts", "activity", *(["label"] if "label" in activity.columns else [])))
     full = keep_full_days(bin_activity(activity, bin_minutes), bin_minutes)
     label = F.min("label") if "label" in activity.columns else F.first(F.lit(None).cast("string"))
     roster = activity.groupBy("pid").agg(label.alias("label"))

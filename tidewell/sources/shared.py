@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,13 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for a plan that reads it several times."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file or folder in whatever store the paths belong to."""
     path = spark._jvm.org.apache.hadoop.fs.Path
