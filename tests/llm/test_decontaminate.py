@@ -63,7 +63,7 @@ def wanted(rows, items, spec):
     for key, text in rows:
         doc = d.normal(text)
         for i, item in known:
-            if len(item) < spec.exact_below:
+            if not int(spec.error_rate * len(item)):
                 left, right = (r"(?<![^\W_])" if item[0].isalnum() else ""), (r"(?![^\W_])" if item[-1].isalnum() else "")
                 if re.search(left + re.escape(item) + right, doc):
                     out.add((str(key), i, 0))
@@ -96,6 +96,18 @@ def test_item_ids_keep_their_type(spark, kind, name):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, name), (2, None)}
 
 
+def test_short_items_have_their_edit(spark):
+    items = spark.createDataFrame([(1, "an item of thirty characters")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "xan item of thirty charactersx"), (2, "an item of thirt characters"), (3, "an item o thirt characters")], "doc_id long, text string")
+    assert {(r["doc_id"], r["distance"]) for r in d.leaks(docs, items).collect()} == {(1, 0), (2, 1)}
+
+
+def test_items_with_the_key_of_documents(spark):
+    items = spark.createDataFrame([(5, "one thing to find")], "doc_id long, text string")
+    found = d.leaks(spark.createDataFrame([(1, "one thing to find")], "doc_id long, text string"), items, item="doc_id").collect()
+    assert [(r["doc_id"], r["benchmark_doc_id"]) for r in found] == [(1, 5)]
+
+
 def test_empty_tables(spark, none, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(docs, items).count() == 0 and d.decontaminate(docs, items).count() == docs.count()

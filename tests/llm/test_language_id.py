@@ -86,3 +86,10 @@ def test_own_columns_stay(docs):
     mine = docs.withColumns({c: F.lit("mine") for c in ("score", "margin", "lang_pred", "rejected")})
     kept = lid.of_known_language(mine, model)
     assert kept.columns == mine.columns and all(r["score"] == r["rejected"] == "mine" for r in kept.collect())
+
+
+def test_long_texts_are_no_samples(spark, docs):
+    rows = spark.createDataFrame([(k, ("le la que " * (30_000 if k < 5 else 40)).strip(), "fr", "s", 0) for k in range(9)], docs.schema)
+    model = lid.fit(rows, sample_bytes=1000)
+    assert [(name, len(d)) for name, d in model.dictionaries] == [("fr", 399)]
+    assert lid.language_id(rows, model).where("lang_pred = 'fr'").count() == 9

@@ -31,7 +31,7 @@ def pages():
     return rows
 
 
-@pytest.mark.parametrize(("ratio", "least", "once"), [(0.1, 1, False), (0.6, 2, False), (0.07, 2, False), (0.1, 5, True), (0.07, 2, True)])
+@pytest.mark.parametrize(("ratio", "least", "once"), [(0.1, 1, False), (0.6, 2, False), (0.07, 2, False), (line_dedup.RATIO, line_dedup.MIN_PAGES, False), (0.1, 5, True), (0.07, 2, True)])
 def test_lines_against_brute_force(spark, ratio, least, once):
     rows = pages()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, host string, lines array<string>, kept_lines string")
@@ -87,6 +87,12 @@ ENTRIES = [
     ("0.1", day("2024-01-01"), "block"),
     ("TOP.", day("2024-01-01"), "block"),
     ("null.org", None, "block"),
+    ("warned.org", day("2024-01-01"), "block"),
+    ("warned.org", day("2024-01-01"), "warn"),
+    ("warned.org", day("2024-02-01"), "warn"),
+    ("stronger.org", day("2024-01-01"), "remove"),
+    ("stronger.org", day("2024-01-01"), "block"),
+    ("[2001:db8::1]", day("2024-01-01"), "block"),
 ]
 
 
@@ -107,6 +113,11 @@ ENTRIES = [
         ("http://10.0.0.1/x", "2024-01-10", None),
         ("http://x.any.top/y", "2024-01-10", "block"),
         ("http://x.any.top/y", "2023-01-10", None),
+        ("http://warned.org", "2024-03-01", "block"),
+        ("http://stronger.org", "2024-03-01", None),
+        ("http://u@[2001:DB8::1]:80/x.org", "2024-03-01", "block"),
+        ("http://[2001:db8::2]/", "2024-03-01", None),
+        ("http://[2001", "2024-03-01", None),
         ("no address", "2024-02-01", None),
         (None, "2024-02-01", None),
         ("http://bad.org", None, None),
@@ -119,6 +130,11 @@ def test_entries_as_of_the_fetch_day(spark, url, at, action):
     assert [(r["action"], r["blocked"]) for r in found] == [(action, action == "block")] * 2
 
 
+@pytest.mark.parametrize(("url", "host"), [("http://[2001:db8::1]/", "[2001:db8::1]"), ("http://[2001:db8::1]:8080", "[2001:db8::1]"), ("http://a.b:80/x", "a.b"), ("http://a.b./", "a.b"), ("http://[", ""), ("http:///x", "")])
+def test_hosts(spark, url, host):
+    assert spark.createDataFrame([(url,)], "u string").select(line_dedup.host_of(F.col("u")).alias("h")).first()["h"] == host
+
+
 def test_url_filter_of_empty_tables(spark):
     captures = spark.createDataFrame([], "url string, fetch_date date")
     entries = spark.createDataFrame([], "domain string, listed_on date, action string")

@@ -131,4 +131,47 @@ def test_query_scores_trigrams(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = sorted(map(str, ngram_lm.op6_language_model(spark, str(tmp_path)).collect()))
     df = docs.select("doc_id", "text", held_out("doc_id", 10).alias("held_out"))
-    assert found == sorted(map(str, ngram_lm.score(df, ngram_lm.Settings(order=3)).collect()))
+    scored = ngram_lm.score(df, ngram_lm.Settings(order=3)).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+    assert found == sorted(map(str, scored.collect()))
+
+
+def test_document_openings_spread():
+    shape = ngram_lm.Shape(10**6, 10**5, 64, 64, 1000, 3, (8.0, 4.0), 0.1, 256)
+    words = np.arange(2, 1002)
+    grams = {"context": np.c_[np.ones(1000, np.int64), np.zeros(1000, np.int64)], "word": words, "total": np.full(1000, 10**6)}
+    assert len(set(shape.owner(grams).tolist())) > 50
+    rare = grams | {"total": np.full(1000, 900)}
+    assert len(set(shape.owner(rare).tolist())) == 1
+
+
+def test_openings_are_scored_by_brute_force(spark):
+    rows = [(k, f"w{k % 50} then w{k % 7}", k % 9 == 0) for k in range(400)]
+    spec = ngram_lm.Settings(order=3, block_chars=900, shard_tokens=60)
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    same(ngram_lm.score(df, spec), brute([t for _, t, held in rows if not held], rows, spec))
+
+
+def test_counts_and_numbers_beyond_32_bits(spark):
+    rows = [(k, "the cat sat on the mat again " + "x y z"[k % 5 :], False) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    model = ngram_lm.fit(df, ngram_lm.Settings(order=2))
+    times, further = 5_000_000_000, 1 << 33
+
+    def grown(row):
+        body = ngram_lm._unpack(row["body"])
+        return (row["shard"], row["block"], ngram_lm._pack(**body | {"count": body["count"] * times}))
+
+    large = ngram_lm.Model(ngram_lm.Shape(**vars(model.shape) | {"trained": model.shape.trained * times}), spark.createDataFrame([grown(r) for r in model.words.collect()], ngram_lm._MESSAGE), model.tries)
+    counts = Counter(w for _, t, _ in rows for w in [*t.split(), "\n"])
+    mass = sum(counts.values()) * times + 0.1 * (len(counts) + 1)
+    for r in ngram_lm.score(df, ngram_lm.Settings(order=2), model=large).collect():
+        words = [*rows[r["doc_id"]][1].split(), "\n"]
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] * times + 0.1) / mass) for w in words)) and r["n_known"] == len(words)
+    rng = np.random.default_rng(3)
+    near, word = (rng.integers(0, 40, 500) * further + 5 for _ in range(2))
+    held = dict.fromkeys(zip(near[:300].tolist(), word[:300].tolist(), strict=True))
+    place = ngram_lm._places((near, word), tuple(np.array(x) for x in zip(*held, strict=True)))
+    assert [(p >= 0) for p in place] == [pair in held for pair in zip(near.tolist(), word.tolist(), strict=True)]
+    assert all([*held][p] == pair for p, pair in zip(place.tolist(), zip(near.tolist(), word.tolist(), strict=True), strict=True) if p >= 0)
+    wide = {"id": near, "count": word}
+    assert all((v == wide[k]).all() for k, v in ngram_lm._unpack(ngram_lm._pack(**{k: ngram_lm._plain(v) for k, v in wide.items()})).items())

@@ -25,14 +25,13 @@ from tidewell.llm.common import append_columns, table
 class Matching:
     """error_rate: edits allowed per character of an item.
 
-    Items shorter than ``exact_below`` characters are looked for without edits
-    and between word boundaries, so that "no" isn't found in "nothing".
+    An item so short that the rate allows it no edit is found between word
+    boundaries only, so that "no" isn't found in "nothing".
     block_chars bounds the text of the items that are sent to the executors at
     once; more items make more passes over the documents.
     """
 
     error_rate: float = 0.06
-    exact_below: int = 32
     block_chars: int = 4_000_000
 
 
@@ -76,10 +75,9 @@ class Matcher:
     """Piece automaton of a block of (item id, normalised text)."""
 
     def __init__(self, items: list[tuple], spec: Matching):
-        self.items = [(i, t, int(spec.error_rate * len(t)), len(t) < spec.exact_below) for i, t in items if t]
-        self.items = [(i, t, 0 if exact else edits, exact) for i, t, edits, exact in self.items]
+        self.items = [(i, t, int(spec.error_rate * len(t))) for i, t in items if t]
         hits: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, edits, _) in enumerate(self.items):
+        for n, (_, text, edits) in enumerate(self.items):
             for start, piece in pieces(text, edits):
                 hits.setdefault(piece, []).append((n, start))
         self.automaton = ahocorasick.Automaton()
@@ -99,9 +97,9 @@ class Matcher:
                 starts.setdefault(n, []).append(end + 1 - size - start)
         found = []
         for n, at in starts.items():
-            _, item, edits, exact = self.items[n]
+            _, item, edits = self.items[n]
             best = None
-            if exact:
+            if not edits:
                 ends = [a + len(item) for a in at if not (doc[a - 1 : a].isalnum() and item[0].isalnum()) and not (doc[a + len(item) : a + len(item) + 1].isalnum() and item[-1].isalnum())]
                 if ends:
                     found.append((n, 0, min(ends)))
@@ -144,9 +142,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Matching | None = None, *
     blank texts contain nothing, and null or blank items are looked for
     nowhere. An item with a null id is found under that null id. Repeated
     items (id and text) count once. Documents are searched where they are read;
-    nothing is shuffled.
+    nothing is shuffled. Where both columns have one name, the item's is
+    called benchmark_<name>.
     """
     spec = spec or Matching()
+    named = f"benchmark_{item}" if item == key else item
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = StructType([StructField("item", benchmark.schema[item].dataType), StructField("distance", LongType()), StructField("end_char", LongType())])
     arrow = pa.list_(to_arrow_type(kind))
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Matching | None = None, *
             return [pa.array(got, arrow)]
 
         hits = append_columns(rows, ["_text"], StructType([StructField("hits", ArrayType(kind))]), run)
-        hits = hits.select("_key", F.explode("hits").alias("h")).select(F.col("_key").alias(key), F.col("h.item").alias(item), "h.distance", "h.end_char")
+        hits = hits.select("_key", F.explode("hits").alias("h")).select(F.col("_key").alias(key), F.col("h.item").alias(named), "h.distance", "h.end_char")
         found = hits if found is None else found.unionByName(hits)
     return found
 

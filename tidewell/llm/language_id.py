@@ -37,9 +37,11 @@ def letters_only(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text).strip().lower()
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 40, max_languages: int = 1000, **settings) -> CompressionModel:
-    """Dictionaries from about ``sample_docs`` distinct labelled texts of each language, whole ones.
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 40, sample_bytes: int = 200_000, max_languages: int = 1000, **settings) -> CompressionModel:
+    """Dictionaries from about ``sample_docs`` distinct labelled texts of each language, whole ones of at most ``sample_bytes``.
 
+    What is learned from, and comes to the driver, is so bounded by about
+    sample_docs * sample_bytes for a language, however long texts get.
     Texts are picked by their hash against thresholds from the (approximate)
     number of a language's distinct texts, so the sample is spread over the
     table, its number of texts doesn't grow with it, and a text that fills a
@@ -47,7 +49,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs:
     training rows; without any, the model knows no language and rejects every
     text as ``und``. More than ``max_languages`` labels are an error.
     """
-    labelled = docs.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit("sample")).alias("h")).where("l is not null and t is not null")
+    labelled = docs.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit("sample")).alias("h")).where("l is not null and t is not null").where(F.octet_length("t") <= sample_bytes)
     counts = {r["l"]: r for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).limit(max_languages + 1).collect()}
     if not counts:
         return CompressionModel((), **settings)

@@ -187,6 +187,21 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), of
 
 
+def _places(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where each pair of numbers is among the held pairs (one of several), -1 if it isn't; numbers may take all 63 bits."""
+    if not len(held[0]):
+        return np.full(len(asked[0]), -1)
+    keys, want, known = np.zeros(len(held[0]), np.int64), np.zeros(len(asked[0]), np.int64), np.ones(len(asked[0]), bool)
+    for a, h in zip(asked, held, strict=True):
+        names, rank = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, a), len(names) - 1)
+        known &= names[at] == a
+        keys, want = keys * len(names) + rank, want * len(names) + at
+    order = np.argsort(keys)
+    at = np.minimum(np.searchsorted(keys[order], want), len(keys) - 1)
+    return np.where(known & (keys[order][at] == want), order[at], -1)
+
+
 class Level:
     """One level: contexts, pointers to their successors, successors, codes, and each context's back-off code."""
 
@@ -261,7 +276,6 @@ class Trie:
             "count": np.r_[grams["count"], np.zeros(len(none), np.int64)],
             **{k: np.r_[grams[k], wide[k]] for k in ("word", "code", "total")},
         }
-        pairs = wide["near"] << 32 | wide["word"]
         near, word, count = grams["context"][:, 0], grams["word"], grams["count"]
         levels, parts, at, data = [], [], 0, []
         context, back = near, np.zeros(0, np.uint8)
@@ -276,10 +290,8 @@ class Trie:
             starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]) if len(heads) else np.zeros(0, np.int64)
             group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(heads)]))
             if n == 0:
-                if len(pairs):
-                    keys = near[first] << 32 | word[first]
-                    place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-                    counts = np.where(pairs[place] == keys, wide["count"][place], counts)
+                place = _places((near[first], word[first]), (wide["near"], wide["word"]))
+                counts = np.where(place >= 0, _at(wide["count"], place), counts)
                 of_context = total[first]
             else:
                 sums = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
@@ -361,6 +373,11 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return zstandard.compress(pickle.dumps((parts, kinds), 5), 3)
 
 
+def _plain(x: np.ndarray) -> np.ndarray:
+    """Numbers without an order, which _pack had better keep as they are; from 2**32 on it takes their differences."""
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
     parts, kinds = pickle.loads(zstandard.decompress(data))
     for name, plain in kinds.items():
@@ -548,8 +565,8 @@ class Shape:
         return _owner(near * 1_000_003 + number, self.shards)
 
     def owner(self, grams: dict[str, np.ndarray]) -> np.ndarray:
-        """By the nearest context word; a frequent one's n-grams by the word before it too, or by the word itself where there is none."""
-        other = grams["context"][:, 1] if self.order > 2 else grams["word"]
+        """By the nearest context word; a frequent one's n-grams by the word before it too, or by the word itself where there is none, as in a document's first."""
+        other = np.where(grams["context"][:, 1] > 0, grams["context"][:, 1], grams["word"]) if self.order > 2 else grams["word"]
         parts = self.parts(grams["total"])
         return self.part(grams["context"][:, 0], np.where(parts > 1, (_mix(other) % parts.astype(np.uint64)).astype(np.int64), 0))
 
@@ -620,7 +637,7 @@ class _Block(_Tokens):
 
     def columns(self) -> dict[str, np.ndarray]:
         context = {f"c{n}": self.grams["context"][:, n] for n in range(self.grams["context"].shape[1])}
-        return context | {"word": self.grams["word"].astype(np.uint32), "code": self.grams["code"], "total": self.grams["total"], "count": self.grams["count"].astype(np.uint32)}
+        return context | {"word": _plain(self.grams["word"]), "code": self.grams["code"], "total": self.grams["total"], "count": _plain(self.grams["count"])}
 
 
 def _rows_of(blocks: DataFrame, schema: str, per_block: Callable[[int, np.ndarray, dict], Iterable[pa.RecordBatch]]) -> DataFrame:
@@ -678,7 +695,7 @@ def _coded(docs: DataFrame, key: str, text: str, held: str, spec: Settings, mode
 
     def code(block: int, keys: pa.Array, on: np.ndarray, body: dict, got: list[dict]) -> Iterator[pa.RecordBatch]:
         owner = _owner(body["words"], shards)
-        made = _pack(lengths=body["lengths"], tokens=body["tokens"].astype(np.uint32), id=_gathered(got, owner, "id").astype(np.uint32), count=_gathered(got, owner, "count").astype(np.uint32))
+        made = _pack(lengths=body["lengths"], tokens=body["tokens"].astype(np.uint32), id=_plain(_gathered(got, owner, "id")), count=_plain(_gathered(got, owner, "count")))
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([on.tolist()], pa.list_(pa.bool_())), pa.array([made], pa.binary())], schema.names)
 
     coded = materialise(_with_blocks(blocks, answers, schema, code))
@@ -735,7 +752,7 @@ def _tries(coded: DataFrame, shape: Shape, model: Model | None, answers: bool) -
         else:
             w = {k: np.concatenate([x[k] for x in spread]) if spread else np.zeros(0, np.int64) for k in fields}
             if answers:  # counts of bigrams that no block asks for are only wanted in a model to keep
-                asked_for = np.isin(w["near"] << 32 | w["word"], g["context"][:, 0] << 32 | g["word"])
+                asked_for = _places((w["near"], w["word"]), (g["context"][:, 0], g["word"])) >= 0
                 w = {k: v[asked_for] for k, v in w.items()}
             o = np.lexsort((w["word"], w["near"]))
             known = g["count"] > 0

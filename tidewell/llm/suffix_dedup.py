@@ -38,6 +38,8 @@ BLOCK_BYTES, SHARD_BYTES, MOST = 1_000_000, 2_400_000, 8.0
 #: Grams at more anchors than that are compared string by string over all shards.
 HOT = 20_000
 SAMPLE = 50_000
+#: Grams sampled for each shard at least, so that there are as many splitters as shards.
+SAMPLES_EACH = 4
 #: Text is searched for anchors in stretches of half as many bytes as these bits count.
 PLACE_BITS = 20
 
@@ -410,7 +412,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sizes = blocks.select("block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     number, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-total // int(SHARD_BYTES * growth)))
-    each = max(1, -(-SAMPLE // max(1, number)))
+    wanted = max(SAMPLE, SAMPLES_EACH * shards)
+    each = max(1, -(-wanted // max(1, number)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -419,7 +422,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             found = [data[k : k + GRAM] for k in places.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["gram"])
 
-    share = min(1.0, SAMPLE / max(1, number))  # with more blocks than samples, some blocks give one each
+    share = min(1.0, wanted / max(1, number))  # with more blocks than samples, some blocks give one each
     asked = blocks.select("block", "body").where(F.pmod(F.xxhash64("block"), F.lit(1 << 20)) < int(share * (1 << 20)))
     drawn = sorted(r["gram"] for r in asked.mapInArrow(sample, "gram binary").collect())
     cuts = sorted({drawn[len(drawn) * k // shards] for k in range(1, shards)}) if drawn else []

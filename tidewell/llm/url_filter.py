@@ -14,25 +14,31 @@ from tidewell.llm.common import materialise, table
 from tidewell.llm.line_dedup import HOST, _quoted, host_of
 
 
+#: What an entry says, the stronger later.
+ACTIONS = ("allow", "block", "remove")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(domain, action, valid_from, valid_to): valid_to is exclusive, null while in force.
 
     entries: domain, listed_on date, action ('block', 'allow' or 'remove').
     Several entries of a domain on one day count as one, of which 'remove' wins
-    over 'block' over 'allow' (the last in the alphabet). Rows with a null in
-    any of the three columns say nothing and are ignored. The window of a
-    domain has at most one row a day.
+    over 'block' over 'allow'. Rows with another action, or a null in any of
+    the three columns, say nothing and are ignored. The window of a domain has
+    at most one row a day.
     """
     clean = entries.select(F.regexp_replace(F.lower("domain"), r"\.+$", "").alias("domain"), F.col("listed_on").cast("date").alias("valid_from"), F.lower("action").alias("action")).dropna()
-    daily = clean.groupBy("domain", "valid_from").agg(F.max("action").alias("action"))
+    clean = clean.where(F.col("action").isin(*ACTIONS))
+    rank = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action"))
+    daily = clean.groupBy("domain", "valid_from").agg(F.max_by("action", rank).alias("action"))
     after = F.lead("valid_from").over(Window.partitionBy("domain").orderBy("valid_from"))
     return daily.withColumn("valid_to", after).where("action <> 'remove'").select("domain", "action", "valid_from", "valid_to")
 
 
 def domains_of(host: Column) -> Column:
-    """host and its parent domains, longest first; an IPv4 address has no parents."""
+    """host and its parent domains, longest first; an address has no parents."""
     parents = F.transform(F.sequence(F.lit(0), F.size(F.split(host, r"\.")) - 1), lambda k: F.concat_ws(".", F.slice(F.split(host, r"\."), k + 1, 1 << 20)))
-    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(parents)
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), F.array(host)).otherwise(parents)
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched: str = "fetch_date") -> DataFrame:
