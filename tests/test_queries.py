@@ -45,6 +45,6 @@ def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["a6_pca_projection", "f1_repeated_folds", "f5_group_kfold", "m10_bootstrap_ci", "m11_evaluate_predictions"])
+@pytest.mark.parametrize("name", ["a6_pca_projection", "m10_bootstrap_ci", "m11_evaluate_predictions"])
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, TABLES).count()

@@ -131,6 +131,22 @@ def six(columns=SIX) -> str:
 
 RECORDED = "recorded AS (SELECT event_type AS pid, (['control', 'depression', 'schizophrenia'])[ascii(event_type) % 3 + 1] AS label, date_trunc('second', ts) AS ts, value AS activity FROM events)"
 EMB = """emb AS (SELECT CAST(vec_id AS VARCHAR) AS pid, label AS y FROM embeddings), people AS (SELECT DISTINCT pid FROM emb)"""
+#: Ranks by hash cut into consecutive folds.
+RANKED = """ranked AS (SELECT rep, CAST(CASE WHEN k < n % 5 * (n // 5 + 1) THEN k // (n // 5 + 1) ELSE n % 5 + (k - n % 5 * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold, pid
+  FROM (SELECT rep, pid, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || ':' || pid), pid) - 1 AS k, count(*) OVER (PARTITION BY rep) AS n
+        FROM people, (SELECT CAST(unnest(range(4)) AS INTEGER) AS rep)))"""
+
+#: The greedy assignment, one group after another.
+GROUPED = """WITH RECURSIVE sizes AS (SELECT n, row_number() OVER (ORDER BY n DESC, g) AS i FROM (SELECT user_id AS g, count(*) AS n FROM events GROUP BY 1)),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS groups
+  UNION ALL
+  SELECT s.i, list_transform(t.loads, lambda x, k: CASE WHEN k = list_position(t.loads, list_min(t.loads)) THEN x + s.n ELSE x END),
+         list_transform(t.groups, lambda x, k: CASE WHEN k = list_position(t.loads, list_min(t.loads)) THEN x + 1 ELSE x END)
+  FROM steps t JOIN sizes s ON s.i = t.i + 1),
+last AS (SELECT * FROM steps ORDER BY i DESC LIMIT 1)
+SELECT CAST(k AS INTEGER) AS fold, groups[k + 1] AS groups, loads[k + 1] AS load FROM last, (SELECT unnest(range(5)) AS k)"""
+
 DRAWN = """tested AS (SELECT f.rep, f.fold, f.pid, e.y FROM folds f JOIN emb e ON f.pid = e.pid),
 every AS (SELECT y, count(*) AS n FROM emb GROUP BY y),
 mine AS (SELECT rep, fold, y, count(*) AS n FROM tested GROUP BY 1, 2, 3),
@@ -165,7 +181,7 @@ ORACLE = {
     "j4_fold_membership": q(PEOPLE, hashed(2), body="SELECT g.rep, g.fold, p.pid, f.pid IS NOT NULL AS is_test FROM people p CROSS JOIN (SELECT DISTINCT rep, fold FROM folds) g LEFT JOIN folds f ON f.rep = g.rep AND f.fold = g.fold AND f.pid = p.pid"),
     "j7_epochs_of_nights": q(DENSE, binned(), LABELS, ONSETS, EPOCHS, body="SELECT pid, day, count(*) AS n, min(ts) AS first, max(ts) AS last, CAST(sum(label) AS BIGINT) AS awake FROM epochs GROUP BY pid, day"),
     "j8_fixture_rows": q(PEOPLE, hashed(2), FEATURES, body="""SELECT f.rep, f.fold, r.idx FROM folds f JOIN (SELECT CAST("user" AS VARCHAR) AS pid, CAST(max(datediff('day', DATE '2024-01-01', day)) AS INTEGER) AS idx FROM feats GROUP BY 1) r USING (pid)"""),
-    "j9_compare_folds": q(PEOPLE, body="SELECT pid, 'extra' AS side FROM people WHERE CAST(pid AS BIGINT) % 5 >= 3"),
+    "j9_compare_folds": q(PEOPLE, body="SELECT pid, 'extra' AS side FROM people WHERE CAST(pid AS BIGINT) % 5 >= 3 UNION ALL SELECT 'new' || pid, 'missing' FROM people WHERE CAST(pid AS BIGINT) % 50 = 0"),
     "t1_bin_activity": q(RAW, binned(), body=f"SELECT pid, day, pos, {r('x', 'x')} FROM bins"),
     "t2_full_day_dates": q(RAW, binned(), body="SELECT DISTINCT pid, day FROM fulls"),
     "t3_count_full_days": q(RAW, binned(), body="SELECT b.pid, coalesce(d.n_days, 0) AS n_days FROM (SELECT DISTINCT pid FROM bins) b LEFT JOIN days d ON b.pid = d.pid"),
@@ -206,7 +222,10 @@ FROM (SELECT *, list_sum(w) / 11 AS m FROM (SELECT pid, ts, x, [{", ".join(f"coa
     "a9_hosp_probe": q(USER, binned(720), META, ACROPHASE, body=acrophases("class, hosp", "true")),
     "a10_impute_median": q(FEATURES, body=f"""SELECT "user", day, {r('coalesce(mean, (SELECT median(mean) FROM feats))', 'mean')}, {r('coalesce(sd, (SELECT median(sd) FROM feats))', 'sd')} FROM feats"""),
     "f1_hashed_folds": q(PEOPLE, hashed(4), body="SELECT rep, fold, pid FROM folds"),
-    "f2_fold_invariants": q(PEOPLE, hashed(4), body="SELECT pid, count(*) AS n FROM folds GROUP BY pid HAVING count(*) <> 4 OR count(DISTINCT rep) <> 4"),
+    "f1_repeated_folds": q(PEOPLE, RANKED, body="SELECT rep, fold, pid FROM ranked"),
+    "f2_fold_invariants": q(PEOPLE, RANKED, """faulty AS (SELECT * FROM ranked WHERE NOT (CAST(pid AS BIGINT) % 7 = 0 AND rep = 1)
+  UNION ALL SELECT * FROM ranked WHERE CAST(pid AS BIGINT) % 11 = 0 AND rep = 2)""", body="SELECT pid, count(*) AS n FROM faulty GROUP BY pid HAVING count(*) <> 4 OR count(DISTINCT rep) <> 4"),
+    "f5_group_kfold": GROUPED,
     "m5_macro_f1": q(PRED, cells("toxic"), body=f"SELECT toxic, {r('avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0))', 'macro_f1')} FROM cells GROUP BY toxic"),
     "m6_per_class_metrics": q(PRED, cells(""), body=f"SELECT label, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(tp + fn, 0), 0)', 'recall')}, {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')}, CAST(tp + fn AS BIGINT) AS support FROM cells"),
     "m7_confusion_normalized": q(PRED, body=f"""SELECT t.toxic, t.l AS y_true, p.l AS y_pred, {r('coalesce(n / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY t.toxic, t.l), 0), 0)', 'share')}

@@ -8,8 +8,6 @@ embeddings.
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,18 +210,22 @@ def _whole(df: DataFrame) -> DataFrame:
 
 
 def _folds_read_back(spark, sf):
-    made = sorted(map(tuple, folds.hashed_folds(people(spark, sf), 5, 2).collect()))  # a fold document is as small as a study
-    tests: dict[tuple, list] = {}
-    for rep, fold, pid in made:
-        tests.setdefault((rep, fold), []).append(pid)
-    ids = sorted({pid for *_, pid in made})
-    doc = {
-        "metadata": {"n_splits": 5, "n_reps": 2, "seeds": [0, 1], "n_participants": len(ids), "participant_ids": ids, "generated_at": "", "platform": ""},
-        "repetitions": [{"seed": rep, "folds": [{"test": tests.get((rep, fold), [])} for fold in range(5)]} for rep in range(2)],
-    }
-    at = f"{new_path(spark)}/folds.json"
-    files.write_folds(doc, urlparse(at).path)
-    return files.read_folds(spark, at)
+    at = f"{new_path(spark)}/folds"
+    files.write_fold_rows(folds.hashed_folds(people(spark, sf), 5, 2), at)
+    return files.read_fold_rows(spark, at)
+
+
+def _faulty_folds(spark, sf) -> DataFrame:
+    """Folds in which some people are left out of a repetition, and some are tested twice."""
+    made = folds.ranked_folds(people(spark, sf), 5, 4)
+    number = F.col("pid").cast("long")
+    return made.where(~((number % 7 == 0) & (F.col("rep") == 1))).union(made.where((number % 11 == 0) & (F.col("rep") == 2)))
+
+
+def _group_loads(spark, sf) -> DataFrame:
+    """Groups and rows of each fold, when users are groups of events."""
+    sizes = _read(spark, sf, "events").groupBy(F.col("user_id").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    return folds.balanced_groups(sizes, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("load"))
 
 
 def _results_read_back(spark, sf):
@@ -261,8 +263,10 @@ def _fixture(spark, sf):
 
 
 def _compare_folds(spark, sf):
-    """Folds of all users of events against the participants that have features."""
-    return folds.compare_folds(folds.hashed_folds(people(spark, sf), 5, 2), features(spark, sf).select(F.col("user").cast("string").alias("pid")))
+    """Folds of all users of events against the participants that have features, and some that have no events."""
+    have = features(spark, sf).select(F.col("user").cast("string").alias("pid"))
+    new = people(spark, sf).where("cast(pid as long) % 50 = 0").select(F.concat(F.lit("new"), "pid").alias("pid"))
+    return folds.compare_folds(folds.hashed_folds(people(spark, sf), 5, 2), have.union(new))
 
 
 PAIR = [(f"{task}/combined-distributional", f"{task}/distributional", f"{task}/combined") for task in ("2class", "3class")]
@@ -329,9 +333,9 @@ QUERIES = {
     "a9_hosp_probe": lambda s, d: rounded(summaries.acrophase_summary(acrophases(s, d), ("class", "hosp"))),
     "a10_impute_median": lambda s, d: rounded(prep.impute_median(features(s, d).select("user", "day", "mean", "sd"), ["mean", "sd"])),
     "f1_hashed_folds": lambda s, d: folds.hashed_folds(people(s, d), 5, 4),
-    "f1_repeated_folds": lambda s, d: folds.folds_frame(s, folds.repeated_folds([r["pid"] for r in people(s, d).collect()], 5, 4)),
-    "f2_fold_invariants": lambda s, d: folds.fold_invariants(folds.hashed_folds(people(s, d), 5, 4), 4),
-    "f5_group_kfold": lambda s, d: s.createDataFrame(list(folds.group_kfold({str(r["cohort"]): r["count"] for r in metadata(s, d).groupBy("cohort").count().collect()}, 3).items()), "cohort string, fold int"),
+    "f1_repeated_folds": lambda s, d: folds.ranked_folds(people(s, d), 5, 4),
+    "f2_fold_invariants": lambda s, d: folds.fold_invariants(_faulty_folds(s, d), 4),
+    "f5_group_kfold": _group_loads,
     "m1_logistic_regression": _logistic,
     "m2_dummy": lambda s, d: models.stratified_predictions(vectors(s, d), folds.hashed_folds(vectors(s, d))),
     "m3_boosted_trees": _boosted,

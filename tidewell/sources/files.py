@@ -234,6 +234,16 @@ def write_folds(folds: dict, path: str) -> None:
             raise OSError(f"{path}: not what was written")
 
 
+def write_fold_rows(folds: DataFrame, path: str) -> None:
+    """Write folds (rep, fold, pid) of any number of people as a table; read_fold_rows reads it back."""
+    folds.select(F.col("rep").cast("int").alias("rep"), F.col("fold").cast("int").alias("fold"), F.col("pid").cast("string").alias("pid")).write.mode("overwrite").parquet(path)
+
+
+def read_fold_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(rep, fold, pid) as written by write_fold_rows."""
+    return spark.read.schema("rep int, fold int, pid string").parquet(path)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrite path with df as parquet, csv (with a header) or json."""
     writer = df.write.mode("overwrite")
