@@ -1,13 +1,17 @@
 """Files of recordings, metadata, folds, configuration and the streaming bins."""
 
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.params import SchemaError
 from tidewell.operators import binning, folds, metrics, prep
+from tidewell.plans import study
 from tidewell.sources import files
+from tidewell.sources.settings import SettingsError, read_settings
 from tidewell.streaming.bins import stream_bins, stream_full_days
 
 META = {
@@ -78,7 +82,7 @@ def test_folds(spark, tmp_path):
     ids = [f"p{k:02}" for k in range(10)]
     made = folds.repeated_folds(ids, 5, 3)
     assert made == folds.repeated_folds(ids[::-1], 5, 3) | {"metadata": made["metadata"]}
-    files.write_folds(made, f"{tmp_path}/deep/folds.json")
+    files.write_folds(spark, made, f"{tmp_path}/deep/folds.json")
     rows = files.read_folds(spark, f"{tmp_path}/deep/folds.json")
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, folds.folds_frame(spark, made).collect()))
     assert folds.fold_invariants(rows, 3).count() == 0
@@ -102,20 +106,51 @@ cv:
 """
 
 
-def test_configuration(tmp_path):
+def test_settings(tmp_path):
     (tmp_path / "a.yaml").write_text(CONFIG)
-    found = files.load_config(f"{tmp_path}/a.yaml")
-    assert found.preprocessing == files.PreprocessingConfig(7, ("q25",)) and found.split.seed == 42
-    assert found.data.actigraphy_root == "data/raw/actigraphy" and found.cv == files.CvConfig(5, 3, "config/folds_repeated")
+    found = read_settings(f"{tmp_path}/a.yaml")
+    assert found.section("preprocessing") == {"min_days_per_participant": 7, "excluded_features": ("q25",)} and found["split.seed"] == 42
+    assert found["data.actigraphy_root"] == "data/raw/actigraphy" and found.section("cv") == {"n_splits": 5, "n_reps": 3, "fixture_dir": "config/folds_repeated"}
+    assert "output.further" not in found and len(found) == 11
     good = {"data": {"root": "x"}, "preprocessing": {"min_days_per_participant": 3, "excluded_features": []}, "split": {"seed": 1, "n_folds": 2}, "output": {"results_dir": "r", "eda_dir": "e"}}
     (tmp_path / "a.json").write_text(json.dumps(good))
-    assert files.load_config(f"{tmp_path}/a.json").cv == files.CvConfig()
-    for bad in ({k: v for k, v in good.items() if k != "split"}, good | {"split": {"seed": 1}}, {}):
+    assert read_settings(f"{tmp_path}/a.json")["cv.n_reps"] == 20
+    for bad, missing in (({k: v for k, v in good.items() if k != "split"}, "split, split.seed, split.n_folds"), (good | {"split": {"seed": 1}}, "split.n_folds"), ({}, "data")):
         (tmp_path / "b.json").write_text(json.dumps(bad))
-        with pytest.raises(files.ConfigError):
-            files.load_config(f"{tmp_path}/b.json")
+        with pytest.raises(SettingsError, match=missing):
+            read_settings(f"{tmp_path}/b.json")
     with pytest.raises(FileNotFoundError):
-        files.load_config(f"{tmp_path}/none.json")
+        read_settings(f"{tmp_path}/none.json")
+
+
+def test_study_from_files_to_result_files(spark, tmp_path):
+    rng = random.Random(1)
+    people = [(f"{cohort}_{k}", cohort) for cohort in files.FEATURE_COHORTS for k in range(5)]
+    for cohort, name in files.METADATA_FILES.items():
+        columns = files.METADATA_COLUMNS[cohort]
+        own = [pid for pid, c in people if c == cohort] or [f"{cohort}_0"]
+        (tmp_path / name).write_text(",".join(columns) + "\n" + "".join(",".join([pid, "9"] + ["1"] * (len(columns) - 2)) + "\n" for pid in own))
+    rows = [f"{pid},{rng.random()},{rng.random()},0.1,{rng.random()},0,4,{c}" for pid, c in people for _ in range(3)]
+    (tmp_path / "features.csv").write_text("\n".join(["user,mean,sd,pctZeros,median,q25,q75,class", *rows]) + "\n")
+    start = datetime.datetime(2024, 1, 1)
+    for k, (pid, cohort) in enumerate(people):
+        (tmp_path / "raw" / cohort).mkdir(parents=True, exist_ok=True)
+        lines = [f"{start + datetime.timedelta(minutes=10 * m)},{rng.randint(0, 900) if 7 + k % 3 <= m // 6 % 24 < 22 else rng.choice([0, 0, 20])}" for m in range(8 * 144)]
+        (tmp_path / "raw" / cohort / f"{pid}.csv").write_text("timestamp,activity\n" + "\n".join(lines) + "\n")
+    (tmp_path / "study.yaml").write_text(f"data: {{root: {tmp_path}, actigraphy_root: {tmp_path}/raw}}\npreprocessing: {{min_days_per_participant: 7, excluded_features: [q25]}}\nsplit: {{seed: 1, n_folds: 3}}\noutput: {{results_dir: r, eda_dir: e}}\ncv: {{n_splits: 3, n_reps: 2, fixture_dir: {tmp_path}/folds}}\n")
+    study.main(["folds", "--settings", f"{tmp_path}/study.yaml"])
+    assert json.loads((tmp_path / "folds/folds_n3_r2.json").read_text())["metadata"]["participant_ids"] == sorted(pid for pid, _ in people)
+    with pytest.raises(FileExistsError):
+        study.main(["folds", "--settings", f"{tmp_path}/study.yaml"])
+    study.main(["run", "--settings", f"{tmp_path}/study.yaml", "--output", f"{tmp_path}/out"])
+    found = {name: (tmp_path / "out" / f"{name}.csv").read_text().splitlines() for name in ("raw_scores", "summary", "paired")}
+    assert [len(v) for v in found.values()] == [1 + 8 * 2 * 3, 1 + 8, 1 + 5]
+    assert found["summary"][0] == "task,feature_set,n_reps,mean_f1,sd_f1,ci_lo_mean,ci_hi_mean" and found["paired"][0].startswith("label,n_reps,mean_diff")
+    doc = json.loads((tmp_path / "folds/folds_n3_r2.json").read_text())
+    doc["repetitions"][0]["folds"][0]["test"][0] = "nobody"
+    (tmp_path / "odd.json").write_text(json.dumps(doc))
+    with pytest.raises(ValueError, match="nobody"):
+        study.run(spark, read_settings(f"{tmp_path}/study.yaml"), f"{tmp_path}/out", f"{tmp_path}/odd.json")
 
 
 def test_quoted_cells_and_recordings_written_back(spark, root, tmp_path):
@@ -135,14 +170,14 @@ def test_predictions_with_metrics(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out/metrics").first()["macro_f1"] == pytest.approx(2 / 3)
 
 
-def test_fold_file_is_kept_unless_forced(tmp_path):
+def test_fold_file_is_kept_unless_forced(spark, tmp_path):
     at = f"{tmp_path}/folds.json"
     ids = [f"p{k:02}" for k in range(10)]
-    made = folds.write_fold_file(at, ids, 5, 2)
+    made = folds.write_fold_file(spark, at, ids, 5, 2)
     assert json.loads(open(at).read()) == made and made["metadata"]["n_participants"] == 10
     with pytest.raises(FileExistsError):
-        folds.write_fold_file(at, ids[:6], 3, 1)
-    assert folds.write_fold_file(at, ids[:6], 3, 1, force=True)["metadata"]["n_splits"] == 3
+        folds.write_fold_file(spark, at, ids[:6], 3, 1)
+    assert folds.write_fold_file(spark, at, ids[:6], 3, 1, force=True)["metadata"]["n_splits"] == 3
 
 
 def test_group_folds_are_balanced():

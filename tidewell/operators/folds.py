@@ -201,14 +201,19 @@ def fixture_rows(folds: DataFrame, rows: DataFrame) -> DataFrame:
     return folds.join(last, "pid").select("rep", "fold", "idx")
 
 
-def write_fold_file(path: str, ids: list[str], n_splits: int = 5, n_reps: int = 20, force: bool = False) -> dict:
-    """Make and write a fold document; an existing file is kept unless force is given."""
-    import os
+def membership_checked(folds: DataFrame, data: DataFrame) -> DataFrame:
+    """folds, once validate_folds has found the people of data in them."""
+    validate_folds(folds, data)
+    return folds
+
 
+def write_fold_file(spark: SparkSession, path: str, ids: list[str], n_splits: int = 5, n_reps: int = 20, force: bool = False) -> dict:
+    """Make and write a fold document; an existing file is kept unless force is given."""
     from tidewell.sources.files import write_folds
+    from tidewell.sources.shared import exists
 
-    if os.path.exists(path) and not force:
+    if not force and exists(spark, path):
         raise FileExistsError(path)
     made = repeated_folds(ids, n_splits, n_reps)
-    write_folds(made, path)
+    write_folds(spark, made, path)
     return made

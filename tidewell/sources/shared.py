@@ -49,3 +49,29 @@ def remove(spark: SparkSession, target: str) -> None:
     """Delete a file or folder in whatever store the path belongs to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The paths in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
+def exists(spark: SparkSession, target: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_text(spark: SparkSession, target: str, text: str) -> None:
+    """Write a small text to a file, in place of an older one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, target: str) -> str:
+    """The text of a small file."""
+    return spark.read.text(target, wholetext=True).first()[0]
