@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.functions.student import t_quantile
+from tidewell.operators.summaries import value_ranges
 
 
 def label_counts(predictions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -58,16 +59,16 @@ def confusion_fold(predictions: DataFrame, rep: int = 0, fold: int = 0) -> DataF
     return confusion_normalized(predictions.where((F.col("rep") == rep) & (F.col("fold") == fold)).select("y_true", "y_pred"))
 
 
-def roc_auc(scores: DataFrame, keys: tuple[str, ...] = (), label: str = "y_true", score: str = "score", parts: int = 256) -> DataFrame:
+def roc_auc(scores: DataFrame, keys: tuple[str, ...] = (), label: str = "y_true", score: str = "score", parts: int | None = None) -> DataFrame:
     """(keys, auc) of 0/1 labels, exact, ties counted half; null if a class is absent.
 
     Rows are first counted by score. The running sum over distinct scores is
-    cut into ``parts`` ranges of scores at approximate quantiles, and the sums
-    of the ranges before are added, so no task sees all scores.
+    cut into ranges of scores (see summaries.value_ranges), and the sums of the
+    ranges before are added, so no task sees all scores.
     """
     rows = scores.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     by = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    cuts = rows.agg(F.percentile_approx(score, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)).alias("_cuts"))
+    by, cuts = value_ranges(by, "_s", parts)
     by = by.join(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))).drop("_cuts")
     below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys, "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
     part = by.groupBy(*keys, "_p").agg(F.sum(F.col("n") - F.col("pos")).alias("_neg"))

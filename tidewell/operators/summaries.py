@@ -7,18 +7,36 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.shared import written
+
+#: Ranges of values that a percentile or an AUC is counted in, and distinct values of a range beyond which there are more.
+RANGES, RANGE_VALUES = 256, 1_000_000
+
 EDA_COLUMNS = ("mean", "sd", "pctZeros", "median", "q25", "q75")
 
 
-def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
-    """(keys, n, least, most, and a column for each share): interpolated percentiles of the values, nulls left out.
+def value_ranges(counted: DataFrame, value: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counted as written, cuts): distinct values are cut into ranges that hold about as many of them each.
+
+    counted is written to the shared folder, so what it was made of is read
+    once. There are RANGES ranges, and more where one would hold over
+    RANGE_VALUES values.
+    """
+    counted = written(counted)
+    parts = parts or max(RANGES, -(-counted.count() // RANGE_VALUES))
+    quantiles = F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts))
+    return counted, counted.agg(F.coalesce(quantiles, F.array().cast("array<double>")).alias("_cuts"))
+
+
+def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """(keys, n, least, most, mean, and a column for each share): interpolated percentiles of the values, nulls left out.
 
-    Rows are first counted by value; distinct values are dealt into ``parts``
-    ranges at approximate quantiles and counted up within each, so no task
-    holds all values of a group.
+    Rows are first counted by value; distinct values are dealt into ranges
+    (see value_ranges) and counted up within each, so no task holds all values
+    of a group.
     """
     by = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = rows.agg(F.coalesce(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)), F.array().cast("array<double>")).alias("_cuts"))
+    by, cuts = value_ranges(by, "_v", parts)
     by = by.join(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
     up_to = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     of_keys = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
@@ -36,7 +54,7 @@ def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float], key
         rest = at - F.floor(at)
         return F.sum(F.when(covers(F.floor(at)), F.col("_v") * (1 - rest)).otherwise(0.0) + F.when(covers(F.floor(at) + 1) & (rest > 0), F.col("_v") * rest).otherwise(0.0))
 
-    return placed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), *[percentile(q).alias(name) for name, q in shares.items()])
+    return placed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), *[percentile(q).alias(name) for name, q in shares.items()])
 
 
 def class_balance(metadata: DataFrame, features: DataFrame) -> DataFrame:
@@ -87,8 +105,8 @@ def pca_projection(df: DataFrame, columns: list[str], keys: list[str], k: int =
 
 def acrophase_summary(frame: DataFrame, by: tuple[str, ...] = ("class",)) -> DataFrame:
     """(by, n, median, mean, least, most) of acrophase hours; nulls are left out."""
-    x = F.col("acrophase_hours")
-    return frame.where(x.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    found = exact_percentiles(frame, "acrophase_hours", {"median": 0.5}, by)
+    return found.select(*by, "n", "median", "mean", "least", "most")
 
 
 def load_summary(features: DataFrame) -> DataFrame:
