@@ -71,6 +71,27 @@ def test_each_recording_is_read_by_its_own_header(spark, root):
         files.scan_recordings(spark, f"{root}/raw")
 
 
+def test_each_file_is_read_once(spark, root):
+    rows = files.scan_recordings(spark, f"{root}/raw")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "binaryFile" not in plan  # the checked rows, as written
+    lazy = files.scan_recordings(spark, f"{root}/raw", validate=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert lazy.count("Relation") == 1
+
+
+def test_a_stream_takes_up_new_files(spark, root, tmp_path):
+    def run():
+        made = files.stream_recordings(spark, f"{root}/raw").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert made.awaitTermination(120)
+        return sorted((r["pid"], r["label"], r["ts"].isoformat(), r["activity"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    first = run()
+    assert len(first) == 4 and first[0] == ("control_1", "control", "2020-01-01T12:01:00", 30.0)
+    (root / "raw/depression/late+1 50%.csv").write_text("\ufeffactivity,timestamp\n 4 ,2021-01-01 00:00:00\n\n,2021-01-01 00:01:00\n")
+    again = run()
+    assert set(again) - set(first) == {("late+1 50%", "depression", "2021-01-01T00:00:00", 4.0), ("late+1 50%", "depression", "2021-01-01T00:01:00", None)} and len(again) == 6
+
+
 @pytest.mark.parametrize("row", ["2020-01-01 00:00:00,-5", "yesterday,5", "2020-01-01 00:00:00,many"])
 def test_bad_recordings(spark, root, row):
     (root / "raw/control/bad.csv").write_text(f"timestamp,activity\n{row}\n")

@@ -2,21 +2,26 @@
 
 A recording is <root>/<cohort>/<id>.csv with a header and the columns timestamp
 (yyyy-MM-dd HH:mm:ss) and activity; further columns are ignored. One scan reads
-all recordings, and the file's path gives the id and the label.
+all recordings, each file once, and the file's path gives the id and the label.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.params import SchemaError, require_columns
-from tidewell.sources.shared import move, names, new_path, read_text, remove, write_text
+from tidewell.sources.shared import move, names, new_path, read_text, remove, write_text, written
 
 # Cohorts, file names and required columns of the file layout.
 COHORTS = ("control", "depression", "schizophrenia", "adhd", "clinical")
@@ -84,44 +89,64 @@ def validate_recordings(rows: DataFrame) -> None:
         raise SchemaError(f"{r['source']}: negative activity, {r['least']} the least")
 
 
+#: Rows of a file that are handed on at once.
+CELL_ROWS = 100_000
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, headed, timestamp, value) of the rows of whole files; a file's own header says where its columns are."""
+    for batch in batches:
+        for source, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            reader = csv.reader(io.StringIO(content.as_py().decode("utf-8-sig"), newline=""))
+            first = next((row for row in reader if row), [])
+            names = [x.strip() for x in first]
+            headed = set(RECORDING_COLUMNS) <= set(names)
+            at = [names.index(c) for c in RECORDING_COLUMNS] if headed else []
+            rows = (row for row in reader if row) if headed else iter([first] if first else [])
+            while part := list(islice(rows, CELL_ROWS)):
+                columns = [[row[k].strip() if k < len(row) else None for row in part] for k in at] or [[None] * len(part)] * len(RECORDING_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(part), pa.string()), pa.array([headed] * len(part)), *[pa.array(c, pa.string()) for c in columns]], ["source", "headed", "timestamp", "value"])
+
+
+def _recordings(found: DataFrame, label: str | None) -> DataFrame:
+    """(source, headed, pid, label, timestamp, ts, value, activity) of files as Spark's reader of whole files gives them."""
+    rows = found.select("path", "content").mapInArrow(_cells, "source string, headed boolean, timestamp string, value string")
+    part = lambda n: F.regexp_extract("source", r"([^/]+)/([^/]+)\.csv$", n)
+    ts = F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return rows.select("source", "headed", part(2).alias("pid"), (F.lit(label) if label else part(1)).alias("label"), "timestamp", ts.alias("ts"), "value", F.col("value").try_cast("double").alias("activity"))
+
+
 def scan_recordings(spark: SparkSession, paths: str | list[str], label: str | None = None, validate: bool = True) -> DataFrame:
     """(pid, label, ts, activity) of all recordings under the paths (globs, folders or files).
 
-    pid is the file's name without .csv, label its folder's unless given.
-    Files may differ in their further columns and in the order of columns, so
-    cells are read by position and each file's own header line says which is
-    which; without one its values are null. A null or empty activity is null.
-    Nothing is sorted: order belongs to the operators that need it. Repeated
-    times stay.
+    pid is the file's name without .csv, label its folder's unless given. A
+    file is read once, whole, in the task that parses it, and only its two
+    columns go on; files may differ in their further columns and in the order
+    of columns. A null or empty activity is null. Nothing is sorted: order
+    belongs to the operators that need it. Repeated times stay.
+
+    With ``validate`` the rows are written to the shared folder and checked
+    there; a file without a header, with times or activities that can't be
+    read, or with a negative activity raises SchemaError.
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    reader = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-    named = reader.text(paths).where(" and ".join(f"contains(value, '{c}')" for c in RECORDING_COLUMNS))
-    width = named.agg(F.max(F.size(F.split("value", ",")))).first()[0] or len(RECORDING_COLUMNS)
-    cells = reader.schema(", ".join(f"_{k} string" for k in range(width))).csv(paths, header=False, multiLine=True, quote='"', escape='"')
-    rows = cells.select(F.col("_metadata.file_path").alias("source"), F.transform(F.array(*cells.columns), lambda x: F.trim(x)).alias("cells"))
-    is_header = F.forall(F.array(*[F.lit(c) for c in RECORDING_COLUMNS]), lambda c: F.coalesce(F.array_contains(F.filter("cells", lambda x: x.isNotNull()), c), F.lit(False)))
-    # one row a file: Spark broadcasts the headers of a study and shuffles those of very many files
-    headers = rows.where(is_header).groupBy("source").agg(F.first(F.transform("cells", lambda x: F.coalesce(x, F.lit("")))).alias("header"))
-    rows = rows.where(~is_header).join(headers, "source", "left")
-    value = lambda name: F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int"))
-    part = lambda n: F.url_decode(F.regexp_extract("source", r"([^/]+)/([^/]+)\.csv$", n))
-    rows = rows.select(
-        "source",
-        F.col("header").isNotNull().alias("headed"),
-        part(2).alias("pid"),
-        (F.lit(label) if label else part(1)).alias("label"),
-        value("timestamp").alias("timestamp"),
-        F.try_to_timestamp(value("timestamp"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        value("activity").alias("value"),
-        value("activity").try_cast("double").alias("activity"),
-    )
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load([paths] if isinstance(paths, str) else paths)
+    rows = _recordings(found, label)
     if validate:
+        rows = written(rows)
         validate_recordings(rows)
     return rows.select("pid", "label", "ts", "activity")
 
 
+def stream_recordings(spark: SparkSession, path: str, label: str | None = None, files_at_once: int = 1000) -> DataFrame:
+    """(pid, label, ts, activity) as a stream that takes up the files of a folder as they come; each is read once.
+
+    Rows that can't be read are null in ts or activity, and files without a
+    header give rows of nulls: a stream checks nothing as a whole.
+    """
+    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once)
+    return _recordings(found.schema("path string, modificationTime timestamp, length long, content binary").load(path), label).select("pid", "label", "ts", "activity")
+
+
 def write_recordings(activity: DataFrame, root: str) -> None:
     """Write (pid, label, ts, activity) as <root>/<label>/<pid>.csv, one file a recording; a study's recordings are named by the driver."""
     spark = activity.sparkSession
