@@ -37,10 +37,19 @@ def intradaily_variability(full: DataFrame, bin_minutes: int = 60, min_days: int
     summed up first, with their first and last bins; the step from a day to the
     next is that of two rows, joined by the day.
     """
-    p = bins_per_day(bin_minutes)
+    return variability_of(day_sums(full), bin_minutes, min_days)
+
+
+def day_sums(full: DataFrame) -> DataFrame:
+    """(pid, day, n, steps, m, v, lo, hi, first, last) of each whole day: what variability needs of it."""
     order = Window.partitionBy("pid", "day").orderBy("pos")
     rows = full.withColumn("_d", F.when(F.lag("pos").over(order) == F.col("pos") - 1, F.col("x") - F.lag("x").over(order)))
-    days = rows.groupBy("pid", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("steps"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min_by("x", "pos").alias("first"), F.max_by("x", "pos").alias("last"))
+    return rows.groupBy("pid", "day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("steps"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min_by("x", "pos").alias("first"), F.max_by("x", "pos").alias("last"))
+
+
+def variability_of(days: DataFrame, bin_minutes: int = 60, min_days: int = 1) -> DataFrame:
+    """intradaily_variability of day_sums."""
+    p = bins_per_day(bin_minutes)
     eve = days.select(F.col("pid").alias("_p"), F.date_add("day", 1).alias("_day"), F.col("last").alias("_eve"))
     linked = days.join(eve, (F.col("pid") == F.col("_p")) & (F.col("day") == F.col("_day")), "left").withColumn("over", (F.col("first") - F.col("_eve")) * (F.col("first") - F.col("_eve")))
     # whole days have as many bins each, so the variance is that of their means and the mean of theirs
@@ -101,8 +110,29 @@ def profile_measures(full: DataFrame, bin_minutes: int = 60, l_hours: int = 5, m
     they all follow from each position's mean, spread and sum, of which a pid
     has at most 1440.
     """
+    return measures_of(position_sums(full), bin_minutes, l_hours, m_hours, is_days)
+
+
+def position_sums(full: DataFrame) -> DataFrame:
+    """(pid, pos, n, m, v, s, lo, hi): number, mean, variance, sum and ends of each position's bins."""
+    return full.groupBy("pid", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def merged_sums(a: DataFrame, b: DataFrame) -> DataFrame:
+    """position_sums of the bins of both."""
+    both = a.join(b.withColumnsRenamed({c: f"_{c}" for c in ("n", "m", "v", "s", "lo", "hi")}), ["pid", "pos"], "full")
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("_n", F.lit(0))
+    off = F.coalesce(F.col("m") - F.col("_m"), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = (n * zero("m") + m * zero("_m")) / (n + m)
+    spread = (n * zero("v") + m * zero("_v")) / (n + m) + n * m / ((n + m) * (n + m)) * off * off
+    return both.select("pid", "pos", (n + m).alias("n"), mean.alias("m"), spread.alias("v"), (zero("s") + zero("_s")).alias("s"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
+
+
+def measures_of(by_pos: DataFrame, bin_minutes: int = 60, l_hours: int = 5, m_hours: int = 10, is_days: int = 7) -> DataFrame:
+    """profile_measures of position_sums."""
     p = bins_per_day(bin_minutes)
-    by_pos = full.groupBy("pid", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.round(F.sum("x"), 6).alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    by_pos = by_pos.withColumn("s", F.round("s", 6))
     angle, weight = F.col("pos") * (2 * math.pi / p), 2.0 / p if p > 2 else 1.0 / p
     one = by_pos.groupBy("pid").agg(
         F.max("n").alias("n_days"),

@@ -199,13 +199,23 @@ def sleep_metrics(activity: DataFrame, bin_minutes: int = 60, min_days: int = 3,
     fewer than min_days whole days, or without a valid night, has nulls.
     full: the bins of whole days, where they are there already.
     """
-    rows = activity.where(F.col("activity").isNotNull() & ~F.isnan(F.col("activity").cast("double")))
+    rows = usable(activity)
     full = keep_full_days(bin_activity(rows, bin_minutes), bin_minutes) if full is None else full
     days = full.groupBy("pid").agg((F.count(F.lit(1)) / bins_per_day(bin_minutes)).alias("n_days"))
     labels = score_sleep(rows, scorer).select("pid", "ts", "label")
     nights = night_metrics(epochs_of_nights(labels, rest_windows(rest_onsets(full, l5_hours, bin_minutes), l5_hours, pad_before, pad_after)))
-    means = nights.groupBy("pid").agg(*[F.avg(c).alias(c) for c in ("tst", "waso", "efficiency", "sol")])
     asleep = labels.groupBy("pid").agg(F.count_if(F.col("label") == SLEEP).alias("asleep"))
+    return sleep_means(asleep, days, nights, min_days)
+
+
+def usable(activity: DataFrame) -> DataFrame:
+    """The rows with an activity."""
+    return activity.where(F.col("activity").isNotNull() & ~F.isnan(F.col("activity").cast("double")))
+
+
+def sleep_means(asleep: DataFrame, days: DataFrame, nights: DataFrame, min_days: int = 3) -> DataFrame:
+    """sleep_metrics of (pid, asleep), (pid, n_days) and night_metrics."""
+    means = nights.groupBy("pid").agg(*[F.avg(c).alias(c) for c in ("tst", "waso", "efficiency", "sol")])
     joined = asleep.join(days, "pid", "left").join(means, "pid", "left")
     enough = (F.col("n_days") >= min_days) & F.col("tst").isNotNull()
     value = {"tst_hours": F.col("tst") / 60, "tst_24h_hours": F.col("asleep") / F.col("n_days") / 60, "waso_min": F.col("waso"), "sleep_efficiency": F.col("efficiency"), "sol_min": F.col("sol")}

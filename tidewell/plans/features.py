@@ -30,8 +30,12 @@ def extract_features(activity: DataFrame, bin_minutes: int = 60, l_hours: int =
     label = F.min("label") if "label" in activity.columns else F.first(F.lit(None).cast("string"))
     roster = activity.groupBy("pid").agg(label.alias("label"))
     profile = profile_measures(full, bin_minutes, l_hours, m_hours, is_days)
-    frame = roster.join(profile, "pid", "left").join(intradaily_variability(full, bin_minutes), "pid", "left")
-    frame = frame.join(sleep_metrics(activity, bin_minutes, sleep_days, l5_hours=l_hours, full=full), "pid", "left")
+    return frame_of(roster, profile, intradaily_variability(full, bin_minutes), sleep_metrics(activity, bin_minutes, sleep_days, l5_hours=l_hours, full=full))
+
+
+def frame_of(roster: DataFrame, profile: DataFrame, variability: DataFrame, sleep: DataFrame) -> DataFrame:
+    """(pid, label, 17 features) of the measures' tables."""
+    frame = roster.join(profile, "pid", "left").join(variability, "pid", "left").join(sleep, "pid", "left")
     made = {
         "l5_value": F.col("l_value"),
         "l5_onset_hours": hours_of(F.col("l_onset_min")),

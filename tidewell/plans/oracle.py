@@ -244,3 +244,6 @@ LEFT JOIN (SELECT y_true, y_pred, count(*) AS n FROM predf GROUP BY 1, 2) c ON c
     "m19_comparison_table": q(REPS, SUMMARY, body="SELECT task, feature_set, mean_f1 AS height, round(mean_f1 - ci_lo_mean, 4) AS error_low, round(ci_hi_mean - mean_f1, 4) AS error_high FROM summary"),
     "m20_combined_matrix": q(USER, binned(720), FEATURES, LEVEL, TEMPORAL, body=f'SELECT l."user", l.class, list_transform([{", ".join(f"coalesce(l.{chr(34)}{c}{chr(34)}, 0.0)" for c in FIVE)}, t.variability, t.stability], lambda y: round(y, 6) + 0.0) AS features FROM level l JOIN temporal t ON l."user" = t."user"'),
 }
+
+#: The kept frame has the rows of the frame made at once.
+ORACLE["c7_kept_features"] = ORACLE["c7_extract_features"]

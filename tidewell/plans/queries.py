@@ -16,6 +16,7 @@ from tidewell.functions import expressions as E
 from tidewell.operators import binning, boosting, estimators, folds, metrics, models, prep, rhythm, sleep, summaries
 from tidewell.plans import experiment
 from tidewell.plans.features import extract_features
+from tidewell.plans.kept import KeptFeatures
 from tidewell.sources import adapters, files
 from tidewell.sources.shared import new_path
 
@@ -109,6 +110,20 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(extract_features(dense(spark, sf)))
 
 
+def _kept_features(spark, sf) -> DataFrame:
+    """The same frame out of three batches of days, one after another."""
+    rows = dense(spark, sf)
+    first, last = rows.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    kept = KeptFeatures(spark, new_path(spark))
+    if first is None:
+        return entry(spark, sf)
+    third = max(1, ((last - first).days + 1) // 3)
+    for batch in range(3):
+        since = F.datediff(F.to_date("ts"), F.lit(first))
+        kept.add(rows.where((since >= batch * third) & (since < (batch + 1) * third if batch < 2 else F.lit(True))), batch)
+    return rounded(kept.features())
+
+
 def experiment_scores(spark, sf, part=1) -> DataFrame:
     """Raw scores, summary or pairs of all eight conditions over 20 repetitions of 5 folds."""
     data = study(spark, sf)
@@ -317,6 +332,7 @@ QUERIES = {
     "c5_cosinor": lambda s, d: rounded(rhythm.cosinor(full(s, d))),
     "c5_cosinor_by_user": lambda s, d: rounded(rhythm.cosinor(user_full(s, d), 720), 8),
     "c7_extract_features": entry,
+    "c7_kept_features": _kept_features,
     "z1_cole_kripke": lambda s, d: sleep.cole_kripke(dense(s, d)).select("pid", "ts", "label"),
     "z2_webster_rules": lambda s, d: sleep.score_sleep(dense(s, d)).select("pid", "ts", "label"),
     "z3_sadeh": lambda s, d: sleep.score_sleep(dense(s, d), "sadeh").select("pid", "ts", "label"),
