@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 
 import pytest
@@ -103,3 +105,11 @@ def test_empty_repeated_and_clashing(none, docs):
     assert pii.personal_data(none).count() == 0
     clash = docs.select("doc_id", "text", F.lit(1).alias("t"), F.lit(2).alias("spans"), F.lit(3).alias("s_email"))
     assert pii.personal_data(clash).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200, 5000])
+def test_running_maximum(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(-1000, 1000) for _ in range(n)]
+    found = spark.createDataFrame([(values,)], "v array<int>").select(pii._running_max(F.col("v")).alias("m")).first()["m"]
+    assert found == list(itertools.accumulate(values, max))

@@ -162,11 +162,10 @@ def _running_max(values: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")), lambda k: F.slice(v, k * 64 + 1, F.lit(64)))
 
     def carried(chunks: Column) -> Column:
-        def one(c: Column, k: Column) -> Column:
-            before = F.coalesce(F.array_max(F.transform(F.slice(chunks, F.lit(1), k), F.array_max)), F.lit(-(1 << 31)).cast("int"))
-            return _let(before, lambda b: F.transform(c, lambda x, i: F.greatest(b, F.array_max(F.slice(c, F.lit(1), i + 1)))))
-
-        return F.flatten(F.transform(chunks, one))
+        # the greatest value before each chunk, carried on from one to the next
+        heads = F.aggregate(chunks, F.array(F.lit(-(1 << 31)).cast("int")), lambda a, c: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.array_max(c)))))
+        within = lambda h: lambda c, k: F.transform(c, lambda x, i: F.greatest(F.get(h, k), F.array_max(F.slice(c, F.lit(1), i + 1))))
+        return _let(heads, lambda h: F.flatten(F.transform(chunks, within(h))))
 
     return _let(values, lambda v: _let(chunked(v), carried))
 
