@@ -191,15 +191,22 @@ def _places(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.nda
     """Where each pair of numbers is among the held pairs (one of several), -1 if it isn't; numbers may take all 63 bits."""
     if not len(held[0]):
         return np.full(len(asked[0]), -1)
-    keys, want, known = np.zeros(len(held[0]), np.int64), np.zeros(len(asked[0]), np.int64), np.ones(len(asked[0]), bool)
-    for a, h in zip(asked, held, strict=True):
-        names, rank = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(names, a), len(names) - 1)
-        known &= names[at] == a
-        keys, want = keys * len(names) + rank, want * len(names) + at
-    order = np.argsort(keys)
-    at = np.minimum(np.searchsorted(keys[order], want), len(keys) - 1)
-    return np.where(known & (keys[order][at] == want), order[at], -1)
+    known = np.ones(len(asked[0]), bool)
+    n = len(held[0])
+    both = _packed(tuple(np.r_[h, a] for a, h in zip(asked, held, strict=True)))
+    if both is not None:
+        keys, want = both[:n], both[n:]
+    else:  # ranks need fewer bits
+        keys, want = np.zeros(n, np.int64), np.zeros(len(asked[0]), np.int64)
+        for a, h in zip(asked, held, strict=True):
+            names, rank = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(names, a), len(names) - 1)
+            known &= names[at] == a
+            keys, want = keys * len(names) + rank, want * len(names) + at
+    order = np.argsort(keys, kind="stable")  # quick where they are sorted already
+    keys = keys[order]
+    at = np.minimum(np.searchsorted(keys, want), n - 1)
+    return np.where(known & (keys[at] == want), order[at], -1)
 
 
 class Level:
