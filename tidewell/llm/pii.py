@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Strict patterns give the base spans. Loose patterns propose more candidates;
-labelers (regex, gazetteer, context, boundary) vote on base spans and
+labelers (company, regex, gazetteer, context, boundary, shape) vote on base spans and
 candidates alike, expectation-maximisation over the counts of vote patterns
 estimates their reliabilities, and a logistic span classifier trained on the
 posteriors decides which candidates join the base spans.
@@ -37,8 +37,12 @@ HINT = {"email": r"@|(?i)[\[(]at[\])]", "ip": r"[0-9]\x20?\[?\.", "card": r"[0-9
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Gazetteers and cue words of the labelers.
-TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|io|biz|name|app|dev|co|me|tv|eu|uk|ie|us|ca|mx|br|ar|cl|de|at|ch|fr|be|lu|nl|es|pt|it|gr|pl|cz|sk|hu|ro|bg|hr|si|rs|ua|ru|tr|se|no|dk|fi|is|ee|lv|lt|il|sa|ae|za|ng|ke|eg|in|pk|cn|hk|tw|jp|kr|sg|my|th|vn|id|ph|au|nz|example"
-ISSUER = "4|5[1-5]|2[2-7]|3[0456789]|6011|6[245]"
+#: Names of top-level domains; any two letters count as a country's.
+TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|name|app|dev|example|[a-z]{2}"
+#: Issuers' first digits, with the numbers of digits that they give out.
+ISSUERS = "(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|(?:6011|65[0-9]{2}|64[4-9][0-9])[0-9]{12}|35[0-9]{14,17}|62[0-9]{14,17})"
+#: Country calling codes that are given out.
+CALLING = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[05678][0-9]|9[679][0-9])"
 CUES = {
     "email": "e-?mail|mail|mailto|contact|correo|courriel|kontakt|write to",
     "ip": "ip|host|server|address|adresse|login from|connected",
@@ -48,8 +52,10 @@ CUES = {
 OTHER_CUES = "isbn|issn|doi|version|order|invoice|serial|model|part no|section|§|hash|id|sku|page|figure"
 
 #: Labelers in the order of their votes, and first guesses of their rates.
-LABELERS = ("regex", "gazetteer", "context", "boundary")
-START = (Rates(0.9, 0.3, 0.03, 0.6), Rates(0.7, 0.3, 0.1, 0.4), Rates(0.4, 0.05, 0.02, 0.25), Rates(0.9, 0.6, 0.03, 0.4))
+LABELERS = ("company", "regex", "gazetteer", "context", "boundary", "shape")
+START = (Rates(0.5, 0.3, 0.5, 0.7), Rates(0.9, 0.3, 0.03, 0.6), Rates(0.7, 0.3, 0.1, 0.4), Rates(0.4, 0.05, 0.02, 0.25), Rates(0.9, 0.6, 0.03, 0.4), Rates(0.8, 0.3, 0.05, 0.5))
+#: Characters within which a base span is company.
+COMPANY = 80
 
 _SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 _CHUNK = 256
@@ -123,7 +129,7 @@ def _passing(kind: str, spans: Column) -> Column:
 
 
 def _votes(kind: str, x: Column) -> list[Column]:
-    """The labelers' votes on a span, as 1, 0 or -1."""
+    """The votes of all labelers but company on a span, as 1, 0 or -1."""
     match, before, after = x["match"], x["before"], x["after"]
     digits = _digits(match)
     vote = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
@@ -135,13 +141,22 @@ def _votes(kind: str, x: Column) -> list[Column]:
     }[kind]()
     gazetteer = {
         "email": lambda: vote(match.rlike(f"(?i)(?:{TOP_LEVEL})$"), F.lit(False)),
-        "ip": lambda: vote(F.lit(False), match.rlike(r"^0*(?:0|22[4-9]|2[3-5][0-9])[^0-9]")),
-        "card": lambda: vote(digits.rlike(f"^(?:{ISSUER})"), F.lit(True)),
-        "phone": lambda: vote(match.rlike(r"^(?:\+|00|\()"), digits.rlike(r"^([0-9])\1+$")),
+        "ip": lambda: vote(match.rlike(r"^(?:[1-9][0-9]|1[013-9][0-9]|12[0-689]|2[01][0-9]|22[0-3])[^0-9]"), match.rlike(r"^0*(?:0|127|22[4-9]|2[3-9][0-9]|[3-9][0-9]{2})[^0-9]")),
+        "card": lambda: vote(digits.rlike(f"^{ISSUERS}$"), F.lit(True)),
+        "phone": lambda: vote(match.rlike(r"^(?:\+|00)") & digits.rlike(f"^(?:00)?{CALLING}"), match.rlike(r"^(?:\+|00)") | digits.rlike(r"^([0-9])\1+$")),
     }[kind]()
     context = vote(before.rlike(rf"(?i)\b(?:{CUES[kind]})\b[^.!?]*$"), before.rlike(rf"(?i)(?:\b(?:{OTHER_CUES})\b|[#=])[^.!?]{{0,12}}$"))
     inside = before.rlike(r"[\p{L}0-9@_=/-]$") | after.rlike(r"^[\p{L}0-9@_=/-]")
-    return [regex, gazetteer, context, vote(~inside, inside)]
+    date = r"^(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}){1,2})(?![0-9])"
+    shape = {
+        # a point before a space ends a sentence or numbers a list
+        "email": lambda: vote(~match.rlike(r"\x20") | match.rlike(r"(?i)[\[(]at[\])].*[\[(]dot[\])]"), match.rlike(r"[^\x20]\.\x20|\x20@|@\x20")),
+        # parts are written alike
+        "ip": lambda: vote(match.rlike(r"^[0-9]+([^0-9]+)[0-9]+\1[0-9]+\1[0-9]+$") & ~match.rlike(r"(?:^|[^0-9])0[0-9]|[0-9]\.\x20"), F.lit(True)),
+        "card": lambda: vote(match.rlike(r"^[0-9]+$|^[0-9]+([^0-9]+)(?:[0-9]+\1)*[0-9]+$"), F.lit(True)),
+        "phone": lambda: vote(match.rlike(r"^(?:\+|00|\()|[0-9]{4}$") & ~match.rlike(date), match.rlike(date) | digits.rlike(r"([0-9])\1{5}")),
+    }[kind]()
+    return [regex, gazetteer, context, vote(~inside, inside), shape]
 
 
 def _coded(kind: str, spans: Column, base: bool) -> Column:
@@ -170,17 +185,32 @@ def _running_max(values: Column) -> Column:
     return _let(values, lambda v: _let(chunked(v), carried))
 
 
+def _judged(x: Column, near: Column) -> Column:
+    """A span with the vote of company put before the others."""
+    code = F.concat(F.when(near, F.lit("y")).otherwise(F.lit("n")), x["code"])
+    return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), code.alias("code"), x["base"].alias("base"))
+
+
 def _apart(spans: Column) -> Column:
-    """The base spans of the sorted spans, and the candidates that neither touch one nor start inside a span before them."""
+    """The base spans of the sorted spans, and the candidates that neither touch one nor start inside a span before them.
+
+    Another base span within COMPANY characters is company.
+    """
     far = F.lit((1 << 31) - 1)
     ends = _running_max(F.transform(spans, lambda x: x["end"]))
+    bases = _running_max(F.transform(spans, lambda x: F.when(x["base"], x["end"]).otherwise(F.lit(-COMPANY - 1))))
     starts = F.reverse(_running_max(F.reverse(F.transform(spans, lambda x: -F.when(x["base"], x["start"]).otherwise(far)))))
 
-    def keep(e: Column, s: Column) -> Column:
-        free = lambda x, k: (F.coalesce(F.get(e, k - 1), F.lit(-1)) <= x["start"]) & (F.coalesce(-F.get(s, k + 1), far) >= x["end"])
-        return F.filter(spans, lambda x, k: x["base"] | free(x, k))
+    def keep(e: Column, s: Column, b: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            before, after = F.coalesce(F.get(b, k - 1), F.lit(-COMPANY - 1)), F.coalesce(-F.get(s, k + 1), far)
+            free = (F.coalesce(F.get(e, k - 1), F.lit(-1)) <= x["start"]) & (after >= x["end"])
+            near = (x["start"] - before <= COMPANY) | (after - x["end"] <= COMPANY)
+            return F.when(x["base"] | free, _judged(x, near))
+
+        return F.filter(F.transform(spans, one), lambda x: x.isNotNull())
 
-    return _let(ends, lambda e: _let(starts, lambda s: keep(e, s)))
+    return _let(ends, lambda e: _let(starts, lambda s: _let(bases, lambda b: keep(e, s, b))))
 
 
 def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,7 +229,7 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     loose = [_coded(k, F.col(f"l_{k}"), False) for k in KINDS]
     rows = rows.select("doc_id", F.array_sort(F.concat(*strict, *loose)).alias("all"))
 
-    return rows.select("doc_id", F.when(F.size("all") < 2, F.col("all")).otherwise(_apart(F.col("all"))).alias("spans"))
+    return rows.select("doc_id", F.when(F.size("all") < 2, F.transform("all", lambda x: _judged(x, F.lit(False)))).otherwise(_apart(F.col("all"))).alias("spans"))
 
 
 def _features(kind: int, code: str) -> tuple[float, ...]:
@@ -210,20 +240,22 @@ def _features(kind: int, code: str) -> tuple[float, ...]:
 def accepted(found: DataFrame, threshold: float = 0.9) -> list[tuple[int, str]]:
     """The (kind, code) pairs that the span classifier accepts.
 
-    Learned from the counts of codes, of which there are at most 4 * 3^4 * 4.
+    Learned from the counts of codes, of which there are at most 4 * 2 * 3^5 * 4.
+    Base spans are personal data for certain: they show how labelers vote on
+    it, and how common it is among candidates follows from the candidates alone.
     """
-    counted = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.code").count().collect()
+    counted = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.code", "x.base").count().collect()
     rows = []
     for kind in range(len(KINDS)):
-        codes = {r["code"]: r["count"] for r in counted if r["kind"] == kind}
-        patterns: dict[tuple[int, ...], int] = {}
+        codes = {(r["code"], r["base"]): r["count"] for r in counted if r["kind"] == kind}
+        patterns: dict[bool, dict[tuple[int, ...], int]] = {True: {}, False: {}}
         vote = lambda code: tuple({"y": 1, "n": -1, "-": 0}[c] for c in code[:-1])
-        for code, n in codes.items():
-            patterns[vote(code)] = patterns.get(vote(code), 0) + n
-        model = fit_votes(patterns, START)
-        rows += [(_features(kind, code), model.posterior(vote(code)), float(n)) for code, n in sorted(codes.items())]
+        for (code, base), n in codes.items():
+            patterns[base][vote(code)] = patterns[base].get(vote(code), 0) + n
+        model = fit_votes(patterns[False], START, known=patterns[True])
+        rows += [(_features(kind, code), 1.0 if base else model.posterior(vote(code)), float(n)) for (code, base), n in sorted(codes.items())]
     weights = fit_logistic(rows)
-    return [(r["kind"], r["code"]) for r in counted if logistic(weights, _features(r["kind"], r["code"])) >= threshold]
+    return [(r["kind"], r["code"]) for r in counted if not r["base"] and logistic(weights, _features(r["kind"], r["code"])) >= threshold]
 
 
 def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -43,23 +43,24 @@ class VoteModel:
         return 1 / (1 + math.exp(-max(-700, min(700, self.log_odds(votes)))))
 
 
-def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prior: float = 0.5, rounds: int = 1000, anchor: float = 20.0) -> VoteModel:
+def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prior: float = 0.5, rounds: int = 1000, anchor: float = 20.0, known: dict[tuple[int, ...], int] | None = None) -> VoteModel:
     """Labelers' rates by expectation-maximisation.
 
     counts: rows by vote pattern. start: first guesses, which also say which
     class is which; they stay in as so many rows of each class (``anchor``, a
     fixed number, so that any large table outweighs them). Abstentions carry no
-    weight. Rounds end when no rate moves any more. Without rows the guesses
+    weight. ``known`` are further rows, of the yes class for certain; they tell
+    how labelers vote there, but don't count for the prior. Rounds end when no rate moves any more. Without rows the guesses
     return.
     """
-    total = sum(counts.values())
+    total, certain = sum(counts.values()), sum((known or {}).values())
     model = VoteModel(prior, start)
     clip = lambda x: min(1 - 1e-6, max(1e-6, x))
-    for _ in range(rounds if total else 0):
-        yes, seen = 0.0, [[0.0] * 4 for _ in start]
-        for pattern, n in counts.items():
-            p = model.posterior(pattern)
-            yes += n * p
+    for _ in range(rounds if total + certain else 0):
+        seen = [[0.0] * 4 for _ in start]
+        rows = [(pattern, n, model.posterior(pattern)) for pattern, n in counts.items()]
+        yes = sum(n * p for _, n, p in rows)
+        for pattern, n, p in rows + [(pattern, n, 1.0) for pattern, n in (known or {}).items()]:
             for vote, row in zip(pattern, seen, strict=True):
                 if vote:
                     k = 0 if vote == YES else 2
@@ -69,7 +70,7 @@ def fit_votes(counts: dict[tuple[int, ...], int], start: tuple[Rates, ...], prio
         share = lambda got, guess, of: clip((got + anchor * guess) / (of + anchor))
         fitted = VoteModel(
             clip((yes + anchor * prior) / (total + anchor)),
-            tuple(Rates(share(a, s.yes_if_yes, yes), share(b, s.yes_if_no, no), share(c, s.no_if_yes, yes), share(d, s.no_if_no, no)) for (a, b, c, d), s in zip(seen, start, strict=True)),
+            tuple(Rates(share(a, s.yes_if_yes, yes + certain), share(b, s.yes_if_no, no), share(c, s.no_if_yes, yes + certain), share(d, s.no_if_no, no)) for (a, b, c, d), s in zip(seen, start, strict=True)),
         )
         moved = max(abs(a - b) for f, m in zip(fitted.rates, model.rates, strict=True) for a, b in zip(astuple(f), astuple(m), strict=True))
         model, before = fitted, model
