@@ -1,15 +1,18 @@
 """Boosted trees on the softmax for tables of any size, all classes and folds in one pass a level; and attributions of trees.
 
-Columns are cut at approximate quantiles of the table. A round grows one tree
-for each class of each fit, level by level: a pass sums gradients and second
-derivatives by (node, column, bin), and the best cut of every node is taken
-from the sums. Rows keep no state between passes but the scores that are
-written every few rounds; within those, a pass applies the trees grown since.
+Columns are cut at approximate quantiles of the table, and the rows' bins are
+written once. A round grows one tree for each class of each fit, level by
+level: a pass sums gradients and second derivatives by (node, column, bin), the
+sums of a node meet in one task, and what comes to the driver is each node's
+best cut. Rows keep no state between passes but the scores that are written
+every few rounds; within those, a pass applies the trees grown since.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.fits import Block, Fits, Table
+from tidewell.operators.fits import Block, Fits, Table, trained
+from tidewell.sources.shared import new_path, remove
 
 #: Gains so near to each other are equal, in whatever order rows were added.
 TIE = 1e-9
@@ -25,6 +29,14 @@ TIE = 1e-9
 #: Size of a closure of trees that attributions send to the tasks.
 TREES_MB = 256
 
+#: A level of so many nodes is compared whole, a wider one at each row's own node.
+WHOLE = 16
+
+CODED = "y binary, bin binary, crc binary, row binary, fold binary"
+NODES = "node int, v array<double>"
+CHOSEN = ("left_g", "left_h", "left_n", "right_g", "right_h", "right_n")
+CUTS = f"node int, own int, bin int, gain double, {', '.join(f'{c} double' for c in CHOSEN)}"
+
 
 @dataclass
 class Boosted:
@@ -79,10 +91,12 @@ def column_cuts(table: Table, bins: int = 32, accuracy: int = 10_000) -> list[np
 
 def drawn(pid: list[str], round_: int, share: float, seed: int) -> np.ndarray:
     """Rows of a round's sample: those whose hashed id falls under the share. The hash mixes a CRC of the id."""
-    import zlib
+    return drawn_crc(np.array([zlib.crc32(p.encode()) for p in pid], np.uint32), round_, share, seed)
 
-    h = np.array([zlib.crc32(p.encode()) for p in pid], np.uint64)
-    h = (h + np.uint64((seed * 1_000_003 + round_) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+
+def drawn_crc(crc: np.ndarray, round_: int, share: float, seed: int) -> np.ndarray:
+    """The same from the ids' CRCs."""
+    h = (crc.astype(np.uint64) + np.uint64((seed * 1_000_003 + round_) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(11)).astype(float) / float(1 << 53) < share
 
@@ -131,87 +145,200 @@ def fit_boosted(table: Table, cuts: list[np.ndarray], fits: Fits | None = None,
         return [(0, np.array([np.bincount(block.y[trains[:, f], fits.label[f]], minlength=k) for f in range(n_fits)]))]
 
     made.present = table.summed(seen)[0].reshape(n_fits, k) > 0
-    scores = _Scores(table, made)
     trees = [(f, c) for f in range(n_fits) for c in range(k)]
+    table.spread(len(trees) * max(1, table.width))
+    rows = _Rows(table, fits, made, cuts)
     for r in range(rounds):
         columns = drawn_columns(table.width, r, share, seed)
         for level in range(depth):
-            sums = _histograms(table, fits, scores, r, level, columns, cuts, bins, share, seed)
             width = 1 << level
-            zero = np.zeros(3 * width * len(columns) * bins)
-            g, h, n = np.array([sums.get(f * k + c, zero) for f, c in trees]).reshape(len(trees), 3, width, len(columns), bins).transpose(1, 0, 2, 3, 4).reshape(3, len(trees) * width, len(columns), bins)
-            column, at, gain = best_cuts(g, h, n, ridge)
-            for i, (node_g, node_h, node_n) in enumerate(zip(g, h, n, strict=True)):
-                (f, c), node, own = trees[i // width], i % width, columns[column[i]]
-                cut = gain[i] > 1e-12
+            for n in rows.best(r, level, columns, bins, share, seed, ridge):
+                (f, c), node, own = trees[n["node"] // width], n["node"] % width, columns[n["own"]]
+                cut = n["gain"] > 1e-12
                 if cut:
-                    made.columns[f, r, c, width - 1 + node], made.cuts[f, r, c, width - 1 + node] = own, cuts[own][at[i]]
+                    at = (f, r, c, width - 1 + node)
+                    made.columns[at], made.cuts[at], rows.bins[at] = own, cuts[own][n["bin"]], n["bin"]
                 if level == depth - 1:
-                    for side, part in enumerate((slice(0, at[i] + 1), slice(at[i] + 1, None)) if cut else (slice(None), slice(0))):
-                        if node_n[column[i], part].sum() > 0:
-                            made.values[f, r, c, 2 * node + side] = -rate * node_g[column[i], part].sum() / (node_h[column[i], part].sum() + ridge)
-                            made.cover[f, r, c, 2 * node + side] = node_n[column[i], part].sum()
-        scores.grown = r + 1
-        if scores.grown - scores.written >= kept_rounds:
-            scores.write()
-    table.drop(scores.path)
+                    for side in ("left", "right"):
+                        if n[f"{side}_n"] > 0:
+                            leaf = (f, r, c, 2 * node + (side == "right"))
+                            made.values[leaf] = -rate * n[f"{side}_g"] / (n[f"{side}_h"] + ridge)
+                            made.cover[leaf] = n[f"{side}_n"]
+        rows.grown = r + 1
+        if rows.grown - rows.written >= kept_rounds and rows.grown < rounds:
+            rows.write()
+    rows.discard()
     return made
 
 
-class _Scores:
-    """The scores that rows had after so many rounds, as written beside the blocks."""
-
-    def __init__(self, table: Table, model: Boosted):
-        self.table, self.model, self.written, self.grown, self.path = table, model, 0, 0, None
+def descend(columns: np.ndarray, bins: np.ndarray, at: np.ndarray, levels: int) -> np.ndarray:
+    """Trees by rows: the node of a level that each row comes to, from trees' (tree, inner node) columns and bins and rows' (column, row) bins."""
+    node, passed = np.zeros((len(columns), at.shape[1]), np.uint8 if levels <= 8 else np.int32), []
+    for level in range(levels):
+        width = 1 << level
+        inner = slice(width - 1, 2 * width - 1)
+        if width <= WHOLE:
+            right = [at[columns[:, i]] > bins[:, i, None] for i in range(inner.start, inner.stop)]
+            for way in passed:
+                half = len(right) // 2
+                # what np.where would choose, many times faster on truth values
+                right = [right[i] ^ (way & (right[i] ^ right[half + i])) for i in range(half)]
+            right = right[0]
+            passed.append(right)
+        else:
+            right = at[np.take_along_axis(columns[:, inner], node.astype(np.int64), 1), np.arange(at.shape[1])] > np.take_along_axis(bins[:, inner], node.astype(np.int64), 1)
+        node = node << 1 | right
+    return node
 
-    def __getstate__(self):
-        """What tasks need: the trees grown since the scores were written."""
-        m, part = self.model, slice(self.written, self.grown)
-        recent = Boosted(m.columns[:, part], m.cuts[:, part], m.values[:, part], m.cover[:, :0], m.present)
-        return {"model": recent, "written": 0, "grown": self.grown - self.written, "path": self.path}
 
-    def of(self, block: Block, fit: int) -> np.ndarray:
-        """Scores of a block's rows after the rounds grown so far."""
-        k = self.model.present.shape[1]
-        start = block.scores.reshape(-1, len(block.y), k)[fit] if self.path else np.zeros((len(block.y), k))
-        return start + self.model.scores(block.x, fit, range(self.written, self.grown))
+@dataclass
+class _Part:
+    """Rows of a block: label codes, bins (column, row), CRCs of ids, (row, fold) of the folds that rows are tested in, scores (tree, row)."""
+
+    y: np.ndarray
+    bins: np.ndarray
+    crc: np.ndarray
+    tested: tuple[np.ndarray, np.ndarray]
+    scores: np.ndarray | None
+
+
+class _Rows:
+    """The table's rows as bins, with the scores that they had after so many rounds."""
+
+    def __init__(self, table: Table, fits: Fits, model: Boosted, cuts: list[np.ndarray]):
+        self.spark, self.fits, self.model = table.blocks.sparkSession, fits, model
+        most = max((len(c) for c in cuts), default=0)
+        self.kind = np.uint8 if most < 255 else np.int32
+        #: cuts of the inner nodes by number; the greatest number where a node isn't cut
+        self.bins = np.full(model.cuts.shape, np.iinfo(self.kind).max, self.kind)
+        self.written, self.grown, self.path, self.scored = 0, 0, None, False
+        kind = self.kind
+
+        def coded(block: Block) -> pa.RecordBatch:
+            at = np.array([np.searchsorted(own, block.x[:, c], side="left") for c, own in enumerate(cuts)], kind)
+            crc = np.array([zlib.crc32(p.encode()) for p in block.pid], np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (block.y, at, crc, *block.tested)], ["y", "bin", "crc", "row", "fold"])
+
+        self._write(table.each(coded, CODED), CODED)
+
+    def _write(self, made: DataFrame, schema: str) -> None:
+        old, self.path = self.path, new_path(self.spark)
+        made.write.parquet(self.path)
+        self.blocks = self.spark.read.schema(schema).parquet(self.path)
+        self.parts = self.blocks.rdd.getNumPartitions()
+        if old:
+            remove(self.spark, old)
+
+    def discard(self) -> None:
+        remove(self.spark, self.path)
+
+    def _parts(self):
+        """A function from batches to their blocks, and one from a block to the scores after the rounds grown so far."""
+        m, recent, kind, scored = self.model, slice(self.written, self.grown), self.kind, self.scored
+        n_trees = m.present.size
+        # a round's trees by (fit, class)
+        columns, bins, values = (np.moveaxis(v[:, recent], 1, 0).reshape(-1, n_trees, v.shape[3]) for v in (m.columns, self.bins, m.values))
+        depth = m.depth
+
+        def parts(batch: pa.RecordBatch) -> Iterator[_Part]:
+            for k in range(batch.num_rows):
+                y, at, crc, row, fold = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("y", np.int32), ("bin", kind), ("crc", np.uint32), ("row", np.int32), ("fold", np.int32)))
+                scores = np.frombuffer(batch.column("scores")[k].as_py(), float).reshape(n_trees, -1) if scored else None
+                yield _Part(y.reshape(len(crc), -1), at.reshape(-1, len(crc)), crc, (row, fold), scores)
+
+        def scores(part: _Part) -> np.ndarray:
+            made = np.zeros((n_trees, len(part.crc)))
+            for of, at, v in zip(columns, bins, values, strict=True):
+                made += np.take(v.ravel(), descend(of, at, part.bins, depth) + (np.arange(n_trees) * v.shape[1])[:, None])
+            return made if part.scores is None else part.scores + made
+
+        return parts, scores
 
     def write(self) -> None:
-        old = self.path
-        fits = range(len(self.model.present))
-        self.path = self.table.scored(lambda b: np.stack([self.of(b, f) for f in fits]), self.path)
-        self.table.drop(old)
-        self.written = self.grown
-
-
-def _histograms(table: Table, fits: Fits, scores: _Scores, round_: int, level: int, columns: np.ndarray, cuts: list[np.ndarray], bins: int, share: float, seed: int) -> dict[int, np.ndarray]:
-    """By (fit, class): gradients, second derivatives and rows by (node, column, bin) of a level of the round's trees."""
-    (n_fits, k), width = scores.model.present.shape, 1 << level
-    present, own_columns, own_cuts = scores.model.present, scores.model.columns[:, round_], scores.model.cuts[:, round_]
-    at_columns, size = np.arange(len(columns)) * bins, width * len(columns) * bins
-
-    def run(block: Block):
-        rows = drawn(block.pid, round_, share, seed)[:, None] & block.trains(fits.fold)
-        binned = np.stack([np.searchsorted(cuts[c], block.x[:, c], side="left") for c in columns], axis=1) + at_columns
-        made = []
-        for f in range(n_fits):
-            own = np.flatnonzero(rows[:, f])
-            if not len(own):
-                continue
-            s = np.where(present[f], scores.of(block, f)[own], -np.inf)
-            p = np.exp(s - s.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            x, y, slot = block.x[own], block.y[own, fits.label[f]], binned[own]
-            for c in np.flatnonzero(present[f]).tolist():
-                g, h = p[:, c] - (y == c), np.maximum(p[:, c] * (1 - p[:, c]), 1e-9)
-                node = np.zeros(len(own), np.int64)
-                for _ in range(level):
-                    node = 2 * node + 1 + (x[np.arange(len(own)), own_columns[f, c, node]] > own_cuts[f, c, node])
-                at = ((node - (width - 1))[:, None] * (len(columns) * bins) + slot).ravel()
-                made.append((f * k + c, np.concatenate([*[np.bincount(at, np.repeat(v, len(columns)), size) for v in (g, h)], np.bincount(at, minlength=size)])))
-        return made
-
-    return table.summed(run, scores.path)
+        """Write the rows anew with their scores after the rounds grown so far."""
+        parts, scores = self._parts()
+        names = [c.split()[0] for c in CODED.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, part in enumerate(parts(batch)):
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in names], pa.array([scores(part).tobytes()], pa.binary())], [*names, "scores"])
+
+        schema = f"{CODED}, scores binary"
+        self._write(self.blocks.mapInArrow(run, schema), schema)
+        self.written, self.scored = self.grown, True
+
+    def best(self, round_: int, level: int, columns: np.ndarray, bins: int, share: float, seed: int, ridge: float) -> list[dict]:
+        """The best cut of every node of a level of the round's trees that rows come to, and the sums of its two sides.
+
+        A node's sums are added where they meet, in one task for each node, and its cut is chosen there.
+        """
+        fits, (n_fits, k), width = self.fits, self.model.present.shape, 1 << level
+        present = self.model.present
+        own_columns, own_bins = (v[:, round_].reshape(n_fits * k, -1)[:, : width - 1] for v in (self.model.columns, self.bins))
+        size = len(columns) * bins
+        parts, scores = self._parts()
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+            """By tree: gradients, second derivatives and rows by (node, column, bin)."""
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part in parts(batch):
+                    rows = drawn_crc(part.crc, round_, share, seed)[:, None] & trained(len(part.crc), part.tested, fits.fold)
+                    slots = part.bins[columns] + np.arange(0, size, bins)[:, None]
+                    nodes = descend(own_columns, own_bins, part.bins, level)
+                    s = scores(part).reshape(n_fits, k, -1)
+                    for f in range(n_fits):
+                        own = np.flatnonzero(rows[:, f])
+                        if not len(own):
+                            continue
+                        p = np.where(present[f][:, None], s[f][:, own], -np.inf)
+                        p = np.exp(p - p.max(axis=0))
+                        p /= p.sum(axis=0)
+                        y, slot = part.y[own, fits.label[f]], slots[:, own]
+                        for c in np.flatnonzero(present[f]).tolist():
+                            g, h = p[c] - (y == c), np.maximum(p[c] * (1 - p[c]), 1e-9)
+                            at = (nodes[f * k + c, own].astype(np.int64) * size + slot).ravel()
+                            made = np.stack([*[np.bincount(at, np.broadcast_to(v, slot.shape).ravel(), width * size) for v in (g, h)], np.bincount(at, minlength=width * size)])
+                            total[f * k + c] = total[f * k + c] + made if f * k + c in total else made
+            return total
+
+        def by_node(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            """Numbers and sums of the nodes that have rows."""
+            found = sums(batches)
+            nodes = (np.array([*found], np.int32)[:, None] * width + np.arange(width, dtype=np.int32)).ravel()
+            v = np.array([*found.values()]).reshape(len(found), 3, width, size).transpose(0, 2, 1, 3).reshape(-1, 3 * size)
+            held = v[:, 2 * size :].any(axis=1)
+            return nodes[held], v[held]
+
+        def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes, v = by_node(batches)
+            for k in range(0, len(nodes), 256):
+                own = v[k : k + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 256]), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * 3 * size), pa.array(own.ravel()))], ["node", "v"])
+
+        def chosen(nodes: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(nodes), 256):
+                every = np.ascontiguousarray(v[k : k + 256].reshape(-1, 3, len(columns), bins).transpose(1, 0, 2, 3))
+                column, at, gain = best_cuts(*every, ridge)
+                own = every[:, np.arange(len(column)), column]
+                left = np.arange(bins) <= np.where(gain > 1e-12, at, bins)[:, None]
+                sides = [np.where(side, x, 0.0).sum(axis=1) for side in (left, ~left) for x in own]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in (nodes[k : k + 256], column, at)), *(pa.array(x, pa.float64()) for x in (gain, *sides))], ["node", "own", "bin", "gain", *CHOSEN])
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from chosen(*by_node(batches))
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for node, v in zip(batch.column("node").to_pylist(), batch.column("v"), strict=True):
+                    v = v.values.to_numpy()
+                    found[node] = found[node] + v if node in found else v.copy()
+            yield from chosen(np.array([*found], np.int32), np.array([*found.values()]).reshape(-1, 3 * size))
+
+        made = self.blocks.mapInArrow(alone, CUTS) if self.parts == 1 else self.blocks.mapInArrow(emitted, NODES).repartition("node").mapInArrow(met, CUTS)
+        return made.toArrow().to_pylist()
 
 
 # ---- attributions

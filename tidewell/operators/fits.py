@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,8 +28,11 @@ from tidewell.sources.shared import new_path, remove
 #: Rows of a block, and numbers that a pass holds at once for a block and some of the fits.
 BLOCK, AT_ONCE = 2048, 4_000_000
 
-#: The sums of so few tasks are added on the driver; those of more are added by Spark first.
-FEW = 8
+#: The sums of so few tasks, and of so many numbers at most, are added on the driver; those of more are added by Spark first.
+FEW, FEW_NUMBERS = 8, 250_000
+
+#: Numbers that a task's part of a pass is worth; with more, blocks are dealt to more tasks.
+WORK = 4_000_000
 
 #: More labels than that are no classes.
 MAX_CLASSES = 1000
@@ -40,23 +43,27 @@ SCHEMA = "pid array<string>, y binary, x binary, row binary, fold binary"
 
 @dataclass
 class Block:
-    """Rows of the table: ids, codes of every label, values, (row, fold) of the folds that rows are tested in, and scores (fit, row, class) if there are any."""
+    """Rows of the table: ids, codes of every label, values, and (row, fold) of the folds that rows are tested in."""
 
     pid: list[str]
     y: np.ndarray
     x: np.ndarray
     tested: tuple[np.ndarray, np.ndarray]
-    scores: np.ndarray | None = None
 
     def trains(self, folds: np.ndarray) -> np.ndarray:
         """Rows by folds (a fold may be asked for several times): whether the row is trained on."""
-        every, back = np.unique(folds, return_inverse=True)
-        made = np.ones((len(self.y), len(every)), bool)
-        at = np.searchsorted(every, self.tested[1])
-        hit = at < len(every)
-        hit[hit] = every[at[hit]] == self.tested[1][hit]
-        made[self.tested[0][hit], at[hit]] = False
-        return made[:, back]
+        return trained(len(self.y), self.tested, folds)
+
+
+def trained(rows: int, tested: tuple[np.ndarray, np.ndarray], folds: np.ndarray) -> np.ndarray:
+    """Rows by folds: whether the row is trained on, as tested holds (row, fold) of the folds it is tested in."""
+    every, back = np.unique(folds, return_inverse=True)
+    made = np.ones((rows, len(every)), bool)
+    at = np.searchsorted(every, tested[1])
+    hit = at < len(every)
+    hit[hit] = every[at[hit]] == tested[1][hit]
+    made[tested[0][hit], at[hit]] = False
+    return made[:, back]
 
 
 @dataclass
@@ -103,12 +110,30 @@ class Table:
             rows = rows.join(tests, "pid", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<int>")))
         at = new_path(data.sparkSession)
         rows.mapInArrow(_blocks, SCHEMA).write.parquet(at)
-        self.path, self.blocks = at, data.sparkSession.read.schema(SCHEMA).parquet(at)
-        self.parts = self.blocks.rdd.getNumPartitions()
+        self.paths: list[str] = []
+        self._take(data.sparkSession, at)
         self.rows, self.width = 0, 0
         if sizes := self.summed(lambda b: [(0, np.array([len(b.y), b.x.size]))]):
             self.rows, self.width = int(sizes[0][0]), int(sizes[0][1] // sizes[0][0])
 
+    def _take(self, spark: SparkSession, at: str) -> None:
+        self.paths.append(at)
+        self.blocks = spark.read.schema(SCHEMA).parquet(at)
+        self.parts = self.blocks.rdd.getNumPartitions()
+
+    def spread(self, numbers: int) -> int:
+        """Deal the blocks anew to as many tasks as passes of so many numbers a row are worth, at most one for each core; their number.
+
+        What has been read from the blocks before stays valid until the table is discarded.
+        """
+        spark = self.blocks.sparkSession
+        wanted = min(spark.sparkContext.defaultParallelism, -(-self.rows // BLOCK), self.rows * numbers // WORK)
+        if wanted > self.parts:
+            at = new_path(spark)
+            self.blocks.repartition(wanted).write.parquet(at)
+            self._take(spark, at)
+        return self.parts
+
     def values(self) -> DataFrame:
         """(x) of every row, from the blocks."""
 
@@ -127,7 +152,8 @@ class Table:
 
     def discard(self) -> None:
         """Delete the blocks, once all that reads them is written."""
-        remove(self.blocks.sparkSession, self.path)
+        for at in self.paths:
+            remove(self.blocks.sparkSession, at)
 
     def each(self, function: Callable[[Block], pa.RecordBatch], schema: str | StructType) -> DataFrame:
         """What function makes of every block."""
@@ -139,29 +165,8 @@ class Table:
 
         return self.blocks.mapInArrow(run, schema)
 
-    def scored(self, function: Callable[[Block], np.ndarray], at: str | None = None) -> str:
-        """A copy of the blocks at a path (or of the table's own) in which a block's scores are what function makes of it."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    scores = pa.array([np.ascontiguousarray(function(_block(batch, k)), float).tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in NAMES], scores], [*NAMES, "scores"])
-
-        spark, to = self.blocks.sparkSession, new_path(self.blocks.sparkSession)
-        self._at(at).mapInArrow(run, f"{SCHEMA}, scores binary").write.parquet(to)
-        return to
-
-    def _at(self, at: str | None) -> DataFrame:
-        return self.blocks if at is None else self.blocks.sparkSession.read.schema(f"{SCHEMA}, scores binary").parquet(at)
-
-    def drop(self, at: str | None) -> None:
-        """Delete a copy that scored has made."""
-        if at:
-            remove(self.blocks.sparkSession, at)
-
-    def summed(self, function: Callable[[Block], list[tuple[int, np.ndarray]]], at: str | None = None) -> dict[int, np.ndarray]:
-        """Sums over all blocks of what function yields as (slot, values); a slot nothing is yielded for is absent."""
+    def summed(self, function: Callable[[Block], list[tuple[int, np.ndarray]]], numbers: int = 0) -> dict[int, np.ndarray]:
+        """Sums over all blocks of what function yields as (slot, values), about so many numbers; a slot nothing is yielded for is absent."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -174,8 +179,8 @@ class Table:
                 offsets = np.r_[0, np.cumsum([len(v) for v in flat])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))], ["slot", "v"])
 
-        sums = self._at(at).mapInArrow(run, "slot int, v array<double>")
-        if self.parts > FEW:
+        sums = self.blocks.mapInArrow(run, "slot int, v array<double>")
+        if self.parts > FEW or self.parts > 1 and self.parts * numbers > FEW_NUMBERS:
             sums = sums.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("slot", vector_to_array("v").alias("v"))
         found, made = sums.toArrow(), {}
         if not found.num_rows:
@@ -204,8 +209,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block(batch: pa.RecordBatch, k: int) -> Block:
     y, x, row, fold = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("y", np.int32), ("x", float), ("row", np.int32), ("fold", np.int32)))
     pid = batch.column("pid")[k].as_py()
-    scores = np.frombuffer(batch.column("scores")[k].as_py(), float) if "scores" in batch.schema.names else None
-    return Block(pid, y.reshape(len(pid), -1), x.reshape(len(pid), -1), (row, fold), scores)
+    return Block(pid, y.reshape(len(pid), -1), x.reshape(len(pid), -1), (row, fold))
 
 
 @dataclass
@@ -251,7 +255,7 @@ def _moments(table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             made.append((int(fold[own[0]]), of(b.y[row[own]], z[row[own]])))
         return made
 
-    found = table.summed(about)
+    found = table.summed(about, (folds + 1) * (k * len(sizes) + 2 * d))
     left = np.array([found[folds] - found.get(f, 0.0) for f in range(folds)])
     counts = np.rint(left[:, : k * len(sizes)]).reshape(folds, len(sizes), k)
     n = np.maximum(1, counts[:, 0].sum(axis=1))[:, None]
@@ -275,6 +279,7 @@ def fit_logistic(table: Table, fits: Fits | None = None, c: float = 1.0, toleran
     k, d, n_fits = max((len(x) for x in table.classes), default=0), table.width, len(fits)
     if not table.rows:
         return Logistic(np.zeros((n_fits, k, d)), np.zeros((n_fits, k)), np.zeros((n_fits, k), bool))
+    table.spread(n_fits * k)
     counts, mean, scale = _moments(table)
     counts, mean, scale = counts[fits.fold, fits.label], mean[fits.fold], scale[fits.fold]
     present = counts > 0
@@ -310,7 +315,7 @@ def fit_logistic(table: Table, fits: Fits | None = None, c: float = 1.0, toleran
                 made += [(part * step + i, v) for i, v in enumerate(np.concatenate([loss[:, None], g, e.sum(axis=0)], axis=1))]
             return made
 
-        found = table.summed(gradients)
+        found = table.summed(gradients, len(who) * (1 + k * (d + 1)))
         sums = np.array([found[i] for i in range(len(who))])
         bias = sums[:, 1 + k * d :]
         g = (sums[:, 1 : 1 + k * d].reshape(-1, k, d) - bias[:, :, None] * mean[who, None, :]) / scale[who, None, :]
