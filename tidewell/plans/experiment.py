@@ -16,7 +16,7 @@ from tidewell.operators.folds import hashed_folds
 from tidewell.operators.metrics import bootstrap_ci, macro_f1, paired_summary, rep_scores, summarize_reps
 from tidewell.operators.models import ESTIMATORS, fold_predictions, stratified_predictions
 from tidewell.operators.prep import to_participant_level
-from tidewell.sources.shared import new_path
+from tidewell.sources.shared import new_path, written
 
 TASKS = ("2class", "3class")
 KINDS = ("distributional", "temporal", "combined")
@@ -73,14 +73,16 @@ def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, u
     and participants (means, most frequent class). Folds are by participant,
     so the days of one are tested together. A day's pid is user:day. Both
     tracks are fitted in the same passes; an estimator of the caller's goes by
-    its class's name.
+    its class's name. The features are written to the shared folder once, as
+    many passes read them, and so are the predictions.
     """
+    features = written(features)
     people = to_participant_level(features, tuple(columns))
     tables = {"per_day": features.withColumn("pid", F.concat_ws(":", F.col(user).cast("string"), F.col("day").cast("string"))), "per_participant": people.withColumn("pid", F.col(user).cast("string"))}
     of = hashed_folds(people.select(F.col(user).cast("string").alias("pid")), n_folds, 1).select("rep", "fold", F.col("pid").alias("_user"))
     own = _labels(label)
 
-    def predicted(aggregation: str) -> list[DataFrame]:
+    def predicted(aggregation: str) -> DataFrame:
         rows = tables[aggregation].select("pid", F.col(user).cast("string").alias("_user"), *[own[t].alias(f"_{t}") for t in TASKS], *columns).fillna(0.0, columns)
         folds = of.join(rows.select("pid", "_user"), "_user").select("rep", "fold", "pid")
         table, parts = None, []
@@ -93,10 +95,13 @@ def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, u
             else:
                 found = reduce(DataFrame.union, [fold_predictions(rows, folds, columns, f"_{t}", made).withColumn("track", F.lit(t)) for t in TASKS])
             parts.append(found.select("track", F.lit(aggregation).alias("aggregation"), F.lit(e if isinstance(e, str) else type(e).__name__).alias("estimator"), "pid", "y_true", "y_pred"))
-        return parts
+        made = written(reduce(DataFrame.union, parts))
+        if table:
+            table.discard()
+        return made
 
     with ThreadPoolExecutor(len(tables)) as pool:
-        return reduce(DataFrame.union, [df for parts in pool.map(inheritable_thread_target(features.sparkSession)(predicted), tables) for df in parts])
+        return reduce(DataFrame.union, pool.map(inheritable_thread_target(features.sparkSession)(predicted), tables))
 
 
 def grid_summary(predictions: DataFrame) -> DataFrame:
