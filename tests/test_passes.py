@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tidewell.operators import boosting, fits
+from tidewell.operators import boosting, fits, folds
+from tidewell.plans import experiment
 
 COLUMNS = ["a", "b", "c"]
 
@@ -57,3 +58,19 @@ def test_blocks_are_dealt_to_more_tasks_when_passes_are_heavy(spark, monkeypatch
     assert table.parts == 3
     assert np.allclose(alone.weights, spread.weights, atol=1e-6)
     table.discard()
+
+
+def test_an_experiment_reads_its_data_once(spark):
+    from pyspark.sql import functions as F
+
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(pid):
+        count.add(1)
+        return True
+
+    data = rows(spark, 150)
+    raw, _, _ = experiment.run_experiment(data.where(counted("pid")), folds.hashed_folds(data, 3, 1), ["a", "b"], ["c"])
+    assert raw.count() == 24
+    assert count.value == 150

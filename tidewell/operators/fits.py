@@ -294,25 +294,36 @@ def fit_logistic(table: Table, fits: Fits | None = None, c: float = 1.0, toleran
         w = points[:, :, :d] / scale[who, None, :]
         b = points[:, :, d] - (w * mean[who, None, :]).sum(axis=2)
         step = max(1, AT_ONCE // (BLOCK * k))
-        own = [(w[a : a + step].reshape(-1, d), b[a : a + step], weight[who[a : a + step]], present[who[a : a + step]], fits.label[who[a : a + step]], fits.fold[who[a : a + step]]) for a in range(0, len(who), step)]
+        own = []
+        for a in range(0, len(who), step):
+            mine = who[a : a + step]
+            there = np.where(present[mine], b[a : a + step], -np.inf)
+            own.append((np.ascontiguousarray(w[a : a + step].transpose(1, 2, 0)), np.ascontiguousarray(there.T)[:, None, :], np.ascontiguousarray(weight[mine].T), fits.label[mine], fits.fold[mine]))
 
         def gradients(block: Block):
-            made, rows = [], np.arange(len(block.y))[:, None]
-            for part, (w, b, weights, there, label, fold) in enumerate(own):
-                which, y = np.arange(len(label)), block.y[:, label]
-                s = (block.x @ w.T).reshape(len(rows), len(label), k) + b
-                s = np.where(there, s, -np.inf)
-                s -= s.max(axis=2, keepdims=True)
-                e = np.exp(s)
-                total = e.sum(axis=2)
-                row_weight = weights[which, y] * block.trains(fold)
+            """Losses and gradients of a part of the fits at a time, by (class, row, fit), so that classes are far apart and fits together."""
+            made, rows = [], len(block.y)
+            for part, (w, b, weights, label, fold) in enumerate(own):
+                s = np.matmul(block.x, w)
+                s += b
+                s -= s.max(axis=0)
+                row_weight, hit, target = np.empty((rows, len(label))), np.empty(s.shape, bool), s[0].copy()
+                for one in np.unique(label):
+                    which, y = np.flatnonzero(label == one), block.y[:, one]
+                    row_weight[:, which] = weights[:, which][y]
+                    hit[:, :, which] = (y == np.arange(k)[:, None])[:, :, None]
+                row_weight *= block.trains(fold)
+                for c in range(1, k):
+                    np.copyto(target, s[c], where=hit[c])
+                e = np.exp(s, out=s)
+                total = e.sum(axis=0)
                 with np.errstate(invalid="ignore"):
-                    loss = np.where(row_weight > 0, row_weight * (np.log(total) - s[rows, which, y]), 0.0).sum(axis=0)
-                e /= total[..., None]
-                e[rows, which, y] -= 1.0
-                e *= row_weight[..., None]
-                g = (e.reshape(len(rows), -1).T @ block.x).reshape(len(label), -1)
-                made += [(part * step + i, v) for i, v in enumerate(np.concatenate([loss[:, None], g, e.sum(axis=0)], axis=1))]
+                    loss = np.where(row_weight > 0, row_weight * (np.log(total) - target), 0.0).sum(axis=0)
+                e /= total
+                e -= hit
+                e *= row_weight
+                g = np.matmul(e.transpose(0, 2, 1), block.x).transpose(1, 0, 2).reshape(len(label), -1)
+                made += [(part * step + i, v) for i, v in enumerate(np.concatenate([loss[:, None], g, e.sum(axis=1).T], axis=1))]
             return made
 
         found = table.summed(gradients, len(who) * (1 + k * (d + 1)))

@@ -42,11 +42,11 @@ def run_experiment(data: DataFrame, folds: DataFrame, distributional: list[str],
     data: pid, label, feature columns without nulls. The conditions are two
     tasks by three sets of columns, all of which ``estimator`` (balanced
     logistic regression) fits in the same passes, and for each task labels
-    drawn at random. Raw scores are written to the shared folder once, and the
-    tables are made from them.
+    drawn at random. Data and folds, which many passes read, and raw scores, of
+    which the tables are made, are written to the shared folder once.
     """
     columns, own = [*distributional, *temporal], _labels(label)
-    rows = data.select("pid", *columns, *[own[t].alias(f"_{t}") for t in TASKS])
+    rows, folds = written(data.select("pid", *columns, *[own[t].alias(f"_{t}") for t in TASKS])), written(folds.select("rep", "fold", "pid"))
     sets = {"distributional": list(range(len(distributional))), "temporal": list(range(len(distributional), len(columns))), "combined": None}
     table = Table(rows, columns, [f"_{t}" for t in TASKS], folds)
     fits = table.fits([(t, sets[kind]) for t in range(len(TASKS)) for kind in KINDS])

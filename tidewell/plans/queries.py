@@ -18,7 +18,7 @@ from tidewell.plans import experiment
 from tidewell.plans.features import extract_features
 from tidewell.plans.kept import KeptFeatures
 from tidewell.sources import adapters, files
-from tidewell.sources.shared import new_path
+from tidewell.sources.shared import new_path, written
 
 GAIN = 4.0
 PLACES = 6
@@ -126,7 +126,7 @@ def _kept_features(spark, sf) -> DataFrame:
 
 def experiment_scores(spark, sf, part=1) -> DataFrame:
     """Raw scores, summary or pairs of all eight conditions over 20 repetitions of 5 folds."""
-    data = study(spark, sf)
+    data = written(study(spark, sf))
     return experiment.run_experiment(data, folds.hashed_folds(data), list(prep.DISTRIBUTIONAL), ["variability", "stability"])[part]
 
 
