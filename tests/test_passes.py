@@ -74,3 +74,12 @@ def test_an_experiment_reads_its_data_once(spark):
     raw, _, _ = experiment.run_experiment(data.where(counted("pid")), folds.hashed_folds(data, 3, 1), ["a", "b"], ["c"])
     assert raw.count() == 24
     assert count.value == 150
+
+
+def test_ties_of_the_matrix_do_not_hang_on_the_order_of_addition(spark, monkeypatch):
+    from tidewell.plans import queries
+
+    tie = 58.0768125
+    made = spark.createDataFrame([(k, "control", tie + k * 1e-14, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0) for k in range(-3, 4)], "user long, class string, mean double, sd double, pctZeros double, median double, q75 double, variability double, stability double")
+    monkeypatch.setattr(queries, "study", lambda spark, sf: made)
+    assert {r["features"][0] for r in queries._matrix(spark, "").collect()} == {58.076813}

@@ -23,6 +23,9 @@ from tidewell.sources.shared import new_path, written
 GAIN = 4.0
 PLACES = 6
 
+#: Places beyond which digits are the order of addition; means of cents tie at the seventh, and are rounded up from there.
+NOISE = 10
+
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -261,7 +264,7 @@ def _matrix(spark, sf):
 
     data = study(spark, sf)
     made = models.combined_matrix(data.select("user", "class", *prep.DISTRIBUTIONAL), data.select("user", "variability", "stability"), [*prep.DISTRIBUTIONAL, "variability", "stability"])
-    return made.select("user", "class", F.transform(vector_to_array("features"), lambda x: F.round(x, PLACES) + F.lit(0.0)).alias("features"))
+    return made.select("user", "class", F.transform(vector_to_array("features"), lambda x: F.round(F.round(x, NOISE), PLACES) + F.lit(0.0)).alias("features"))
 
 
 def _pca(spark, sf):
