@@ -26,8 +26,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest doc_id.
+    """One document of each group of near-duplicates: that of the smallest doc_id.
 
+    Linked are fingerprints two bits apart at most, by op 1's method, and sets
+    of five-word shingles of similarity 0.8.
     Null and empty texts are one group. Of rows that share a doc_id the
     smallest as JSON stays; rows without a doc_id all stay.
     """

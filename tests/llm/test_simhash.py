@@ -159,3 +159,32 @@ def test_similar_documents_are_those_of_brute_force_jaccard(spark):
     assert not [k for k in wrong if root[got[k]] != root[k]]  # none that isn't similar is joined
     assert not [k for k in wrong if len(sets[k]) <= 32]  # short texts lose none
     assert len(wrong) <= 0.01 * len(texts)
+
+
+def test_one_stays_of_texts_linked_by_fingerprint_or_by_set(spark, corpus):
+    rng = random.Random(5)
+
+    def fresh(n):
+        return ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+
+    texts = [t for _, t, *_ in corpus]
+    for k in range(8):
+        body, tail = fresh(31), fresh(12)
+        repeated = [w for _ in range(7) for w in body]
+        texts.append(" ".join(repeated + fresh(12)))
+        texts.append(" ".join(repeated + tail))  # near in the fingerprint, which counts repeats, but not as a set
+        texts.append(" ".join(body + body + tail))  # the same set as the one before, another fingerprint
+        texts.append(" ".join(body))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    prints = [plain_fingerprint(t) for t in texts]
+    by_print = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 2
+    by_set = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    planted = range(len(corpus), len(texts), 4)
+    assert sum(by_print(k, k + 1) and prints[k] != prints[k + 1] and not by_set(k, k + 1) for k in planted) >= 4
+    assert all(by_set(k + 1, k + 2) and not by_set(k, k + 2) for k in planted) and not all(by_print(k, k + 2) for k in planted)
+    root = groups(len(texts), lambda i, j: by_print(i, j) or by_set(i, j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.without_similar(df).collect()) == sorted(set(root))

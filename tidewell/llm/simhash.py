@@ -215,6 +215,12 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return near.union(blanked.join(hubs, ["mask", "blank"]).where("simhash <> b").select(F.col("simhash").alias("a"), "b").distinct())
 
 
+def linked_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """prints (simhash, distinct, written) with component, the smallest fingerprint of those connected by links within ``distance`` bits."""
+    found = components(links(prints.select("simhash"), distance)).select(F.col("node").alias("simhash"), "component")
+    return prints.join(found, "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """(key, simhash, component_id) for each row of docs; other columns are not read.
 
@@ -227,8 +233,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     prints = materialise(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), text="text", width=width).select("key", "simhash"))
     nodes = materialise(prints.groupBy("simhash").agg(F.min("key").alias("low")))
-    found = components(links(nodes.select("simhash"), distance))
-    named = nodes.join(found, nodes.simhash == found.node, "left").select("simhash", "low", F.coalesce("component", "simhash").alias("component"))
+    named = linked_fingerprints(nodes, distance)
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(lows, "component").select("simhash", "component_id")
     return prints.join(of, "simhash").select(F.col("key").alias(key), "simhash", "component_id")
@@ -428,9 +433,22 @@ def _stars(node: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray,
     return names[linked[away]], names[hubs[away]]
 
 
-def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _tied(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect the nodes of prints (node, simhash) whose fingerprints are connected within ``distance`` bits."""
+    of = linked_fingerprints(materialise(prints.select("simhash").distinct()), distance)
+    tied = materialise(prints.select("node", "simhash").distinct().join(of, "simhash").select("node", "component").distinct())
+    hubs = tied.groupBy("component").agg(F.min("node").alias("b"))
+    return tied.join(hubs, "component").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text", distance: int | None = None) -> DataFrame:
     """(key, component_id) for each row of docs: connected groups of similar texts, named by their smallest key.
 
+    With ``distance`` texts are linked as well whose fingerprints, those of
+    near_duplicates, differ in at most so many bits, by the same tables of
+    distances to references: the groups of near_duplicates are then parts of
+    these.
+
     Equal sets of shingles are one node. Nodes meet in tables keyed by sampled
     bits, short sets in keys of their smallest hashes; those within the limit
     over 128 bits are candidates. Within a connected group of candidates the
@@ -447,10 +465,13 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
         node = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
         longest = spec.short / spec.similarity  # of the sets that are similar to a short one
         least = [x[: spec.prefix(len(x)) if len(x) <= longest else 0] for x in sets]
-        return [pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x.astype("<u8").tobytes() for x in part], pa.binary()) for part in (lanes, least))]
+        made = [pa.array(node.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x.astype("<u8").tobytes() for x in part], pa.binary()) for part in (lanes, least))]
+        return made if distance is None else [*made, pa.array([_signed(fingerprint(t)) for t in strings(column)], pa.int64())]
 
-    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], "node long, size int, lanes binary, least binary", wide)
-    prints = materialise(prints.select("key", "node", "size", "lanes", "least", "text"))
+    fingerprints = [] if distance is None else ["simhash"]
+    added = ", ".join(["node long, size int, lanes binary, least binary", *[f"{c} long" for c in fingerprints]])
+    prints = append_columns(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], added, wide)
+    prints = materialise(prints.select("key", "node", "size", "lanes", "least", *fingerprints, "text"))
     nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("low"), *[F.min(c).alias(c) for c in ("size", "lanes", "least")]))
     tables = spec.tables(nodes.count())
 
@@ -489,20 +510,22 @@ def similar_documents(docs: DataFrame, spec: Similar | None = None, *, key: str
     grouped = materialise(by_whole_text(texts.join(groups, "node").select("key", "node", "lanes", "text")))
     weight = F.greatest(F.lit(1.0), F.length("text") / 2048)
     links = _dealt(grouped, ["node", "lanes", "text"], weight).repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(verify), "a long, b long")
-    found = components(links)
+    found = components(links if distance is None else links.union(_tied(prints, distance)))
     named = nodes.select("node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(lows, "component").select("node", "component_id")
     return prints.join(of, "node").select(F.col("key").alias(key), "component_id")
 
 
-def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of similar texts: the one of the smallest key.
+def without_similar(docs: DataFrame, spec: Similar | None = None, *, key: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of the smallest key.
 
-    Rows that share that key are told apart by all their columns as JSON, and
+    Texts are linked by their fingerprints, as in near_duplicates, and by the
+    similarity of their sets of shingles; a group is connected by links of
+    either kind. Rows that share that key are told apart by all their columns as JSON, and
     the smallest stays. Rows with a null key can't be named and all stay.
     """
-    of = materialise(similar_documents(docs, spec, key=key, text=text))
+    of = materialise(similar_documents(docs, spec, key=key, text=text, distance=distance))
     kept = of.where(F.col(key) == F.col("component_id")).groupBy(key).count()
     again = materialise(kept.where("count > 1").select(key))
     # a merge join whatever the size, so that the plan is the same at every scale
