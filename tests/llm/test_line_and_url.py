@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,16 @@ def test_copies_of_a_document_keep_their_text(spark, docs):
     assert {r["doc_id"]: r["text"] for r in found} == {k: t for k, t, *_ in rows}
 
 
+def test_pages_of_small_hosts_keep_their_own_lines(spark, tmp_path):
+    rows = [(k, f"http://h{k // 3}.org/{k}", f"<p>Menu</p><p>own {k}</p>") for k in range(7)]  # the last host has one page
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"].replace(" ", "")) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {k: (2, 1, f"own{k}") if k < 6 else (2, 0, f"Menu\nown{k}") for k in range(7)}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[3] for r in con.execute(line_dedup.ORACLE_SQL).fetchall()} == {k: v[1] for k, v in found.items()}
+
+
 def test_visible_lines(spark):
     html = "<html><!-- no --><script>x()</script><body><p>One &amp; <b>two</b></p><div>Three<br>four</div></body></html>"
     df = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(line_dedup.html_lines(F.col("html")).alias("x"))
