@@ -41,6 +41,17 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
     assert sorted(str([plain(r[c]) for c in columns]) for r in found.collect()) == expected
 
 
+def test_tied_means_of_the_matrix_are_rounded_as_by_its_sql(spark):
+    """Ten means of sf0.1 tie at the seventh place. DuckDB adds them up in one order on one thread only."""
+    tables = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'; set threads=1")
+    con.execute(f"create view events as select * from '{tables}/events.parquet'")
+    want = {user: features for user, _, features in con.execute(SQL["m20_combined_matrix"]).fetchall()}
+    found = {r["user"]: [float(f"{x:.9g}") for x in r["features"]] for r in QUERIES["m20_combined_matrix"](spark, tables).collect()}
+    assert len(found) == 900 and found == {user: [float(f"{x:.9g}") for x in v] for user, v in want.items()}
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
