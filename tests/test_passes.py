@@ -49,6 +49,32 @@ def test_only_cuts_of_nodes_come_to_the_driver(spark, monkeypatch):
     assert np.isfinite(made.cuts).any()
 
 
+@pytest.mark.parametrize("few", [8, 0])
+def test_trees_are_the_same_wherever_sums_are_added(spark, monkeypatch, few):
+    table = fits.Table(rows(spark, 900, 3), COLUMNS, "class")
+    cuts = boosting.column_cuts(table, 8)
+    alone = boosting.fit_boosted(table, cuts, rounds=5, depth=3, rate=0.3, kept_rounds=2)
+    monkeypatch.setattr(boosting, "WORK", 1)
+    monkeypatch.setattr(fits, "FEW", few)
+    spread = boosting.fit_boosted(table, cuts, rounds=5, depth=3, rate=0.3, kept_rounds=2)
+    assert np.isfinite(alone.cuts).any()
+    for name in ("columns", "cuts", "cover"):
+        assert np.array_equal(getattr(alone, name), getattr(spread, name))
+    assert np.allclose(alone.values, spread.values, atol=1e-12)
+
+
+def test_a_level_of_few_tasks_is_one_stage(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "WORK", 1, raising=False)
+    table = fits.Table(rows(spark, 900, 3), COLUMNS, "class")
+    cuts = boosting.column_cuts(table, 8)
+    spark.sparkContext.setJobGroup("levels", "levels")
+    boosting.fit_boosted(table, cuts, rounds=4, depth=3)
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("levels")]
+    assert 12 <= sum(stages) <= 12 + 2  # beside the levels: the classes that there are, and the bins
+
+
 def test_blocks_are_dealt_to_more_tasks_when_passes_are_heavy(spark, monkeypatch):
     table = fits.Table(rows(spark, 5000), COLUMNS, "class")
     assert table.parts == 1

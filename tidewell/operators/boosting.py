@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidewell.operators.fits import Block, Fits, Table, trained
+from tidewell.operators.fits import AT_ONCE, BLOCK, WORK, Block, Fits, Table, few, trained
 from tidewell.sources.shared import new_path, remove
 
 #: Gains so near to each other are equal, in whatever order rows were added.
@@ -29,13 +30,14 @@ TIE = 1e-9
 #: Size of a closure of trees that attributions send to the tasks.
 TREES_MB = 256
 
-#: A level of so many nodes is compared whole, a wider one at each row's own node.
+#: The bits of every byte as eight bytes.
+EIGHT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+#: A level of up to so many nodes is compared whole, a wider one at each row's own node.
 WHOLE = 16
 
 CODED = "y binary, bin binary, crc binary, row binary, fold binary"
-NODES = "node int, v array<double>"
-CHOSEN = ("left_g", "left_h", "left_n", "right_g", "right_h", "right_n")
-CUTS = f"node int, own int, bin int, gain double, {', '.join(f'{c} double' for c in CHOSEN)}"
+CHOSEN = ("node", "own", "bin", "gain", "left_g", "left_h", "left_n", "right_g", "right_h", "right_n")
 
 
 @dataclass
@@ -171,39 +173,71 @@ def fit_boosted(table: Table, cuts: list[np.ndarray], fits: Fits | None = None,
     return made
 
 
-def descend(columns: np.ndarray, bins: np.ndarray, at: np.ndarray, levels: int) -> np.ndarray:
-    """Trees by rows: the node of a level that each row comes to, from trees' (tree, inner node) columns and bins and rows' (column, row) bins."""
-    node, passed = np.zeros((len(columns), at.shape[1]), np.uint8 if levels <= 8 else np.int32), []
-    for level in range(levels):
-        width = 1 << level
-        inner = slice(width - 1, 2 * width - 1)
-        if width <= WHOLE:
-            right = [at[columns[:, i]] > bins[:, i, None] for i in range(inner.start, inner.stop)]
-            for way in passed:
-                half = len(right) // 2
-                # what np.where would choose, many times faster on truth values
-                right = [right[i] ^ (way & (right[i] ^ right[half + i])) for i in range(half)]
-            right = right[0]
-            passed.append(right)
-        else:
-            right = at[np.take_along_axis(columns[:, inner], node.astype(np.int64), 1), np.arange(at.shape[1])] > np.take_along_axis(bins[:, inner], node.astype(np.int64), 1)
+def asked(columns: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (column, bin) of inner nodes, and the place of each node's among them."""
+    code, place = np.unique(columns.astype(np.int64) << 32 | bins, return_inverse=True)
+    return np.stack([code >> 32, code & 0xFFFFFFFF], axis=1), place.reshape(columns.shape)
+
+
+def answers(pairs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pairs by rows, eight rows a byte: whether a row's bin of the column is over the pair's."""
+    made = np.empty((len(pairs), -(-at.shape[1] // 8)), np.uint8)
+    for k, (column, cut) in enumerate(pairs.tolist()):
+        made[k] = np.packbits(at[column] > cut)
+    return made
+
+
+def descend(columns: np.ndarray, bins: np.ndarray, at: np.ndarray, levels: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Trees by rows: the node of a level that each row comes to, from trees' (tree, inner node) columns and bins and rows' (column, row) bins.
+
+    known are answers of the rows and the nodes' places among them, where the caller has them.
+    """
+    narrow, n = min(levels, WHOLE.bit_length()), at.shape[1]
+    first = slice(0, (1 << narrow) - 1)
+    if known is None:
+        pairs, place = asked(columns[:, first], bins[:, first])
+        known = answers(pairs, at), place
+    answer, place = known
+    passed: list[np.ndarray] = []
+    node = np.zeros((len(columns), answer.shape[1]), np.uint64)
+    for level in range(narrow):
+        right = [answer[place[:, i]] for i in range((1 << level) - 1, (2 << level) - 1)]
+        for way in passed:
+            half = len(right) // 2
+            # what np.where would choose, many times faster on bits
+            right = [right[i] ^ (way & (right[i] ^ right[half + i])) for i in range(half)]
+        passed.append(right[0])
+        node = node << np.uint64(1) | EIGHT.take(right[0])
+    node = node.view(np.uint8)[:, :n]
+    if narrow < levels:
+        node = node.astype(np.int64)
+    for level in range(narrow, levels):
+        inner = slice((1 << level) - 1, (2 << level) - 1)
+        right = at[np.take_along_axis(columns[:, inner], node, 1), np.arange(n)] > np.take_along_axis(bins[:, inner], node, 1)
         node = node << 1 | right
     return node
 
 
-@dataclass
-class _Part:
-    """Rows of a block: label codes, bins (column, row), CRCs of ids, (row, fold) of the folds that rows are tested in, scores (tree, row)."""
+#: Rows of one or more blocks: label codes, bins (column, row), CRCs of ids, (row, fold) of the folds that rows are tested in, scores (tree, row) or None.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray | None]
 
-    y: np.ndarray
-    bins: np.ndarray
-    crc: np.ndarray
-    tested: tuple[np.ndarray, np.ndarray]
-    scores: np.ndarray | None
+
+def merged(parts: list[Part]) -> Part:
+    """Parts as one."""
+    if len(parts) == 1:
+        return parts[0]
+    y, at, crc, tested, scores = zip(*parts, strict=True)
+    starts = np.cumsum([0, *[len(c) for c in crc[:-1]]])
+    rows = np.concatenate([row + start for (row, _), start in zip(tested, starts, strict=True)]).astype(np.int32)
+    return np.concatenate(y), np.concatenate(at, axis=1), np.concatenate(crc), (rows, np.concatenate([fold for _, fold in tested])), None if scores[0] is None else np.concatenate(scores, axis=1)
 
 
 class _Rows:
-    """The table's rows as bins, with the scores that they had after so many rounds."""
+    """The table's rows as bins, with the scores that they had after so many rounds.
+
+    They are written every few rounds; between, their parts are cached, in as
+    many tasks as a pass is worth, and a pass applies the trees grown since.
+    """
 
     def __init__(self, table: Table, fits: Fits, model: Boosted, cuts: list[np.ndarray]):
         self.spark, self.fits, self.model = table.blocks.sparkSession, fits, model
@@ -212,6 +246,11 @@ class _Rows:
         #: cuts of the inner nodes by number; the greatest number where a node isn't cut
         self.bins = np.full(model.cuts.shape, np.iinfo(self.kind).max, self.kind)
         self.written, self.grown, self.path, self.scored = 0, 0, None, False
+        self.base = self.sums = None
+        #: tasks of a pass
+        self.tasks = max(1, -(-table.rows * model.present.size * table.width // WORK))
+        #: rows of a part
+        self.most = max(BLOCK, AT_ONCE // max(1, model.present.size, 8 * table.width))
         kind = self.kind
 
         def coded(block: Block) -> pa.RecordBatch:
@@ -224,45 +263,72 @@ class _Rows:
     def _write(self, made: DataFrame, schema: str) -> None:
         old, self.path = self.path, new_path(self.spark)
         made.write.parquet(self.path)
+        self._forget()
         self.blocks = self.spark.read.schema(schema).parquet(self.path)
-        self.parts = self.blocks.rdd.getNumPartitions()
+        part, most, rows = self._part(schema != CODED), self.most, self.blocks.rdd
+        rows = rows.coalesce(min(self.tasks, rows.getNumPartitions()))
+
+        def parts(rows: Iterator[Row]) -> Iterator[Part]:
+            found, n = [], 0
+            for row in rows:
+                found.append(part(row))
+                n += len(found[-1][2])
+                if n >= most:
+                    yield merged(found)
+                    found, n = [], 0
+            if found:
+                yield merged(found)
+
+        self.parts, self.base = rows.getNumPartitions(), rows.mapPartitions(parts).persist(StorageLevel.MEMORY_AND_DISK)
         if old:
             remove(self.spark, old)
 
+    def _forget(self) -> None:
+        if self.base:
+            self.base.unpersist()
+
     def discard(self) -> None:
+        self._forget()
         remove(self.spark, self.path)
 
-    def _parts(self):
-        """A function from batches to their blocks, and one from a block to the scores after the rounds grown so far."""
-        m, recent, kind, scored = self.model, slice(self.written, self.grown), self.kind, self.scored
-        n_trees = m.present.size
+    def _part(self, scored: bool) -> Callable[[Mapping], Part]:
+        """A function from a row of the blocks to its part."""
+        kind, n_trees = self.kind, self.model.present.size
+
+        def part(row: Mapping) -> Part:
+            y, at, crc, tested, fold = (np.frombuffer(row[c], t) for c, t in (("y", np.int32), ("bin", kind), ("crc", np.uint32), ("row", np.int32), ("fold", np.int32)))
+            scores = np.frombuffer(row["scores"], float).reshape(n_trees, -1) if scored else None
+            return y.reshape(len(crc), -1), at.reshape(-1, len(crc)), crc, (tested, fold), scores
+
+        return part
+
+    def _scores(self) -> Callable[[Part], np.ndarray]:
+        """A function from a part to its scores after the rounds grown so far."""
+        m, recent = self.model, slice(self.written, self.grown)
+        live, n_trees, depth = np.flatnonzero(m.present.ravel()).tolist(), m.present.size, m.depth
         # a round's trees by (fit, class)
         columns, bins, values = (np.moveaxis(v[:, recent], 1, 0).reshape(-1, n_trees, v.shape[3]) for v in (m.columns, self.bins, m.values))
-        depth = m.depth
-
-        def parts(batch: pa.RecordBatch) -> Iterator[_Part]:
-            for k in range(batch.num_rows):
-                y, at, crc, row, fold = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("y", np.int32), ("bin", kind), ("crc", np.uint32), ("row", np.int32), ("fold", np.int32)))
-                scores = np.frombuffer(batch.column("scores")[k].as_py(), float).reshape(n_trees, -1) if scored else None
-                yield _Part(y.reshape(len(crc), -1), at.reshape(-1, len(crc)), crc, (row, fold), scores)
+        pairs, place = asked(columns, bins)
 
-        def scores(part: _Part) -> np.ndarray:
-            made = np.zeros((n_trees, len(part.crc)))
-            for of, at, v in zip(columns, bins, values, strict=True):
-                made += np.take(v.ravel(), descend(of, at, part.bins, depth) + (np.arange(n_trees) * v.shape[1])[:, None])
-            return made if part.scores is None else part.scores + made
+        def scores(part: Part) -> np.ndarray:
+            made = np.zeros((n_trees, len(part[2]))) if part[4] is None else part[4].copy()
+            answer = answers(pairs, part[1])
+            for t in live:
+                for v, leaf in zip(values[:, t], descend(columns[:, t], bins[:, t], part[1], depth, (answer, place[:, t])), strict=True):
+                    made[t] += v.take(leaf)
+            return made
 
-        return parts, scores
+        return scores
 
     def write(self) -> None:
         """Write the rows anew with their scores after the rounds grown so far."""
-        parts, scores = self._parts()
+        part, scores = self._part(self.scored), self._scores()
         names = [c.split()[0] for c in CODED.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k, part in enumerate(parts(batch)):
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in names], pa.array([scores(part).tobytes()], pa.binary())], [*names, "scores"])
+                for k, row in enumerate(batch.to_pylist()):
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in names], pa.array([scores(part(row)).tobytes()], pa.binary())], [*names, "scores"])
 
         schema = f"{CODED}, scores binary"
         self._write(self.blocks.mapInArrow(run, schema), schema)
@@ -271,74 +337,97 @@ class _Rows:
     def best(self, round_: int, level: int, columns: np.ndarray, bins: int, share: float, seed: int, ridge: float) -> list[dict]:
         """The best cut of every node of a level of the round's trees that rows come to, and the sums of its two sides.
 
-        A node's sums are added where they meet, in one task for each node, and its cut is chosen there.
+        The sums of few tasks and numbers are added here, where those of the
+        level before give the larger child's: only the smaller child's rows are
+        summed. Otherwise a node's sums are added where they meet, in one task
+        for some of the trees, and its cut is chosen there.
         """
         fits, (n_fits, k), width = self.fits, self.model.present.shape, 1 << level
         present = self.model.present
+        live = np.flatnonzero(present.ravel())
         own_columns, own_bins = (v[:, round_].reshape(n_fits * k, -1)[:, : width - 1] for v in (self.model.columns, self.bins))
         size = len(columns) * bins
-        parts, scores = self._parts()
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-            """By tree: gradients, second derivatives and rows by (node, column, bin)."""
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part in parts(batch):
-                    rows = drawn_crc(part.crc, round_, share, seed)[:, None] & trained(len(part.crc), part.tested, fits.fold)
-                    slots = part.bins[columns] + np.arange(0, size, bins)[:, None]
-                    nodes = descend(own_columns, own_bins, part.bins, level)
-                    s = scores(part).reshape(n_fits, k, -1)
-                    for f in range(n_fits):
-                        own = np.flatnonzero(rows[:, f])
-                        if not len(own):
-                            continue
-                        p = np.where(present[f][:, None], s[f][:, own], -np.inf)
-                        p = np.exp(p - p.max(axis=0))
-                        p /= p.sum(axis=0)
-                        y, slot = part.y[own, fits.label[f]], slots[:, own]
-                        for c in np.flatnonzero(present[f]).tolist():
-                            g, h = p[c] - (y == c), np.maximum(p[c] * (1 - p[c]), 1e-9)
-                            at = (nodes[f * k + c, own].astype(np.int64) * size + slot).ravel()
-                            made = np.stack([*[np.bincount(at, np.broadcast_to(v, slot.shape).ravel(), width * size) for v in (g, h)], np.bincount(at, minlength=width * size)])
-                            total[f * k + c] = total[f * k + c] + made if f * k + c in total else made
+        scored, (pairs, asks) = self._scores(), asked(own_columns, own_bins)
+        here = self.parts > 1 and (level == 0 or self.sums is not None) and few(self.parts, len(live) * max(1, width // 2) * 3 * size)
+        #: by tree and parent: the side with fewer rows
+        small = self.small if here and level else None
+        places = width if small is None else width // 2
+
+        def sums(parts: Iterator[Part]) -> np.ndarray:
+            """(tree, node or parent, gradient and second derivative and rows, column and bin) of the live trees."""
+            total = np.zeros((len(live), places, 3, size))
+            for part in parts:
+                y, at, crc, tested, _ = part
+                scores = scored(part)
+                rows = drawn_crc(crc, round_, share, seed)[:, None] & trained(len(crc), tested, fits.fold)
+                slots, answer = at[columns] + np.arange(0, size, bins)[:, None], answers(pairs, at)
+                for f in range(n_fits):
+                    own = np.flatnonzero(rows[:, f])
+                    there = np.flatnonzero(present[f])
+                    if not len(own):
+                        continue
+                    p = scores[f * k + there].take(own, axis=1)
+                    p = np.exp(p - p.max(axis=0))
+                    p /= p.sum(axis=0)
+                    label, slot = y[own, fits.label[f]], slots.take(own, axis=1)
+                    for c, q in zip(there.tolist(), p, strict=True):
+                        t, where, place = f * k + c, slot, 0
+                        g, h = q - (label == c), np.maximum(q * (1 - q), 1e-9)
+                        if level:
+                            place = descend(own_columns[t : t + 1], own_bins[t : t + 1], at, level, (answer, asks[t : t + 1]))[0].take(own)
+                            if small is not None:
+                                mine = np.flatnonzero(small[np.searchsorted(live, t)].take(place >> 1) == (place & 1))
+                                g, h, where, place = g.take(mine), h.take(mine), slot.take(mine, axis=1), place.take(mine) >> 1
+                            where = where + place.astype(np.int64) * size
+                        where = where.ravel()
+                        made = [np.bincount(where, v, places * size) for v in (*(np.tile(v, len(columns)) for v in (g, h)),)] + [np.bincount(where, minlength=places * size)]
+                        total[np.searchsorted(live, t)] += np.stack(made).reshape(3, places, size).transpose(1, 0, 2)
             return total
 
-        def by_node(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-            """Numbers and sums of the nodes that have rows."""
-            found = sums(batches)
-            nodes = (np.array([*found], np.int32)[:, None] * width + np.arange(width, dtype=np.int32)).ravel()
-            v = np.array([*found.values()]).reshape(len(found), 3, width, size).transpose(0, 2, 1, 3).reshape(-1, 3 * size)
-            held = v[:, 2 * size :].any(axis=1)
-            return nodes[held], v[held]
-
-        def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes, v = by_node(batches)
-            for k in range(0, len(nodes), 256):
-                own = v[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 256]), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * 3 * size), pa.array(own.ravel()))], ["node", "v"])
-
-        def chosen(nodes: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(nodes), 256):
-                every = np.ascontiguousarray(v[k : k + 256].reshape(-1, 3, len(columns), bins).transpose(1, 0, 2, 3))
+        def chosen(trees: np.ndarray, total: np.ndarray) -> list[dict]:
+            """The cuts of the nodes that have rows."""
+            nodes = (trees[:, None] * width + np.arange(width)).ravel()
+            v = total.reshape(-1, 3, len(columns), bins)
+            held = v[:, 2].any(axis=(1, 2))
+            nodes, v, found = nodes[held], v[held], []
+            for a in range(0, len(nodes), 256):
+                every = np.ascontiguousarray(v[a : a + 256].transpose(1, 0, 2, 3))
                 column, at, gain = best_cuts(*every, ridge)
                 own = every[:, np.arange(len(column)), column]
                 left = np.arange(bins) <= np.where(gain > 1e-12, at, bins)[:, None]
                 sides = [np.where(side, x, 0.0).sum(axis=1) for side in (left, ~left) for x in own]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in (nodes[k : k + 256], column, at)), *(pa.array(x, pa.float64()) for x in (gain, *sides))], ["node", "own", "bin", "gain", *CHOSEN])
-
-        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from chosen(*by_node(batches))
-
-        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found += [dict(zip(CHOSEN, row, strict=True)) for row in zip(*(x.tolist() for x in (nodes[a : a + 256], column, at, gain, *sides)), strict=True)]
+            return found
+
+        if here:
+            total = sum(self.base.mapPartitions(lambda parts: [sums(parts)]).collect())
+            if small is not None:
+                both = np.empty((len(live), width // 2, 2, *total.shape[2:]))
+                of = np.arange(len(live))[:, None], np.arange(width // 2)
+                both[*of, small], both[*of, 1 - small] = total, self.sums - total
+                total = both.reshape(len(live), width, *total.shape[2:])
+            found = chosen(live, total)
+            self.sums, self.small = total, np.ones((len(live), width), np.int64)
+            for n in found:
+                self.small[np.searchsorted(live, n["node"] // width), n["node"] % width] = n["right_n"] <= n["left_n"]
+            return found
+        self.sums = None
+        if self.parts == 1:
+            return self.base.mapPartitions(lambda parts: chosen(live, sums(parts))).collect()
+        groups = np.array_split(np.arange(len(live)), min(self.parts, len(live)))
+
+        def dealt(parts: Iterator[Part]) -> Iterator[tuple[int, np.ndarray]]:
+            total = sums(parts)
+            return ((j, total[own]) for j, own in enumerate(groups))
+
+        def met(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[dict]:
             found: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for node, v in zip(batch.column("node").to_pylist(), batch.column("v"), strict=True):
-                    v = v.values.to_numpy()
-                    found[node] = found[node] + v if node in found else v.copy()
-            yield from chosen(np.array([*found], np.int32), np.array([*found.values()]).reshape(-1, 3 * size))
+            for j, v in pairs:
+                found[j] = found[j] + v if j in found else v
+            for j, v in found.items():
+                yield from chosen(live[groups[j]], v)
 
-        made = self.blocks.mapInArrow(alone, CUTS) if self.parts == 1 else self.blocks.mapInArrow(emitted, NODES).repartition("node").mapInArrow(met, CUTS)
-        return made.toArrow().to_pylist()
+        return self.base.mapPartitions(dealt).partitionBy(len(groups), int).mapPartitions(met).collect()
 
 
 # ---- attributions

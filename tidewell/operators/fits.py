@@ -41,6 +41,11 @@ NAMES = ("pid", "y", "x", "row", "fold")
 SCHEMA = "pid array<string>, y binary, x binary, row binary, fold binary"
 
 
+def few(parts: int, numbers: int) -> bool:
+    """Whether the driver may add up the sums of so many tasks, each of so many numbers."""
+    return parts == 1 or parts <= FEW and parts * numbers <= FEW_NUMBERS
+
+
 @dataclass
 class Block:
     """Rows of the table: ids, codes of every label, values, and (row, fold) of the folds that rows are tested in."""
@@ -180,7 +185,7 @@ class Table:
                 yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))], ["slot", "v"])
 
         sums = self.blocks.mapInArrow(run, "slot int, v array<double>")
-        if self.parts > FEW or self.parts > 1 and self.parts * numbers > FEW_NUMBERS:
+        if not few(self.parts, numbers):
             sums = sums.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("slot", vector_to_array("v").alias("v"))
         found, made = sums.toArrow(), {}
         if not found.num_rows:
@@ -279,7 +284,7 @@ def fit_logistic(table: Table, fits: Fits | None = None, c: float = 1.0, toleran
     k, d, n_fits = max((len(x) for x in table.classes), default=0), table.width, len(fits)
     if not table.rows:
         return Logistic(np.zeros((n_fits, k, d)), np.zeros((n_fits, k)), np.zeros((n_fits, k), bool))
-    table.spread(n_fits * k)
+    table.spread(n_fits * k * (d + 1))
     counts, mean, scale = _moments(table)
     counts, mean, scale = counts[fits.fold, fits.label], mean[fits.fold], scale[fits.fold]
     present = counts > 0

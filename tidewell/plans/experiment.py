@@ -73,13 +73,13 @@ def experiment_grid(features: DataFrame, columns: list[str], n_folds: int = 5, u
     and participants (means, most frequent class). Folds are by participant,
     so the days of one are tested together. A day's pid is user:day. Both
     tracks are fitted in the same passes; an estimator of the caller's goes by
-    its class's name. The features are written to the shared folder once, as
-    many passes read them, and so are the predictions.
+    its class's name. The features, participants and folds, which many passes
+    read, are written to the shared folder once, and so are the predictions.
     """
     features = written(features)
-    people = to_participant_level(features, tuple(columns))
+    people = written(to_participant_level(features, tuple(columns)))
     tables = {"per_day": features.withColumn("pid", F.concat_ws(":", F.col(user).cast("string"), F.col("day").cast("string"))), "per_participant": people.withColumn("pid", F.col(user).cast("string"))}
-    of = hashed_folds(people.select(F.col(user).cast("string").alias("pid")), n_folds, 1).select("rep", "fold", F.col("pid").alias("_user"))
+    of = written(hashed_folds(people.select(F.col(user).cast("string").alias("pid")), n_folds, 1).select("rep", "fold", F.col("pid").alias("_user")))
     own = _labels(label)
 
     def predicted(aggregation: str) -> DataFrame:
