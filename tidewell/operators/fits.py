@@ -11,7 +11,7 @@ models, not of the table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,28 +173,34 @@ class Table:
     def summed(self, function: Callable[[Block], list[tuple[int, np.ndarray]]], numbers: int = 0) -> dict[int, np.ndarray]:
         """Sums over all blocks of what function yields as (slot, values), about so many numbers; a slot nothing is yielded for is absent."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(blocks: Iterator[Block]) -> dict[int, np.ndarray]:
             total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    for slot, values in function(_block(batch, k)):
-                        total[slot] = total[slot] + values if slot in total else values
+            for block in blocks:
+                for slot, values in function(block):
+                    total[slot] = total[slot] + values if slot in total else values
+            return {slot: np.asarray(v, float).ravel() for slot, v in total.items()}
+
+        if few(self.parts, numbers):
+            # a job on rows starts sooner than a query
+            made: dict[int, np.ndarray] = {}
+            for found in self.blocks.rdd.mapPartitions(lambda rows: [sums(map(_row_block, rows))]).collect():
+                for slot, v in found.items():
+                    made[slot] = made[slot] + v if slot in made else v
+            return made
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sums(_block(batch, k) for batch in batches for k in range(batch.num_rows))
             if total:
-                flat = [np.asarray(v, float).ravel() for v in total.values()]
-                offsets = np.r_[0, np.cumsum([len(v) for v in flat])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))], ["slot", "v"])
-
-        sums = self.blocks.mapInArrow(run, "slot int, v array<double>")
-        if not few(self.parts, numbers):
-            sums = sums.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("slot", vector_to_array("v").alias("v"))
-        found, made = sums.toArrow(), {}
+                offsets = np.r_[0, np.cumsum([len(v) for v in total.values()])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*total.values()])))], ["slot", "v"])
+
+        added = self.blocks.mapInArrow(run, "slot int, v array<double>").groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+        found = added.select("slot", vector_to_array("v").alias("v")).toArrow()
         if not found.num_rows:
-            return made
+            return {}
         values = found.column("v").combine_chunks()
         flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
-        for slot, v in zip(found.column("slot").to_pylist(), np.split(flat, ends[:-1]), strict=True):
-            made[slot] = made[slot] + v if slot in made else v
-        return made
+        return dict(zip(found.column("slot").to_pylist(), np.split(flat, ends[:-1]), strict=True))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +218,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(batch: pa.RecordBatch, k: int) -> Block:
-    y, x, row, fold = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("y", np.int32), ("x", float), ("row", np.int32), ("fold", np.int32)))
-    pid = batch.column("pid")[k].as_py()
-    return Block(pid, y.reshape(len(pid), -1), x.reshape(len(pid), -1), (row, fold))
+    return _row_block({c: batch.column(c)[k].as_py() for c in NAMES})
+
+
+def _row_block(row: Mapping) -> Block:
+    y, x, at, fold = (np.frombuffer(row[c], t) for c, t in (("y", np.int32), ("x", float), ("row", np.int32), ("fold", np.int32)))
+    pid = row["pid"]
+    return Block(pid, y.reshape(len(pid), -1), x.reshape(len(pid), -1), (at, fold))
 
 
 @dataclass
