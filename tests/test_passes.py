@@ -63,6 +63,15 @@ def test_trees_are_the_same_wherever_sums_are_added(spark, monkeypatch, few):
     assert np.allclose(alone.values, spread.values, atol=1e-12)
 
 
+def test_cut_points_do_not_hang_on_how_blocks_are_dealt(spark, monkeypatch):
+    table = fits.Table(rows(spark, 9000), COLUMNS, "class")
+    before = boosting.column_cuts(table, 32, 20)
+    monkeypatch.setattr(fits, "WORK", 1)
+    assert table.parts == 1 and table.spread(1) == 4
+    for a, b in zip(before, boosting.column_cuts(table, 32, 20), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_a_level_of_few_tasks_is_one_stage(spark, monkeypatch):
     monkeypatch.setattr(boosting, "WORK", 1, raising=False)
     table = fits.Table(rows(spark, 900, 3), COLUMNS, "class")

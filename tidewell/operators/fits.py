@@ -140,12 +140,12 @@ class Table:
         return self.parts
 
     def values(self) -> DataFrame:
-        """(x) of every row, from the blocks."""
+        """(x) of every row, from the blocks as they were first written, so that nothing made of it hangs on how they were dealt since."""
 
         def run(block: Block) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(block.x), pa.list_(pa.float64()))], ["x"])
 
-        return self.each(run, "x array<double>")
+        return self.each(run, "x array<double>", self.blocks.sparkSession.read.schema(SCHEMA).parquet(self.paths[0]))
 
     def fits(self, conditions: list[tuple[int, list[int] | None]] = ((0, None),)) -> Fits:
         """One fit for each condition (label, columns or None for all) and fold, in that order."""
@@ -160,15 +160,15 @@ class Table:
         for at in self.paths:
             remove(self.blocks.sparkSession, at)
 
-    def each(self, function: Callable[[Block], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-        """What function makes of every block."""
+    def each(self, function: Callable[[Block], pa.RecordBatch], schema: str | StructType, blocks: DataFrame | None = None) -> DataFrame:
+        """What function makes of every block (or of those given)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     yield function(_block(batch, k))
 
-        return self.blocks.mapInArrow(run, schema)
+        return (self.blocks if blocks is None else blocks).mapInArrow(run, schema)
 
     def summed(self, function: Callable[[Block], list[tuple[int, np.ndarray]]], numbers: int = 0) -> dict[int, np.ndarray]:
         """Sums over all blocks of what function yields as (slot, values), about so many numbers; a slot nothing is yielded for is absent."""
